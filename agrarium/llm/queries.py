@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from agrarium.llm import op3_byte_bpe, op5_token_counts
+from agrarium.llm import op2_secret_scan, op3_byte_bpe, op4_simhash_dedup, op5_token_counts, op10_language_id
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -17,13 +17,28 @@ def read(spark: SparkSession, folder: str, name: str = "documents") -> DataFrame
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+def op2_secrets(spark: SparkSession, folder: str) -> DataFrame:
+    return op2_secret_scan.secrets(read(spark, folder), q=0.05, alpha=0.01)
+
+
 def op3_byte_bpe_digests(spark: SparkSession, folder: str) -> DataFrame:
     return op3_byte_bpe.digests(read(spark, folder), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
+def op4_near_duplicates(spark: SparkSession, folder: str) -> DataFrame:
+    return op4_simhash_dedup.near_duplicates(read(spark, folder), shingle=4, radius=4)
+
+
 def op5_token_count(spark: SparkSession, folder: str) -> DataFrame:
     return op5_token_counts.token_counts(read(spark, folder), op5_token_counts.json_tokenizer(public_tokenizers.path("word_bpe_49k.json")), limit=2048)
 
 
+def op10_languages(spark: SparkSession, folder: str) -> DataFrame:
+    return op10_language_id.languages(read(spark, folder), most_docs=400, most_chars=60_000)
+
+
+QUERIES["op2_secret_scan"] = op2_secrets
 QUERIES["op3_byte_bpe"] = op3_byte_bpe_digests
+QUERIES["op4_simhash_dedup"] = op4_near_duplicates
 QUERIES["op5_token_counts"] = op5_token_count
+QUERIES["op10_language_id"] = op10_languages
