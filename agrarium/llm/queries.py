@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from agrarium.llm import op2_secret_scan, op3_byte_bpe, op4_simhash_dedup, op5_token_counts, op10_language_id
+from agrarium.llm import op1_decontaminate, op2_secret_scan, op3_byte_bpe, op4_simhash_dedup, op5_token_counts, op6_line_dedup, op10_language_id
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -17,6 +17,11 @@ def read(spark: SparkSession, folder: str, name: str = "documents") -> DataFrame
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+def op1_leaks(spark: SparkSession, folder: str) -> DataFrame:
+    found = op1_decontaminate.leaks(read(spark, folder), read(spark, folder, "benchmark"), size=5, similarity=0.8, radius=20)
+    return found.drop("row_key")
+
+
 def op2_secrets(spark: SparkSession, folder: str) -> DataFrame:
     return op2_secret_scan.secrets(read(spark, folder), q=0.05, alpha=0.01)
 
@@ -33,12 +38,18 @@ def op5_token_count(spark: SparkSession, folder: str) -> DataFrame:
     return op5_token_counts.token_counts(read(spark, folder), op5_token_counts.json_tokenizer(public_tokenizers.path("word_bpe_49k.json")), limit=2048)
 
 
+def op6_lines(spark: SparkSession, folder: str) -> DataFrame:
+    return op6_line_dedup.digests(read(spark, folder), least=40, documents=5)
+
+
 def op10_languages(spark: SparkSession, folder: str) -> DataFrame:
     return op10_language_id.languages(read(spark, folder), most_docs=400, most_chars=60_000)
 
 
+QUERIES["op1_decontaminate"] = op1_leaks
 QUERIES["op2_secret_scan"] = op2_secrets
 QUERIES["op3_byte_bpe"] = op3_byte_bpe_digests
 QUERIES["op4_simhash_dedup"] = op4_near_duplicates
 QUERIES["op5_token_counts"] = op5_token_count
+QUERIES["op6_line_dedup"] = op6_lines
 QUERIES["op10_language_id"] = op10_languages
