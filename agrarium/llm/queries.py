@@ -6,8 +6,9 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from agrarium.llm import op1_decontaminate, op2_secret_scan, op3_byte_bpe, op4_simhash_dedup, op5_token_counts, op6_line_dedup, op10_language_id
+from agrarium.llm import op1_decontaminate, op2_secret_scan, op3_byte_bpe, op4_simhash_dedup, op5_token_counts, op6_line_dedup, op9_nearest, op10_language_id
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -42,6 +43,10 @@ def op6_lines(spark: SparkSession, folder: str) -> DataFrame:
     return op6_line_dedup.digests(read(spark, folder), least=40, documents=5)
 
 
+def op9_neighbours(spark: SparkSession, folder: str) -> DataFrame:
+    return op9_nearest.nearest(read(spark, folder, "embeddings"), F.col("vec_id") % 20 == 0, k=20)
+
+
 def op10_languages(spark: SparkSession, folder: str) -> DataFrame:
     return op10_language_id.languages(read(spark, folder), most_docs=400, most_chars=60_000)
 
@@ -52,4 +57,5 @@ QUERIES["op3_byte_bpe"] = op3_byte_bpe_digests
 QUERIES["op4_simhash_dedup"] = op4_near_duplicates
 QUERIES["op5_token_counts"] = op5_token_count
 QUERIES["op6_line_dedup"] = op6_lines
+QUERIES["op9_nearest"] = op9_neighbours
 QUERIES["op10_language_id"] = op10_languages
