@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from agrarium.llm import op1_decontaminate, op2_secret_scan, op3_byte_bpe, op4_simhash_dedup, op5_token_counts, op6_line_dedup, op9_nearest, op10_language_id
+from agrarium.llm import op1_decontaminate, op2_secret_scan, op3_byte_bpe, op4_simhash_dedup, op5_token_counts, op6_line_dedup, op7_substring_dedup, op8_suffix_dedup, op9_nearest, op10_language_id
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -43,6 +43,14 @@ def op6_lines(spark: SparkSession, folder: str) -> DataFrame:
     return op6_line_dedup.digests(read(spark, folder), least=40, documents=5)
 
 
+def op7_substrings(spark: SparkSession, folder: str) -> DataFrame:
+    return op7_substring_dedup.digests(read(spark, folder), window=35)
+
+
+def op8_suffixes(spark: SparkSession, folder: str) -> DataFrame:
+    return op8_suffix_dedup.digests(read(spark, folder), window=200)
+
+
 def op9_neighbours(spark: SparkSession, folder: str) -> DataFrame:
     return op9_nearest.nearest(read(spark, folder, "embeddings"), F.col("vec_id") % 20 == 0, k=20)
 
@@ -57,5 +65,7 @@ QUERIES["op3_byte_bpe"] = op3_byte_bpe_digests
 QUERIES["op4_simhash_dedup"] = op4_near_duplicates
 QUERIES["op5_token_counts"] = op5_token_count
 QUERIES["op6_line_dedup"] = op6_lines
+QUERIES["op7_substring_dedup"] = op7_substrings
+QUERIES["op8_suffix_dedup"] = op8_suffixes
 QUERIES["op9_nearest"] = op9_neighbours
 QUERIES["op10_language_id"] = op10_languages
