@@ -9,9 +9,10 @@ their word, so that the parses of words can be remembered.
 from __future__ import annotations
 
 from collections import Counter
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
@@ -97,8 +98,13 @@ def predict(docs: DataFrame, texts: dict[str, str]) -> DataFrame:
     next language, as a share of the latter's (1 for a single language). Ties
     go to the smaller name.
     """
-    spark = docs.sparkSession
-    shared = spark.sparkContext.broadcast(texts)
+    make = predictor(docs, texts)
+    return flat_map(docs.select("doc_id", "text"), lambda: (lambda of: lambda doc_id, text: [(doc_id, *of(text))])(make()), SCHEMA)
+
+
+def predictor(docs: DataFrame, texts: dict[str, str]) -> Callable[[], Callable[[str | None], tuple[str, float]]]:
+    """Makes, once per task, a function from a text to its language and score."""
+    shared = docs.sparkSession.sparkContext.broadcast(texts)
 
     def make() -> Callable:
         import re
@@ -114,18 +120,30 @@ def predict(docs: DataFrame, texts: dict[str, str]) -> DataFrame:
             found = memo[word] = tuple(a.phrases(f" {word} ") for a in automata)
             return found
 
-        def each(doc_id: int | None, text: str | None) -> list[tuple]:
+        def of(text: str | None) -> tuple[str, float]:
             words: Counter = Counter(find((text or "").lower()))
             if not words or not names:
-                return [(doc_id, UNKNOWN, 0.0)]
+                return UNKNOWN, 0.0
             total = np.array([memo.get(w) or parsed(w) for w in words], np.int64).T @ np.fromiter(words.values(), np.int64, len(words))
             best = int(total.argmin())
             rest = np.delete(total, best)
-            return [(doc_id, names[best], float(1 - total[best] / rest.min()) if len(rest) else 1.0)]
+            return names[best], float(1 - total[best] / rest.min()) if len(rest) else 1.0
+
+        return of
+
+    return make
+
+
+def accepted(docs: DataFrame, most_docs: int = 400, most_chars: int = 60_000) -> DataFrame:
+    """The rows of ``docs`` that have a language, with all their columns; texts that are null or have no letter go."""
+    make = predictor(docs, samples(docs.select("doc_id", "text", "lang"), most_docs, most_chars))
 
-        return each
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        of = make()
+        for b in batches:
+            yield b.filter(pa.array([of(t)[0] != UNKNOWN for t in b.column(b.schema.get_field_index("text")).to_pylist()], pa.bool_()))
 
-    return flat_map(docs.select("doc_id", "text"), make, SCHEMA)
+    return docs.mapInArrow(run, docs.schema)
 
 
 def languages(docs: DataFrame, most_docs: int = 400, most_chars: int = 60_000) -> DataFrame:

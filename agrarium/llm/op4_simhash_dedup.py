@@ -212,10 +212,28 @@ def near_duplicates(docs: DataFrame, shingle: int = 4, radius: int = 4, most: in
     rows are kept; other columns are ignored.
     """
     marked = saved(fingerprints(docs, shingle))
-    distinct = saved(marked.groupBy("fp").agg(F.min("doc_id").alias("least")))
+    rooted = saved(classes(marked.groupBy("fp").agg(F.min("doc_id").alias("least")), radius, most))
+    least = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
+    named = saved(rooted.select("fp", "root").join(least, "root").select("fp", "component_id"))
+    return marked.join(named, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+
+
+def classes(distinct: DataFrame, radius: int, most: int) -> DataFrame:
+    """``distinct`` (one row per fp) with the least fingerprint of each one's component as root."""
+    distinct = saved(distinct)
     rooted = components(links(distinct.select("fp"), radius, most))
-    joined = distinct.join(rooted, distinct.fp == rooted.node, "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
-    joined = saved(joined)
-    of = joined.groupBy("root").agg(F.min("least").alias("component_id"))
-    classes = saved(joined.select("fp", "root").join(of, "root").select("fp", "component_id"))
-    return marked.join(classes, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+    return distinct.join(rooted, distinct.fp == rooted.node, "left").select(*distinct.columns, F.coalesce("root", "fp").alias("root"))
+
+
+def representatives(docs: DataFrame, shingle: int = 4, radius: int = 4, most: int = 20_000) -> DataFrame:
+    """One row of ``docs`` for each component, with all its columns: that of the least doc_id, null ids last."""
+    keyed = docs.withColumn("_row_key", F.xxhash64("doc_id", "text"))
+
+    def make() -> Callable:
+        return lambda key, doc_id, text: [(key, doc_id, fingerprint(text, shingle))]
+
+    marked = saved(flat_map(keyed.select("_row_key", "doc_id", "text"), make, "row_key long, doc_id long, fp long"))
+    first = F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "row_key")).alias("first")
+    rooted = classes(marked.groupBy("fp").agg(first), radius, most)
+    kept = rooted.groupBy("root").agg(F.min("first").alias("first")).select(F.col("first.row_key").alias("_row_key"))
+    return keyed.join(kept, "_row_key", "left_semi").dropDuplicates(["_row_key"]).select(*docs.columns)
