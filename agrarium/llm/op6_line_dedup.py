@@ -173,7 +173,7 @@ def deduplicated(docs: DataFrame, least: int = 40, documents: int = 5) -> DataFr
     def kept(text: pd.Series, keep: pd.Series) -> pd.Series:
         return pd.Series([t if k is None else kept_lines(t, k)[2] for t, k in zip(text, keep, strict=True)])
 
-    found = with_bitmaps(docs.select("doc_id", "text"), least, documents).select(F.col("row_key").alias("_row_key"), "keep").where("keep IS NOT NULL").distinct()
+    found = with_bitmaps(docs.select("doc_id", "text"), least, documents).select(F.col("row_key").alias("_row_key"), F.col("keep").alias("_keep")).where("_keep IS NOT NULL").distinct()
     keyed = docs.withColumn("_row_key", F.xxhash64("doc_id", "text"))
     marked = keyed.join(found, "_row_key", "left")
-    return marked.withColumn("text", F.when(F.col("keep").isNull(), F.col("text")).otherwise(F.pandas_udf(kept, "string")("text", "keep"))).select(*docs.columns)
+    return marked.withColumn("text", F.when(F.col("_keep").isNull(), F.col("text")).otherwise(F.pandas_udf(kept, "string")("text", "_keep"))).select(*docs.columns)
