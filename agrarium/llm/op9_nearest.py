@@ -6,7 +6,7 @@ vectors together, and the members of a pool are offered to each other, so that
 neighbours of neighbours become neighbours. Queries then search the graph
 greedily, all in step: each round joins the best nodes not yet opened with
 their neighbours, until a query's whole beam is open. Graph and search use
-8-bit codes of the vectors; the beam is scored again on the vectors themselves.
+half-precision vectors; the beam is scored again on the vectors themselves.
 
 Inner products become angles by one more component, sqrt(M^2 - |x|^2) with M
 the largest norm; equal vectors are one node and come apart at the end.
@@ -27,32 +27,28 @@ from agrarium.llm.op4_simhash_dedup import whole_groups
 from agrarium.llm.rows import arrays_of, flat_map, saved, table_of
 
 DEALS = 3
-SEEN_BITS = 512  # of the filter that tells a node's neighbours, two bits each
+SEEN_BITS = 256  # of the filter that tells a node's neighbours, two bits each
 
 
 def code_of(vector: list[float], largest: float) -> bytes:
-    """Scale (float32) and 8-bit components of a vector with its further component."""
+    """Components of a vector with its further component, in half precision."""
     x = np.asarray(vector, np.float64) / largest
-    x = np.append(x, np.sqrt(max(0.0, 1 - float(x @ x))))
-    scale = float(np.abs(x).max()) / 127 or 1.0
-    return np.float32(scale).tobytes() + np.rint(x / scale).astype(np.int8).tobytes()
+    return np.append(x, np.sqrt(max(0.0, 1 - float(x @ x)))).astype(np.float16).tobytes()
 
 
-def decode(codes: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """Whole-number vectors (float32, products of which are exact) and their scales."""
-    raw = np.frombuffer(b"".join(codes), np.uint8).reshape(len(codes), -1)
-    return raw[:, 4:].view(np.int8).astype(np.float32), raw[:, :4].copy().view(np.float32)[:, 0]
+def decode(codes: list[bytes]) -> np.ndarray:
+    return np.frombuffer(b"".join(codes), np.float16).reshape(len(codes), -1).astype(np.float32)
 
 
 def _seen_at(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     h = ids.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
-    return (h >> np.uint64(55)).astype(np.int64), ((h >> np.uint64(40)) & np.uint64(SEEN_BITS - 1)).astype(np.int64)
+    return tuple(((h >> np.uint64(shift)) & np.uint64(SEEN_BITS - 1)).astype(np.int64) for shift in (54, 40))
 
 
 def _offers(t: pa.Table, most: int) -> tuple[list[np.ndarray], ...]:
     """For each member of each pool (column u): the ``most`` best other members that beat its threshold and aren't its neighbours."""
     u, a = t.column("u").to_numpy(), t.column("a").to_numpy()
-    x, scale = decode(t.column("code").to_pylist())
+    x = decode(t.column("code").to_pylist())
     least = t.column("least").to_numpy()
     seen = np.unpackbits(np.frombuffer(b"".join(t.column("seen").to_pylist()), np.uint8).reshape(len(a), -1), axis=1).astype(bool)
     h1, h2 = _seen_at(a)
@@ -62,7 +58,7 @@ def _offers(t: pa.Table, most: int) -> tuple[list[np.ndarray], ...]:
         m = hi - lo
         if m < 2:
             continue
-        s = (x[lo:hi] @ x[lo:hi].T) * (scale[lo:hi, None] * scale[None, lo:hi])
+        s = x[lo:hi] @ x[lo:hi].T
         own = seen[lo:hi]
         s[(own[:, h1[lo:hi]] & own[:, h2[lo:hi]]) | (a[lo:hi, None] == a[None, lo:hi])] = -np.inf
         k = min(most, m - 1)
@@ -90,15 +86,17 @@ def offers(pools: DataFrame, most: int) -> DataFrame:
 
 
 def best_of(links: DataFrame, k: int) -> DataFrame:
-    """(node, near, score): the ``k`` best of (a, b, s), best first; repeated links count once."""
+    """(node, near, score): the ``k`` best of (a, b, s), best first; repeated links count once, at their best."""
     schema = "node long, near array<long>, score array<float>"
     arrow = to_arrow_schema(T._parse_datatype_string(schema))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t in whole_groups(batches, 1, 200_000):
             a, b, s = (t.column(i).to_numpy() for i in range(3))
-            new = np.concatenate(([True], (a[1:] != a[:-1]) | (b[1:] != b[:-1]) | (s[1:] != s[:-1])))
-            a, b, s = a[new], b[new], s[new]
+            order = np.lexsort((-s, b, a))
+            order = order[np.concatenate(([True], (a[order[1:]] != a[order[:-1]]) | (b[order[1:]] != b[order[:-1]])))]
+            order = order[np.lexsort((b[order], -s[order], a[order]))]
+            a, b, s = a[order], b[order], s[order]
             first = np.flatnonzero(np.concatenate(([True], a[1:] != a[:-1])))
             rank = np.arange(len(a)) - np.repeat(first, np.diff(np.append(first, len(a))))
             keep = rank < k
@@ -108,7 +106,7 @@ def best_of(links: DataFrame, k: int) -> DataFrame:
             lists = [pa.ListArray.from_arrays(offsets, pa.array(x)) for x in (b, s)]
             yield pa.RecordBatch.from_arrays([pa.array(a[cut]), *(x.cast(f.type) for x, f in zip(lists, list(arrow)[1:], strict=True))], schema=arrow)
 
-    return links.repartition("a").sortWithinPartitions("a", F.desc("s"), "b").mapInArrow(run, schema)
+    return links.repartition("a").sortWithinPartitions("a").mapInArrow(run, schema)
 
 
 def with_state(graph: DataFrame, k: int) -> DataFrame:
@@ -176,10 +174,13 @@ def _merge(beam: int) -> Callable:
     return each
 
 
-def greedy_search(graph: DataFrame, codes: DataFrame, queries: DataFrame, beam: int = 300, step: int = 96) -> DataFrame:
+def greedy_search(graph: DataFrame, codes: DataFrame, queries: DataFrame, beam: int = 300, step: int = 96, pool: int = 15) -> DataFrame:
     """(q, ids): the beam of each query node (column q) after all of it was opened; ``step`` nodes are opened a round."""
     links = graph.select("node", F.explode("near").alias("b"))
-    around = links.join(codes.select(F.col("node").alias("b"), "code"), "b").groupBy("node").agg(F.collect_list(F.struct("b", "code")).alias("around"))
+    # Links back as well: few nodes are among the nearest of others where many are alike.
+    some = Window.partitionBy("node").orderBy(F.xxhash64("b", F.lit(-1)))
+    back = links.select(F.col("b").alias("node"), F.col("node").alias("b")).withColumn("r", F.row_number().over(some)).where(F.col("r") <= pool).drop("r")
+    around = links.unionByName(back).distinct().join(codes.select(F.col("node").alias("b"), "code"), "b").groupBy("node").agg(F.collect_list(F.struct("b", "code")).alias("around"))
     # Kept where it is joined, round after round; a lost part comes again from the checkpoint.
     around = saved(around).repartition("node").persist()
     begin = queries.join(codes, F.col("q") == F.col("node")).select("q", "code").join(graph, F.col("q") == F.col("node"), "left")
@@ -191,10 +192,8 @@ def greedy_search(graph: DataFrame, codes: DataFrame, queries: DataFrame, beam:
         for b in batches:
             out: list[tuple] = []
             for q, code, least, around_ in zip(*(b.column(i).to_pylist() for i in range(4)), strict=True):
-                own, own_scale = decode([code])
-                own = own[:, :-1]  # a query has no further component
-                x, scale = decode([r["code"] for r in around_])
-                s = (x[:, :-1] @ own[0]) * (scale * own_scale[0])
+                # A query has no further component.
+                s = decode([r["code"] for r in around_])[:, :-1] @ decode([code])[0, :-1]
                 out += [(q, around_[i]["b"], float(s[i])) for i in np.flatnonzero(s > least)]
             if out:
                 yield table_of(out, arrow)
@@ -230,7 +229,7 @@ def nearest(vectors: DataFrame, is_query: F.Column, k: int = 20, **options: int)
     aren't candidates or queries. Fewer candidates than ``k`` are all returned.
     Repeated rows share their id and are one. Other columns are ignored.
     """
-    search = {x: options.pop(x) for x in ("beam", "step") if x in options}
+    search = {x: options[x] if x == "pool" else options.pop(x) for x in ("beam", "step", "pool") if x in options}
     rows = usable(vectors).where("vec_id IS NOT NULL").distinct()
     nodes = saved(rows.groupBy("embedding").agg(F.min("vec_id").alias("node")))
     rows = saved(rows.join(nodes, "embedding").select("vec_id", "node"))
