@@ -48,6 +48,8 @@ def _seen_at(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 def _offers(t: pa.Table, most: int) -> tuple[list[np.ndarray], ...]:
     """For each member of each pool (column u): the ``most`` best other members that beat its threshold and aren't its neighbours."""
     u, a = t.column("u").to_numpy(), t.column("a").to_numpy()
+    once = np.concatenate(([True], (u[1:] != u[:-1]) | (a[1:] != a[:-1])))
+    t, u, a = t.filter(pa.array(once)), u[once], a[once]
     x = decode(t.column("code").to_pylist())
     least = t.column("least").to_numpy()
     seen = np.unpackbits(np.frombuffer(b"".join(t.column("seen").to_pylist()), np.uint8).reshape(len(a), -1), axis=1).astype(bool)
@@ -125,7 +127,7 @@ def with_state(graph: DataFrame, k: int) -> DataFrame:
     return flat_map(graph.select("node", "code", "near", "score"), make, "a long, code binary, least float, seen binary")
 
 
-def neighbour_graph(codes: DataFrame, k: int = 30, rounds: int = 7, pool: int = 15, most: int = 6, bucket: int = 64) -> DataFrame:
+def neighbour_graph(codes: DataFrame, k: int = 30, rounds: int = 6, pool: int = 15, most: int = 6, bucket: int = 64) -> DataFrame:
     """(node, near, score) by NN-descent over (node, code).
 
     It starts from the best of some random buckets of about ``bucket`` nodes. A round's pool is
@@ -148,7 +150,7 @@ def neighbour_graph(codes: DataFrame, k: int = 30, rounds: int = 7, pool: int =
         some = Window.partitionBy("u").orderBy(F.xxhash64("a", F.lit(turn)))
         back = links.select(F.col("b").alias("u"), F.col("node").alias("a")).withColumn("r", F.row_number().over(some)).where(F.col("r") <= pool).drop("r")
         own = graph.select(F.col("node").alias("u"), F.col("node").alias("a"))
-        pools = ahead.unionByName(back).unionByName(own).distinct().join(state, "a")
+        pools = ahead.unionByName(back).unionByName(own).join(state, "a")
         old = graph.select(F.col("node").alias("a"), F.explode(F.arrays_zip(F.col("near").alias("b"), F.col("score").alias("s"))).alias("x")).select("a", "x.b", "x.s")
         graph = saved(best_of(old.unionByName(offers(pools, most)), k))
     return graph
@@ -174,13 +176,13 @@ def _merge(beam: int) -> Callable:
     return each
 
 
-def greedy_search(graph: DataFrame, codes: DataFrame, queries: DataFrame, beam: int = 300, step: int = 96, pool: int = 15) -> DataFrame:
+def greedy_search(graph: DataFrame, codes: DataFrame, queries: DataFrame, beam: int = 300, step: int = 128, pool: int = 15) -> DataFrame:
     """(q, ids): the beam of each query node (column q) after all of it was opened; ``step`` nodes are opened a round."""
     links = graph.select("node", F.explode("near").alias("b"))
     # Links back as well: few nodes are among the nearest of others where many are alike.
     some = Window.partitionBy("node").orderBy(F.xxhash64("b", F.lit(-1)))
     back = links.select(F.col("b").alias("node"), F.col("node").alias("b")).withColumn("r", F.row_number().over(some)).where(F.col("r") <= pool).drop("r")
-    around = links.unionByName(back).distinct().join(codes.select(F.col("node").alias("b"), "code"), "b").groupBy("node").agg(F.collect_list(F.struct("b", "code")).alias("around"))
+    around = links.unionByName(back).join(codes.select(F.col("node").alias("b"), "code"), "b").groupBy("node").agg(F.collect_list(F.struct("b", "code")).alias("around"))
     # Kept where it is joined, round after round; a lost part comes again from the checkpoint.
     around = saved(around).repartition("node").persist()
     begin = queries.join(codes, F.col("q") == F.col("node")).select("q", "code").join(graph, F.col("q") == F.col("node"), "left")
