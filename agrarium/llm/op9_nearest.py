@@ -24,7 +24,7 @@ from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
 from agrarium.llm.op4_simhash_dedup import whole_groups
-from agrarium.llm.rows import arrays_of, flat_map, saved, table_of
+from agrarium.llm.rows import arrays_of, flat_map, saved
 
 DEALS = 3
 SEEN_BITS = 256  # of the filter that tells a node's neighbours, two bits each
@@ -36,8 +36,15 @@ def code_of(vector: list[float], largest: float) -> bytes:
     return np.append(x, np.sqrt(max(0.0, 1 - float(x @ x)))).astype(np.float16).tobytes()
 
 
-def decode(codes: list[bytes]) -> np.ndarray:
-    return np.frombuffer(b"".join(codes), np.float16).reshape(len(codes), -1).astype(np.float32)
+def decode(codes: pa.Array | pa.ChunkedArray) -> np.ndarray:
+    """A matrix of codes that are all of one length."""
+    codes = codes.combine_chunks() if isinstance(codes, pa.ChunkedArray) else codes
+    if not len(codes):
+        return np.zeros((0, 0), np.float32)
+    size = len(codes[0].as_py())
+    fixed = codes.cast(pa.binary(size))
+    raw = np.frombuffer(fixed.buffers()[1], np.uint8)[fixed.offset * size : (fixed.offset + len(fixed)) * size]
+    return raw.view(np.float16).reshape(len(codes), -1).astype(np.float32)
 
 
 def _seen_at(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -50,7 +57,7 @@ def _offers(t: pa.Table, most: int) -> tuple[list[np.ndarray], ...]:
     u, a = t.column("u").to_numpy(), t.column("a").to_numpy()
     once = np.concatenate(([True], (u[1:] != u[:-1]) | (a[1:] != a[:-1])))
     t, u, a = t.filter(pa.array(once)), u[once], a[once]
-    x = decode(t.column("code").to_pylist())
+    x = decode(t.column("code"))
     least = t.column("least").to_numpy()
     seen = np.unpackbits(np.frombuffer(b"".join(t.column("seen").to_pylist()), np.uint8).reshape(len(a), -1), axis=1).astype(bool)
     h1, h2 = _seen_at(a)
@@ -192,13 +199,17 @@ def greedy_search(graph: DataFrame, codes: DataFrame, queries: DataFrame, beam:
 
     def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            out: list[tuple] = []
-            for q, code, least, around_ in zip(*(b.column(i).to_pylist() for i in range(4)), strict=True):
-                # A query has no further component.
-                s = decode([r["code"] for r in around_])[:, :-1] @ decode([code])[0, :-1]
-                out += [(q, around_[i]["b"], float(s[i])) for i in np.flatnonzero(s > least)]
-            if out:
-                yield table_of(out, arrow)
+            lists = b.column(3)
+            near = lists.flatten()
+            x, ids = decode(near.field(1)), near.field(0).to_numpy(zero_copy_only=False)
+            own = decode(b.column(1))
+            row = np.repeat(np.arange(b.num_rows), np.diff(lists.offsets.to_numpy()))
+            if not len(row):
+                continue
+            # A query has no further component.
+            s = np.einsum("ij,ij->i", x[:, :-1], own[row, :-1])
+            better = s > b.column(2).to_numpy()[row]
+            yield arrays_of([b.column(0).to_numpy()[row[better]], ids[better], s[better]], arrow)
 
     first = True
     while True:
