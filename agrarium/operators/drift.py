@@ -122,7 +122,8 @@ def category_shares(reference: DataFrame, current: DataFrame, column: str) -> Da
     sides = reference.select(F.col(column), F.lit(1).alias("r"), F.lit(0).alias("c")).unionByName(current.select(F.col(column), F.lit(0).alias("r"), F.lit(1).alias("c")))
     counts = sides.groupBy(column).agg(F.sum("r").alias("n_ref"), F.sum("c").alias("n_cur"))
     whole = Window.partitionBy()
-    shares = counts.withColumn("ref", F.col("n_ref") / F.sum("n_ref").over(whole)).withColumn("cur", F.col("n_cur") / F.sum("n_cur").over(whole))
+    share = lambda c: F.coalesce(F.col(c) / F.nullif(F.sum(c).over(whole), F.lit(0)), F.lit(0.0))
+    shares = counts.withColumn("ref", share("n_ref")).withColumn("cur", share("n_cur"))
     return shares.withColumn("shift", F.col("cur") - F.col("ref"))
 
 

@@ -58,14 +58,18 @@ def staged_name_match(probes: DataFrame, table: DataFrame, probe: str, name: str
     """(probe columns, matched name, stage): the first row of the first stage that matches.
 
     Stages: 1 the name; 2 one part of it between / or |; 3 a substring in either
-    case. Stages 1 and 2 are equi-joins on the parts; only probes they leave
-    unmatched reach stage 3, which the caller bounds by the probes' number.
+    case. Stages 1 and 2 are equi-joins on the parts. Probes they leave unmatched
+    meet the names that hold their first three letters, by an equi-join as well.
     """
-    parts = table.select(position, name, F.explode(F.array_distinct(F.concat(F.array(F.trim(name)), F.transform(F.split(name, r"[/|]"), F.trim)))).alias("_part"))
+    parts = table.select(position, name, F.explode(F.array_distinct(F.concat(F.array(F.trim(name)), F.transform(F.split(name, r"[/|]"), lambda p: F.trim(p))))).alias("_part"))
     found = probes.join(parts, F.col(probe) == F.col("_part")).select(*probes.columns, F.struct(F.when(F.trim(name) == F.col(probe), 1).otherwise(2).alias("stage"), F.col(position).alias("pos"), F.col(name).alias("name")).alias("_m"))
     first = found.groupBy(*probes.columns).agg(F.min("_m").alias("_m"))
     rest = probes.join(first.select(probe), probe, "left_anti")
-    late = rest.join(table, F.lower(F.col(name)).contains(F.lower(F.col(probe)))).select(*probes.columns, F.struct(F.lit(3).alias("stage"), F.col(position).alias("pos"), F.col(name).alias("name")).alias("_m"))
+    low = F.lower(F.col(name))
+    grams = F.flatten(F.transform(F.sequence(F.lit(1), F.greatest(F.length(low), F.lit(1))), lambda i: F.array(*(F.substring(low, i, F.lit(n)) for n in (1, 2, 3)))))
+    held = table.withColumn("_g", F.explode(F.array_distinct(grams)))
+    asked = rest.withColumn("_g", F.substring(F.lower(probe), 1, 3))
+    late = asked.join(held, "_g").where(low.contains(F.lower(F.col(probe)))).select(*probes.columns, F.struct(F.lit(3).alias("stage"), F.col(position).alias("pos"), F.col(name).alias("name")).alias("_m"))
     return first.unionByName(late.groupBy(*probes.columns).agg(F.min("_m").alias("_m"))).select(*probes.columns, F.col("_m.name").alias("matched"), F.col("_m.stage").alias("stage"))
 
 

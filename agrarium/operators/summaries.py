@@ -34,7 +34,7 @@ def slices(df: DataFrame, keys: list[str], measures: dict[str, Column]) -> DataF
 
 
 def pivot_counts(df: DataFrame, row: str, column: str, values: list[str]) -> DataFrame:
-    return df.groupBy(row).pivot(column, values).agg(F.count("*")).na.fill(0)
+    return df.groupBy(row).pivot(column, values).agg(F.count(F.lit(1))).na.fill(0)
 
 
 def class_balance(df: DataFrame, label: str, moderate: float = 2.0, severe: float = 5.0) -> DataFrame:

@@ -1,21 +1,4 @@
 """All queries of the engine by name, and their SQL."""
 
-from __future__ import annotations
-
-from collections.abc import Callable
-
-from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
-
-from agrarium.sources.tables import table
-
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLES: dict[str, str] = {}
-
-
-def profile_lineitem(spark: SparkSession, folder: str) -> DataFrame:
-    return table(spark, folder, "lineitem").agg(F.count("*").alias("n"))
-
-
-QUERIES["profile_lineitem"] = profile_lineitem
-ORACLES["profile_lineitem"] = "SELECT count(*) AS n FROM lineitem"
+from agrarium.plans import alignment, analytics, auditing, history, preparation  # noqa: F401
+from agrarium.plans.registry import ORACLES, QUERIES  # noqa: F401
