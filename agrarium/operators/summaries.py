@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
-WHOLE = Window.partitionBy()
+
+def whole() -> WindowSpec:
+    """All rows: for tables that an aggregation has made small."""
+    return Window.partitionBy()
 
 
 def grouped(df: DataFrame, key: str, means: dict[str, str], digits: int = 4) -> DataFrame:
@@ -40,8 +43,8 @@ def pivot_counts(df: DataFrame, row: str, column: str, values: list[str]) -> Dat
 def class_balance(df: DataFrame, label: str, moderate: float = 2.0, severe: float = 5.0) -> DataFrame:
     """(label, n, share, imbalance, role, strategy) of a bounded number of classes."""
     counts = df.where(F.col(label).isNotNull()).groupBy(label).agg(F.count("*").alias("n"))
-    total, mean = F.sum("n").over(WHOLE), F.avg("n").over(WHOLE)
-    ratio = F.max("n").over(WHOLE) / F.min("n").over(WHOLE)
+    total, mean = F.sum("n").over(whole()), F.avg("n").over(whole())
+    ratio = F.max("n").over(whole()) / F.min("n").over(whole())
     role = F.when(F.col("n") < mean, "minority").otherwise("majority")
     strategy = F.when(ratio >= severe, "resample").when(ratio >= moderate, "class_weights").otherwise("none")
     return counts.select(label, "n", F.round(F.col("n") / total, 4).alias("share"), F.round(ratio, 4).alias("imbalance"), role.alias("role"), strategy.alias("strategy"))
@@ -51,11 +54,11 @@ def class_weights(df: DataFrame, label: str, kind: str = "balanced", beta: float
     """(label, weight): ``sum_one`` weights add up to 1; ``balanced``, ``sqrt_inv`` and ``effective_num`` have mean 1."""
     counts = df.where(F.col(label).isNotNull()).groupBy(label).agg(F.count("*").alias("n"))
     n = F.greatest(F.col("n").cast("double"), F.lit(1e-12))
-    total, classes = F.sum("n").over(WHOLE), F.count("*").over(WHOLE)
+    total, classes = F.sum("n").over(whole()), F.count("*").over(whole())
     raw = {"sum_one": total / (n * classes), "balanced": total / (n * classes), "sqrt_inv": 1 / F.sqrt(n), "effective_num": (1 - beta) / (1 - F.pow(F.lit(beta), n))}[kind]
     weighed = counts.withColumn("raw", raw)
-    whole = F.sum("raw").over(WHOLE) if kind == "sum_one" else F.avg("raw").over(WHOLE)
-    return weighed.select(label, F.round(F.col("raw") / whole, 6).alias("weight"))
+    norm = F.sum("raw").over(whole()) if kind == "sum_one" else F.avg("raw").over(whole())
+    return weighed.select(label, F.round(F.col("raw") / norm, 6).alias("weight"))
 
 
 def dense_counts(df: DataFrame, label: str) -> DataFrame:
