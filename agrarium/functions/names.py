@@ -27,7 +27,7 @@ def normal_name(column: Column, aliases: dict[str, str] | None = None) -> Column
 
 def index_type_of(path: Column) -> Column:
     """NDVI or EVI, from the deepest part of the path that names one."""
-    part = F.element_at(F.filter(F.reverse(F.split(F.upper(path), "/")), lambda p: p.rlike("NDVI|EVI")), 1)
+    part = F.try_element_at(F.filter(F.reverse(F.split(F.upper(path), "/")), lambda p: p.rlike("NDVI|EVI")), F.lit(1))
     return F.nullif(F.regexp_extract(part, "(NDVI|EVI)", 1), F.lit(""))
 
 

@@ -119,8 +119,8 @@ def chi2_p_value(statistic: float, dof: int) -> float:
 
 def category_shares(reference: DataFrame, current: DataFrame, column: str) -> DataFrame:
     """(column, n_ref, n_cur, ref, cur, shift) of all categories of either side."""
-    sides = reference.select(F.col(column), F.lit(1).alias("r"), F.lit(0).alias("c")).unionByName(current.select(F.col(column), F.lit(0).alias("r"), F.lit(1).alias("c")))
-    counts = sides.groupBy(column).agg(F.sum("r").alias("n_ref"), F.sum("c").alias("n_cur"))
+    sides = reference.select(F.col(column), F.lit(1).alias("_r"), F.lit(0).alias("_c")).unionByName(current.select(F.col(column), F.lit(0).alias("_r"), F.lit(1).alias("_c")))
+    counts = sides.groupBy(column).agg(F.sum("_r").alias("n_ref"), F.sum("_c").alias("n_cur"))
     whole = Window.partitionBy()
     share = lambda c: F.coalesce(F.col(c) / F.nullif(F.sum(c).over(whole), F.lit(0)), F.lit(0.0))
     shares = counts.withColumn("ref", share("n_ref")).withColumn("cur", share("n_cur"))

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from agrarium.functions.geo import KM_PER_DEGREE, cell, haversine, in_ring
+from agrarium.functions.geo import EARTH_KM, cell, haversine, in_ring
 
 
 def within_radius(points: DataFrame, places: DataFrame, km: float, point: tuple[str, str] = ("lon", "lat"), place: tuple[str, str] = ("place_lon", "place_lat")) -> DataFrame:
@@ -15,12 +17,13 @@ def within_radius(points: DataFrame, places: DataFrame, km: float, point: tuple[
     of its row of cells and the two next to it, within a column as wide as the
     radius at the row's larger latitude. Longitudes wrap at 180.
     """
-    size = km / KM_PER_DEGREE
+    size = math.degrees(km / EARTH_KM) * 1.001
     (lon, lat), (plon, plat) = point, place
     rows = F.explode(F.array(*(F.lit(i) for i in (-1, 0, 1))))
-    # Cells of a row are as wide as the radius at the pole side of the three rows.
-    far = F.least(F.abs(F.col("_row")) + 3, F.lit(int(90 / size) + 1)) * size
-    wide = F.greatest(F.lit(size) / F.greatest(F.cos(F.radians(far)), F.lit(0.01)), F.lit(size))
+    # Cells of a row are as wide as the radius reaches at the pole side of the three rows; at a pole it reaches all around.
+    far = (F.abs(F.col("_row")) + 3) * size
+    reach = F.degrees(F.asin(F.least(F.lit(math.sin(math.radians(min(size, 90)))) / F.cos(F.radians(far)), F.lit(1.0))))
+    wide = F.when(far < 90 - size, reach * 1.001).otherwise(360.0)
     n = F.greatest(F.floor(360 / wide), F.lit(1))
     column = lambda c: F.pmod(F.floor((F.col(c) + 180) / (360 / n)), n)
     near = F.explode(F.array_distinct(F.transform(F.array(F.lit(-1), F.lit(0), F.lit(1)), lambda i: F.pmod(F.col("_col") + i, n))))

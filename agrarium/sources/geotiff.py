@@ -6,8 +6,10 @@ import struct
 from collections.abc import Callable, Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 #: Fixed values of the format: sizes of field types, and the tags that are read.
 SIZES = {1: 1, 2: 1, 3: 2, 4: 4, 5: 8, 6: 1, 7: 1, 8: 2, 9: 4, 10: 8, 11: 4, 12: 8}
@@ -70,33 +72,34 @@ def window(image: np.ndarray, row: int, col: int, size: int, band: int = 0) -> t
     return out, np.isfinite(out)
 
 
-def _mapped(files: DataFrame, columns: list[str], schema: str, of: Callable[..., dict]) -> DataFrame:
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for f in frames:
+def _mapped(files: DataFrame, columns: list[str], schema: str, of: Callable[[dict], dict]) -> DataFrame:
+    arrow = to_arrow_schema(T._parse_datatype_string(schema))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
             rows = []
-            for r in f.itertuples(index=False):
+            for r in b.to_pylist():
                 try:
-                    rows.append(of(r) | {"path": r.path, "error": None})
+                    rows.append(of(r) | {"path": r["path"], "error": None})
                 except (ValueError, KeyError, struct.error, IndexError) as e:
-                    rows.append({"path": r.path, "error": str(e)})
-            names = [x.split()[0] for x in schema.split(", ")]
-            yield pd.DataFrame(rows, columns=names)
+                    rows.append({"path": r["path"], "error": str(e)})
+            yield pa.RecordBatch.from_pylist(rows, schema=arrow)
 
-    return files.select(*columns).mapInPandas(run, schema)
+    return files.select(*columns).mapInArrow(run, schema)
 
 
 def metadata(files: DataFrame) -> DataFrame:
     """Header fields of binary files (path, content); unreadable ones have an error."""
-    return _mapped(files, ["path", "content"], METADATA, lambda r: header(bytes(r.content)))
+    return _mapped(files, ["path", "content"], METADATA, lambda r: header(r["content"]))
 
 
 def patches(files: DataFrame, size: int) -> DataFrame:
     """Patches of files (path, content, lon, lat): values and mask about the pixel that holds the place."""
 
-    def of(r) -> dict:  # noqa: ANN001
-        raw = bytes(r.content)
+    def of(r: dict) -> dict:
+        raw = r["content"]
         h = header(raw)
-        row, col = int(np.floor((h["top"] - r.lat) / h["pixel_y"])), int(np.floor((r.lon - h["left"]) / h["pixel_x"]))
+        row, col = int(np.floor((h["top"] - r["lat"]) / h["pixel_y"])), int(np.floor((r["lon"] - h["left"]) / h["pixel_x"]))
         values, mask = window(pixels(raw), row, col, size)
         return {"values": np.where(mask, values, 0).astype(float).tolist(), "mask": mask.tolist()}
 

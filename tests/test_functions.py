@@ -40,7 +40,7 @@ def test_names(spark):
         large=names.readable_size(s(3 * 1024**4)),
     )
     assert (r.alias, r.plain) == ("Dakshina Kannada", "Bengaluru")
-    assert (r.index, r.no_index, r.res) == ("EVI", None, "R20m")
+    assert (r["index"], r.no_index, r.res) == ("EVI", None, "R20m")
     assert (r.year, r.no_year, r.date, r.bad_date) == (2019, None, dt.date(2020, 2, 29), None)
     assert (r.number, r.text, r.blank, r.nan, r.as_year) == (12.5, None, None, None, 2019)
     assert (r.version, r.no_version, r.minor, r.patch) == ([1, 12, 3], None, "1.13.0", "1.12.4")
