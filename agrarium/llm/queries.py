@@ -69,3 +69,22 @@ QUERIES["op7_substring_dedup"] = op7_substrings
 QUERIES["op8_suffix_dedup"] = op8_suffixes
 QUERIES["op9_nearest"] = op9_neighbours
 QUERIES["op10_language_id"] = op10_languages
+
+ORACLES["op6_line_dedup"] = r"""
+WITH split AS (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS x FROM documents),
+lines AS (SELECT doc_id, unnest(x) AS line, generate_subscripts(x, 1) AS pos FROM split),
+keyed AS (SELECT *, translate(trim(line, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS key FROM lines),
+held AS (SELECT key, max(doc_id) AS last FROM keyed WHERE length(key) >= 40 GROUP BY 1 HAVING count(DISTINCT doc_id) >= 5),
+marked AS (SELECT doc_id, line, pos, last IS NOT NULL AND doc_id <> last AS gone FROM keyed LEFT JOIN held USING (key))
+SELECT doc_id, count(*) AS n_lines, count(*) FILTER (gone) AS n_dropped, sha256(coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (NOT gone), '')) AS kept_sha256 FROM marked GROUP BY doc_id
+"""
+ORACLES["op7_substring_dedup"] = r"""
+WITH split AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS x FROM documents),
+words AS (SELECT doc_id, unnest(x) AS word, generate_subscripts(x, 1) AS pos FROM split),
+windows AS (SELECT *, string_agg(word, ' ') OVER w AS g, count(*) OVER w AS n FROM words WINDOW w AS (PARTITION BY doc_id ORDER BY pos ROWS BETWEEN CURRENT ROW AND 34 FOLLOWING)),
+again AS (SELECT g FROM windows WHERE n = 35 GROUP BY 1 HAVING count(*) > 1),
+marked AS (SELECT doc_id, word, pos, n = 35 AND again.g IS NOT NULL AS dup FROM windows LEFT JOIN again USING (g)),
+covered AS (SELECT doc_id, word, pos, bool_or(dup) OVER (PARTITION BY doc_id ORDER BY pos ROWS BETWEEN 34 PRECEDING AND CURRENT ROW) AS gone FROM marked),
+kept AS (SELECT doc_id, count(*) AS n_words, count(*) FILTER (gone) AS n_removed, string_agg(word, ' ' ORDER BY pos) FILTER (NOT gone) AS text FROM covered GROUP BY 1)
+SELECT doc_id, coalesce(n_words, 0) AS n_words, coalesce(n_removed, 0) AS n_removed, sha256(coalesce(kept.text, '')) AS kept_sha256 FROM documents LEFT JOIN kept USING (doc_id)
+"""
