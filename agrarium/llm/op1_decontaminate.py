@@ -18,6 +18,7 @@ import re
 from collections import Counter
 from collections.abc import Callable
 from functools import reduce
+from itertools import repeat
 
 import numpy as np
 from pyspark.sql import DataFrame
@@ -34,17 +35,21 @@ def words_of(text: str | None) -> list[str]:
     return WORD.findall((text or "").lower())
 
 
-def shingle_codes(words: list[str], size: int) -> np.ndarray:
-    """A 64-bit code for each run of ``size`` words; the whole sequence if it is shorter."""
+def word_hashes(words: list[str]) -> np.ndarray:
     from xxhash import xxh64_intdigest
 
-    if not words:
+    return np.fromiter(map(xxh64_intdigest, words), np.uint64, len(words))
+
+
+def shingle_codes(hashes: np.ndarray, size: int) -> np.ndarray:
+    """A 64-bit code for each run of ``size`` words; the whole sequence if it is shorter."""
+    n = len(hashes)
+    if not n:
         return np.zeros(0, np.uint64)
-    x = np.fromiter((xxh64_intdigest(w) for w in words), np.uint64, len(words))
-    m = max(1, len(words) - size + 1)
+    m = max(1, n - size + 1)
     code = np.zeros(m, np.uint64)
-    for i in range(min(size, len(words))):
-        code = (code ^ x[i : i + m]) * np.uint64(0x9E3779B97F4A7C15)
+    for i in range(min(size, n)):
+        code = (code ^ hashes[i : i + m]) * np.uint64(0x9E3779B97F4A7C15)
         code ^= code >> np.uint64(29)
     return code
 
@@ -78,9 +83,10 @@ class Items:
         self.size, self.similarity = size, similarity
         words = [words_of(text) for _, text in rows]
         self.ids = [i for (i, _), w in zip(rows, words, strict=True) if w]
-        codes = [shingle_codes(w, size) for w in words if w]
+        codes = [shingle_codes(word_hashes(w), size) for w in words if w]
         self.weights = [Counter(c.tolist()) for c in codes]
-        self.vocabulary = {x for w in words for x in w}
+        vocabulary = sorted({x for w in words for x in w})
+        self.vocabulary = dict(zip(vocabulary, word_hashes(vocabulary).tolist(), strict=True))
         self.known = np.unique(np.concatenate(codes)) if codes else np.zeros(0, np.uint64)
         lengths = np.array([len(c) for c in codes], np.int64)
         self.by_length = {}
@@ -93,12 +99,22 @@ class Items:
         words = words_of(text)
         if not words or not self.ids:
             return []
-        inside = np.fromiter(map(self.vocabulary.__contains__, words), bool, len(words))
-        runs = np.lib.stride_tricks.sliding_window_view(inside, min(self.size, len(words))).all(axis=1)
-        if not runs.any():
+        # Words that no item has are 0; runs without them may be shingles of an item.
+        known = np.fromiter(map(self.vocabulary.get, words, repeat(0)), np.uint64, len(words))
+        outside = np.concatenate(([0], np.cumsum(known == 0)))
+        width = min(self.size, len(words))
+        runs = np.flatnonzero(outside[width:] == outside[:-width])
+        if not len(runs):
+            return []
+        codes = shingle_codes(known, self.size)[runs]
+        at = np.searchsorted(self.known, codes)
+        runs = runs[self.known[np.minimum(at, len(self.known) - 1)] == codes]
+        if not len(runs):
             return []
-        codes = shingle_codes(words, self.size)
-        hits = np.concatenate(([0], np.cumsum(runs & np.isin(codes, self.known))))
+        codes = shingle_codes(word_hashes(words), self.size)
+        hits = np.zeros(len(codes) + 1, np.int64)
+        hits[runs + 1] = 1
+        hits = np.cumsum(hits)
         m = len(codes)
         found: dict[int, tuple[float, int, int]] = {}
         for n, (own, index) in self.by_length.items():
