@@ -1 +1,11 @@
-"""Spark operators for observational data tied to places, dates and seasons."""
+"""Spark operators for observational data tied to places, dates and seasons.
+
+Functions of this package travel to executors by value, so executors need no
+copy of it.
+"""
+
+import sys
+
+from pyspark import cloudpickle
+
+cloudpickle.register_pickle_by_value(sys.modules[__name__])

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from agrarium.functions.geo import EARTH_KM, cell, haversine, in_ring
+from agrarium.operators.lineage import saved
 
 
 def within_radius(points: DataFrame, places: DataFrame, km: float, point: tuple[str, str] = ("lon", "lat"), place: tuple[str, str] = ("place_lon", "place_lat")) -> DataFrame:
@@ -61,11 +62,13 @@ def thinned(points: DataFrame, key: str, metres: float, lon: str = "lon", lat: s
     them stays; this is what going through the points in order keeps.
     """
     places = points.select(F.col(key).alias("_other"), F.col(lon).alias("place_lon"), F.col(lat).alias("place_lat"))
-    pairs = within_radius(points.select(key, lon, lat), places, metres / 1000, point=(lon, lat)).where(F.col("_other") < F.col(key)).select(key, "_other")
+    near = within_radius(points.select(key, lon, lat), places, metres / 1000, point=(lon, lat))
+    pairs = saved(near.where(F.col("_other") < F.col(key)).select(key, "_other"))
     state = points.select(F.col(key), F.lit(None).cast("boolean").alias("stays"))
     while True:
         near = pairs.join(state.select(F.col(key).alias("_other"), F.col("stays").alias("_s")), "_other")
         seen = near.groupBy(key).agg(F.coalesce(F.bool_or("_s"), F.lit(False)).alias("_some"), F.count_if(F.col("_s").isNull()).alias("_open"))
-        state = state.join(seen, key, "left").select(key, F.coalesce("stays", F.when(F.col("_some"), False).when(F.coalesce("_open", F.lit(0)) == 0, True)).alias("stays")).checkpoint()
+        state = state.join(seen, key, "left").select(key, F.coalesce("stays", F.when(F.col("_some"), False).when(F.coalesce("_open", F.lit(0)) == 0, True)).alias("stays"))
+        state = saved(state)
         if not state.where("stays IS NULL").limit(1).count():
             return points.join(state.where("stays").select(key), key, "left_semi")

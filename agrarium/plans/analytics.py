@@ -204,7 +204,7 @@ def stable_hashes(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "part").select("p_partkey", names.stable_hash(F.col("p_name"), F.col("p_brand")).alias("hash"))
 
 
-@query("SELECT doc_id, CASE WHEN n_chars < 1024 THEN printf('%d B', n_chars) ELSE printf('%.1f KB', n_chars / 1024.0) END AS shown FROM documents")
+@query("SELECT doc_id, CASE WHEN n_chars < 1024 THEN printf('%d B', n_chars) ELSE printf('%.1f KB', round(n_chars / 1024.0, 1)) END AS shown FROM documents")
 def readable_sizes(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "documents").select("doc_id", names.readable_size(F.col("n_chars")).alias("shown"))
 
