@@ -1,11 +1,4 @@
 """Operators that prepare a text corpus for training language models.
 
-Nothing outside this package imports it. Functions of this package travel to
-executors by value, so executors need no copy of the repository.
+Nothing outside this package imports it.
 """
-
-import sys
-
-from pyspark import cloudpickle
-
-cloudpickle.register_pickle_by_value(sys.modules[__name__])

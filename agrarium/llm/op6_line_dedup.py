@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from agrarium.llm.rows import flat_map, saved, table_of
+from agrarium.llm.rows import flat_map, packed, saved, table_of, unpacker, with_row_key
 
 STRIPPED = b"\x20\x09\x0a\x0b\x0c\x0d"
 LINES = "h1 long, h2 long, doc_id long, row_key long, n_lines int, at array<int>"
@@ -142,12 +142,6 @@ def kept_lines(text: str | None, keep: bytes | None) -> tuple[int, int, str]:
     return len(lines), int(len(lines) - bits.sum()), "\n".join(x for x, k in zip(lines, bits.tolist(), strict=True) if k)
 
 
-def with_bitmaps(docs: DataFrame, least: int, documents: int) -> DataFrame:
-    """``docs`` with a row_key and, where lines go, a keep bitmap."""
-    keyed = docs.withColumn("row_key", F.xxhash64("doc_id", "text"))
-    return keyed.join(keep_bitmaps(keyed, least, documents), "row_key", "left")
-
-
 def digests(docs: DataFrame, least: int = 40, documents: int = 5) -> DataFrame:
     """One row per row of ``docs`` (doc_id, text): lines before dropping, lines dropped, digest of what stays.
 
@@ -157,14 +151,17 @@ def digests(docs: DataFrame, least: int = 40, documents: int = 5) -> DataFrame:
     """
 
     def make() -> Callable:
-        def each(doc_id: int | None, text: str | None, keep: bytes | None) -> list[tuple]:
-            n, gone, kept = kept_lines(text, keep)
+        unpack = unpacker()
+
+        def each(doc_id: int | None, pack: bytes | None, keep: bytes | None) -> list[tuple]:
+            n, gone, kept = kept_lines(unpack(pack), keep)
             return [(doc_id, n, gone, hashlib.sha256(kept.encode()).hexdigest())]
 
         return each
 
-    found = with_bitmaps(docs.select("doc_id", "text"), least, documents)
-    return flat_map(found.select("doc_id", "text", "keep"), make, "doc_id long, n_lines long, n_dropped long, kept_sha256 string", batch=5_000)
+    keyed = with_row_key(docs)
+    found = packed(keyed).join(keep_bitmaps(keyed, least, documents), "row_key", "left")
+    return flat_map(found.select("doc_id", "packed", "keep"), make, "doc_id long, n_lines long, n_dropped long, kept_sha256 string", batch=5_000)
 
 
 def deduplicated(docs: DataFrame, least: int = 40, documents: int = 5) -> DataFrame:
@@ -173,7 +170,7 @@ def deduplicated(docs: DataFrame, least: int = 40, documents: int = 5) -> DataFr
     def kept(text: pd.Series, keep: pd.Series) -> pd.Series:
         return pd.Series([t if k is None else kept_lines(t, k)[2] for t, k in zip(text, keep, strict=True)])
 
-    found = with_bitmaps(docs.select("doc_id", "text"), least, documents).select(F.col("row_key").alias("_row_key"), F.col("keep").alias("_keep")).where("_keep IS NOT NULL").distinct()
+    found = keep_bitmaps(with_row_key(docs), least, documents).select(F.col("row_key").alias("_row_key"), F.col("keep").alias("_keep"))
     keyed = docs.withColumn("_row_key", F.xxhash64("doc_id", "text"))
     marked = keyed.join(found, "_row_key", "left")
     return marked.withColumn("text", F.when(F.col("_keep").isNull(), F.col("text")).otherwise(F.pandas_udf(kept, "string")("text", "_keep"))).select(*docs.columns)

@@ -17,10 +17,9 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
 from agrarium.llm.repeats import BASES, Rolling, blocks_of, covered, mix, spans
-from agrarium.llm.rows import flat_map, with_row_key
+from agrarium.llm.rows import flat_map, packed, unpacker, with_row_key
 
 GRAM = 8
 
@@ -103,15 +102,17 @@ def digests(docs: DataFrame, window: int = 35, most: int = 20_000) -> DataFrame:
     keyed = with_row_key(docs)
 
     def make() -> Callable:
-        def each(doc_id: int | None, text: str | None, starts: list | None, ends: list | None) -> list[tuple]:
-            words = words_of(text)
+        unpack = unpacker()
+
+        def each(doc_id: int | None, pack: bytes | None, starts: list | None, ends: list | None) -> list[tuple]:
+            words = words_of(unpack(pack))
             gone = covered(len(words), starts, ends)
             kept = [w for w, g in zip(words, gone.tolist(), strict=True) if not g]
             return [(doc_id, len(words), len(words) - len(kept), hashlib.sha256(b" ".join(kept)).hexdigest())]
 
         return each
 
-    found = keyed.join(repeated_words(keyed, window, most), "row_key", "left").select("doc_id", "text", "starts", "ends")
+    found = packed(keyed).join(repeated_words(keyed, window, most), "row_key", "left").select("doc_id", "packed", "starts", "ends")
     return flat_map(found, make, "doc_id long, n_words long, n_removed long, kept_sha256 string", batch=5_000)
 
 
@@ -120,12 +121,14 @@ def deduplicated(docs: DataFrame, window: int = 35, most: int = 20_000) -> DataF
     keyed = with_row_key(docs)
 
     def make() -> Callable:
-        def each(doc_id: int | None, text: str | None, starts: list | None, ends: list | None) -> list[tuple]:
-            words = words_of(text)
+        unpack = unpacker()
+
+        def each(doc_id: int | None, pack: bytes | None, starts: list | None, ends: list | None) -> list[tuple]:
+            words = words_of(unpack(pack))
             gone = covered(len(words), starts, ends).tolist()
             return [(doc_id, b" ".join(w for w, g in zip(words, gone, strict=True) if not g).decode())]
 
         return each
 
-    found = keyed.join(repeated_words(keyed, window, most), "row_key", "left")
-    return flat_map(found.select("doc_id", "text", "starts", F.col("ends")), make, "doc_id long, text string", batch=500)
+    found = packed(keyed).join(repeated_words(keyed, window, most), "row_key", "left")
+    return flat_map(found.select("doc_id", "packed", "starts", "ends"), make, "doc_id long, text string", batch=500)

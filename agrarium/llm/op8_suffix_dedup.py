@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from agrarium.llm.repeats import BASES, Rolling, blocks_of, covered, least_places, mix, spans
-from agrarium.llm.rows import flat_map, with_row_key
+from agrarium.llm.rows import flat_map, packed, unpacker, with_row_key
 
 GRAM = 32
 
@@ -135,13 +135,15 @@ def digests(docs: DataFrame, window: int = 200, most: int = 20_000) -> DataFrame
     keyed = with_row_key(docs)
 
     def make() -> Callable:
-        def each(doc_id: int | None, text: str | None, starts: list | None, ends: list | None) -> list[tuple]:
-            raw = np.frombuffer((text or "").encode(), np.uint8)
+        unpack = unpacker()
+
+        def each(doc_id: int | None, pack: bytes | None, starts: list | None, ends: list | None) -> list[tuple]:
+            raw = np.frombuffer((unpack(pack) or "").encode(), np.uint8)
             gone = covered(len(raw), starts, ends)
             runs = int((np.diff(gone.astype(np.int8), prepend=0) == 1).sum())
             return [(doc_id, len(raw), int(gone.sum()), runs, hashlib.sha256(raw[~gone].tobytes()).hexdigest())]
 
         return each
 
-    found = keyed.join(repeated_bytes(keyed, window, most), "row_key", "left").select("doc_id", "text", "starts", "ends")
+    found = packed(keyed).join(repeated_bytes(keyed, window, most), "row_key", "left").select("doc_id", "packed", "starts", "ends")
     return flat_map(found, make, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string", batch=5_000)

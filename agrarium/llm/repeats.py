@@ -18,17 +18,18 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
 from agrarium.llm.op4_simhash_dedup import whole_groups
-from agrarium.llm.rows import arrays_of, flat_map, saved
+from agrarium.llm.rows import arrays_of, flat_map, packed, saved, unpacker
 
 BASES = (0x9E3779B97F4A7C15 | 1, 0xD6E8FEB86659FD93 | 1)
 SEGMENTS = "row_key long, anchor long, context long, start int, count int"
 DETAILS = "anchor long, i int, j int, context long, row_key long, start int, count int, place int, times long, detail binary"
+BUCKETS, CROWDED = 1 << 16, 8
 PART = 1 << 20  # window starts looked at together
 
 
@@ -133,8 +134,7 @@ def spans(docs: DataFrame, units: Callable, window: int, gram: int, detail: Call
     contexts of an anchor meet in a block at most twice over.
     """
     rows = saved(segment_rows(docs, units, window, gram))
-    anchors = saved(rows.groupBy("anchor").agg(F.count("*").alias("n"), (F.min("context") != F.max("context")).alias("mixed")).where("n > 1").select("anchor", "mixed"))
-    again = saved(rows.join(anchors, "anchor"))
+    again = saved(_repeated_anchors(rows, most))
     open_ = again.where("mixed")
     contexts = saved(open_.groupBy("anchor", "context").agg(F.count("*").alias("times"), F.min(F.struct("row_key", "start", "count")).alias("x")).select("anchor", "context", "times", "x.*"))
     whole = again.where("NOT mixed").unionByName(open_.join(contexts.where("times > 1").select("anchor", "context"), ["anchor", "context"]))
@@ -143,15 +143,35 @@ def spans(docs: DataFrame, units: Callable, window: int, gram: int, detail: Call
     return looked.groupBy("row_key").agg(F.collect_list("first").alias("starts"), F.collect_list(F.col("last") + window).alias("ends"))
 
 
+def _repeated_anchors(rows: DataFrame, most: int) -> DataFrame:
+    """``rows`` whose anchor occurs again, with ``mixed``: not all of its contexts are equal.
+
+    One shuffle brings an anchor's rows together, but for those of crowded
+    hash buckets, fewer than BUCKETS / CROWDED: there, counts are combined
+    before the shuffle and a join, which Spark can split, brings them back.
+    """
+    bucket = F.shiftrightunsigned("anchor", 48).cast("int")
+    loads = rows.groupBy(bucket.alias("bucket")).agg(F.count("*").alias("n"))
+    limit = loads.agg(F.greatest(F.sum("n") / BUCKETS * CROWDED, F.lit(most))).first()[0] or most
+    crowded = F.broadcast(saved(loads.where(F.col("n") > limit).select("bucket")))
+    marked = rows.withColumn("bucket", bucket)
+    by = Window.partitionBy("anchor")
+    calm = marked.join(crowded, "bucket", "left_anti").drop("bucket")
+    calm = calm.withColumn("n", F.count("*").over(by)).withColumn("mixed", F.min("context").over(by) != F.max("context").over(by)).where("n > 1").drop("n")
+    rest = marked.join(crowded, "bucket", "left_semi").drop("bucket")
+    anchors = saved(rest.groupBy("anchor").agg(F.count("*").alias("n"), (F.min("context") != F.max("context")).alias("mixed")).where("n > 1").select("anchor", "mixed"))
+    return calm.unionByName(rest.join(anchors, "anchor").select(*calm.columns))
+
+
 def _blocks(docs: DataFrame, contexts: DataFrame, detail: Callable, compare: Callable, most: int) -> DataFrame:
     crowds = contexts.groupBy("anchor").agg(F.ceil(F.count("*") / most).cast("int").alias("chunks"))
     wanted = contexts.join(saved(crowds), "anchor").groupBy("row_key").agg(F.collect_list(F.struct("anchor", "context", "start", "count", "times", "chunks")).alias("wanted"))
 
     def make() -> Callable:
-        of = detail()
+        of, unpack = detail(), unpacker()
 
-        def each(key: int, text: str | None, wanted_: list) -> list[tuple]:
-            out = []
+        def each(key: int, pack: bytes | None, wanted_: list) -> list[tuple]:
+            out, text = [], unpack(pack)
             for w, (place, d) in zip(wanted_, of(text, [(w["start"], w["count"]) for w in wanted_]), strict=True):
                 own = w["context"] % w["chunks"]
                 for other in range(w["chunks"]):
@@ -160,7 +180,7 @@ def _blocks(docs: DataFrame, contexts: DataFrame, detail: Callable, compare: Cal
 
         return each
 
-    details = flat_map(docs.select("row_key", "text").join(wanted, "row_key").select("row_key", "text", "wanted"), make, DETAILS, batch=10_000)
+    details = flat_map(packed(docs).join(wanted, "row_key").select("row_key", "packed", "wanted"), make, DETAILS, batch=10_000)
     order = ["anchor", "i", "j"]
     schema = "row_key long, first int, last int"
     arrow = to_arrow_schema(T._parse_datatype_string(schema))

@@ -1,8 +1,7 @@
-"""Row-wise Arrow functions, row keys and lineage cuts that the operators share."""
+"""Row-wise Arrow functions, row keys and packed texts that the operators share."""
 
 from __future__ import annotations
 
-import tempfile
 from collections.abc import Callable, Iterable, Iterator
 from typing import Any
 
@@ -12,6 +11,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
+from agrarium.operators.lineage import saved  # noqa: F401
+
 
 def flat_map(df: DataFrame, make: Callable[[], Callable[..., Iterable[tuple]]], schema: str, batch: int = 20_000) -> DataFrame:
     """Rows that a function yields for each row of ``df``.
@@ -45,14 +46,26 @@ def arrays_of(columns: Iterable[Any], schema: pa.Schema) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, schema, strict=True)], schema=schema)
 
 
-def saved(df: DataFrame) -> DataFrame:
-    """``df`` as written once to the shared checkpoint folder, so that it survives lost executors and isn't computed twice."""
-    sc = df.sparkSession.sparkContext
-    if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-"))
-    return df.checkpoint(eager=True)
-
-
 def with_row_key(docs: DataFrame) -> DataFrame:
     """(row_key, doc_id, text): equal rows share a key, rows with null or repeated ids but other texts don't."""
     return docs.select(F.xxhash64("doc_id", "text").alias("row_key"), "doc_id", "text")
+
+
+def packed(keyed: DataFrame) -> DataFrame:
+    """(row_key, doc_id, packed): texts compressed one by one, for shuffles."""
+
+    def make() -> Callable:
+        import zstandard
+
+        compress = zstandard.ZstdCompressor(level=1).compress
+        return lambda key, doc_id, text: [(key, doc_id, None if text is None else compress(text.encode()))]
+
+    return flat_map(keyed.select("row_key", "doc_id", "text"), make, "row_key long, doc_id long, packed binary", batch=2_000)
+
+
+def unpacker() -> Callable[[bytes | None], str | None]:
+    """Undoes ``packed`` for one text."""
+    import zstandard
+
+    expand = zstandard.ZstdDecompressor().decompress
+    return lambda x: None if x is None else expand(x).decode()
