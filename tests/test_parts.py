@@ -249,7 +249,7 @@ def test_sinks(spark, tmp_path):
     df = spark.createDataFrame([(1, float("nan"), [1, 2], {"a": "b"})], "i int, x double, l array<int>, m map<string,string>")
     for kind in sinks.FORMATS:
         sinks.write(df, str(tmp_path / kind), kind)
-    assert spark.read.json(str(tmp_path / "json")).count() == 1 and "x" not in json.loads(next((tmp_path / "jsonl").glob("*.json")).read_text())
+    assert spark.read.json(str(tmp_path / "json")).count() == 1 and "x" not in json.loads("".join(p.read_text() for p in (tmp_path / "jsonl").glob("*.json")))
     assert spark.read.option("header", True).csv(str(tmp_path / "csv")).first().l == "[1,2]"
     assert spark.read.parquet(str(tmp_path / "parquet")).first().m == {"a": "b"}
     with pytest.raises(ValueError):
