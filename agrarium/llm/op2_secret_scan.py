@@ -1,7 +1,10 @@
 """Secret scan: pattern spans, and spans that a battery of randomness tests adds.
 
-Candidates are runs of at least 20 characters of [A-Za-z0-9+/_=-] with letters
-and digits. Each is read in the narrowest of the encodings below, and tested:
+Candidates are runs of at least 20 characters of [A-Za-z0-9+/_-] with letters
+and digits, and the '=' that pad them; any other '=' ends a run, so that in
+NAME=value both sides are runs. Of a run that no encoding holds, as it mixes
++ or / with - or _, the longest parts in one alphabet that look random count.
+Each is read in the narrowest of the encodings below, and tested:
 
 - chi-squared uniformity over the encoding's alphabet, upper tail;
 - Wald-Wolfowitz runs about the alphabet's middle, two-sided;
@@ -33,7 +36,8 @@ WORDS = ("password", "passwd", "secret", "token", "apikey", "api_key")
 ACCESS = r"AKIA[A-Z0-9]+"
 #: Both find whole runs only: a run begins where no such character stands before.
 HEX = r"(?<![0-9a-f])[0-9a-f]{32,}"
-CANDIDATE = r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{20,}"
+CANDIDATE = r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{20,}(?:=+(?![A-Za-z0-9+/_=-]))?"
+PARTS = (r"[A-Za-z0-9+/]{20,}=*", r"[A-Za-z0-9_-]{20,}=*", r"[A-Za-z0-9]{20,}=*")
 KINDS = ("assign", "access", "hex", "random")
 #: Encodings from narrow to wide: name, alphabet, coincidence rate of writing in it.
 ENCODINGS = (
@@ -100,16 +104,27 @@ def battery(string: str) -> tuple[int, float, float] | None:
     return k, min(1.0, 3 * min(uniform, runs, serial)), writing
 
 
+def runs(m: re.Match) -> list[tuple[int, int]]:
+    """(start, end) of the run, or of its parts in one alphabet, longest first, if it mixes both of base64."""
+    if not (set(m[0]) & set("+/") and set(m[0]) & set("-_")):
+        return [m.span()]
+    parts = {(m.start() + x.start(), m.start() + x.end()) for part in PARTS for x in re.finditer(part, m[0])}
+    return sorted(parts, key=lambda p: (p[0] - p[1], p[0]))
+
+
 def candidates(text: str, base: list[tuple[int, int, int]], alpha: float) -> list[tuple[int, int, int, int]]:
     """(start, end, stratum, tenths of -log10 p) of strings that look random and lie in no base span."""
     out = []
     for m in re.finditer(CANDIDATE, text):
-        if any(s <= m.start() and m.end() <= e for s, _, e in base):
-            continue
-        tested = battery(m[0])
-        if tested and tested[1] >= alpha:
-            stratum = tested[0] * len(LENGTHS) + sum(len(m[0]) >= x for x in LENGTHS) - 1
-            out.append((m.start(), m.end(), stratum, int(-10 * math.log10(max(tested[2], 1e-300)))))
+        taken: list[tuple[int, int]] = []
+        for start, end in runs(m):
+            if any(s <= start and end <= e for s, _, e in base) or any(s < end and start < e for s, e in taken):
+                continue
+            tested = battery(text[start:end])
+            if tested and tested[1] >= alpha:
+                taken.append((start, end))
+                stratum = tested[0] * len(LENGTHS) + sum(end - start >= x for x in LENGTHS) - 1
+                out.append((start, end, stratum, int(-10 * math.log10(max(tested[2], 1e-300)))))
     return out
 
 
