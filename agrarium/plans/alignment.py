@@ -38,6 +38,14 @@ def join_chain_outer(spark: SparkSession, d: str) -> DataFrame:
     return joins.chain(left, [(right, ["k"], "full_outer", "_c")]).select("k", "s_name", "c_name")
 
 
+@query("SELECT k, s.s_name, c.c_name FROM (SELECT s_suppkey AS k, s_name FROM supplier) s FULL JOIN (SELECT c_custkey * 2 AS k, c_name FROM customer) c USING (k)")
+def join_chain_outer_whole(spark: SparkSession, d: str) -> DataFrame:
+    """join_chain_outer with all customers."""
+    left = table(spark, d, "supplier").select(F.col("s_suppkey").alias("k"), "s_name")
+    right = table(spark, d, "customer").select((F.col("c_custkey") * 2).alias("k"), "c_name")
+    return joins.chain(left, [(right, ["k"], "full_outer", "_c")]).select("k", "s_name", "c_name")
+
+
 @query("SELECT c_custkey FROM customer ANTI JOIN orders ON c_custkey = o_custkey")
 def orphans_left(spark: SparkSession, d: str) -> DataFrame:
     return joins.orphans(table(spark, d, "customer"), table(spark, d, "orders"), "c_custkey", "o_custkey").select("c_custkey")
