@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import re
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def chain(base: DataFrame, steps: list[tuple[DataFrame, list[str], str, str]]) -> DataFrame:
@@ -54,23 +56,48 @@ def nearest_date(left: DataFrame, right: DataFrame, key: str, left_date: str, ri
     return found.select("_row.*", *(F.col(f"_best.{c}").alias(c) for c in carry))
 
 
-def staged_name_match(probes: DataFrame, table: DataFrame, probe: str, name: str, position: str) -> DataFrame:
+def staged_name_match(probes: DataFrame, table: DataFrame, probe: str, name: str, position: str, raw: str | None = None) -> DataFrame:
     """(probe columns, matched name, stage): the first row of the first stage that matches.
 
     Stages: 1 the name; 2 one part of it between / or |; 3 a substring in either
-    case. Stages 1 and 2 are equi-joins on the parts. Probes they leave unmatched
-    meet the names that hold their first three letters, by an equi-join as well.
+    case; 4 the probe as a regular expression in either case, on the column
+    ``raw`` (the name if none is given). Stages 1 and 2 are equi-joins on the
+    parts. Probes they leave unmatched meet the names that hold their first three
+    letters, by an equi-join as well. Only what is left then meets all rows, as
+    an expression can match anywhere; one that isn't valid matches nothing.
     """
-    parts = table.select(position, name, F.explode(F.array_distinct(F.concat(F.array(F.trim(name)), F.transform(F.split(name, r"[/|]"), lambda p: F.trim(p))))).alias("_part"))
-    found = probes.join(parts, F.col(probe) == F.col("_part")).select(*probes.columns, F.struct(F.when(F.trim(name) == F.col(probe), 1).otherwise(2).alias("stage"), F.col(position).alias("pos"), F.col(name).alias("name")).alias("_m"))
+    return _staged(probes, table, probe, name, position, raw, []).select(*probes.columns, F.col("_m.name").alias("matched"), F.col("_m.stage").alias("stage"))
+
+
+def _found(pattern: str, text: str) -> bool:
+    try:
+        return re.search(pattern, text, re.IGNORECASE) is not None
+    except re.error:
+        return False
+
+
+def _staged(probes: DataFrame, table: DataFrame, probe: str, name: str, position: str, raw: str | None, within: list[str]) -> DataFrame:
+    """The columns of ``probes`` and _m, a struct of stage, pos and name, among rows that are equal in ``within``."""
+    table = table.withColumnsRenamed({c: f"_w_{c}" for c in within})
+    alike = lambda on: reduce(Column.__and__, (F.col(c).eqNullSafe(F.col(f"_w_{c}")) for c in within), on)
+    match = lambda stage: F.struct(stage.alias("stage"), F.col(position).alias("pos"), F.col(name).alias("name")).alias("_m")
+    parts = table.withColumn("_part", F.explode(F.array_distinct(F.concat(F.array(F.trim(name)), F.transform(F.split(name, r"[/|]"), lambda p: F.trim(p))))))
+    found = probes.join(parts, alike(F.col(probe) == F.col("_part"))).select(*probes.columns, match(F.when(F.trim(name) == F.col(probe), 1).otherwise(2)))
     first = found.groupBy(*probes.columns).agg(F.min("_m").alias("_m"))
-    rest = probes.join(first.select(probe), probe, "left_anti")
+    without = lambda rest, known: rest.join(known.select(F.col(probe).alias("_p"), *(F.col(c).alias(f"_w_{c}") for c in within)), alike(F.col(probe) == F.col("_p")), "left_anti")
+    rest = without(probes, first)
     low = F.lower(F.col(name))
     grams = F.flatten(F.transform(F.sequence(F.lit(1), F.greatest(F.length(low), F.lit(1))), lambda i: F.array(*(F.substring(low, i, F.lit(n)) for n in (1, 2, 3)))))
-    held = table.withColumn("_g", F.explode(F.array_distinct(grams)))
+    held = table.withColumn("_h", F.explode(F.array_distinct(grams)))
     asked = rest.withColumn("_g", F.substring(F.lower(probe), 1, 3))
-    late = asked.join(held, "_g").where(low.contains(F.lower(F.col(probe)))).select(*probes.columns, F.struct(F.lit(3).alias("stage"), F.col(position).alias("pos"), F.col(name).alias("name")).alias("_m"))
-    return first.unionByName(late.groupBy(*probes.columns).agg(F.min("_m").alias("_m"))).select(*probes.columns, F.col("_m.name").alias("matched"), F.col("_m.stage").alias("stage"))
+    late = asked.join(held, alike(F.col("_g") == F.col("_h"))).where(low.contains(F.lower(F.col(probe)))).select(*probes.columns, match(F.lit(3))).groupBy(*probes.columns).agg(F.min("_m").alias("_m"))
+    last = without(rest, late)
+    if raw is None:
+        # On the name itself, a probe without signs is a substring or nothing.
+        last = last.where(F.col(probe).rlike(r"[\\^$.|?*+()\[\]{}]"))
+    signs = last.join(table, alike(F.col(probe).isNotNull() & F.col(raw or name).isNotNull())).where((F.col(probe) != "") & F.udf(_found, T.BooleanType())(F.col(probe), F.col(raw or name)))
+    signs = signs.select(*probes.columns, match(F.lit(4))).groupBy(*probes.columns).agg(F.min("_m").alias("_m"))
+    return first.unionByName(late).unionByName(signs)
 
 
 def outer_pairs(left: DataFrame, right: DataFrame, keys: list[str], order: str, values: list[str]) -> DataFrame:

@@ -153,3 +153,15 @@ def build_observations(spark: SparkSession, d: str) -> DataFrame:
     rows = cells.join(found, ["c_custkey", "year", "season"], "left").na.fill(0, ["n_images"]).join(table(spark, d, "nation"), F.col("c_nationkey") == F.col("n_nationkey"), "left")
     issues = F.array_compact(F.array(F.when(F.col("n_images") == 0, "error"), F.when(F.col("n_images") == 1, "warning"), F.when(F.abs("lat") > 60, "info")))
     return rows.select("c_custkey", "year", "season", "n_name", "n_images", "total", "first_day", filters.quality_score(issues).alias("quality"), (F.col("n_images") > 0).alias("accepted"))
+
+
+@query(f"WITH o AS (SELECT o_custkey, CASE WHEN month(o_orderdate) BETWEEN 6 AND 10 THEN 'Kharif' WHEN month(o_orderdate) BETWEEN 4 AND 5 THEN 'Summer' ELSE 'Rabi' END AS season, CAST(year(o_orderdate) - CASE WHEN month(o_orderdate) <= 3 THEN 1 ELSE 0 END AS INT) AS year, count(*) AS n_images, round(sum(o_totalprice), 2) AS total, min(CAST(o_orderdate AS DATE)) AS first_day FROM orders GROUP BY ALL), cell AS (SELECT c_custkey, {place_sql('c_custkey')}, year, season FROM customer, (SELECT DISTINCT year FROM o), (SELECT DISTINCT season FROM o)), r AS (SELECT c_custkey, cell.year, cell.season, coalesce(n_images, 0) AS n_images, total, first_day, lon, lat, n_name FROM cell LEFT JOIN o ON c_custkey = o_custkey AND cell.year = o.year AND cell.season = o.season JOIN customer c USING (c_custkey) LEFT JOIN nation ON c.c_nationkey = n_nationkey) SELECT c_custkey, year, season, n_name, n_images, total, first_day, 100 - CASE WHEN n_images = 0 THEN 25 ELSE 0 END - CASE WHEN n_images = 1 THEN 10 ELSE 0 END - CASE WHEN abs(lat) > 60 THEN 2 ELSE 0 END AS quality, n_images > 0 AS accepted FROM r")
+def build_observations_whole(spark: SparkSession, d: str) -> DataFrame:
+    """build_observations with the plan's years and seasons taken from the orders."""
+    places = table(spark, d, "customer").select("c_custkey", "c_nationkey", *(v.alias(k) for k, v in place("c_custkey").items()))
+    dated = table(spark, d, "orders").select(F.col("o_custkey").alias("c_custkey"), seasons.season_of(F.to_date("o_orderdate")).alias("s"), "o_totalprice", F.to_date("o_orderdate").alias("day"))
+    found = dated.groupBy("c_custkey", F.col("s.season").alias("season"), F.col("s.year").alias("year")).agg(F.count("*").alias("n_images"), F.round(F.sum("o_totalprice"), 2).alias("total"), F.min("day").alias("first_day"))
+    cells = places.crossJoin(F.broadcast(found.select("year").distinct())).crossJoin(F.broadcast(found.select("season").distinct()))
+    rows = cells.join(found, ["c_custkey", "year", "season"], "left").na.fill(0, ["n_images"]).join(table(spark, d, "nation"), F.col("c_nationkey") == F.col("n_nationkey"), "left")
+    issues = F.array_compact(F.array(F.when(F.col("n_images") == 0, "error"), F.when(F.col("n_images") == 1, "warning"), F.when(F.abs("lat") > 60, "info")))
+    return rows.select("c_custkey", "year", "season", "n_name", "n_images", "total", "first_day", filters.quality_score(issues).alias("quality"), (F.col("n_images") > 0).alias("accepted"))
