@@ -26,6 +26,17 @@ def global_rank(df: DataFrame, order: list[Column], bucket: Column) -> DataFrame
     return own.withColumn("_i", inside).join(before, "_b").withColumn("_rank", F.col("_before") + F.col("_i")).drop("_b", "_i", "_before")
 
 
+def class_rank(df: DataFrame, label: str, order: list[Column], bucket: Column) -> DataFrame:
+    """``df`` with ``_rank`` from 1 within each label, in an order whose leading part is ``bucket``, and ``_n``, the label's rows; a label's rows are never sorted in one task."""
+    own = df.withColumn("_b", bucket)
+    by = Window.partitionBy("_l").orderBy("_a").rowsBetween(Window.unboundedPreceding, -1)
+    counts = own.groupBy(F.col(label).alias("_l"), F.col("_b").alias("_a")).agg(F.count("*").alias("_c"))
+    before = counts.select("_l", "_a", F.coalesce(F.sum("_c").over(by), F.lit(0)).alias("_before"), F.sum("_c").over(Window.partitionBy("_l")).alias("_n"))
+    inside = F.row_number().over(Window.partitionBy(label, "_b").orderBy(*order))
+    ranked = own.withColumn("_i", inside).join(before, F.col(label).eqNullSafe(F.col("_l")) & F.col("_b").eqNullSafe(F.col("_a")))
+    return ranked.withColumn("_rank", F.col("_before") + F.col("_i")).drop("_a", "_b", "_i", "_l", "_before")
+
+
 def random_split(df: DataFrame, key: str, test: float, validation: float, seed: int = 42) -> DataFrame:
     """``split`` with exact sizes: round(n * share) rows to test, then to validation."""
     own = mark(F.col(key), seed)
@@ -41,8 +52,8 @@ def _parts(rank: Column, n: Column, test: float, validation: float) -> Column:
 
 def stratified_split(df: DataFrame, key: str, label: str, test: float, validation: float, seed: int = 42) -> DataFrame:
     """The same within each class."""
-    by = Window.partitionBy(label)
-    ranked = df.withColumn("_rank", F.row_number().over(by.orderBy(mark(F.col(key), seed), key))).withColumn("_n", F.count("*").over(by))
+    own = mark(F.col(key), seed)
+    ranked = class_rank(df, label, [own, F.col(key)], F.floor(own / 2**20))
     return ranked.withColumn("split", _parts(F.col("_rank"), F.col("_n"), test, validation)).drop("_rank", "_n")
 
 
@@ -65,7 +76,7 @@ def folds(df: DataFrame, key: str, k: int, seed: int = 42, within: str | None =
     """``fold`` from 0 to k - 1, dealt in turn in the order of the marks, within classes if asked."""
     own = mark(F.col(key), seed)
     if within:
-        ranked = df.withColumn("_rank", F.row_number().over(Window.partitionBy(within).orderBy(own, key)))
+        ranked = class_rank(df, within, [own, F.col(key)], F.floor(own / 2**20)).drop("_n")
     else:
         ranked = global_rank(df, [own, F.col(key)], F.floor(own / 2**20))
     return ranked.withColumn("fold", F.pmod(F.col("_rank") - 1, F.lit(k)).cast("int")).drop("_rank")
