@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+#: Ranges of scores that are summed by themselves.
+RANGES = 128
+
 
 def ratio(a: Column, b: Column) -> Column:
     """a / b, 0 where b is 0."""
@@ -51,10 +54,18 @@ def calibration_error(bins: DataFrame) -> DataFrame:
 
 
 def roc_auc(df: DataFrame, score: str, truth: str) -> DataFrame:
-    """(auc, positives, negatives): equal scores count half; 0 with one class only. Counts per score are summed, rows aren't sorted."""
+    """(auc, positives, negatives): equal scores count half; 0 with one class only.
+
+    Counts per score are summed over ranges of scores, whose edges are quantiles
+    of the distinct scores, with the sums of the ranges before added.
+    """
     steps = df.groupBy(F.col(score).alias("s")).agg(F.count_if(F.col(truth) == 1).alias("p"), F.count_if(F.col(truth) != 1).alias("n"))
-    below = F.coalesce(F.sum("n").over(Window.orderBy("s").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    whole = steps.withColumn("_b", below).agg(F.sum(F.col("p") * (F.col("_b") + F.col("n") / 2)).alias("u"), F.sum("p").alias("positives"), F.sum("n").alias("negatives"))
+    edges = steps.agg(F.percentile_approx("s", [i / RANGES for i in range(1, RANGES)]).alias("e")).first()["e"] or []
+    part = steps.withColumn("_p", F.size(F.filter(F.array(*map(F.lit, sorted(set(edges)))), lambda e: e <= F.col("s"))) if edges else F.lit(0))
+    before = Window.rowsBetween(Window.unboundedPreceding, -1)
+    sums = part.groupBy("_p").agg(F.sum("n").alias("_n")).select("_p", F.coalesce(F.sum("_n").over(before.orderBy("_p")), F.lit(0)).alias("_before"))
+    inside = F.coalesce(F.sum("n").over(before.partitionBy("_p").orderBy("s")), F.lit(0))
+    whole = part.withColumn("_i", inside).join(sums, "_p").withColumn("_b", F.col("_before") + F.col("_i")).agg(F.sum(F.col("p") * (F.col("_b") + F.col("n") / 2)).alias("u"), F.sum("p").alias("positives"), F.sum("n").alias("negatives"))
     return whole.select(ratio(F.col("u"), F.col("positives") * F.col("negatives")).alias("auc"), "positives", "negatives")
 
 
