@@ -140,7 +140,7 @@ class Items:
         return [(self.ids[k], *x) for k, x in sorted(found.items())]
 
 
-def leaks(docs: DataFrame, benchmark: DataFrame, size: int = 5, similarity: float = 0.8, radius: int = 20, block_chars: int = 20_000_000) -> DataFrame:
+def leaks(docs: DataFrame, benchmark: DataFrame, size: int = 5, similarity: float = 0.8, radius: int = 23, block_chars: int = 20_000_000) -> DataFrame:
     """A row for each row of ``docs`` (doc_id, text) and each item of ``benchmark`` (item_id, text) found in it.
 
     Words are ``\\w+`` of the lower-cased text, shingles have ``size`` words
