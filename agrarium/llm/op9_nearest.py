@@ -134,12 +134,13 @@ def with_state(graph: DataFrame, k: int) -> DataFrame:
     return flat_map(graph.select("node", "code", "near", "score"), make, "a long, code binary, least float, seen binary")
 
 
-def neighbour_graph(codes: DataFrame, k: int = 30, rounds: int = 6, pool: int = 15, most: int = 6, bucket: int = 64) -> DataFrame:
+def neighbour_graph(codes: DataFrame, k: int = 30, share: float = 0.001, pool: int = 15, most: int = 6, bucket: int = 64) -> DataFrame:
     """(node, near, score) by NN-descent over (node, code).
 
     It starts from the best of some random buckets of about ``bucket`` nodes. A round's pool is
     a node, its ``pool`` best neighbours and ``pool`` random nodes that have it
-    as neighbour.
+    as neighbour. Rounds end once no more than ``share`` of the links are new;
+    links only get better, so they do end.
     """
     n = codes.count()
     buckets = max(1, n // bucket)
@@ -150,7 +151,8 @@ def neighbour_graph(codes: DataFrame, k: int = 30, rounds: int = 6, pool: int =
     graph = saved(best_of(offers(start, -(-k // deals)), k))
     if buckets == 1:
         return graph
-    for turn in range(rounds):
+    turn = 0
+    while True:
         state = with_state(codes.join(graph, "node", "left"), k)
         links = graph.select("node", F.explode("near").alias("b"))
         ahead = graph.select(F.col("node").alias("u"), F.explode(F.slice("near", 1, pool)).alias("a"))
@@ -159,8 +161,12 @@ def neighbour_graph(codes: DataFrame, k: int = 30, rounds: int = 6, pool: int =
         own = graph.select(F.col("node").alias("u"), F.col("node").alias("a"))
         pools = ahead.unionByName(back).unionByName(own).join(state, "a")
         old = graph.select(F.col("node").alias("a"), F.explode(F.arrays_zip(F.col("near").alias("b"), F.col("score").alias("s"))).alias("x")).select("a", "x.b", "x.s")
-        graph = saved(best_of(old.unionByName(offers(pools, most)), k))
-    return graph
+        before, graph = graph, saved(best_of(old.unionByName(offers(pools, most)), k))
+        new = F.size(F.array_except("near", F.coalesce("_near", F.array().cast("array<long>"))))
+        changed = graph.join(before.select("node", F.col("near").alias("_near")), "node", "left").agg(F.sum(new).alias("new"), F.sum(F.size("near")).alias("all")).first()
+        if changed["new"] <= share * changed["all"]:
+            return graph
+        turn += 1
 
 
 BEAM = "q long, code binary, ids array<long>, scores array<float>, open array<boolean>"
