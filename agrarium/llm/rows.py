@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterable, Iterator
+from collections.abc import Callable, Hashable, Iterable, Iterator
+from itertools import islice
 from typing import Any
 
 import pyarrow as pa
@@ -36,6 +37,25 @@ def flat_map(df: DataFrame, make: Callable[[], Callable[..., Iterable[tuple]]],
     return df.mapInArrow(run, schema)
 
 
+class Memo(dict):
+    """``of(key)`` by key, remembered for up to ``most`` keys; the older half goes when they are full."""
+
+    def __init__(self, of: Callable[[Any], Any], most: int) -> None:
+        super().__init__()
+        self.of, self.most = of, most
+
+    def __missing__(self, key: Hashable) -> Any:
+        found = self.of(key)
+        self.trim()
+        self[key] = found
+        return found
+
+    def trim(self) -> None:
+        if len(self) >= self.most:
+            for key in list(islice(self, (self.most + 1) // 2)):
+                del self[key]
+
+
 def table_of(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
     columns = list(zip(*rows, strict=True)) if rows else [[] for _ in schema]
     return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, schema, strict=True)], schema=schema)
