@@ -24,10 +24,10 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from agrarium.llm.rows import flat_map
+from agrarium.llm.rows import KEY, flat_map, keyed, with_row_key
 
 WORD = re.compile(r"\w+")
-SCHEMA = "row_key long, doc_id long, item_id long, similarity double, start_word long, n_windows long"
+SCHEMA = "row_key long, row_key2 long, doc_id long, item_id long, similarity double, start_word long, n_windows long"
 BYTES = 8
 
 
@@ -150,7 +150,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame, size: int = 5, similarity: floa
     ignored. ``row_key`` tells rows of ``docs`` apart.
     """
     spark = docs.sparkSession
-    keyed = docs.select(F.xxhash64("doc_id", "text").alias("row_key"), "doc_id", "text")
+    rows = with_row_key(docs)
     items = benchmark.select("item_id", "text").where(F.col("text").isNotNull())
     chars = items.agg(F.sum(F.length("text"))).first()[0] or 0
     blocks = max(1, math.ceil(chars / block_chars))
@@ -161,13 +161,14 @@ def leaks(docs: DataFrame, benchmark: DataFrame, size: int = 5, similarity: floa
 
         def make(shared=shared) -> Callable:  # noqa: ANN001
             index = Items(shared.value, size, similarity, radius)
-            return lambda row_key, doc_id, text: [(row_key, doc_id, *x) for x in index.find(text)]
+            return lambda row_key, row_key2, doc_id, text: [(row_key, row_key2, doc_id, *x) for x in index.find(text)]
 
-        found.append(flat_map(keyed, make, SCHEMA))
+        found.append(flat_map(rows, make, SCHEMA))
     return reduce(DataFrame.unionByName, found)
 
 
 def decontaminated(docs: DataFrame, benchmark: DataFrame, **options: float) -> DataFrame:
     """``docs`` without the rows that hold a benchmark item; all columns stay."""
-    bad = leaks(docs, benchmark, **options).select(F.col("row_key").alias("_row_key")).distinct()
-    return docs.withColumn("_row_key", F.xxhash64("doc_id", "text")).join(bad, "_row_key", "left_anti").select(*docs.columns)
+    rows, names = keyed(docs)
+    bad = leaks(docs, benchmark, **options).select(*KEY).distinct().toDF(*names)
+    return rows.join(bad, names, "left_anti").select(*docs.columns)

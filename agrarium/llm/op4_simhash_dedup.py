@@ -22,7 +22,7 @@ from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
 from agrarium.llm.components import components
-from agrarium.llm.rows import arrays_of, flat_map, saved
+from agrarium.llm.rows import KEY, arrays_of, flat_map, keyed, saved
 
 BITS = 64
 SMALL = 64  # node pairs with as many candidate pairs at most are compared directly
@@ -209,7 +209,8 @@ def near_duplicates(docs: DataFrame, shingle: int = 4, radius: int = 4, most: in
     Fingerprints within ``radius`` bits link; component_id is the least doc_id
     reachable. Null, empty and blank texts have fingerprint 0, which links like
     any other; a component with null ids only has a null component_id; repeated
-    rows are kept; other columns are ignored.
+    rows are kept; other columns are ignored; an empty table gives no rows.
+    Very long texts are hashed whole.
     """
     marked = saved(fingerprints(docs, shingle))
     rooted = saved(classes(marked.groupBy("fp").agg(F.min("doc_id").alias("least")), radius, most))
@@ -227,13 +228,13 @@ def classes(distinct: DataFrame, radius: int, most: int) -> DataFrame:
 
 def representatives(docs: DataFrame, shingle: int = 4, radius: int = 4, most: int = 20_000) -> DataFrame:
     """One row of ``docs`` for each component, with all its columns: that of the least doc_id, null ids last."""
-    keyed = docs.withColumn("_row_key", F.xxhash64("doc_id", "text"))
+    rows, names = keyed(docs)
 
     def make() -> Callable:
-        return lambda key, doc_id, text: [(key, doc_id, fingerprint(text, shingle))]
+        return lambda key, key2, doc_id, text: [(key, key2, doc_id, fingerprint(text, shingle))]
 
-    marked = saved(flat_map(keyed.select("_row_key", "doc_id", "text"), make, "row_key long, doc_id long, fp long"))
-    first = F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "row_key")).alias("first")
+    marked = saved(flat_map(rows.select(*names, "doc_id", "text"), make, "row_key long, row_key2 long, doc_id long, fp long"))
+    first = F.min(F.struct(F.col("doc_id").isNull(), "doc_id", *KEY)).alias("first")
     rooted = classes(marked.groupBy("fp").agg(first), radius, most)
-    kept = rooted.groupBy("root").agg(F.min("first").alias("first")).select(F.col("first.row_key").alias("_row_key"))
-    return keyed.join(kept, "_row_key", "left_semi").dropDuplicates(["_row_key"]).select(*docs.columns)
+    kept = rooted.groupBy("root").agg(F.min("first").alias("first")).select(*(F.col(f"first.{k}").alias(n) for k, n in zip(KEY, names, strict=True)))
+    return rows.join(kept, names, "left_semi").dropDuplicates(names).select(*docs.columns)

@@ -23,11 +23,11 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from agrarium.llm.rows import flat_map, packed, saved, table_of, unpacker, with_row_key
+from agrarium.llm.rows import KEY, flat_map, keyed, packed, saved, table_of, unpacker, unused, with_row_key
 
 STRIPPED = b"\x20\x09\x0a\x0b\x0c\x0d"
-LINES = "h1 long, h2 long, doc_id long, row_key long, n_lines int, at array<int>"
-SETTLED = "kind int, h1 long, h2 long, doc_id long, row_key long, n_lines int, at array<int>, docs long"
+LINES = "h1 long, h2 long, doc_id long, row_key long, row_key2 long, n_lines int, at array<int>"
+SETTLED = "kind int, h1 long, h2 long, doc_id long, row_key long, row_key2 long, n_lines int, at array<int>, docs long"
 DROP, OPEN, EDGE = 0, 1, 2
 
 
@@ -50,13 +50,13 @@ def line_hashes(docs: DataFrame, least: int) -> DataFrame:
     def make() -> Callable:
         from xxhash import xxh3_128_digest
 
-        def each(row_key: int, doc_id: int | None, text: str | None) -> list[tuple]:
+        def each(row_key: int, row_key2: int, doc_id: int | None, text: str | None) -> list[tuple]:
             n, found = long_lines(text, least)
-            return [(int.from_bytes(h[:8], "big", signed=True), int.from_bytes(h[8:], "big", signed=True), doc_id, row_key, n, at) for key, at in found.items() for h in (xxh3_128_digest(key),)]
+            return [(int.from_bytes(h[:8], "big", signed=True), int.from_bytes(h[8:], "big", signed=True), doc_id, row_key, row_key2, n, at) for key, at in found.items() for h in (xxh3_128_digest(key),)]
 
         return each
 
-    return flat_map(docs.select("row_key", "doc_id", "text"), make, LINES)
+    return flat_map(docs.select(*KEY, "doc_id", "text"), make, LINES)
 
 
 class Stream:
@@ -87,16 +87,16 @@ class Stream:
         out = []
         if self.key is not None and (last or self.runs == 1):
             out = [(OPEN, *x, None) for x in self.held] if last else []
-            out.append((EDGE, *self.key, self.largest, None, None, None, self.seen))
+            out.append((EDGE, *self.key, self.largest, None, None, None, None, self.seen))
         self.held = []
         return out
 
 
 def dropped_lines(docs: DataFrame, least: int = 40, documents: int = 5) -> DataFrame:
-    """(row_key, n_lines, at) of lines to drop: those found in at least ``documents`` documents, save in the largest doc_id."""
+    """(row_key, row_key2, n_lines, at) of lines to drop: those found in at least ``documents`` documents, save in the largest doc_id."""
     hashes = saved(line_hashes(docs, least))
     order = [F.col("h1"), F.col("h2"), F.col("doc_id").desc_nulls_last()]
-    dealt = hashes.repartitionByRange(*order).sortWithinPartitions(*order, "row_key")
+    dealt = hashes.repartitionByRange(*order).sortWithinPartitions(*order, *KEY)
     arrow = to_arrow_schema(T._parse_datatype_string(SETTLED))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -114,23 +114,23 @@ def dropped_lines(docs: DataFrame, least: int = 40, documents: int = 5) -> DataF
     edges = settled.where(F.col("kind") == EDGE).groupBy("h1", "h2").agg(F.sum("docs").alias("docs"), F.max("doc_id").alias("largest")).where(F.col("docs") >= documents).drop("docs")
     # At most two edges a partition.
     late = settled.where(F.col("kind") == OPEN).join(F.broadcast(edges), ["h1", "h2"]).where(~F.col("doc_id").eqNullSafe(F.col("largest")))
-    return settled.where(F.col("kind") == DROP).select("row_key", "n_lines", "at").unionByName(late.select("row_key", "n_lines", "at"))
+    return settled.where(F.col("kind") == DROP).select(*KEY, "n_lines", "at").unionByName(late.select(*KEY, "n_lines", "at"))
 
 
 def keep_bitmaps(docs: DataFrame, least: int = 40, documents: int = 5) -> DataFrame:
-    """(row_key, keep): a compressed bitmap over its lines for each document that loses any."""
+    """(row_key, row_key2, keep): a compressed bitmap over its lines for each document that loses any."""
 
     def make() -> Callable:
-        def each(row_key: int, n: int, at: list[list[int]]) -> list[tuple]:
+        def each(row_key: int, row_key2: int, n: int, at: list[list[int]]) -> list[tuple]:
             keep = np.ones(n, bool)
             for x in at:
                 keep[x] = False
-            return [(row_key, zlib.compress(np.packbits(keep).tobytes()))]
+            return [(row_key, row_key2, zlib.compress(np.packbits(keep).tobytes()))]
 
         return each
 
-    dropped = dropped_lines(docs, least, documents).groupBy("row_key").agg(F.first("n_lines").alias("n_lines"), F.collect_list("at").alias("at"))
-    return flat_map(dropped, make, "row_key long, keep binary", batch=5_000)
+    dropped = dropped_lines(docs, least, documents).groupBy(*KEY).agg(F.first("n_lines").alias("n_lines"), F.collect_list("at").alias("at"))
+    return flat_map(dropped, make, "row_key long, row_key2 long, keep binary", batch=5_000)
 
 
 def kept_lines(text: str | None, keep: bytes | None) -> tuple[int, int, str]:
@@ -147,7 +147,8 @@ def digests(docs: DataFrame, least: int = 40, documents: int = 5) -> DataFrame:
 
     Null or empty text is one empty line. Null ids count as one document below
     all others. Repeated rows count as one document and keep or lose the same
-    lines. Other columns are ignored; an empty table gives no rows.
+    lines. Other columns are ignored; an empty table gives no rows. Very long
+    texts and lines are taken whole.
     """
 
     def make() -> Callable:
@@ -159,8 +160,8 @@ def digests(docs: DataFrame, least: int = 40, documents: int = 5) -> DataFrame:
 
         return each
 
-    keyed = with_row_key(docs)
-    found = packed(keyed).join(keep_bitmaps(keyed, least, documents), "row_key", "left")
+    rows = with_row_key(docs)
+    found = packed(rows).join(keep_bitmaps(rows, least, documents), KEY, "left")
     return flat_map(found.select("doc_id", "packed", "keep"), make, "doc_id long, n_lines long, n_dropped long, kept_sha256 string", batch=5_000)
 
 
@@ -170,7 +171,8 @@ def deduplicated(docs: DataFrame, least: int = 40, documents: int = 5) -> DataFr
     def kept(text: pd.Series, keep: pd.Series) -> pd.Series:
         return pd.Series([t if k is None else kept_lines(t, k)[2] for t, k in zip(text, keep, strict=True)])
 
-    found = keep_bitmaps(with_row_key(docs), least, documents).select(F.col("row_key").alias("_row_key"), F.col("keep").alias("_keep"))
-    keyed = docs.withColumn("_row_key", F.xxhash64("doc_id", "text"))
-    marked = keyed.join(found, "_row_key", "left")
-    return marked.withColumn("text", F.when(F.col("_keep").isNull(), F.col("text")).otherwise(F.pandas_udf(kept, "string")("text", "_keep"))).select(*docs.columns)
+    marked, names = keyed(docs)
+    (keep,) = unused(docs, "keep")
+    found = keep_bitmaps(with_row_key(docs), least, documents).toDF(*names, keep)
+    marked = marked.join(found, names, "left")
+    return marked.withColumn("text", F.when(F.col(keep).isNull(), F.col("text")).otherwise(F.pandas_udf(kept, "string")("text", keep))).select(*docs.columns)

@@ -19,13 +19,17 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from agrarium.llm.repeats import BASES, Rolling, blocks_of, covered, least_places, mix, spans
-from agrarium.llm.rows import flat_map, packed, unpacker, with_row_key
+from agrarium.llm.rows import KEY, flat_map, packed, unpacker, with_row_key
 
 GRAM = 32
 
 
+def byte_table() -> np.ndarray:
+    return mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+
+
 def byte_units() -> Callable[[str | None], np.ndarray]:
-    table = mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+    table = byte_table()
     return lambda text: table[np.frombuffer((text or "").encode(), np.uint8)]
 
 
@@ -68,10 +72,10 @@ def intervals(common: list[int], least: int) -> Iterator[tuple[int, int, int]]:
 def maximal_repeats(window: int) -> Callable[[pa.Table], Iterator[tuple]]:
     def compare(t: pa.Table) -> Iterator[tuple]:
         block = blocks_of(t)
-        start, count, place, times, key = (t.column(c).to_numpy() for c in ("start", "count", "place", "times", "row_key"))
+        start, count, place, times, key, key2 = (t.column(c).to_numpy() for c in ("start", "count", "place", "times", *KEY))
         details = t.column("detail").to_pylist()
         for lo in _slices(block):
-            yield from _compare(window, block[lo], start[lo], count[lo], place[lo], times[lo], key[lo], details[lo])
+            yield from _compare(window, block[lo], start[lo], count[lo], place[lo], times[lo], (key[lo], key2[lo]), details[lo])
 
     return compare
 
@@ -87,7 +91,7 @@ def _slices(block: np.ndarray, rows: int = 20_000) -> Iterator[slice]:
     yield slice(lo, len(block))
 
 
-def _compare(window: int, block: np.ndarray, start: np.ndarray, count: np.ndarray, place: np.ndarray, times: np.ndarray, key: np.ndarray, details: list[bytes]) -> Iterator[tuple]:
+def _compare(window: int, block: np.ndarray, start: np.ndarray, count: np.ndarray, place: np.ndarray, times: np.ndarray, keys: tuple[np.ndarray, np.ndarray], details: list[bytes]) -> Iterator[tuple]:
     m = len(block)
     right, left = np.zeros((m, window), np.uint8), np.zeros((m, window), np.uint8)
     for r, (d, p) in enumerate(zip(details, place.tolist(), strict=True)):
@@ -117,20 +121,34 @@ def _compare(window: int, block: np.ndarray, start: np.ndarray, count: np.ndarra
             best.append((members[ok], low[ok], high[ok]))
     if best:
         r, low, high = (np.concatenate(x) for x in zip(*best, strict=True))
-        yield key[r], start[r] + place[r] - high, start[r] + place[r] - low
+        yield *(k[r] for k in keys), start[r] + place[r] - high, start[r] + place[r] - low
+
+
+def window_hashes(window: int) -> Callable:
+    def make() -> Callable[[bytes], np.ndarray]:
+        table, cache = byte_table(), {}
+
+        def of(raw: bytes) -> np.ndarray:
+            return Rolling(table[np.frombuffer(raw, np.uint8)], BASES[1], cache).grams(window)
+
+        return of
+
+    return make
 
 
-def repeated_bytes(docs: DataFrame, window: int = 200, most: int = 20_000) -> DataFrame:
-    """(row_key, starts, ends): ranges of UTF-8 bytes that repeated windows cover, from ``with_row_key`` rows."""
-    return spans(docs, byte_units, window, GRAM, segment_bytes(window), maximal_repeats(window), most)
+def repeated_bytes(docs: DataFrame, window: int = 200, most: int = 4_096) -> DataFrame:
+    """(row_key, row_key2, starts, ends): ranges of UTF-8 bytes that repeated windows cover, from ``with_row_key`` rows."""
+    return spans(docs, byte_units, window, GRAM, segment_bytes(window), maximal_repeats(window), window_hashes(window), most)
 
 
-def digests(docs: DataFrame, window: int = 200, most: int = 20_000) -> DataFrame:
+def digests(docs: DataFrame, window: int = 200, most: int = 4_096) -> DataFrame:
     """One row per row of ``docs`` (doc_id, text): bytes, bytes removed, removed runs, digest of the rest.
 
     A byte goes if a string of ``window`` bytes covers it that starts anywhere
     else too, in the same or another row; repeated rows repeat each other. Null
-    texts are empty; ids may be null; other columns are ignored.
+    texts are empty; ids may be null; other columns are ignored; an empty table
+    gives no rows. Very long texts are looked through in parts of a million
+    window starts, and nothing is cut.
     """
     keyed = with_row_key(docs)
 
@@ -145,5 +163,5 @@ def digests(docs: DataFrame, window: int = 200, most: int = 20_000) -> DataFrame
 
         return each
 
-    found = packed(keyed).join(repeated_bytes(keyed, window, most), "row_key", "left").select("doc_id", "packed", "starts", "ends")
+    found = packed(keyed).join(repeated_bytes(keyed, window, most), KEY, "left").select("doc_id", "packed", "starts", "ends")
     return flat_map(found, make, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string", batch=5_000)

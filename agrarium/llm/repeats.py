@@ -7,13 +7,15 @@ one anchor form a segment; a document is the sequence of its segments.
 Segments meet by anchor. An anchor that occurs once holds no repeat. A segment
 whose whole context occurs again is repeated throughout. Only segments that
 share an anchor but not their context, where a repeat begins or ends, have to
-be looked into: one occurrence of each context goes to the blocks of its
+be looked into: one occurrence of each context goes to the block of its
 anchor, where a function of the operator compares it with every other context.
-Anchors with too many contexts are dealt to several blocks that meet pairwise.
+Contexts of anchors that have too many for one block are dealt out instead, and
+their windows are counted by hash, combined before the shuffle.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -24,12 +26,12 @@ from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
 from agrarium.llm.op4_simhash_dedup import whole_groups
-from agrarium.llm.rows import arrays_of, flat_map, packed, saved, unpacker
+from agrarium.llm.rows import KEY, arrays_of, flat_map, packed, saved, unpacker
 
 BASES = (0x9E3779B97F4A7C15 | 1, 0xD6E8FEB86659FD93 | 1)
-SEGMENTS = "row_key long, anchor long, context long, start int, count int"
-DETAILS = "anchor long, i int, j int, context long, row_key long, start int, count int, place int, times long, detail binary"
-BUCKETS, CROWDED = 1 << 16, 8
+SEGMENTS = "row_key long, row_key2 long, anchor long, context long, start int, count int"
+DETAILS = "anchor long, deal int, context long, row_key long, row_key2 long, start int, count int, place int, times long, detail binary"
+BUCKET, CROWDED = 1 << 13, 8  # rows of a hash bucket on average, and how many times as many are a crowd
 PART = 1 << 20  # window starts looked at together
 
 
@@ -110,10 +112,10 @@ def segment_rows(docs: DataFrame, units: Callable[[], Callable[[str | None], np.
         of, cache = units(), {}
         for b in batches:
             held, n = [], 0
-            for key, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+            for key, key2, text in zip(*(b.column(i).to_pylist() for i in range(3)), strict=True):
                 found = segments(of(text), window, gram, cache)[:4]
                 if len(found[0]):
-                    held.append((np.full(len(found[0]), key), *found))
+                    held.append((np.full(len(found[0]), key), np.full(len(found[0]), key2), *found))
                     n += len(found[0])
                 if n >= 200_000:
                     yield arrays_of([np.concatenate(x) for x in zip(*held, strict=True)], arrow)
@@ -121,39 +123,43 @@ def segment_rows(docs: DataFrame, units: Callable[[], Callable[[str | None], np.
             if held:
                 yield arrays_of([np.concatenate(x) for x in zip(*held, strict=True)], arrow)
 
-    return docs.select("row_key", "text").mapInArrow(run, SEGMENTS)
+    return docs.select(*KEY, "text").mapInArrow(run, SEGMENTS)
 
 
-def spans(docs: DataFrame, units: Callable, window: int, gram: int, detail: Callable, compare: Callable[[pa.Table], Iterator[tuple]], most: int = 20_000) -> DataFrame:
-    """(row_key, starts, ends): unit ranges that repeated windows cover, for each document that has any.
+def spans(docs: DataFrame, units: Callable, window: int, gram: int, detail: Callable, compare: Callable[[pa.Table], Iterator[tuple]], windows: Callable[[], Callable[[bytes], np.ndarray]], most: int = 4_096) -> DataFrame:
+    """(row_key, row_key2, starts, ends): unit ranges that repeated windows cover, for each document that has any.
 
-    ``detail()`` returns a function from (text, [(start, count, place), ...])
-    to the binary details of those segments. ``compare`` takes rows of DETAILS,
-    whole blocks in order, and yields arrays (row_key, first, last): windows
-    of single contexts that another context of the block holds too. ``most``
-    contexts of an anchor meet in a block at most twice over.
+    ``detail()`` returns a function from (text, [(start, count), ...]) to the
+    places of the anchors and binary details of those segments. ``compare``
+    takes rows of DETAILS, whole blocks in order, and yields arrays (row_key,
+    row_key2, first, last): windows of single contexts that another context of
+    the block holds too. ``windows()`` returns a function from a detail to the
+    hashes of its windows. At most ``most`` contexts of an anchor meet in a
+    block; an anchor with more is settled window by window.
     """
     rows = saved(segment_rows(docs, units, window, gram))
-    again = saved(_repeated_anchors(rows, most))
+    again = saved(_repeated_anchors(rows))
     open_ = again.where("mixed")
-    contexts = saved(open_.groupBy("anchor", "context").agg(F.count("*").alias("times"), F.min(F.struct("row_key", "start", "count")).alias("x")).select("anchor", "context", "times", "x.*"))
+    contexts = saved(open_.groupBy("anchor", "context").agg(F.count("*").alias("times"), F.min(F.struct(*KEY, "start", "count")).alias("x")).select("anchor", "context", "times", "x.*"))
     whole = again.where("NOT mixed").unionByName(open_.join(contexts.where("times > 1").select("anchor", "context"), ["anchor", "context"]))
-    covered = whole.select("row_key", F.col("start").alias("first"), (F.col("start") + F.col("count") - 1).alias("last"))
-    looked = covered.unionByName(_blocks(docs, contexts, detail, compare, most))
-    return looked.groupBy("row_key").agg(F.collect_list("first").alias("starts"), F.collect_list(F.col("last") + window).alias("ends"))
+    covered = whole.select(*KEY, F.col("start").alias("first"), (F.col("start") + F.col("count") - 1).alias("last"))
+    looked = covered.unionByName(_blocks(docs, contexts, detail, compare, windows, most))
+    return looked.groupBy(*KEY).agg(F.collect_list("first").alias("starts"), F.collect_list(F.col("last") + window).alias("ends"))
 
 
-def _repeated_anchors(rows: DataFrame, most: int) -> DataFrame:
+def _repeated_anchors(rows: DataFrame) -> DataFrame:
     """``rows`` whose anchor occurs again, with ``mixed``: not all of its contexts are equal.
 
-    One shuffle brings an anchor's rows together, but for those of crowded
-    hash buckets, fewer than BUCKETS / CROWDED: there, counts are combined
-    before the shuffle and a join, which Spark can split, brings them back.
+    One shuffle brings an anchor's rows together, but for those of hash buckets
+    that hold more than CROWDED times their share of BUCKET rows: there, counts
+    are combined before the shuffle and a join, which Spark can split, brings
+    them back.
     """
-    bucket = F.shiftrightunsigned("anchor", 48).cast("int")
+    bits = max(1, min(48, math.ceil(math.log2(max(2, rows.count() / BUCKET)))))
+    bucket = F.shiftrightunsigned("anchor", 64 - bits)
     loads = rows.groupBy(bucket.alias("bucket")).agg(F.count("*").alias("n"))
-    limit = loads.agg(F.greatest(F.sum("n") / BUCKETS * CROWDED, F.lit(most))).first()[0] or most
-    crowded = F.broadcast(saved(loads.where(F.col("n") > limit).select("bucket")))
+    # At most one bucket in CROWDED; Spark broadcasts the table where it is small.
+    crowded = saved(loads.where(F.col("n") > BUCKET * CROWDED).select("bucket"))
     marked = rows.withColumn("bucket", bucket)
     by = Window.partitionBy("anchor")
     calm = marked.join(crowded, "bucket", "left_anti").drop("bucket")
@@ -163,43 +169,57 @@ def _repeated_anchors(rows: DataFrame, most: int) -> DataFrame:
     return calm.unionByName(rest.join(anchors, "anchor").select(*calm.columns))
 
 
-def _blocks(docs: DataFrame, contexts: DataFrame, detail: Callable, compare: Callable, most: int) -> DataFrame:
-    crowds = contexts.groupBy("anchor").agg(F.ceil(F.count("*") / most).cast("int").alias("chunks"))
-    wanted = contexts.join(saved(crowds), "anchor").groupBy("row_key").agg(F.collect_list(F.struct("anchor", "context", "start", "count", "times", "chunks")).alias("wanted"))
+def _blocks(docs: DataFrame, contexts: DataFrame, detail: Callable, compare: Callable, windows: Callable, most: int) -> DataFrame:
+    """(row_key, row_key2, first, last) of windows that two contexts of an anchor share."""
+    chunks = F.ceil(F.col("n") / most).cast("int")
+    crowds = saved(contexts.groupBy("anchor").agg(F.count("*").alias("n")).where(F.col("n") > most).select("anchor", chunks.alias("chunks")))
+    # Contexts of crowded anchors are dealt out; those of others stay together, as deal 0.
+    deal = F.coalesce(F.pmod("context", "chunks").cast("int") + 1, F.lit(0))
+    wanted = contexts.join(crowds, "anchor", "left").groupBy(*KEY).agg(F.collect_list(F.struct("anchor", deal.alias("deal"), "context", "start", "count", "times")).alias("wanted"))
 
     def make() -> Callable:
         of, unpack = detail(), unpacker()
 
-        def each(key: int, pack: bytes | None, wanted_: list) -> list[tuple]:
-            out, text = [], unpack(pack)
-            for w, (place, d) in zip(wanted_, of(text, [(w["start"], w["count"]) for w in wanted_]), strict=True):
-                own = w["context"] % w["chunks"]
-                for other in range(w["chunks"]):
-                    out.append((w["anchor"], min(own, other), max(own, other), w["context"], key, w["start"], w["count"], place, w["times"], d))
-            return out
+        def each(key: int, key2: int, pack: bytes | None, wanted_: list) -> list[tuple]:
+            found = of(unpack(pack), [(w["start"], w["count"]) for w in wanted_])
+            return [(w["anchor"], w["deal"], w["context"], key, key2, w["start"], w["count"], place, w["times"], d) for w, (place, d) in zip(wanted_, found, strict=True)]
 
         return each
 
-    details = flat_map(packed(docs).join(wanted, "row_key").select("row_key", "packed", "wanted"), make, DETAILS, batch=10_000)
-    order = ["anchor", "i", "j"]
-    schema = "row_key long, first int, last int"
+    details = flat_map(packed(docs).join(wanted, KEY).select(*KEY, "packed", "wanted"), make, DETAILS, batch=10_000)
+    schema = "anchor long, hash long, row_key long, row_key2 long, first int, last int"
     arrow = to_arrow_schema(T._parse_datatype_string(schema))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for t in whole_groups(batches, 3, 20_000):
-            for found in compare(t):
-                yield arrays_of(found, arrow)
-
-    return details.repartition(*order).sortWithinPartitions(*order, "context").mapInArrow(run, schema)
+        hashes = windows()
+        for t in whole_groups(batches, 2, 20_000):
+            dealt = t.column("deal").to_numpy() > 0
+            if not dealt.all():
+                for found in compare(t.filter(pa.array(~dealt))):
+                    none = pa.nulls(len(found[0]), pa.int64())
+                    yield arrays_of([none, none, *found], arrow)
+            crowd = t.filter(pa.array(dealt))
+            for lo in range(0, crowd.num_rows, 1_000):
+                part = crowd.slice(lo, 1_000)
+                count = part.column("count").to_numpy()
+                row = np.repeat(np.arange(len(count)), count)
+                first = part.column("start").to_numpy()[row] + np.arange(len(row)) - np.repeat(np.cumsum(count) - count, count)
+                own = np.concatenate([hashes(d) for d in part.column("detail").to_pylist()]).view(np.int64)
+                yield arrays_of([part.column("anchor").to_numpy()[row], own, *(part.column(k).to_numpy()[row] for k in KEY), first, first], arrow)
+
+    met = details.repartition("anchor", "deal").sortWithinPartitions("anchor", "deal", "context").mapInArrow(run, schema)
+    if crowds.isEmpty():
+        return met.select(*KEY, "first", "last")
+    met = saved(met)
+    single = met.where("hash IS NOT NULL")
+    shared = saved(single.groupBy("anchor", "hash").agg(F.count("*").alias("n")).where("n > 1").select("anchor", "hash"))
+    return met.where("hash IS NULL").unionByName(single.join(shared, ["anchor", "hash"])).select(*KEY, "first", "last")
 
 
 def blocks_of(t: pa.Table) -> np.ndarray:
     """A number for each row's block."""
-    new = np.zeros(t.num_rows, bool)
-    for k in range(3):
-        c = t.column(k).to_numpy()
-        new[1:] |= c[1:] != c[:-1]
-    return np.cumsum(new)
+    anchor = t.column("anchor").to_numpy()
+    return np.cumsum(np.concatenate(([False], anchor[1:] != anchor[:-1])))
 
 
 def covered(n: int, starts: list[int] | None, ends: list[int] | None) -> np.ndarray:

@@ -66,21 +66,46 @@ def arrays_of(columns: Iterable[Any], schema: pa.Schema) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, schema, strict=True)], schema=schema)
 
 
+KEY = ["row_key", "row_key2"]
+
+
+def row_hashes() -> tuple[F.Column, F.Column]:
+    """128 bits of (doc_id, text): equal rows share them, rows with null or repeated ids but other texts don't."""
+    return F.xxhash64("doc_id", "text"), F.xxhash64(F.lit(1), "doc_id", "text")
+
+
 def with_row_key(docs: DataFrame) -> DataFrame:
-    """(row_key, doc_id, text): equal rows share a key, rows with null or repeated ids but other texts don't."""
-    return docs.select(F.xxhash64("doc_id", "text").alias("row_key"), "doc_id", "text")
+    """(row_key, row_key2, doc_id, text)."""
+    return docs.select(*(h.alias(k) for h, k in zip(row_hashes(), KEY, strict=True)), "doc_id", "text")
+
+
+def unused(docs: DataFrame, *names: str) -> list[str]:
+    """``names``, underlined until ``docs`` has no such columns."""
+    taken = {c.lower() for c in docs.columns}
+    out = []
+    for name in names:
+        while name.lower() in taken:
+            name = f"_{name}"
+        out.append(name)
+    return out
+
+
+def keyed(docs: DataFrame) -> tuple[DataFrame, list[str]]:
+    """``docs`` with its row key in two more columns, and their names."""
+    names = unused(docs, *KEY)
+    return docs.withColumns(dict(zip(names, row_hashes(), strict=True))), names
 
 
 def packed(keyed: DataFrame) -> DataFrame:
-    """(row_key, doc_id, packed): texts compressed one by one, for shuffles."""
+    """(row_key, row_key2, doc_id, packed): texts compressed one by one, for shuffles."""
 
     def make() -> Callable:
         import zstandard
 
         compress = zstandard.ZstdCompressor(level=1).compress
-        return lambda key, doc_id, text: [(key, doc_id, None if text is None else compress(text.encode()))]
+        return lambda key, key2, doc_id, text: [(key, key2, doc_id, None if text is None else compress(text.encode()))]
 
-    return flat_map(keyed.select("row_key", "doc_id", "text"), make, "row_key long, doc_id long, packed binary", batch=2_000)
+    return flat_map(keyed.select(*KEY, "doc_id", "text"), make, "row_key long, row_key2 long, doc_id long, packed binary", batch=2_000)
 
 
 def unpacker() -> Callable[[bytes | None], str | None]:
