@@ -1,34 +1,41 @@
 """Language identification by cross-parsing entropy.
 
-For each language a suffix automaton of labelled text gives the longest match
-at any place. A text is parsed into longest matches, phrase after phrase; the
-language that needs the fewest phrases per character wins. Phrases end with
-their word, so that the parses of words can be remembered.
+For each language a suffix automaton of running labelled text gives the longest
+match at any place. A text is parsed, across its words, into longest matches,
+phrase after phrase; a phrase costs the bits that name a place in the labelled
+text, and the language with the least bits per byte wins.
+
+Texts are parsed as UTF-8 bytes of lower-cased letters, one space where there
+are other characters. Many stretches of texts advance byte by byte together,
+in all automata at once.
 """
 
 from __future__ import annotations
 
-from collections import Counter
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterator, Sequence
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import Window
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
-from agrarium.llm.rows import flat_map
+from agrarium.llm.rows import arrays_of
 
-LETTERS = r"[^\W\d_]+"
 UNKNOWN = "und"
 SCHEMA = "doc_id long, lang_pred string, score double"
+STRETCH = 512  # bytes after which a text is parsed anew from the next word on
+AT_ONCE = 1 << 22  # bytes of text that are parsed together
+SPACE = 32
 
 
 class SuffixAutomaton:
-    """All substrings of a text; ``phrases`` counts the longest matches that a word takes."""
+    """All substrings of a sequence; ``phrases`` counts the longest matches that another takes."""
 
-    def __init__(self, text: str) -> None:
-        moves: list[dict[str, int]] = [{}]
+    def __init__(self, text: Sequence) -> None:
+        moves: list[dict] = [{}]
         link, length, last = [-1], [0], 0
         for c in text:
             new = len(moves)
@@ -55,34 +62,148 @@ class SuffixAutomaton:
             last = new
         self.moves = moves
 
-    def phrases(self, word: str) -> int:
+    def phrases(self, text: Sequence) -> int:
+        """A symbol never seen is a phrase of its own."""
         moves = self.moves
         n = state = 0
-        for c in word:
-            after = moves[state].get(c)
+        for c in text:
+            after = moves[state].get(c) if state else None
             if after is None:
                 n += 1
-                # The match ended before c; a character never seen is a phrase of its own.
                 after = moves[0].get(c, 0)
             state = after
-        return n + 1
-
-
-def samples(docs: DataFrame, most_docs: int, most_chars: int) -> dict[str, str]:
-    """Training text by language: the words of at most ``most_docs`` labelled documents, most frequent first, up to ``most_chars`` characters."""
+        return n
+
+
+def letters(text: str | None) -> bytes:
+    """The text as it is parsed: a space, then words of lower-cased letters, each with a space after it; empty if there is no letter."""
+    words = _not_letters().sub(" ", (text or "").lower()).strip(" ")
+    return f" {words} ".encode() if words else b""
+
+
+@lru_cache
+def _not_letters():  # noqa: ANN202
+    import regex
+
+    return regex.compile(r"\P{L}+")
+
+
+def stretches(data: bytes) -> list[bytes]:
+    """``data`` cut at spaces into stretches of up to STRETCH bytes; a longer word is cut where it is."""
+    out, lo = [], 0
+    while len(data) - lo > STRETCH:
+        hi = data.rfind(b" ", lo + 1, lo + STRETCH)
+        hi = lo + STRETCH if hi < 0 else hi
+        out.append(data[lo:hi])
+        lo = hi
+    out.append(data[lo:])
+    return out
+
+
+class Parser:
+    """The automata of all languages as one table over the bytes they use."""
+
+    def __init__(self, texts: tuple[tuple[str, bytes], ...]) -> None:
+        self.names = [name for name, _ in texts]
+        used = sorted(set().union(*(data for _, data in texts)))
+        width = len(used) + 1
+        # Bytes that no language uses share the last column.
+        classes = np.full(256, width - 1, np.uint8)
+        classes[used] = np.arange(len(used))
+        self.classes = classes.tobytes()
+        parts, roots, size = [], [], 0
+        for _, data in texts:
+            moves = SuffixAutomaton(data.translate(self.classes)).moves
+            table = np.zeros((len(moves), width), np.int64)
+            at = np.repeat(np.arange(len(moves)), [len(m) for m in moves])
+            table[at, [c for m in moves for c in m]] = [x for m in moves for x in m.values()]
+            # Where no move is, and at the root, a phrase begins: the root's move, or the root, marked by its complement.
+            begin = ~((table[0] + size) * width)
+            moved = np.where(table > 0, (table + size) * width, begin)
+            moved[0] = begin
+            parts.append(moved.ravel().astype(np.int32 if (size + len(moves)) * width < 1 << 31 else np.int64))
+            roots.append(size * width)
+            size += len(moves)
+        self.table = np.concatenate(parts)
+        self.roots = np.array(roots, self.table.dtype)
+        #: Bits of a phrase: those that name a place in the labelled text.
+        self.bits = np.log2([len(data) for _, data in texts])
+
+    def phrases(self, texts: list[bytes]) -> np.ndarray:
+        """Phrases of each text (results of ``letters``) in each language."""
+        owners, lanes = [], []
+        for i, data in enumerate(texts):
+            if data:
+                found = stretches(data)
+                lanes += found
+                owners += [i] * len(found)
+        total = np.zeros((len(texts), len(self.names)), np.int64)
+        if not lanes:
+            return total
+        sizes = np.fromiter(map(len, lanes), np.int64, len(lanes))
+        order = np.argsort(-sizes, kind="stable")
+        most = int(sizes[order[0]])
+        columns = np.frombuffer(b"".join(lanes[i].ljust(most) for i in order.tolist()).translate(self.classes), np.uint8).reshape(len(lanes), most).T.copy()
+        live = np.searchsorted(-sizes[order], -np.arange(most), "left")
+        state = np.tile(self.roots, (len(lanes), 1))
+        count = np.zeros(state.shape, np.int32)
+        shift = self.table.dtype.itemsize * 8 - 1
+        for column, n in zip(columns, live.tolist(), strict=True):
+            now = self.table[state[:n] + column[:n, None]]
+            fresh = now >> shift
+            count[:n] -= fresh
+            state[:n] = now ^ fresh
+        np.add.at(total, np.array(owners)[order], count)
+        return total
+
+    def languages(self, texts: list[str | None]) -> list[tuple[str, float]]:
+        """Language and score of each text."""
+        data = [letters(t) for t in texts]
+        if not self.names:
+            return [(UNKNOWN, 0.0)] * len(texts)
+        cost = np.zeros((0, len(self.names)))
+        lo = held = 0
+        for i, x in enumerate(data):
+            held += len(x)
+            if held >= AT_ONCE or i == len(data) - 1:
+                cost = np.concatenate((cost, self.phrases(data[lo : i + 1]) * self.bits))
+                lo, held = i + 1, 0
+        best = cost.argmin(axis=1)
+        if len(self.names) > 1:
+            two = np.partition(cost, 1, axis=1)[:, :2]
+            score = 1 - two[:, 0] / np.maximum(two[:, 1], 1e-300)
+        else:
+            score = np.ones(len(texts))
+        return [(self.names[b], float(s)) if x else (UNKNOWN, 0.0) for x, b, s in zip(data, best.tolist(), score.tolist(), strict=True)]
+
+
+@lru_cache(maxsize=1)
+def parser(texts: tuple[tuple[str, bytes], ...]) -> Parser:
+    """One parser for each Python worker."""
+    return Parser(texts)
+
+
+def samples(docs: DataFrame, most_docs: int, most_chars: int) -> tuple[tuple[str, bytes], ...]:
+    """Labelled text by language, as it is parsed: whole documents in the order of a hash.
+
+    Taken are at most ``most_docs`` rows a language, and none after those that
+    fill ``most_chars`` characters; the first is always taken.
+    """
     labelled = docs.where(learned_from() & F.col("lang").isNotNull() & F.col("text").isNotNull())
     counts = {r["lang"]: r["n"] for r in labelled.groupBy("lang").agg(F.count("*").alias("n")).collect()}
     if not counts:
-        return {}
+        return ()
     # A hash thins each language to about twice the bound, so that the ranking below is small.
     thin = F.create_map(*(F.lit(x) for lang, n in counts.items() for x in (lang, max(1, n // (2 * most_docs)))))
     mark = F.xxhash64("doc_id", F.lit(7))
     few = labelled.where(F.pmod(mark, thin[F.col("lang")]) == 0).withColumn("mark", mark)
-    first = few.withColumn("at", F.row_number().over(Window.partitionBy("lang").orderBy("mark", "doc_id"))).where(F.col("at") <= most_docs)
-    words = first.select("lang", F.explode(F.regexp_extract_all(F.lower("text"), F.lit(r"(\p{L}+)"), 1)).alias("word"))
-    ranked = words.groupBy("lang", "word").agg(F.count("*").alias("n")).withColumn("before", F.sum(F.length("word") + 1).over(Window.partitionBy("lang").orderBy(F.desc("n"), "word").rowsBetween(Window.unboundedPreceding, 0)))
-    kept = ranked.where(F.col("before") <= most_chars).orderBy("lang", F.desc("n"), "word").collect()
-    return {lang: " ".join(["", *(r["word"] for r in kept if r["lang"] == lang), ""]) for lang in sorted(counts)}
+    order = Window.partitionBy("lang").orderBy("mark", "doc_id", "text")
+    before = F.coalesce(F.sum(F.length("text")).over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    taken = few.withColumns({"at": F.row_number().over(order), "before": before}).where((F.col("at") <= most_docs) & (F.col("before") < most_chars))
+    texts: dict[str, list[bytes]] = {}
+    for r in taken.select("lang", "at", "text").orderBy("lang", "at").collect():
+        texts.setdefault(r["lang"], []).append(letters(r["text"]))
+    return tuple((lang, data) for lang in sorted(texts) if (data := b"".join(texts[lang]).replace(b"  ", b" ")))
 
 
 def learned_from() -> F.Column:
@@ -90,68 +211,57 @@ def learned_from() -> F.Column:
     return F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 3 != 1, F.lit(True))
 
 
-def predict(docs: DataFrame, texts: dict[str, str]) -> DataFrame:
-    """(doc_id, lang_pred, score) for each row of ``docs`` (doc_id, text), by training texts of ``samples``.
+def predict(docs: DataFrame, texts: tuple[tuple[str, bytes], ...]) -> DataFrame:
+    """(doc_id, lang_pred, score) for each row of ``docs`` (doc_id, text), by labelled texts of ``samples``.
 
     ``und`` with score 0 where text is null or has no letter, or nothing was
-    learned. The score is how many fewer phrases the winner takes than the
-    next language, as a share of the latter's (1 for a single language). Ties
-    go to the smaller name.
+    learned. The score is by how much the winner's bits fall short of the next
+    language's, as a share of the latter (1 for a single language). Ties go to
+    the smaller name.
     """
-    make = predictor(docs, texts)
-    return flat_map(docs.select("doc_id", "text"), lambda: (lambda of: lambda doc_id, text: [(doc_id, *of(text))])(make()), SCHEMA)
-
-
-def predictor(docs: DataFrame, texts: dict[str, str]) -> Callable[[], Callable[[str | None], tuple[str, float]]]:
-    """Makes, once per task, a function from a text to its language and score."""
     shared = docs.sparkSession.sparkContext.broadcast(texts)
+    arrow = to_arrow_schema(T._parse_datatype_string(SCHEMA))
 
-    def make() -> Callable:
-        import re
-
-        names = sorted(shared.value)
-        automata = [SuffixAutomaton(shared.value[x]) for x in names]
-        find = re.compile(LETTERS).findall
-        memo: dict[str, tuple[int, ...]] = {}
-
-        def parsed(word: str) -> tuple[int, ...]:
-            if len(memo) >= 500_000:
-                memo.clear()
-            found = memo[word] = tuple(a.phrases(f" {word} ") for a in automata)
-            return found
-
-        def of(text: str | None) -> tuple[str, float]:
-            words: Counter = Counter(find((text or "").lower()))
-            if not words or not names:
-                return UNKNOWN, 0.0
-            total = np.array([memo.get(w) or parsed(w) for w in words], np.int64).T @ np.fromiter(words.values(), np.int64, len(words))
-            best = int(total.argmin())
-            rest = np.delete(total, best)
-            return names[best], float(1 - total[best] / rest.min()) if len(rest) else 1.0
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = parser(shared.value)
+        for b in batches:
+            found = own.languages(b.column(1).to_pylist())
+            yield arrays_of([b.column(0).to_pylist(), [x for x, _ in found], [s for _, s in found]], arrow)
 
-        return of
+    return docs.select("doc_id", "text").mapInArrow(run, SCHEMA)
 
-    return make
 
+def accepted(docs: DataFrame, most_docs: int = 40, most_chars: int = 120_000) -> DataFrame:
+    """The rows of ``docs`` (doc_id, text, lang) that are in a language, with all their columns and ``lang`` as predicted.
 
-def accepted(docs: DataFrame, most_docs: int = 400, most_chars: int = 60_000) -> DataFrame:
-    """The rows of ``docs`` that have a language, with all their columns; texts that are null or have no letter go."""
-    make = predictor(docs, samples(docs.select("doc_id", "text", "lang"), most_docs, most_chars))
+    Texts that are null or have no letter go, and no others; where nothing was
+    learned, ``lang`` stays as it is.
+    """
+    texts = samples(docs.select("doc_id", "text", "lang"), most_docs, most_chars)
+    has_letter = F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False))
+    kept = docs.where(has_letter)
+    if not texts:
+        return kept
+    shared = docs.sparkSession.sparkContext.broadcast(texts)
+    text, lang = (next(i for i, c in enumerate(docs.columns) if c.lower() == name) for name in ("text", "lang"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        of = make()
+        own = parser(shared.value)
         for b in batches:
-            yield b.filter(pa.array([of(t)[0] != UNKNOWN for t in b.column(b.schema.get_field_index("text")).to_pylist()], pa.bool_()))
+            found = own.languages(b.column(text).to_pylist())
+            named = [None if x == UNKNOWN else x for x, _ in found]
+            yield b.set_column(lang, b.schema.field(lang), pa.array(named, b.schema.field(lang).type))
 
-    return docs.mapInArrow(run, docs.schema)
+    return kept.mapInArrow(run, docs.schema)
 
 
-def languages(docs: DataFrame, most_docs: int = 400, most_chars: int = 60_000) -> DataFrame:
+def languages(docs: DataFrame, most_docs: int = 40, most_chars: int = 120_000) -> DataFrame:
     """One row per row of ``docs`` (doc_id, text, lang): held_out, lang_pred and score.
 
     Learns from a bounded sample of labelled rows outside the held-out third
     and reads nothing but text to predict. Null ids aren't held out; repeated
-    rows are kept; other columns are ignored.
+    rows are kept; other columns are ignored; an empty table gives no rows.
+    Very long texts are parsed whole, in stretches of STRETCH bytes.
     """
     found = predict(docs, samples(docs.select("doc_id", "text", "lang"), most_docs, most_chars))
     return found.select("doc_id", (~learned_from()).alias("held_out"), "lang_pred", "score")

@@ -56,7 +56,7 @@ def op9_neighbours(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def op10_languages(spark: SparkSession, folder: str) -> DataFrame:
-    return op10_language_id.languages(read(spark, folder), most_docs=400, most_chars=60_000)
+    return op10_language_id.languages(read(spark, folder), most_docs=40, most_chars=120_000)
 
 
 QUERIES["op1_decontaminate"] = op1_leaks
