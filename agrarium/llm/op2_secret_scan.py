@@ -1,21 +1,23 @@
 """Secret scan: pattern spans, and spans that a battery of randomness tests adds.
 
-Candidates are runs of at least 20 characters of [A-Za-z0-9+/_-] with letters
-and digits, and the '=' that pad them; any other '=' ends a run, so that in
-NAME=value both sides are runs. Of a run that no encoding holds, as it mixes
-+ or / with - or _, the longest parts in one alphabet that look random count.
-Each is read in the narrowest of the encodings below, and tested:
+Candidates are runs of at least 20 characters of [A-Za-z0-9+/_-], and the '='
+that pad them; any other '=' ends a run, so that in NAME=value both sides are
+runs. Of a run that no encoding holds, as it mixes + or / with - or _, the
+longest parts in one alphabet that look random count. Each is read in the
+narrowest of the encodings below, and tested:
 
 - chi-squared uniformity over the encoding's alphabet, upper tail;
 - Wald-Wolfowitz runs about the alphabet's middle, two-sided;
-- serial correlation of neighbouring symbols, two-sided;
-- the chi-squared statistic again, as pair coincidences, against writing:
-  text of coincidence rate ``WRITING`` would exceed it with probability 1 - p.
-
-The first three keep strings that look random (least p times three at least
-``alpha``). The last p falls with a string's length as far as its length can
-tell, and is controlled for false discoveries at rate ``q`` (Benjamini and
-Hochberg) over all documents, within strata of encoding and length.
+- serial correlation of neighbouring symbols, two-sided.
+
+Cauchy's combination, which holds for dependent tests, makes one p of the
+three: that of the string if it were random. Strings with less than ``alpha``
+go. Not to be refused as random says little of a short string, so the others
+must also be told from writing: the chi-squared statistic again, as pair
+coincidences, against text of the encoding's coincidence rate. This p falls
+with the length as far as the length can tell, and is controlled for false
+discoveries at rate ``q`` (Benjamini and Hochberg) over all documents, within
+strata of encoding and length.
 """
 
 from __future__ import annotations
@@ -41,9 +43,13 @@ PARTS = (r"[A-Za-z0-9+/]{20,}=*", r"[A-Za-z0-9_-]{20,}=*", r"[A-Za-z0-9]{20,}=*"
 KINDS = ("assign", "access", "hex", "random")
 #: Encodings from narrow to wide: name, alphabet, coincidence rate of writing in it.
 ENCODINGS = (
+    ("digits", "0123456789", 0.125),
     ("hex", "0123456789abcdef", 0.125),
     ("hex_upper", "0123456789ABCDEF", 0.125),
+    ("lower", "abcdefghijklmnopqrstuvwxyz", 0.0655),
+    ("upper", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", 0.0655),
     ("base32", "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567", 0.0655),
+    ("letters", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz", 0.06),
     ("alphanumeric", "0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz", 0.05),
     ("base64", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/", 0.05),
     ("base64url", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789-_", 0.05),
@@ -68,11 +74,17 @@ def two_sided(z: float) -> float:
     return math.erfc(abs(z) / math.sqrt(2))
 
 
+def combined(*ps: float) -> float:
+    """Cauchy's combination of p-values, which may depend on each other; those above 0.99 count as 0.99, so that none hides another."""
+    mean = sum(math.tan((0.5 - min(max(p, 1e-15), 0.99)) * math.pi) for p in ps) / len(ps)
+    return 0.5 - math.atan(mean) / math.pi
+
+
 def battery(string: str) -> tuple[int, float, float] | None:
     """(encoding, p of the string if it were random, p if it were writing), or None if no encoding holds it."""
     body = string.rstrip("=")
     n = len(body)
-    if n < LENGTHS[0] or body.isalpha() or not any(c.isalpha() for c in body):
+    if n < LENGTHS[0]:
         return None
     used = set(body)
     k = next((i for i, (_, alphabet, _) in enumerate(ENCODINGS) if used <= set(alphabet)), None)
@@ -101,7 +113,7 @@ def battery(string: str) -> tuple[int, float, float] | None:
     third = 1.5 * rate * rate
     sd = math.sqrt(2 * n * (n - 1) * (rate - rate**2) + 4 * n * (n - 1) * (n - 2) * (third - rate**2))
     writing = 0.5 * math.erfc((n * (n - 1) * rate - pairs) / sd / math.sqrt(2))
-    return k, min(1.0, 3 * min(uniform, runs, serial)), writing
+    return k, combined(uniform, runs, serial), writing
 
 
 def runs(m: re.Match) -> list[tuple[int, int]]:
@@ -160,7 +172,8 @@ def secrets(docs: DataFrame, q: float = 0.05, alpha: float = 0.01) -> DataFrame:
 
     Spans are kind:start:end in code points, end exclusive, by start and then
     kind. Null text counts as empty; ids and repeated rows are kept; other
-    columns are ignored; an empty table gives no rows.
+    columns are ignored; an empty table gives no rows. Very long texts are
+    scanned whole.
     """
     rows = saved(tested(docs, alpha))
     least = thresholds(rows, q)

@@ -125,7 +125,8 @@ def test_battery():
     rng = random.Random(2)
     passed = [op2_secret_scan.battery("".join(rng.choice("0123456789abcdef") for _ in range(64))) for _ in range(300)]
     assert sum(p[1] < 0.01 for p in passed) < 15
-    assert op2_secret_scan.battery("abcdefghijklmnopqrstuvwxyz") is None
+    # Letters alone are tested too; in order they don't look random.
+    assert op2_secret_scan.battery("abcdefghijklmnopqrstuvwxyz")[1] < 0.001
 
 
 def test_byte_bpe(spark, docs):
