@@ -15,6 +15,7 @@ from __future__ import annotations
 
 import math
 import re
+import uuid
 from collections import Counter
 from collections.abc import Callable
 from functools import reduce
@@ -76,12 +77,34 @@ class HammingIndex:
         return found[np.bitwise_count(self.fps[found] ^ fp) <= self.radius]
 
 
+class _ShortItems:
+    """Items of fewer words than a shingle: all their words, as they stand."""
+
+    def __init__(self, items: list[tuple[int, list[str]]]) -> None:
+        self.by_words: dict[tuple[str, ...], list[int]] = {}
+        for i, w in items:
+            self.by_words.setdefault(tuple(w), []).append(i)
+        self.lengths = sorted({len(w) for w in self.by_words})
+        self.first = {w[0] for w in self.by_words}
+
+    def find(self, words: list[str]) -> list[tuple[int, float, int, int]]:
+        found: dict[tuple[str, ...], tuple[int, int]] = {}
+        for at in [i for i, w in enumerate(words) if w in self.first] if self.first else []:
+            for n in self.lengths:
+                run = tuple(words[at : at + n])
+                if len(run) == n and run in self.by_words:
+                    first, times = found.get(run, (at, 0))
+                    found[run] = first, times + 1
+        return [(i, 1.0, *found[run]) for run in found for i in self.by_words[run]]
+
+
 class Items:
     """A block of benchmark items, ready to be sought in documents."""
 
-    def __init__(self, rows: list[tuple[int, str]], size: int, similarity: float, radius: int) -> None:
+    def __init__(self, rows: list[tuple[int, str]], size: int, similarity: float, radius: int, short: bool) -> None:
         self.size, self.similarity = size, similarity
         words = [words_of(text) for _, text in rows]
+        self.short = _ShortItems([(i, w) for (i, _), w in zip(rows, words, strict=True) if short and 0 < len(w) < size])
         self.ids = [i for (i, _), w in zip(rows, words, strict=True) if w]
         codes = [shingle_codes(word_hashes(w), size) for w in words if w]
         self.weights = [Counter(c.tolist()) for c in codes]
@@ -99,6 +122,9 @@ class Items:
         words = words_of(text)
         if not words or not self.ids:
             return []
+        return self.find_long(words) + (self.short.find(words) if len(words) >= self.size else [])
+
+    def find_long(self, words: list[str]) -> list[tuple[int, float, int, int]]:
         # Words that no item has are 0; runs without them may be shingles of an item.
         known = np.fromiter(map(self.vocabulary.get, words, repeat(0)), np.uint64, len(words))
         outside = np.concatenate(([0], np.cumsum(known == 0)))
@@ -140,12 +166,25 @@ class Items:
         return [(self.ids[k], *x) for k, x in sorted(found.items())]
 
 
-def leaks(docs: DataFrame, benchmark: DataFrame, size: int = 5, similarity: float = 0.8, radius: int = 23, block_chars: int = 20_000_000) -> DataFrame:
+_indexes: dict[str, Items] = {}
+
+
+def _index(token: str, make: Callable[[], Items]) -> Items:
+    """One index for each Python worker and block; it outlives a task."""
+    if token not in _indexes:
+        _indexes.clear()
+        _indexes[token] = make()
+    return _indexes[token]
+
+
+def leaks(docs: DataFrame, benchmark: DataFrame, size: int = 5, similarity: float = 0.8, radius: int = 23, short: bool = False, block_chars: int = 20_000_000) -> DataFrame:
     """A row for each row of ``docs`` (doc_id, text) and each item of ``benchmark`` (item_id, text) found in it.
 
     Words are ``\\w+`` of the lower-cased text, shingles have ``size`` words
-    (shorter sequences are one shingle, found in equally short texts only).
-    Texts that are null or have no words match nothing. Repeated rows and
+    (shorter sequences are one shingle, found in equally short texts only;
+    with ``short``, all their words as they stand are found in longer texts
+    too). Texts that are null or have no words match nothing; very long ones
+    are looked through whole; an empty table on either side gives no rows. Repeated rows and
     repeated items give a row each; null ids are kept; other columns are
     ignored. ``row_key`` tells rows of ``docs`` apart.
     """
@@ -159,8 +198,8 @@ def leaks(docs: DataFrame, benchmark: DataFrame, size: int = 5, similarity: floa
         part = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == b)
         shared = spark.sparkContext.broadcast([tuple(r) for r in part.toLocalIterator()])
 
-        def make(shared=shared) -> Callable:  # noqa: ANN001
-            index = Items(shared.value, size, similarity, radius)
+        def make(shared=shared, token=uuid.uuid4().hex) -> Callable:  # noqa: ANN001
+            index = _index(token, lambda: Items(shared.value, size, similarity, radius, short))
             return lambda row_key, row_key2, doc_id, text: [(row_key, row_key2, doc_id, *x) for x in index.find(text)]
 
         found.append(flat_map(rows, make, SCHEMA))

@@ -15,6 +15,7 @@ the largest norm; equal vectors are one node and come apart at the end.
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -149,8 +150,6 @@ def neighbour_graph(codes: DataFrame, k: int = 30, share: float = 0.001, pool: i
     deals = 1 if buckets == 1 else DEALS
     start = bare.withColumn("deal", F.explode(F.sequence(F.lit(0), F.lit(deals - 1)))).withColumn("u", F.pmod(F.xxhash64("a", "deal"), F.lit(buckets)) * deals + F.col("deal"))
     graph = saved(best_of(offers(start, -(-k // deals)), k))
-    if buckets == 1:
-        return graph
     turn = 0
     while True:
         state = with_state(codes.join(graph, "node", "left"), k)
@@ -233,23 +232,31 @@ def greedy_search(graph: DataFrame, codes: DataFrame, queries: DataFrame, beam:
 
 
 def usable(vectors: DataFrame) -> DataFrame:
-    """Rows (vec_id, embedding) that take part: no null, no zero vector, finite components, the most common length."""
+    """Rows (vec_id, embedding) that take part: no null, no zero vector, finite components."""
     x = F.col("embedding")
-    fine = vectors.select("vec_id", "embedding").where(x.isNotNull() & F.forall(x, lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) != float("inf"))) & F.exists(x, lambda v: v != 0))
-    length = fine.groupBy(F.size(x).alias("n")).agg(F.count("*").alias("rows")).orderBy(F.desc("rows"), "n").first()
-    return fine.where(F.size(x) == (length["n"] if length else 0))
+    return vectors.select("vec_id", "embedding").where(x.isNotNull() & F.forall(x, lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) != float("inf"))) & F.exists(x, lambda v: v != 0))
 
 
 def nearest(vectors: DataFrame, is_query: F.Column, k: int = 20, **options: int) -> DataFrame:
     """(query_id, rank, vec_id, score): each query's ``k`` nearest other rows found, nearest first, ties to the smaller vec_id.
 
     Rows whose vector is null, zero, or holds nulls or non-finite components
-    take no part, nor do lengths other than the most common one; null ids
-    aren't candidates or queries. Fewer candidates than ``k`` are all returned.
-    Repeated rows share their id and are one. Other columns are ignored.
+    take no part; vectors of different lengths have no inner product, so those
+    of each length are searched by themselves; null ids aren't candidates or
+    queries. Fewer candidates than ``k`` are all returned. Repeated rows share
+    their id and are one. Other columns are ignored; an empty table gives no
+    rows.
     """
-    search = {x: options[x] if x == "pool" else options.pop(x) for x in ("beam", "step", "pool") if x in options}
     rows = usable(vectors).where("vec_id IS NOT NULL").distinct()
+    size = F.size("embedding")
+    # One search for each length; most tables have one.
+    lengths = [r["n"] for r in rows.groupBy(size.alias("n")).agg(F.count("*").alias("rows")).where("rows > 1").orderBy("n").collect()]
+    found = [_nearest(rows.where(size == n), is_query, k, **options) for n in lengths]
+    return reduce(DataFrame.unionByName, found) if found else vectors.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score double")
+
+
+def _nearest(rows: DataFrame, is_query: F.Column, k: int, **options: int) -> DataFrame:
+    search = {x: options[x] if x == "pool" else options.pop(x) for x in ("beam", "step", "pool") if x in options}
     nodes = saved(rows.groupBy("embedding").agg(F.min("vec_id").alias("node")))
     rows = saved(rows.join(nodes, "embedding").select("vec_id", "node"))
     largest = nodes.agg(F.max(F.aggregate("embedding", F.lit(0.0), lambda s, v: s + v.cast("double") ** 2))).first()[0]

@@ -19,7 +19,7 @@ def read(spark: SparkSession, folder: str, name: str = "documents") -> DataFrame
 
 
 def op1_leaks(spark: SparkSession, folder: str) -> DataFrame:
-    found = op1_decontaminate.leaks(read(spark, folder), read(spark, folder, "benchmark"), size=5, similarity=0.8, radius=23)
+    found = op1_decontaminate.leaks(read(spark, folder), read(spark, folder, "benchmark"), size=5, similarity=0.8, radius=23, short=True)
     return found.drop("row_key", "row_key2")
 
 
