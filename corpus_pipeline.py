@@ -15,8 +15,8 @@ from agrarium.llm.rows import saved
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents in no language (null, or without a letter) go."""
-    return op10_language_id.accepted(docs, most_docs=400, most_chars=60_000)
+    """Documents in no language (null, or without a letter) go; lang is what the others are found to be in."""
+    return op10_language_id.accepted(docs, most_docs=40, most_chars=120_000)
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -33,7 +33,7 @@ def simhash_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold a benchmark item go."""
     benchmark = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
-    return op1_decontaminate.decontaminated(docs, benchmark, size=5, similarity=0.8, radius=23)
+    return op1_decontaminate.decontaminated(docs, benchmark, size=5, similarity=0.8, radius=23, short=True)
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -42,7 +42,7 @@ def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 STAGES = [("language_id", language_id), ("line_dedup", line_dedup), ("simhash_dedup", simhash_dedup), ("decontaminate", decontaminate), ("byte_bpe", encode)]
-#: SQL can't express the stages; tests hold them against brute force.
+#: SQL can't express the stages; tests/llm/test_pipeline_brute.py holds each against brute force.
 ORACLE_SQL = None
 
 
