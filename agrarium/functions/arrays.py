@@ -13,7 +13,9 @@ def array_sum(values: Column) -> Column:
 def softmax(scores: Column) -> Column:
     top = F.array_max(scores)
     powers = F.transform(scores, lambda x: F.exp(x.cast("double") - top.cast("double")))
-    return F.transform(powers, lambda x: x / array_sum(powers))
+    # Held in a struct, the sum is taken once and not for each element.
+    held = F.struct(powers.alias("p"), array_sum(powers).alias("s"))
+    return F.element_at(F.transform(F.array(held), lambda h: F.transform(h["p"], lambda x: x / h["s"])), 1)
 
 
 def entropy(probabilities: Column) -> Column:

@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from agrarium.functions.geo import cell
+from agrarium.operators import ranks
+from agrarium.operators.lineage import saved
 
 FLOOR = 1e-4
 #: Where low, moderate and high begin.
@@ -31,9 +33,11 @@ def binned_shares(sides: DataFrame, bins: int = 10, approximate: int | None = No
     that accuracy, which needs no shuffle of the values. The edges are one row
     of ``bins`` + 1 numbers.
     """
-    at = F.array(*(F.lit(i / bins) for i in range(bins + 1)))
-    quantiles = F.percentile("x", at) if approximate is None else F.percentile_approx("x", at, approximate)
-    found = sides.agg(F.array_distinct(quantiles).alias("e")).first()["e"] or []
+    at = [i / bins for i in range(bins + 1)]
+    if approximate is None:
+        found = sorted(set(ranks.quantiles(sides, {"x": F.col("x")}, at).get("x", [])))
+    else:
+        found = sides.agg(F.array_distinct(F.percentile_approx("x", at, approximate)).alias("e")).first()["e"] or []
     if len(found) < 2:
         return sides.sparkSession.createDataFrame([], "bin int, ref double, cur double")
     edges = F.array(*map(F.lit, found))
@@ -55,13 +59,12 @@ def divergences(shares: DataFrame) -> DataFrame:
 def _steps(sides: DataFrame) -> DataFrame:
     """(x, r, c, dr, dc): distinct values in order with both sides' cumulative shares.
 
-    Values are first counted; the running sums go over ranges of values, each
-    summed by itself, with the sums of the ranges before added.
+    Values are first counted; the running sums go over ranges of values at
+    quantiles of the distinct ones, with the sums of the ranges before added.
     """
-    counts = sides.groupBy("x").agg(F.count_if(F.col("side") == "ref").alias("r"), F.count_if(F.col("side") == "cur").alias("c"))
-    ends = counts.agg(F.min("x").cast("double").alias("a"), F.max("x").cast("double").alias("b"), F.sum("r").alias("r"), F.sum("c").alias("c")).first()
-    a, span = ends["a"] or 0.0, ((ends["b"] or 0.0) - (ends["a"] or 0.0)) or 1.0
-    part = counts.withColumn("_p", F.floor((F.col("x") - a) / span * 4096))
+    counts = saved(sides.groupBy("x").agg(F.count_if(F.col("side") == "ref").alias("r"), F.count_if(F.col("side") == "cur").alias("c")))
+    ends = counts.agg(F.sum("r").alias("r"), F.sum("c").alias("c")).first()
+    part = ranks.ranged(counts, [], "x")
     before = part.groupBy("_p").agg(F.sum("r").alias("_r"), F.sum("c").alias("_c"), F.min("x").alias("_first"))
     earlier = Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)
     before = before.select("_p", F.coalesce(F.sum("_r").over(earlier), F.lit(0)).alias("_br"), F.coalesce(F.sum("_c").over(earlier), F.lit(0)).alias("_bc"), F.lead("_first").over(Window.orderBy("_p")).alias("_after"))
@@ -142,8 +145,7 @@ def categorical_drift(shares: DataFrame) -> DataFrame:
 
 def temporal_psi(df: DataFrame, period: Column, value: str, reference: DataFrame, bins: int = 10) -> DataFrame:
     """(period, n, psi) of each period of ``df`` against the reference's quantile bins."""
-    at = F.array(*(F.lit(i / bins) for i in range(bins + 1)))
-    found = reference.agg(F.array_distinct(F.percentile(value, at)).alias("e")).first()["e"]
+    found = sorted(set(ranks.quantiles(reference, {"x": F.col(value)}, [i / bins for i in range(bins + 1)])["x"]))
     edges = F.array(*map(F.lit, found))
     number = lambda x: F.greatest(F.least(F.size(F.filter(edges, lambda e: e <= x)), F.lit(len(found) - 1)), F.lit(1))
     whole = Window.partitionBy()

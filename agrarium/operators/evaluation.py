@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Ranges of scores that are summed by themselves.
-RANGES = 128
+from agrarium.operators import ranks
+from agrarium.operators.lineage import saved
 
 
 def ratio(a: Column, b: Column) -> Column:
@@ -59,13 +59,9 @@ def roc_auc(df: DataFrame, score: str, truth: str) -> DataFrame:
     Counts per score are summed over ranges of scores, whose edges are quantiles
     of the distinct scores, with the sums of the ranges before added.
     """
-    steps = df.groupBy(F.col(score).alias("s")).agg(F.count_if(F.col(truth) == 1).alias("p"), F.count_if(F.col(truth) != 1).alias("n"))
-    edges = steps.agg(F.percentile_approx("s", [i / RANGES for i in range(1, RANGES)]).alias("e")).first()["e"] or []
-    part = steps.withColumn("_p", F.size(F.filter(F.array(*map(F.lit, sorted(set(edges)))), lambda e: e <= F.col("s"))) if edges else F.lit(0))
-    before = Window.rowsBetween(Window.unboundedPreceding, -1)
-    sums = part.groupBy("_p").agg(F.sum("n").alias("_n")).select("_p", F.coalesce(F.sum("_n").over(before.orderBy("_p")), F.lit(0)).alias("_before"))
-    inside = F.coalesce(F.sum("n").over(before.partitionBy("_p").orderBy("s")), F.lit(0))
-    whole = part.withColumn("_i", inside).join(sums, "_p").withColumn("_b", F.col("_before") + F.col("_i")).agg(F.sum(F.col("p") * (F.col("_b") + F.col("n") / 2)).alias("u"), F.sum("p").alias("positives"), F.sum("n").alias("negatives"))
+    steps = saved(df.groupBy(F.col(score).alias("s")).agg(F.count_if(F.col(truth) == 1).alias("p"), F.count_if(F.col(truth) != 1).alias("n")))
+    rows = ranks.running(steps, [], "s", ["n"])
+    whole = rows.agg(F.sum(F.col("p") * (F.col("_before_n") + F.col("n") / 2)).alias("u"), F.sum("p").alias("positives"), F.sum("n").alias("negatives"))
     return whole.select(ratio(F.col("u"), F.col("positives") * F.col("negatives")).alias("auc"), "positives", "negatives")
 
 
@@ -109,23 +105,26 @@ def pr_curve(df: DataFrame, score: str, truth: str, points: int = 100) -> DataFr
 def regression_metrics(df: DataFrame, truth: str, predicted: str, tolerance: float = 0.1) -> DataFrame:
     """One row: mse, rmse, mae, lower median of the absolute error, bias (truth less prediction), largest error, r2, mape, share within tolerance."""
     y, e = F.col(truth), F.col(truth) - F.col(predicted)
-    return df.agg(
+    found = df.agg(
         F.count("*").alias("n"), F.avg(e * e).alias("mse"), F.sqrt(F.avg(e * e)).alias("rmse"), F.avg(F.abs(e)).alias("mae"),
-        F.expr(f"percentile_disc(0.5) WITHIN GROUP (ORDER BY abs(`{truth}` - `{predicted}`))").alias("median_ae"), F.avg(e).alias("bias"), F.max(F.abs(e)).alias("max_error"),
+        F.avg(e).alias("bias"), F.max(F.abs(e)).alias("max_error"),
         (1 - F.sum(e * e) / F.nullif(F.var_pop(y) * F.count(y), F.lit(0.0))).alias("r2"), F.avg(F.when(F.abs(y) > 1e-8, F.abs(e / y))).alias("mape"), F.avg((F.abs(e) <= tolerance * F.abs(y)).cast("double")).alias("within"),
     )
+    middle = ranks.values_at(df, [], F.abs(e), {"median_ae": F.floor((F.col("n") - 1) / 2)})
+    return found.crossJoin(middle)
 
 
 def outliers(df: DataFrame, truth: str, predicted: str, share: float = 0.95) -> DataFrame:
     """Rows whose absolute error exceeds the quantile ``share`` of all, with that error."""
     error = F.abs(F.col(truth) - F.col(predicted))
-    limit = df.agg(F.percentile(error, share)).first()[0]
+    limit = ranks.quantiles(df, {"e": error}, [share]).get("e", [None])[0]
     return df.withColumn("abs_error", error).where(F.col("abs_error") > F.lit(limit))
 
 
 def latency(df: DataFrame, ms: str) -> DataFrame:
-    q = F.percentile(ms, F.array(F.lit(0.5), F.lit(0.95), F.lit(0.99)))
-    return df.agg(F.avg(ms).alias("mean"), q.alias("q"), F.min(ms).alias("min"), (F.count("*") / (F.sum(ms) / 1000)).alias("per_second")).select("mean", F.col("q")[0].alias("p50"), F.col("q")[1].alias("p95"), F.col("q")[2].alias("p99"), "min", "per_second")
+    q = ranks.quantiles_by(df, [], F.col(ms), [0.5, 0.95, 0.99]).select("q")
+    found = df.agg(F.avg(ms).alias("mean"), F.min(ms).alias("min"), (F.count("*") / (F.sum(ms) / 1000)).alias("per_second")).crossJoin(q)
+    return found.select("mean", F.col("q")[0].alias("p50"), F.col("q")[1].alias("p95"), F.col("q")[2].alias("p99"), "min", "per_second")
 
 
 def cross_entropy(probabilities: Column, label: Column, smoothing: float = 0.0) -> Column:

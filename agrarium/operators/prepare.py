@@ -7,6 +7,8 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from agrarium.operators import ranks
+
 MISSING = "__missing__"
 
 
@@ -47,21 +49,24 @@ def min_max(df: DataFrame, columns: list[str], low: float = 0.0, high: float = 1
 
 
 def robust(df: DataFrame, columns: list[str]) -> Affine:
-    x = _scalars(df, {c: F.percentile(c, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))) for c in columns})
-    q = {c: x[c] or [0.0, 0.0, 1.0] for c in columns}
+    x = ranks.quantiles(df, {c: F.col(c) for c in columns}, [0.25, 0.5, 0.75])
+    q = {c: x.get(c) or [0.0, 0.0, 1.0] for c in columns}
     return Affine({c: q[c][1] for c in columns}, {c: (q[c][2] - q[c][0]) or 1.0 for c in columns})
 
 
 def fill_values(df: DataFrame, columns: list[str], how: str = "mean") -> dict[str, float]:
     """What stands in for nulls: mean, median, mode (least of the most frequent) or zero."""
-    by = {"mean": F.avg, "median": F.median, "mode": lambda c: F.mode(c, True), "zero": lambda c: F.lit(0.0)}[how]
+    if how == "median":
+        found = ranks.quantiles(df, {c: F.col(c) for c in columns}, [0.5])
+        return {c: found.get(c, [0.0])[0] for c in columns}
+    by = {"mean": F.avg, "mode": lambda c: F.mode(c, True), "zero": lambda c: F.lit(0.0)}[how]
     return {c: v if v is not None else 0.0 for c, v in _scalars(df, {c: by(c) for c in columns}).items()}
 
 
 def fence(df: DataFrame, columns: list[str], how: str = "iqr", k: float = 1.5) -> dict[str, tuple[float, float]]:
     """Clip bounds: quartiles less and plus k times their distance, or mean and k population deviations."""
     if how == "iqr":
-        x = _scalars(df, {c: F.percentile(c, F.array(F.lit(0.25), F.lit(0.75))) for c in columns})
+        x = ranks.quantiles(df, {c: F.col(c) for c in columns}, [0.25, 0.75])
         return {c: (q[0] - k * (q[1] - q[0]), q[1] + k * (q[1] - q[0])) for c, q in x.items() if q}
     x = _scalars(df, {f"{c}|m": F.avg(c) for c in columns} | {f"{c}|s": F.stddev_pop(c) for c in columns})
     return {c: (x[f"{c}|m"] - k * x[f"{c}|s"], x[f"{c}|m"] + k * x[f"{c}|s"]) for c in columns if x[f"{c}|m"] is not None}

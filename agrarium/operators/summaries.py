@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
+from agrarium.operators import ranks
+
 
 def whole() -> WindowSpec:
     """All rows: for tables that an aggregation has made small."""
@@ -70,10 +72,10 @@ def dense_counts(df: DataFrame, label: str) -> DataFrame:
 
 def ranked_quantiles(df: DataFrame, key: str, value: str) -> DataFrame:
     """Least, largest, mean, median, population deviation, and the values at ranks n/4 and 3n/4 (not interpolated)."""
-    by = Window.partitionBy(key)
-    rows = df.where(F.col(value).isNotNull()).select(key, F.col(value).alias("v"), F.row_number().over(by.orderBy(value)).alias("r"), F.count("*").over(by).alias("m"))
-    at = lambda f: F.max(F.when(F.col("r") == F.least(F.floor(F.col("m") * f), F.col("m") - 1) + 1, F.col("v")))
-    return rows.groupBy(key).agg(F.count("*").alias("n"), F.min("v").alias("min"), F.max("v").alias("max"), F.round(F.avg("v"), 4).alias("mean"), F.round(F.stddev_pop("v"), 4).alias("std"), at(0.25).alias("q25"), at(0.75).alias("q75"))
+    rows = df.where(F.col(value).isNotNull())
+    plain = rows.groupBy(key).agg(F.count("*").alias("n"), F.min(value).alias("min"), F.max(value).alias("max"), F.round(F.avg(value), 4).alias("mean"), F.round(F.stddev_pop(value), 4).alias("std"))
+    at = {name: F.least(F.floor(F.col("n") * f), F.col("n") - 1) for name, f in (("q25", 0.25), ("q75", 0.75))}
+    return plain.join(ranks.values_at(rows, [key], F.col(value), at), key)
 
 
 def repeated(df: DataFrame, keys: list[str], member: str) -> DataFrame:
