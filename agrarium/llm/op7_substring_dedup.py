@@ -160,12 +160,12 @@ def greedy_factors(window: int) -> Callable[[pa.Table], Iterator[tuple]]:
     return compare
 
 
-def repeated_words(docs: DataFrame, window: int = 35, most: int = 4_096) -> DataFrame:
+def repeated_words(docs: DataFrame, window: int = 35, most: int = 1_024) -> DataFrame:
     """(row_key, row_key2, starts, ends): ranges of words that repeated windows cover, from ``with_row_key`` rows."""
     return spans(docs, word_units, window, GRAM, segment_words(window), greedy_factors(window), window_hashes(window), most)
 
 
-def digests(docs: DataFrame, window: int = 35, most: int = 4_096) -> DataFrame:
+def digests(docs: DataFrame, window: int = 35, most: int = 1_024) -> DataFrame:
     """One row per row of ``docs`` (doc_id, text): words, words removed, digest of the words kept.
 
     A word goes if a window of ``window`` words covers it whose sequence starts
@@ -191,7 +191,7 @@ def digests(docs: DataFrame, window: int = 35, most: int = 4_096) -> DataFrame:
     return flat_map(found, make, "doc_id long, n_words long, n_removed long, kept_sha256 string", batch=5_000)
 
 
-def deduplicated(docs: DataFrame, window: int = 35, most: int = 4_096) -> DataFrame:
+def deduplicated(docs: DataFrame, window: int = 35, most: int = 1_024) -> DataFrame:
     """(doc_id, text) with the words kept, joined by one space."""
     keyed = with_row_key(docs)
 

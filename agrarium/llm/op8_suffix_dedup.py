@@ -136,12 +136,12 @@ def window_hashes(window: int) -> Callable:
     return make
 
 
-def repeated_bytes(docs: DataFrame, window: int = 200, most: int = 4_096) -> DataFrame:
+def repeated_bytes(docs: DataFrame, window: int = 200, most: int = 1_024) -> DataFrame:
     """(row_key, row_key2, starts, ends): ranges of UTF-8 bytes that repeated windows cover, from ``with_row_key`` rows."""
     return spans(docs, byte_units, window, GRAM, segment_bytes(window), maximal_repeats(window), window_hashes(window), most)
 
 
-def digests(docs: DataFrame, window: int = 200, most: int = 4_096) -> DataFrame:
+def digests(docs: DataFrame, window: int = 200, most: int = 1_024) -> DataFrame:
     """One row per row of ``docs`` (doc_id, text): bytes, bytes removed, removed runs, digest of the rest.
 
     A byte goes if a string of ``window`` bytes covers it that starts anywhere

@@ -126,7 +126,7 @@ def segment_rows(docs: DataFrame, units: Callable[[], Callable[[str | None], np.
     return docs.select(*KEY, "text").mapInArrow(run, SEGMENTS)
 
 
-def spans(docs: DataFrame, units: Callable, window: int, gram: int, detail: Callable, compare: Callable[[pa.Table], Iterator[tuple]], windows: Callable[[], Callable[[bytes], np.ndarray]], most: int = 4_096) -> DataFrame:
+def spans(docs: DataFrame, units: Callable, window: int, gram: int, detail: Callable, compare: Callable[[pa.Table], Iterator[tuple]], windows: Callable[[], Callable[[bytes], np.ndarray]], most: int = 1_024) -> DataFrame:
     """(row_key, row_key2, starts, ends): unit ranges that repeated windows cover, for each document that has any.
 
     ``detail()`` returns a function from (text, [(start, count), ...]) to the
