@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from agrarium.operators.lineage import saved
 
 #: Ranges of a key's values, and how many distinct values a key has at most in one range of its own.
-RANGES, SMALL = 256, 50_000
+RANGES, SMALL = 256, 1_000
 
 
 def ranged(counts: DataFrame, keys: list[str], value: str) -> DataFrame:
