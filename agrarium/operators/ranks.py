@@ -22,11 +22,11 @@ RANGES, SMALL = 256, 1_000
 def ranged(counts: DataFrame, keys: list[str], value: str) -> DataFrame:
     """``counts`` with ``_p``, the range that a value is in; keys of few values have one."""
     cuts = F.percentile_approx(value, [i / RANGES for i in range(1, RANGES)], 4 * RANGES)
+    if not keys:
+        found = counts.agg(F.array_distinct(cuts).alias("_e")).first()["_e"]
+        return counts.withColumn("_p", F.size(F.filter(F.array(*map(F.lit, found)), lambda e: e <= F.col(value))) if found else F.lit(0))
     edges = counts.groupBy(*keys).agg(F.count("*").alias("_m"), F.array_distinct(cuts).alias("_e")).where(F.col("_m") > SMALL).drop("_m")
     part = F.coalesce(F.size(F.filter("_e", lambda e: e <= F.col(value))), F.lit(0))
-    if not keys:
-        found = edges.first()
-        return counts.withColumn("_p", F.size(F.filter(F.array(*map(F.lit, found["_e"])), lambda e: e <= F.col(value))) if found else F.lit(0))
     return counts.join(edges, keys, "left").withColumn("_p", F.when(F.col("_e").isNull(), 0).otherwise(part)).drop("_e")
 
 
