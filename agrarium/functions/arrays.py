@@ -18,6 +18,11 @@ def softmax(scores: Column) -> Column:
     return F.element_at(F.transform(F.array(held), lambda h: F.transform(h["p"], lambda x: x / h["s"])), 1)
 
 
+def from_confidence(confidence: Column, classes: int) -> Column:
+    """Probabilities with a confidence for the first class and the rest shared evenly."""
+    return F.concat(F.array(confidence), F.array_repeat((1 - confidence) / (classes - 1), classes - 1))
+
+
 def entropy(probabilities: Column) -> Column:
     """Bits of a distribution."""
     return array_sum(F.transform(probabilities, lambda p: -p * F.log2(F.greatest(p, F.lit(1e-12)))))
