@@ -32,6 +32,7 @@ BASES = (0x9E3779B97F4A7C15 | 1, 0xD6E8FEB86659FD93 | 1)
 SEGMENTS = "row_key long, row_key2 long, anchor long, context long, start int, count int"
 DETAILS = "anchor long, deal int, context long, row_key long, row_key2 long, start int, count int, place int, times long, detail binary"
 BUCKET, CROWDED = 1 << 13, 8  # rows of a hash bucket on average, and how many times as many are a crowd
+COMMON = 1 << 10  # occurrences beyond which a context is joined by itself
 PART = 1 << 20  # window starts looked at together
 
 
@@ -141,7 +142,12 @@ def spans(docs: DataFrame, units: Callable, window: int, gram: int, detail: Call
     again = saved(_repeated_anchors(rows))
     open_ = again.where("mixed")
     contexts = saved(open_.groupBy("anchor", "context").agg(F.count("*").alias("times"), F.min(F.struct(*KEY, "start", "count")).alias("x")).select("anchor", "context", "times", "x.*"))
-    whole = again.where("NOT mixed").unionByName(open_.join(contexts.where("times > 1").select("anchor", "context"), ["anchor", "context"]))
+    # Rows of contexts that are very common don't meet in one task: their few keys are a join of its own, which Spark broadcasts while they are few.
+    common = saved(contexts.where(F.col("times") > COMMON).select("anchor", "context", F.lit(True).alias("common")))
+    marked = open_.join(common, ["anchor", "context"], "left")
+    twice = contexts.where((F.col("times") > 1) & (F.col("times") <= COMMON)).select("anchor", "context")
+    rest = marked.where("common IS NULL").join(twice, ["anchor", "context"])
+    whole = again.where("NOT mixed").unionByName(marked.where("common").unionByName(rest).drop("common"))
     covered = whole.select(*KEY, F.col("start").alias("first"), (F.col("start") + F.col("count") - 1).alias("last"))
     looked = covered.unionByName(_blocks(docs, contexts, detail, compare, windows, most))
     return looked.groupBy(*KEY).agg(F.collect_list("first").alias("starts"), F.collect_list(F.col("last") + window).alias("ends"))
