@@ -41,6 +41,29 @@ def verdicts(rates: DataFrame, least_support: int = 30) -> DataFrame:
     return rows.select("metric", "spread", "ratio", status.alias("status"))
 
 
+STATUSES = ("compliant", "at_risk", "violating")
+
+
+def rates_by_attribute(df: DataFrame, attributes: list[str], truth: str, predicted: str) -> DataFrame:
+    """group_rates of every attribute in one aggregation: (attribute, group, support, ...)."""
+    pairs = F.array(*(F.struct(F.lit(a).alias("attribute"), F.col(a).cast("string").alias("group")) for a in attributes))
+    rows = df.select(truth, predicted, F.inline(pairs)).withColumn("_g", F.struct("attribute", "group"))
+    found = group_rates(rows, "_g", truth, predicted)
+    return found.select("_g.*", *(c for c in found.columns if c != "_g"))
+
+
+def verdicts_by(rates: DataFrame, attribute: str, least_support: int = 30) -> DataFrame:
+    """(attribute, metric, spread, ratio, status, worst): the verdicts of each attribute, and the worst of its statuses."""
+    used = rates.where(F.col("support") >= least_support)
+    one = [F.struct(F.lit(m).alias("metric"), (F.max(m) - F.min(m)).alias("spread"), ratio(F.min(m), F.max(m)).alias("ratio"), F.lit(a).alias("a"), F.lit(b).alias("b")) for m, (a, b) in SPREADS.items()]
+    rows = used.groupBy(attribute).agg(F.array(*one).alias("x")).select(attribute, F.inline("x"))
+    level = F.when(F.col("spread") <= F.col("a"), 1).when(F.col("spread") <= F.col("b"), 2).otherwise(3)
+    named = lambda r: F.element_at(F.array(*map(F.lit, STATUSES)), r)
+    rows = rows.withColumn("_l", level)
+    top = rows.groupBy(attribute).agg(F.max("_l").alias("_w"))
+    return rows.join(top, attribute).select(attribute, "metric", "spread", "ratio", named(F.col("_l")).alias("status"), named(F.col("_w")).alias("worst"))
+
+
 def calibration(df: DataFrame, probability: Column, hit: Column, bins: int = 10) -> DataFrame:
     """(bin, n, confidence, accuracy) over bins of equal width, the last one closed."""
     bin_ = F.least(F.floor(probability * bins), F.lit(bins - 1)).cast("int")
@@ -102,6 +125,21 @@ def pr_curve(df: DataFrame, score: str, truth: str, points: int = 100) -> DataFr
     return run.select((F.col("b") / points).alias("threshold"), ratio(F.col("tp"), F.col("got")).alias("precision"), ratio(F.col("tp"), F.col("all")).alias("recall"))
 
 
+def class_curves(scores: DataFrame, points: int = 100) -> DataFrame:
+    """(label, threshold, precision, recall) of (label, score, hit): at most about ``points`` distinct scores of each class, highest first.
+
+    Every k-th distinct score is a point, with k the share of ``points`` in the
+    class's distinct scores, and the lowest score always is.
+    """
+    counts = saved(scores.groupBy("label", (-F.col("score")).alias("_s")).agg(F.count_if("hit").alias("p"), F.count("*").alias("n"), F.lit(1).alias("d")))
+    totals = counts.groupBy("label").agg(F.sum("p").alias("_all"), F.count("*").alias("_m"))
+    rows = ranks.running(counts, ["label"], "_s", ["p", "n", "d"]).join(totals, "label")
+    tp, got, at = F.col("_before_p") + F.col("p"), F.col("_before_n") + F.col("n"), F.col("_before_d")
+    step = F.greatest(F.floor(F.col("_m") / points), F.lit(1))
+    kept = rows.where((F.pmod(at, step) == 0) | (at == F.col("_m") - 1))
+    return kept.select("label", (-F.col("_s")).alias("threshold"), ratio(tp, got).alias("precision"), ratio(tp, F.col("_all")).alias("recall"))
+
+
 def regression_metrics(df: DataFrame, truth: str, predicted: str, tolerance: float = 0.1) -> DataFrame:
     """One row: mse, rmse, mae, lower median of the absolute error, bias (truth less prediction), largest error, r2, mape, share within tolerance."""
     y, e = F.col(truth), F.col(truth) - F.col(predicted)

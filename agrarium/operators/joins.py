@@ -9,6 +9,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from agrarium.operators.lineage import saved
+
 
 def chain(base: DataFrame, steps: list[tuple[DataFrame, list[str], str, str]]) -> DataFrame:
     """Joins (table, keys, how, suffix) one after the other; other shared columns of the table get its suffix. Null keys match each other."""
@@ -109,6 +111,13 @@ def outer_pairs(left: DataFrame, right: DataFrame, keys: list[str], order: str,
     return sides[0].join(sides[1], keys, "full_outer")
 
 
+def pair_issues(columns: list[str]) -> Column:
+    """What is wrong with a row of ``outer_pairs``: a side missing, or columns that differ; text is compared in lower case."""
+    low = lambda c: F.lower(F.col(c).cast("string"))
+    one = [F.when(F.coalesce(*(F.col(f"{side}_{c}").cast("string") for c in columns)).isNull(), f"no_{name}") for side, name in (("left", "ndvi"), ("right", "evi"))]
+    return F.array_compact(F.array(*one, *(F.when(low(f"left_{c}") != low(f"right_{c}"), c) for c in columns)))
+
+
 def parent_chain(nodes: DataFrame, key: str, parent: str, name: str, depth: int) -> DataFrame:
     """(key, path): names from a node up to its root, over at most ``depth`` levels of self-joins."""
     up = nodes.select(F.col(key).alias("_k"), F.col(parent).alias("_p"), F.col(name).alias("_n"))
@@ -116,3 +125,42 @@ def parent_chain(nodes: DataFrame, key: str, parent: str, name: str, depth: int)
     for _ in range(depth - 1):
         walk = walk.join(up, F.col("_next") == F.col("_k"), "left").select(key, F.col("_p").alias("_next"), F.concat("path", F.when(F.col("_n").isNotNull(), F.array("_n")).otherwise(F.array().cast("array<string>"))).alias("path"))
     return walk.select(key, "path")
+
+
+def root_paths(nodes: DataFrame, key: str, parent: str, name: str, rounds: int = 32) -> DataFrame:
+    """(key, path): names from a node up to its root, over any number of levels.
+
+    Each round joins every path with that of the node it stops at, so that
+    paths double in length; 32 rounds do for any depth. A path ends where the
+    parent is null or not a node; nodes on a loop are left out.
+    """
+    walk = saved(nodes.select(F.col(key).alias("_k"), F.col(parent).alias("_next"), F.array(F.col(name)).alias("path")))
+    for _ in range(rounds):
+        if walk.where("_next IS NOT NULL").isEmpty():
+            break
+        up = walk.select(F.col("_k").alias("_u"), F.col("_next").alias("_n"), F.col("path").alias("_p"))
+        joined = walk.join(up, F.col("_next") == F.col("_u"), "left")
+        longer = F.when(F.col("_u").isNotNull(), F.concat("path", "_p")).otherwise(F.col("path"))
+        following = saved(joined.select("_k", F.col("_n").alias("_next"), longer.alias("path")))
+        # On a loop paths would grow for ever: longer than there are nodes is a loop.
+        n = walk.count()
+        walk = following.where(F.size("path") <= n)
+    return walk.where("_next IS NULL").select(F.col("_k").alias(key), "path")
+
+
+def historical_lookup(probes: DataFrame, history: DataFrame, place: str, within: str, season: str, year: str, carry: list[str]) -> DataFrame:
+    """``probes`` with the ``carry`` columns of the history's row of the same place that fits best, and how many years it is off.
+
+    Rows of the same ``within`` (district) count before others, then those of the
+    same season, then the nearest year, the earlier of two, then the least carried
+    values. History is cut to one
+    row for each place, district, season and year before it meets the probes.
+    """
+    keys = [place, within, season, year]
+    rows = history.groupBy(*keys).agg(F.min(F.struct(*carry)).alias("_c")).withColumnsRenamed({c: f"_h_{c}" for c in keys})
+    off = F.abs(F.col(year) - F.col(f"_h_{year}"))
+    differs = lambda c: (~F.col(c).eqNullSafe(F.col(f"_h_{c}"))).cast("int")
+    rank = F.struct(differs(within).alias("d"), differs(season).alias("s"), off.alias("off"), F.col(f"_h_{year}").alias("year"), F.col("_c"))
+    found = probes.join(rows, F.col(place) == F.col(f"_h_{place}"), "left")
+    best = found.groupBy(*probes.columns).agg(F.min_by(F.struct(off.alias("off"), "_c"), F.when(F.col(f"_h_{place}").isNotNull(), rank)).alias("_b"))
+    return best.select(*probes.columns, F.col("_b.off").alias("years_off"), *(F.col(f"_b._c.{c}").alias(c) for c in carry))

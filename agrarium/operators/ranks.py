@@ -54,7 +54,8 @@ def quantiles_by(df: DataFrame, keys: list[str], value: Column, shares: Sequence
     at = [(F.col("_n") - 1) * F.lit(float(s)) for s in shares]
     ends = [F.max(F.when(holds(f(p)), F.col("_v"))).alias(f"_{name}{i}") for i, p in enumerate(at) for name, f in (("lo", F.floor), ("hi", F.ceil))]
     found = ranks.groupBy(*keys, "_n").agg(*ends)
-    mixed = [F.when(F.floor(p) == F.ceil(p), F.col(f"_lo{i}")).otherwise((F.ceil(p) - p) * F.col(f"_lo{i}") + (p - F.floor(p)) * F.col(f"_hi{i}")) for i, p in enumerate(at)]
+    # Equal ends give that very value.
+    mixed = [F.col(f"_lo{i}") + (F.col(f"_hi{i}") - F.col(f"_lo{i}")) * (p - F.floor(p)) for i, p in enumerate(at)]
     return found.select(*keys, F.col("_n").alias("n"), F.array(*mixed).alias("q"))
 
 

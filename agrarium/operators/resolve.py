@@ -124,3 +124,46 @@ def yearly(tabular: DataFrame, records: DataFrame, keys: list[str], position: st
     kept = [*order, *(c for c in records.columns if c not in (*keys, *order))]
     lists = records.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct(*kept))).alias("records"))
     return first.join(lists, keys, "full_outer")
+
+
+def temporal(asked: DataFrame, season: str, year: str, day: str, latest: str, default_season: str, default_year: int) -> DataFrame:
+    """``asked`` with season and year as given, else those of the reference day, else the latest year and the defaults."""
+    from agrarium.functions.seasons import season_of
+
+    own = season_of(F.col(day))
+    return asked.withColumns({season: F.coalesce(season, own["season"], F.lit(default_season)), year: F.coalesce(year, own["year"], latest, F.lit(default_year)).cast("int")})
+
+
+def observations(places: DataFrame, key: str, ndvi: DataFrame, evi: DataFrame, record: str, compared: list[str], boxes: DataFrame, tables: list[DataFrame], carry: list[str]) -> DataFrame:
+    """One row for each place, year and season: boundary, tabular row, image pairs, issues, quality score and acceptance.
+
+    ``places`` (key, village, taluk, district, lon, lat); ``ndvi`` and ``evi``
+    (key, season, year, day, record, compared) are paired by day, the first
+    record of each; the years and seasons are those of the records. ``boxes``
+    are those of smallest_boxes (levels taluk and district), ``tables`` those
+    of tabular_match, matched once for each distinct set of names, year and
+    season, however many places share it.
+    """
+    from agrarium.operators import filters
+
+    cell = [key, "season", "year"]
+    pairs = joins.outer_pairs(ndvi, evi, [*cell, "day"], record, [record, *compared])
+    differ = reduce(Column.__or__, (F.col(f"left_{c}") != F.col(f"right_{c}") for c in compared))
+    paired = F.col(f"left_{record}").isNotNull() & F.col(f"right_{record}").isNotNull()
+    images = pairs.groupBy(*cell).agg(F.count("*").alias("n_dates"), F.count_if(paired).alias("n_pairs"), F.count_if(paired & differ).alias("n_mismatched"), F.min("day").alias("first_day"))
+    every = ndvi.select("season", "year").unionByName(evi.select("season", "year")).distinct()
+    # Years and seasons are few.
+    cells = places.crossJoin(F.broadcast(every.select("year").distinct())).crossJoin(F.broadcast(every.select("season").distinct()))
+    names = ["village", "taluk", "district"]
+    asked = cells.select(*names, "year", "season").distinct().withColumn("_q", F.xxhash64(*names, "year", "season"))
+    matched = saved(tabular_match(asked, tables, "_q", names, ["year", "season"], "pos", carry).select(*names, "year", "season", F.col("level").alias("tab_level"), *carry))
+    bounds = spatial.smallest_boxes(places, boxes, key, "level", "name", ["taluk", "district"]).select(key, F.col("deepest").alias("boundary"))
+    rows = cells.join(matched, [*names, "year", "season"], "left").join(bounds, key, "left").join(images, cell, "left").na.fill(0, ["n_dates", "n_pairs", "n_mismatched"])
+    found = {
+        "no_images": (F.col("n_dates") == 0, "error"), "unpaired": (F.col("n_dates") > F.col("n_pairs"), "warning"), "mismatched": (F.col("n_mismatched") > 0, "warning"),
+        "no_tabular": (F.col("tab_level").isNull(), "error"), "fallback": (F.col("tab_level") == "none", "warning"), "no_boundary": (F.col("boundary").isNull(), "info"),
+    }
+    issues = F.array_compact(F.array(*(F.when(rule, name) for name, (rule, _) in found.items())))
+    severities = F.array_compact(F.array(*(F.when(rule, severity) for rule, severity in found.values())))
+    accepted = ~F.exists(severities, lambda s: s.isin("critical", "error"))
+    return rows.select(key, "year", "season", "boundary", "tab_level", *carry, "n_dates", "n_pairs", "n_mismatched", "first_day", F.array_join(issues, ",").alias("issues"), filters.quality_score(severities).cast("int").alias("quality"), accepted.alias("accepted"))

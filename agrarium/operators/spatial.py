@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from functools import reduce
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -40,6 +41,50 @@ def nearest(points: DataFrame, places: DataFrame, key: str, place_key: str, k: i
     return within_radius(points, places, km, **columns).withColumn("rank", rank).where(F.col("rank") <= k)
 
 
+def nearest_degrees(points: DataFrame, places: DataFrame, key: str, place_key: str, k: int, size: float = 4.0) -> DataFrame:
+    """The ``k`` nearest places of each point by plain distance in degrees, however far, with rank and degrees; ties to the smaller place key.
+
+    Points (key, lon, lat) meet places (place_key, place_lon, place_lat) of
+    their grid cell and the eight around it; a point that has ``k`` within a
+    cell's width is done, the others go on with cells four times as wide.
+    """
+    d = F.sqrt(F.pow(F.col("lon") - F.col("place_lon"), 2) + F.pow(F.col("lat") - F.col("place_lat"), 2))
+    by = Window.partitionBy(key).orderBy("degrees", place_key)
+    left, out = points.select(key, "lon", "lat").where("lon IS NOT NULL AND lat IS NOT NULL"), []
+    while True:
+        everywhere = size >= 360
+        near = lambda c: F.explode(F.transform(F.array(*map(F.lit, (-1, 0, 1))), lambda i: cell(F.col(c), size) + i))  # noqa: E731, B023
+        asked = left.withColumn("_x", near("lon")).withColumn("_y", near("lat"))
+        offered = places.withColumn("_x", cell(F.col("place_lon"), size)).withColumn("_y", cell(F.col("place_lat"), size))
+        found = asked.join(offered, ["_x", "_y"]).withColumn("degrees", d).where(F.lit(everywhere) | (F.col("degrees") <= size))
+        found = found.select(key, place_key, "degrees", F.row_number().over(by).alias("rank")).where(F.col("rank") <= k)
+        if not everywhere:
+            found = found.withColumn("_n", F.max("rank").over(Window.partitionBy(key))).where(F.col("_n") >= k).drop("_n")
+        found = saved(found)
+        out.append(found)
+        left = saved(left.join(found.select(key).distinct(), key, "left_anti"))
+        if everywhere or left.isEmpty():
+            return reduce(DataFrame.unionByName, out)
+        size *= 4
+
+
+def smallest_boxes(points: DataFrame, boxes: DataFrame, key: str, level: str, name: str, levels: list[str], size: float = 10.0) -> DataFrame:
+    """(key, one column per level, deepest): the name of the smallest box of each level that holds the point, ties to the smaller name.
+
+    ``boxes`` (level, name, min_lon, max_lon, min_lat, max_lat) are spread over
+    grid cells; ``levels`` go from the deepest up, and the deepest one found
+    stands in ``deepest``.
+    """
+    spread = boxes.withColumn("_x", F.explode(F.sequence(cell(F.col("min_lon"), size), cell(F.col("max_lon"), size)))).withColumn("_y", F.explode(F.sequence(cell(F.col("min_lat"), size), cell(F.col("max_lat"), size))))
+    asked = points.withColumn("_x", cell(F.col("lon"), size)).withColumn("_y", cell(F.col("lat"), size))
+    inside = F.col("lon").between(F.col("min_lon"), F.col("max_lon")) & F.col("lat").between(F.col("min_lat"), F.col("max_lat"))
+    area = (F.col("max_lon") - F.col("min_lon")) * (F.col("max_lat") - F.col("min_lat"))
+    hits = asked.join(spread, ["_x", "_y"]).where(inside)
+    best = [F.min(F.when(F.col(level) == x, F.struct(area.alias("area"), F.col(name).alias("name"))))["name"].alias(x) for x in levels]
+    wide = points.select(key).join(hits.groupBy(key).agg(*best), key, "left")
+    return wide.withColumn("deepest", F.coalesce(*(F.col(x) for x in levels)))
+
+
 def containing(points: DataFrame, shapes: DataFrame, lon: str = "lon", lat: str = "lat", ring: str = "ring", size: float = 1.0) -> DataFrame:
     """All (point, shape) with the point in the shape's ring; boxes are spread over grid cells, then rings decide."""
     cells = lambda lo, hi: F.sequence(cell(F.col(lo), size), cell(F.col(hi), size))

@@ -98,6 +98,30 @@ def ordered_sample(df: DataFrame, key: str, n: int, seed: int = 42) -> DataFrame
     return df.orderBy(mark(F.col(key), seed), key).limit(n)
 
 
+def holdout(df: DataFrame, key: str, share: float, seed: int = 42) -> DataFrame:
+    """``held_out``: max(1, round(n * share)) rows of the least marks."""
+    own = mark(F.col(key), seed)
+    least = F.greatest(F.lit(1), F.round(F.lit(df.count()) * share))
+    return global_rank(df, [own, F.col(key)], F.floor(own / 2**20)).withColumn("held_out", F.col("_rank") <= least).drop("_rank")
+
+
+def last_values(df: DataFrame, column: str, share: float) -> DataFrame:
+    """The last max(1, round(n * share)) of a column's distinct values, which are few."""
+    values = df.select(column).where(F.col(column).isNotNull()).distinct()
+    n = values.count()
+    return values.orderBy(F.desc(column)).limit(max(1, int(n * share + 0.5)))
+
+
+def drawn(df: DataFrame, key: str, n: int, seed: int = 42) -> DataFrame:
+    """``n`` draws with replacement: (draw, row's columns); a draw's row is told by a rank from the draw's own mark."""
+    ranked = global_rank(df, [mark(F.col(key), seed), F.col(key)], F.floor(mark(F.col(key), seed) / 2**20))
+    total = df.count()
+    if not total:
+        return ranked.select(F.lit(0).cast("long").alias("draw"), *df.columns).limit(0)
+    draws = df.sparkSession.range(n).select(F.col("id").alias("draw"), (F.pmod(mark(F.col("id") + 1, seed), F.lit(total)) + 1).alias("_rank"))
+    return draws.join(ranked, "_rank").drop("_rank")
+
+
 def bootstrap(df: DataFrame, fraction: float, seed: int = 42) -> DataFrame:
     return df.sample(withReplacement=True, fraction=fraction, seed=seed)
 
