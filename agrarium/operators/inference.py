@@ -25,6 +25,11 @@ def batch_predict(df: DataFrame, key: str, vector: str, model: Callable[[], Call
     return df.select(key, vector).where(F.col(vector).isNotNull()).mapInPandas(run, f"{key} {kind}, prediction double")
 
 
+def linear(vector: Column, weights: Column, bias: float = 0.0) -> Column:
+    """A linear model's prediction of an array, as an expression."""
+    return F.aggregate(F.zip_with(vector, weights, lambda x, w: x.cast("double") * w), F.lit(bias), lambda s, x: s + x)
+
+
 def counterfactuals(df: DataFrame, keys: list[str], changes: dict[str, tuple[str, str, float]], score: Callable[[Callable[[str], Column]], Column]) -> DataFrame:
     """(keys, change, effect): how a score moves when one feature is set, added to or multiplied; rows are read once."""
     base = score(F.col)

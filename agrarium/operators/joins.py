@@ -42,16 +42,24 @@ def interval_join(facts: DataFrame, date: str, windows: DataFrame, start: str =
 def nearest_date(left: DataFrame, right: DataFrame, key: str, left_date: str, right_date: str, left_id: str, carry: list[str]) -> DataFrame:
     """For each row of ``left`` the ``carry`` columns of ``right`` with the nearest date of the same key, ties to the earlier one.
 
-    Both tables go through one sort by key and date; the last right row before
-    and the first after are carried along, so pairs are never multiplied.
+    Both tables go through one sort by key, month and date; the last right row
+    before and the first after are carried along, so pairs are never multiplied.
+    What other months hold comes from one row for each key and month, so that a
+    hot key's rows don't meet in one task. Rows without key or date are left out.
     """
     cols = [right_date, *(c for c in carry if c != right_date)]
     mark = F.struct(*(F.col(c) for c in cols))
     rows = left.select(F.col(key), F.col(left_date).alias("_at"), F.lit(1).alias("_left"), F.struct(*left.columns).alias("_row"), F.lit(None).cast(right.select(mark).schema[0].dataType).alias("_mark"))
     marks = right.where(F.col(right_date).isNotNull()).select(F.col(key), F.col(right_date).alias("_at"), F.lit(0).alias("_left"), F.lit(None).cast(left.select(F.struct(*left.columns)).schema[0].dataType).alias("_row"), mark.alias("_mark"))
-    order = Window.partitionBy(key).orderBy("_at", "_left", F.col("_mark"))
-    back = Window.partitionBy(key).orderBy(F.col("_at").desc(), F.col("_left"), F.col("_mark").desc())
-    both = rows.unionByName(marks).withColumn("_before", F.last("_mark", ignorenulls=True).over(order)).withColumn("_after", F.last("_mark", ignorenulls=True).over(back)).where("_left = 1")
+    both = rows.unionByName(marks).where(F.col(key).isNotNull() & F.col("_at").isNotNull()).withColumn("_month", F.date_trunc("month", "_at"))
+    ends = both.groupBy(key, "_month").agg(F.max("_mark").alias("_last"), F.min("_mark").alias("_first"))
+    earlier = Window.partitionBy(key).orderBy("_month").rowsBetween(Window.unboundedPreceding, -1)
+    later = Window.partitionBy(key).orderBy(F.desc("_month")).rowsBetween(Window.unboundedPreceding, -1)
+    edges = ends.select(key, "_month", F.last("_last", ignorenulls=True).over(earlier).alias("_prev"), F.last("_first", ignorenulls=True).over(later).alias("_next"))
+    order = Window.partitionBy(key, "_month").orderBy("_at", "_left", F.col("_mark"))
+    back = Window.partitionBy(key, "_month").orderBy(F.col("_at").desc(), F.col("_left"), F.col("_mark").desc())
+    both = both.withColumn("_before", F.last("_mark", ignorenulls=True).over(order)).withColumn("_after", F.last("_mark", ignorenulls=True).over(back)).where("_left = 1")
+    both = both.join(edges, [key, "_month"]).withColumns({"_before": F.coalesce("_before", "_prev"), "_after": F.coalesce("_after", "_next")})
     gap = lambda c: F.abs(F.unix_micros(F.col("_at").cast("timestamp")) - F.unix_micros(F.col(f"{c}.{right_date}").cast("timestamp")))
     best = F.when(F.col("_after").isNull() | (gap("_before") <= gap("_after")), F.col("_before")).otherwise(F.coalesce("_after", "_before"))
     found = both.withColumn("_best", best).where("_best IS NOT NULL")

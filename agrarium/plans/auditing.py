@@ -151,15 +151,15 @@ def multiclass_averages(spark: SparkSession, d: str) -> DataFrame:
     return found.select(*(F.round(c, 6).alias(c) for c in ("balanced_accuracy", "macro_f1", "weighted_f1", "accuracy")))
 
 
-@query("WITH r AS (SELECT vec_id, label, list_transform(embedding[1:10], lambda x: CAST(x AS DOUBLE)) AS v FROM embeddings), k AS (SELECT label, list_transform(list_sort(list_transform(range(1, 11), lambda i: {'n': -v[i], 'i': i - 1}))[1:3], lambda s: s.i) AS top FROM r) SELECT round(avg(CASE WHEN list_contains(top, label) THEN 1 ELSE 0 END), 6) AS accuracy, count(*) AS n FROM k")
+@query("WITH r AS (SELECT vec_id, label, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS v FROM embeddings), k AS (SELECT label, list_transform(list_sort(list_transform(range(1, len(v) + 1), lambda i: {'n': -v[i], 'i': i - 1}))[1:3], lambda s: s.i) AS top FROM r) SELECT round(avg(CASE WHEN list_contains(top, label) THEN 1 ELSE 0 END), 6) AS accuracy, count(*) AS n FROM k")
 def topk_accuracy(spark: SparkSession, d: str) -> DataFrame:
-    rows = table(spark, d, "embeddings").select("label", arrays.softmax(F.slice("embedding", 1, 10)).alias("p"))
+    rows = table(spark, d, "embeddings").select("label", arrays.softmax(F.col("embedding")).alias("p"))
     return evaluation.top_k_accuracy(rows, "p", "label", 3).withColumn("accuracy", F.round("accuracy", 6))
 
 
-@query("WITH r AS (SELECT vec_id, list_transform(embedding[1:10], lambda x: exp(CAST(x AS DOUBLE))) AS v FROM embeddings), s AS (SELECT vec_id, list_transform(v, lambda x: x / list_sum(v)) AS p FROM r) SELECT vec_id, round(list_sum(list_transform(p, lambda x: -x * log2(x))), 6) AS bits, round(list_max(p), 6) AS top FROM s")
+@query("WITH r AS (SELECT vec_id, list_transform(embedding, lambda x: exp(CAST(x AS DOUBLE))) AS v FROM embeddings), s AS (SELECT vec_id, list_transform(v, lambda x: x / list_sum(v)) AS p FROM r) SELECT vec_id, round(list_sum(list_transform(p, lambda x: -x * log2(x))), 6) AS bits, round(list_max(p), 6) AS top FROM s")
 def entropy_and_top(spark: SparkSession, d: str) -> DataFrame:
-    rows = table(spark, d, "embeddings").select("vec_id", arrays.softmax(F.slice("embedding", 1, 10)).alias("p"))
+    rows = table(spark, d, "embeddings").select("vec_id", arrays.softmax(F.col("embedding")).alias("p"))
     return rows.select("vec_id", F.round(arrays.entropy(F.col("p")), 6).alias("bits"), F.round(arrays.top_classes(F.col("p"), 3)[0]["p"], 6).alias("top"))
 
 

@@ -52,13 +52,12 @@ def counterfactual(spark: SparkSession, d: str) -> DataFrame:
     return found.withColumn("effect", F.round("effect", 4))
 
 
-@query()
+@query("SELECT vec_id, round(list_sum(list_transform(range(1, len(embedding) + 1), lambda i: CAST(embedding[i] AS DOUBLE) * cos(CAST(i - 1 AS DOUBLE)))), 6) AS prediction FROM embeddings WHERE embedding IS NOT NULL")
 def batch_scores(spark: SparkSession, d: str) -> DataFrame:
-    """A linear model over embeddings, in batches."""
-    import numpy as np
-
-    weights = np.cos(np.arange(64.0))
-    return inference.batch_predict(table(spark, d, "embeddings").select("vec_id", "embedding"), "vec_id", "embedding", lambda: lambda x: x @ weights, 64)
+    """A linear model over embeddings."""
+    weights = F.transform(F.sequence(F.lit(0), F.size("embedding") - 1), lambda i: F.cos(i.cast("double")))
+    rows = table(spark, d, "embeddings").where(F.col("embedding").isNotNull())
+    return rows.select("vec_id", F.round(inference.linear(F.col("embedding"), weights), 6).alias("prediction"))
 
 
 @query("SELECT feature, round(avg(abs(v * w)), 6) AS importance FROM (SELECT unnest(range(0, 64)) AS feature, unnest(list_transform(embedding, lambda x: CAST(x AS DOUBLE))) AS v, cos(CAST(unnest(range(0, 64)) AS DOUBLE)) AS w FROM embeddings) GROUP BY 1")
