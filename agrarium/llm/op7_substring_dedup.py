@@ -7,8 +7,9 @@ one of the document's anchors, so parsing against those is parsing against all.
 A segment whose whole context stands in its block again is a factor at once.
 Any other is parsed word by word: each factor is extended to its longest, and
 where it ends the windows across its boundary are looked up in the block's
-index. Factors of at least a window are repeats. Segments of anchors too common
-for one block aren't parsed; their windows are counted by hash.
+index. Factors of at least a window are repeats. Segments too many for one block
+even by what stands around their anchor aren't parsed; their windows are
+counted by hash.
 """
 
 from __future__ import annotations
@@ -21,7 +22,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from agrarium.llm.repeats import BASES, Rolling, blocks_of, covered, least_places, mix, spans
+from agrarium.llm.repeats import BASES, Rolling, blocks_of, covered, least_places, mix, spans, window_hashes
 from agrarium.llm.rows import KEY, flat_map, packed, unpacker, with_row_key
 
 GRAM = 8
@@ -33,13 +34,7 @@ def words_of(text: str | None) -> list[bytes]:
 
 
 def word_units() -> Callable[[str | None], np.ndarray]:
-    from xxhash import xxh3_64_intdigest
-
-    def of(text: str | None) -> np.ndarray:
-        words = words_of(text)
-        return np.fromiter(map(xxh3_64_intdigest, words), np.uint64, len(words))
-
-    return of
+    return lambda text: _units(words_of(text))
 
 
 def segment_words(window: int) -> Callable:
@@ -59,20 +54,14 @@ def segment_words(window: int) -> Callable:
     return make
 
 
-def window_hashes(window: int) -> Callable:
-    def make() -> Callable[[bytes], np.ndarray]:
-        cache: dict = {}
-        return lambda raw: _window_hashes(raw.split(b" "), window, cache)
-
-    return make
+def word_parts() -> tuple[Callable, Callable]:
+    return lambda d: _units(d.split(b" ")), lambda d, lo, hi: b" ".join(d.split(b" ")[lo:hi])
 
 
-def _window_hashes(words: list[bytes], window: int, cache: dict) -> np.ndarray:
+def _units(words: list[bytes]) -> np.ndarray:
     from xxhash import xxh3_64_intdigest
 
-    x = np.fromiter(map(xxh3_64_intdigest, words), np.uint64, len(words))
-    one, two = (Rolling(x, b, cache) for b in BASES)
-    return mix(one.grams(window) ^ (two.grams(window) >> np.uint64(1)))
+    return np.fromiter(map(xxh3_64_intdigest, words), np.uint64, len(words))
 
 
 class Reference:
@@ -89,7 +78,7 @@ class Reference:
         count, place = t.column("count").to_numpy(), t.column("place").to_numpy()
         lengths = np.fromiter(map(len, self.words), np.int64, len(self.words))
         begin = np.cumsum(lengths) - lengths
-        hashes = _window_hashes(list(chain.from_iterable(self.words)), window, {})
+        hashes = window_hashes(_units(list(chain.from_iterable(self.words))), window, {})
         self.row = np.repeat(np.arange(len(count)), count)
         self.base = np.cumsum(count) - count
         self.inside = np.arange(len(self.row)) - self.base[self.row]
@@ -162,7 +151,7 @@ def greedy_factors(window: int) -> Callable[[pa.Table], Iterator[tuple]]:
 
 def repeated_words(docs: DataFrame, window: int = 35, most: int = 1_024) -> DataFrame:
     """(row_key, row_key2, starts, ends): ranges of words that repeated windows cover, from ``with_row_key`` rows."""
-    return spans(docs, word_units, window, GRAM, segment_words(window), greedy_factors(window), window_hashes(window), most)
+    return spans(docs, word_units, window, GRAM, segment_words(window), greedy_factors(window), word_parts, most)
 
 
 def digests(docs: DataFrame, window: int = 35, most: int = 1_024) -> DataFrame:

@@ -124,21 +124,14 @@ def _compare(window: int, block: np.ndarray, start: np.ndarray, count: np.ndarra
         yield *(k[r] for k in keys), start[r] + place[r] - high, start[r] + place[r] - low
 
 
-def window_hashes(window: int) -> Callable:
-    def make() -> Callable[[bytes], np.ndarray]:
-        table, cache = byte_table(), {}
-
-        def of(raw: bytes) -> np.ndarray:
-            return Rolling(table[np.frombuffer(raw, np.uint8)], BASES[1], cache).grams(window)
-
-        return of
-
-    return make
+def byte_parts() -> tuple[Callable, Callable]:
+    table = byte_table()
+    return lambda d: table[np.frombuffer(d, np.uint8)], lambda d, lo, hi: d[lo:hi]
 
 
 def repeated_bytes(docs: DataFrame, window: int = 200, most: int = 1_024) -> DataFrame:
     """(row_key, row_key2, starts, ends): ranges of UTF-8 bytes that repeated windows cover, from ``with_row_key`` rows."""
-    return spans(docs, byte_units, window, GRAM, segment_bytes(window), maximal_repeats(window), window_hashes(window), most)
+    return spans(docs, byte_units, window, GRAM, segment_bytes(window), maximal_repeats(window), byte_parts, most)
 
 
 def digests(docs: DataFrame, window: int = 200, most: int = 1_024) -> DataFrame:

@@ -9,14 +9,15 @@ whose whole context occurs again is repeated throughout. Only segments that
 share an anchor but not their context, where a repeat begins or ends, have to
 be looked into: one occurrence of each context goes to the block of its
 anchor, where a function of the operator compares it with every other context.
-Contexts of anchors that have too many for one block are dealt out instead, and
-their windows are counted by hash, combined before the shuffle.
+Contexts of anchors that have too many for one block go to blocks of their own
+by what stands around the anchor.
 """
 
 from __future__ import annotations
 
 import math
 from collections.abc import Callable, Iterator
+from itertools import pairwise
 
 import numpy as np
 import pyarrow as pa
@@ -127,16 +128,16 @@ def segment_rows(docs: DataFrame, units: Callable[[], Callable[[str | None], np.
     return docs.select(*KEY, "text").mapInArrow(run, SEGMENTS)
 
 
-def spans(docs: DataFrame, units: Callable, window: int, gram: int, detail: Callable, compare: Callable[[pa.Table], Iterator[tuple]], windows: Callable[[], Callable[[bytes], np.ndarray]], most: int = 1_024) -> DataFrame:
+def spans(docs: DataFrame, units: Callable, window: int, gram: int, detail: Callable, compare: Callable[[pa.Table], Iterator[tuple]], parts: Callable[[], tuple[Callable, Callable]], most: int = 1_024) -> DataFrame:
     """(row_key, row_key2, starts, ends): unit ranges that repeated windows cover, for each document that has any.
 
     ``detail()`` returns a function from (text, [(start, count), ...]) to the
     places of the anchors and binary details of those segments. ``compare``
     takes rows of DETAILS, whole blocks in order, and yields arrays (row_key,
     row_key2, first, last): windows of single contexts that another context of
-    the block holds too. ``windows()`` returns a function from a detail to the
-    hashes of its windows. At most ``most`` contexts of an anchor meet in a
-    block; an anchor with more is settled window by window.
+    the block holds too. ``parts()`` returns functions from a detail to its
+    units, and from (detail, start, end) to the detail of a part. At most
+    ``most`` contexts meet in a block; an anchor with more is split by content.
     """
     rows = saved(segment_rows(docs, units, window, gram))
     again = saved(_repeated_anchors(rows))
@@ -149,7 +150,7 @@ def spans(docs: DataFrame, units: Callable, window: int, gram: int, detail: Call
     rest = marked.where("common IS NULL").join(twice, ["anchor", "context"])
     whole = again.where("NOT mixed").unionByName(marked.where("common").unionByName(rest).drop("common"))
     covered = whole.select(*KEY, F.col("start").alias("first"), (F.col("start") + F.col("count") - 1).alias("last"))
-    looked = covered.unionByName(_blocks(docs, contexts, detail, compare, windows, most))
+    looked = covered.unionByName(_blocks(docs, contexts, detail, compare, parts, window, gram, most))
     return looked.groupBy(*KEY).agg(F.collect_list("first").alias("starts"), F.collect_list(F.col("last") + window).alias("ends"))
 
 
@@ -175,51 +176,95 @@ def _repeated_anchors(rows: DataFrame) -> DataFrame:
     return calm.unionByName(rest.join(anchors, "anchor").select(*calm.columns))
 
 
-def _blocks(docs: DataFrame, contexts: DataFrame, detail: Callable, compare: Callable, windows: Callable, most: int) -> DataFrame:
-    """(row_key, row_key2, first, last) of windows that two contexts of an anchor share."""
-    chunks = F.ceil(F.col("n") / most).cast("int")
-    crowds = saved(contexts.groupBy("anchor").agg(F.count("*").alias("n")).where(F.col("n") > most).select("anchor", chunks.alias("chunks")))
-    # Contexts of crowded anchors are dealt out; those of others stay together, as deal 0.
-    deal = F.coalesce(F.pmod("context", "chunks").cast("int") + 1, F.lit(0))
-    wanted = contexts.join(crowds, "anchor", "left").groupBy(*KEY).agg(F.collect_list(F.struct("anchor", deal.alias("deal"), "context", "start", "count", "times")).alias("wanted"))
+def _blocks(docs: DataFrame, contexts: DataFrame, detail: Callable, compare: Callable, parts: Callable, window: int, gram: int, most: int) -> DataFrame:
+    """(row_key, row_key2, first, last) of windows that two contexts of an anchor share.
+
+    Contexts of an anchor with too many go to blocks of quarters instead: the
+    windows of a quarter have that share of places before the anchor, so that
+    all hold the units around it that are in every one of them, and those units
+    name the block. A block of one context is done; one with too many even so
+    has its windows counted by hash, combined before the shuffle.
+    """
+    crowds = saved(contexts.groupBy("anchor").agg(F.count("*").alias("n")).where(F.col("n") > most).select("anchor", F.lit(1).alias("crowd")))
+    wanted = contexts.join(crowds, "anchor", "left").groupBy(*KEY).agg(F.collect_list(F.struct("anchor", F.coalesce("crowd", F.lit(0)).alias("deal"), "context", "start", "count", "times")).alias("wanted"))
 
     def make() -> Callable:
-        of, unpack = detail(), unpacker()
+        of, unpack, (units, cut) = detail(), unpacker(), parts()
+        cache: dict = {}
 
         def each(key: int, key2: int, pack: bytes | None, wanted_: list) -> list[tuple]:
+            out = []
             found = of(unpack(pack), [(w["start"], w["count"]) for w in wanted_])
-            return [(w["anchor"], w["deal"], w["context"], key, key2, w["start"], w["count"], place, w["times"], d) for w, (place, d) in zip(wanted_, found, strict=True)]
+            for w, (place, d) in zip(wanted_, found, strict=True):
+                if not w["deal"]:
+                    out.append((w["anchor"], 0, w["context"], key, key2, w["start"], w["count"], place, w["times"], d))
+                    continue
+                for name, lo, hi in quarters(units(d), w["anchor"], place, w["count"], window, gram, cache):
+                    out.append((name, 1, w["context"], key, key2, w["start"] + lo, hi - lo, place - lo, w["times"], cut(d, lo, hi - 1 + window)))
+            return out
 
         return each
 
     details = flat_map(packed(docs).join(wanted, KEY).select(*KEY, "packed", "wanted"), make, DETAILS, batch=10_000)
-    schema = "anchor long, hash long, row_key long, row_key2 long, first int, last int"
+    if crowds.isEmpty():
+        return _compared(details, compare)
+    details = saved(details)
+    quartered = details.where("deal > 0")
+    sizes = saved(quartered.groupBy("anchor").agg(F.count("*").alias("n")).where("n > 1"))
+    sized = quartered.join(sizes, "anchor")
+    met = _compared(details.where("deal = 0").unionByName(sized.where(F.col("n") <= most).drop("n")), compare)
+    hashed = saved(_window_rows(sized.where(F.col("n") > most), parts, window))
+    shared = saved(hashed.groupBy("anchor", "hash").agg(F.count("*").alias("n")).where("n > 1").select("anchor", "hash"))
+    return met.unionByName(hashed.join(shared, ["anchor", "hash"]).select(*KEY, "first", F.col("first").alias("last")))
+
+
+def quarters(units: np.ndarray, anchor: int, place: int, count: int, window: int, gram: int, cache: dict) -> Iterator[tuple[int, int, int]]:
+    """(name, first, end) of the parts of a segment's windows: by quarters of the places before the anchor, named by the units that all windows of a quarter hold."""
+    one, two = (Rolling(units, b, cache) for b in BASES)
+    bounds = [q * (window - gram + 1) // 4 for q in range(5)]
+    for q, (least, end) in enumerate(pairwise(bounds)):
+        lo, hi = max(0, place - end + 1), min(count, place - least + 1)
+        if lo < hi:
+            a, b = np.array([place - least]), np.array([place + window - end + 1])
+            held = one.of(a, b) ^ (two.of(a, b) >> np.uint64(1)) ^ mix(np.array([anchor]).astype(np.uint64) + np.uint64(q))
+            yield int(mix(held).view(np.int64)[0]), lo, hi
+
+
+def _compared(details: DataFrame, compare: Callable) -> DataFrame:
+    schema = "row_key long, row_key2 long, first int, last int"
     arrow = to_arrow_schema(T._parse_datatype_string(schema))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes = windows()
-        for t in whole_groups(batches, 2, 20_000):
-            dealt = t.column("deal").to_numpy() > 0
-            if not dealt.all():
-                for found in compare(t.filter(pa.array(~dealt))):
-                    none = pa.nulls(len(found[0]), pa.int64())
-                    yield arrays_of([none, none, *found], arrow)
-            crowd = t.filter(pa.array(dealt))
-            for lo in range(0, crowd.num_rows, 1_000):
-                part = crowd.slice(lo, 1_000)
-                count = part.column("count").to_numpy()
+        for t in whole_groups(batches, 1, 20_000):
+            for found in compare(t):
+                yield arrays_of(found, arrow)
+
+    return details.repartition("anchor").sortWithinPartitions("anchor", "context", *KEY).mapInArrow(run, schema)
+
+
+def _window_rows(details: DataFrame, parts: Callable, window: int) -> DataFrame:
+    """(anchor, hash, row_key, row_key2, first) of each window of each context."""
+    schema = "anchor long, hash long, row_key long, row_key2 long, first int"
+    arrow = to_arrow_schema(T._parse_datatype_string(schema))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        (units, _), cache = parts(), {}
+        for b in batches:
+            for lo in range(0, b.num_rows, 1_000):
+                part = b.slice(lo, 1_000)
+                columns = {name: part.column(i) for i, name in enumerate(part.schema.names)}
+                count = columns["count"].to_numpy()
                 row = np.repeat(np.arange(len(count)), count)
-                first = part.column("start").to_numpy()[row] + np.arange(len(row)) - np.repeat(np.cumsum(count) - count, count)
-                own = np.concatenate([hashes(d) for d in part.column("detail").to_pylist()]).view(np.int64)
-                yield arrays_of([part.column("anchor").to_numpy()[row], own, *(part.column(k).to_numpy()[row] for k in KEY), first, first], arrow)
+                first = columns["start"].to_numpy()[row] + np.arange(len(row)) - np.repeat(np.cumsum(count) - count, count)
+                own = np.concatenate([window_hashes(units(d), window, cache) for d in columns["detail"].to_pylist()]).view(np.int64)
+                yield arrays_of([columns["anchor"].to_numpy()[row], own, *(columns[k].to_numpy()[row] for k in KEY), first], arrow)
 
-    met = details.repartition("anchor", "deal").sortWithinPartitions("anchor", "deal", "context").mapInArrow(run, schema)
-    if crowds.isEmpty():
-        return met.select(*KEY, "first", "last")
-    met = saved(met)
-    single = met.where("hash IS NOT NULL")
-    shared = saved(single.groupBy("anchor", "hash").agg(F.count("*").alias("n")).where("n > 1").select("anchor", "hash"))
-    return met.where("hash IS NULL").unionByName(single.join(shared, ["anchor", "hash"])).select(*KEY, "first", "last")
+    return details.select("anchor", "start", "count", *KEY, "detail").mapInArrow(run, schema)
+
+
+def window_hashes(units: np.ndarray, window: int, cache: dict) -> np.ndarray:
+    one, two = (Rolling(units, b, cache) for b in BASES)
+    return mix(one.grams(window) ^ (two.grams(window) >> np.uint64(1)))
 
 
 def blocks_of(t: pa.Table) -> np.ndarray:
