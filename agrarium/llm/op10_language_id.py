@@ -124,7 +124,7 @@ class Parser:
             parts.append(moved.ravel().astype(np.int32 if (size + len(moves)) * width < 1 << 31 else np.int64))
             roots.append(size * width)
             size += len(moves)
-        self.table = np.concatenate(parts)
+        self.table = np.concatenate(parts) if parts else np.zeros(0, np.int32)
         self.roots = np.array(roots, self.table.dtype)
         #: Bits of a phrase: those that name a place in the labelled text.
         self.bits = np.log2([len(data) for _, data in texts])
