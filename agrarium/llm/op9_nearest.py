@@ -135,7 +135,7 @@ def with_state(graph: DataFrame, k: int) -> DataFrame:
     return flat_map(graph.select("node", "code", "near", "score"), make, "a long, code binary, least float, seen binary")
 
 
-def neighbour_graph(codes: DataFrame, k: int = 30, share: float = 0.001, pool: int = 15, most: int = 6, bucket: int = 64) -> DataFrame:
+def neighbour_graph(codes: DataFrame, k: int = 30, share: float = 0.001, pool: int = 30, most: int = 12, bucket: int = 64) -> DataFrame:
     """(node, near, score) by NN-descent over (node, code).
 
     It starts from the best of some random buckets of about ``bucket`` nodes. A round's pool is
@@ -203,18 +203,21 @@ def greedy_search(graph: DataFrame, codes: DataFrame, queries: DataFrame, beam:
     arrow = to_arrow_schema(T._parse_datatype_string(schema))
 
     def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            lists = b.column(3)
-            near = lists.flatten()
-            x, ids = decode(near.field(1)), near.field(0).to_numpy(zero_copy_only=False)
-            own = decode(b.column(1))
-            row = np.repeat(np.arange(b.num_rows), np.diff(lists.offsets.to_numpy()))
-            if not len(row):
-                continue
-            # A query has no further component.
-            s = np.einsum("ij,ij->i", x[:, :-1], own[row, :-1])
-            better = s > b.column(2).to_numpy()[row]
-            yield arrays_of([b.column(0).to_numpy()[row[better]], ids[better], s[better]], arrow)
+        for batch in batches:
+            # A row holds some dozens of vectors.
+            for lo in range(0, batch.num_rows, 500):
+                b = batch.slice(lo, 500)
+                lists = b.column(3)
+                near = lists.flatten()
+                x, ids = decode(near.field(1)), near.field(0).to_numpy(zero_copy_only=False)
+                own = decode(b.column(1))
+                row = np.repeat(np.arange(b.num_rows), np.diff(lists.offsets.to_numpy()))
+                if not len(row):
+                    continue
+                # A query has no further component.
+                s = np.einsum("ij,ij->i", x[:, :-1], own[row, :-1])
+                better = s > b.column(2).to_numpy()[row]
+                yield arrays_of([b.column(0).to_numpy()[row[better]], ids[better], s[better]], arrow)
 
     first = True
     while True:
