@@ -88,3 +88,17 @@ covered AS (SELECT doc_id, word, pos, bool_or(dup) OVER (PARTITION BY doc_id ORD
 kept AS (SELECT doc_id, count(*) AS n_words, count(*) FILTER (gone) AS n_removed, string_agg(word, ' ' ORDER BY pos) FILTER (NOT gone) AS text FROM covered GROUP BY 1)
 SELECT doc_id, coalesce(n_words, 0) AS n_words, coalesce(n_removed, 0) AS n_removed, sha256(coalesce(kept.text, '')) AS kept_sha256 FROM documents LEFT JOIN kept USING (doc_id)
 """
+# Texts as hexadecimal digits, two a byte, in blocks of 256 bytes and the 200 after them.
+ORACLES["op8_suffix_dedup"] = r"""
+WITH raw AS (SELECT doc_id, lower(hex(encode(coalesce(text, '')))) AS x FROM documents),
+blocks AS (SELECT doc_id, x, length(x) // 2 AS n, unnest(range(0, length(x) // 2, 256)) AS b FROM raw),
+pieces AS (SELECT doc_id, n, b, substr(x, 2 * b + 1, 912) AS x FROM blocks),
+places AS (SELECT doc_id, n, b, x, unnest(range(0, least(256, n - b))) AS i FROM pieces),
+windows AS (SELECT doc_id, b + i AS p, substr(x, 2 * i + 1, 2) AS byte, CASE WHEN b + i + 200 <= n THEN md5_number(substr(x, 2 * i + 1, 400)) END AS g FROM places),
+again AS (SELECT g FROM windows WHERE g IS NOT NULL GROUP BY 1 HAVING count(*) > 1),
+marked AS (SELECT doc_id, p, byte, CASE WHEN g IN (SELECT g FROM again) THEN p END AS start FROM windows),
+covered AS (SELECT doc_id, p, byte, coalesce(p - max(start) OVER (PARTITION BY doc_id ORDER BY p ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) < 200, false) AS gone FROM marked),
+edges AS (SELECT *, gone AND NOT coalesce(lag(gone) OVER (PARTITION BY doc_id ORDER BY p), false) AS opens FROM covered),
+kept AS (SELECT doc_id, count(*) AS n_bytes, count(*) FILTER (gone) AS n_removed, count(*) FILTER (opens) AS n_spans, string_agg(byte, '' ORDER BY p) FILTER (NOT gone) AS rest FROM edges GROUP BY 1)
+SELECT doc_id, coalesce(n_bytes, 0) AS n_bytes, coalesce(n_removed, 0) AS n_removed, coalesce(n_spans, 0) AS n_spans, sha256(unhex(coalesce(rest, ''))) AS kept_sha256 FROM documents LEFT JOIN kept USING (doc_id)
+"""
