@@ -115,6 +115,13 @@ def csv_scan(spark: SparkSession, d: str) -> DataFrame:
     return rows.where("c_acctbal > 0")
 
 
+@query("SELECT CAST(o_orderkey AS VARCHAR) AS o_orderkey, o_orderstatus FROM orders ORDER BY orders.o_orderkey DESC LIMIT 5")
+def csv_preview(spark: SparkSession, d: str) -> DataFrame:
+    """The last five orders of a CSV table, as text."""
+    rows = csvs.scan(spark, f"{_written(spark, d, 'orders')}/orders.csv", columns=["o_orderkey", "o_orderstatus"])
+    return rows.orderBy(F.desc(F.col("o_orderkey").cast("long"))).limit(5)
+
+
 @query("SELECT 'customer' AS name, count(*) AS n, 5::BIGINT AS columns FROM customer UNION ALL SELECT 'supplier', count(*), 4 FROM supplier UNION ALL SELECT 'orders', count(*), 6 FROM orders")
 def csv_catalog(spark: SparkSession, d: str) -> DataFrame:
     """Row and column counts of CSV tables found below a folder; headers aren't rows."""
