@@ -1,8 +1,9 @@
 """SimHash near-duplicates by a self-join of binary tries.
 
 Fingerprints that differ in at most ``radius`` bits agree on at least one of
-``radius + 1`` bit blocks. Each block in turn leads the fingerprint; equal
-leading blocks form one trie, and Spark deals the tries out. Within a trie,
+``radius + 1`` bit blocks, and of more blocks on more. Each choice of them leads
+the fingerprint in turn; equal leading blocks form one trie, and Spark deals
+the tries out. Leads grow with the number of fingerprints. Within a trie,
 node pairs are traversed together from the root: each level adds a differing
 bit where the branches part, and a pair is dropped once it exceeds the radius.
 Tries with too many fingerprints are split into chunks that meet pairwise, so
@@ -13,6 +14,7 @@ never all pairs.
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
@@ -127,15 +129,32 @@ def _batches(sizes: np.ndarray) -> Iterator[np.ndarray]:
         yield np.flatnonzero(at == k)
 
 
-def links(fps: DataFrame, radius: int = 4, most: int = 20_000) -> DataFrame:
+def deals(n: int, radius: int, most: int, blocks: int | None = None) -> tuple[list[list[tuple[int, int]]], list[int]]:
+    """Orders of a fingerprint's bit blocks (start, width), and how many leading bits are shared within each order's tries.
+
+    Of b blocks, b - radius are equal in fingerprints within the radius; each
+    choice of so many leads in turn. There are radius + 1 blocks, and more where
+    ``n`` fingerprints would make tries of more than ``most`` on average.
+    """
+    b = blocks or radius + 1
+    while True:
+        widths = [BITS // b + (i < BITS % b) for i in range(b)]
+        cut = [(sum(widths[:i]), w) for i, w in enumerate(widths)]
+        chosen = list(combinations(range(b), b - radius))
+        leads = [sum(widths[i] for i in c) for c in chosen]
+        if blocks or n <= most << min(leads) or b >= radius + 4:
+            return [[cut[i] for i in c] + [cut[i] for i in range(b) if i not in c] for c in chosen], leads
+        b += 1
+
+
+def links(fps: DataFrame, radius: int = 4, most: int = 20_000, blocks: int | None = None) -> DataFrame:
     """(a, b) edges between distinct fingerprints (column fp long) whose components equal those of all links within ``radius``.
 
-    ``most`` fingerprints of a trie meet in one task at most twice over.
+    ``most`` fingerprints of a trie meet in one task at most twice over. How
+    many ``blocks`` lead follows from the number of fingerprints unless given.
     """
-    blocks = radius + 1
-    widths = [BITS // blocks + (i < BITS % blocks) for i in range(blocks)]
-    starts = [sum(widths[:i]) for i in range(blocks)]
-    turned = fps.select("fp", F.explode(F.array(*(F.struct(F.lit(i).alias("block"), _rotated("fp", s).alias("turned"), F.shiftrightunsigned(_rotated("fp", s), BITS - w).alias("lead")) for i, (s, w) in enumerate(zip(starts, widths, strict=True))))).alias("x")).select("x.*")
+    orders, leads = deals(fps.count() if blocks is None else 0, radius, most, blocks)
+    turned = fps.select("fp", F.explode(F.array(*(F.struct(F.lit(i).alias("block"), t.alias("turned"), F.shiftrightunsigned(t, BITS - lead).alias("lead")) for i, (order, lead) in enumerate(zip(orders, leads, strict=True)) for t in (_turned("fp", order),)))).alias("x")).select("x.*")
     sizes = saved(turned.groupBy("block", "lead").agg(F.count("*").alias("n")).where("n > 1"))
     rows = turned.join(sizes, ["block", "lead"]).withColumn("chunks", F.ceil(F.col("n") / most))
     own = F.pmod(F.xxhash64("turned"), F.col("chunks"))
@@ -164,11 +183,13 @@ def links(fps: DataFrame, radius: int = 4, most: int = 20_000) -> DataFrame:
             first = (lo, np.where(self_, hi, mid))
             second = (np.where(self_, lo, mid), hi)
             live = (first[1] > first[0]) & (second[1] > second[0])
-            # A trie's leading block is equal; without knowing its width here, the shared bits are skipped by the shortest width.
-            trie_join(values, (first[0][live], first[1][live]), (second[0][live], second[1][live]), min(widths), radius, forest.link)
+            # A trie's leading bits are equal; those that all orders share are skipped.
+            trie_join(values, (first[0][live], first[1][live]), (second[0][live], second[1][live]), min(leads), radius, forest.link)
             moved = np.flatnonzero(forest.root != np.arange(len(values)))
-            back = np.array(starts, np.uint64)[block]
-            whole = np.where(back > 0, (values >> back) | (values << ((np.uint64(BITS) - back) % np.uint64(BITS))), values).astype(np.int64)
+            whole = np.zeros(len(values), np.int64)
+            for k in np.unique(block).tolist():
+                own = block == k
+                whole[own] = _returned(values[own], orders[k]).view(np.int64)
             yield arrays_of([whole[moved], whole[forest.root[moved]]], arrow)
 
     return dealt.mapInArrow(run, schema)
@@ -198,9 +219,24 @@ def whole_groups(batches: Iterator[pa.RecordBatch], keys: int, rows: int) -> Ite
         yield pa.Table.from_batches(held)
 
 
-def _rotated(fp: str, bits: int) -> F.Column:
-    c = F.col(fp)
-    return c if not bits else F.shiftleft(c, bits).bitwiseOR(F.shiftrightunsigned(c, BITS - bits))
+def _turned(fp: str, order: list[tuple[int, int]]) -> F.Column:
+    """The fingerprint with its blocks in ``order``."""
+    out, at = F.lit(0).cast("long"), BITS
+    for start, width in order:
+        at -= width
+        piece = F.shiftrightunsigned(fp, BITS - start - width).bitwiseAND(F.lit((1 << width) - 1))
+        out = out.bitwiseOR(F.shiftleft(piece, at))
+    return out
+
+
+def _returned(turned: np.ndarray, order: list[tuple[int, int]]) -> np.ndarray:
+    """Undoes ``_turned``."""
+    out, at = np.zeros(len(turned), np.uint64), BITS
+    for start, width in order:
+        at -= width
+        piece = (turned >> np.uint64(at)) & np.uint64((1 << width) - 1)
+        out |= piece << np.uint64(BITS - start - width)
+    return out
 
 
 def near_duplicates(docs: DataFrame, shingle: int = 4, radius: int = 4, most: int = 20_000) -> DataFrame:
