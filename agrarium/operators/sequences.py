@@ -38,10 +38,10 @@ def sequences(df: DataFrame, key: str, order: str, value: str, size: int, keep_l
 
 
 def page(df: DataFrame, order: list[Column | str], number: int, size: int) -> DataFrame:
-    """One page in order, each row with the total; the count is a scalar of its own, so that the page is a top-k."""
+    """One page in order, each row with the total; the count is one row, joined to the page, so that the page is a top-k."""
     total = df.agg(F.count("*").alias("total"))
     rows = df.orderBy(*order).offset((number - 1) * size).limit(size)
-    return rows.withColumn("total", F.lit(total.first()[0]))
+    return rows.crossJoin(F.broadcast(total))
 
 
 def top_per_key(df: DataFrame, keys: list[str], order: list[Column | str], k: int) -> DataFrame:

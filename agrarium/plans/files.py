@@ -164,3 +164,18 @@ def point_records(spark: SparkSession, d: str) -> DataFrame:
     b = table(spark, d, "supplier").select(F.col("s_name").alias("name"), (F.col("s_suppkey") % 90).alias("lat"), (F.col("s_suppkey") % 180).alias("lng"))
     one = lambda df, kind: csvs.points(df, *(csvs.inferred(df.columns)[c] for c in ("name", "lat", "lon")), kind)
     return csvs.located(one(a, "customer"), one(b, "supplier"))
+
+
+@query("SELECT c_custkey, round(c_acctbal * 2, 2) AS feature, CAST(2 AS INT) AS version FROM customer")
+def feature_store(spark: SparkSession, d: str) -> DataFrame:
+    """Features put at their fingerprint in two versions, and the newest read; those of another fingerprint don't match."""
+    from agrarium.operators.profile import schema_fingerprint
+
+    root = f"{shared_folder(spark)}/features-{uuid.uuid4().hex}"
+    rows = table(spark, d, "customer")
+    own = schema_fingerprint(rows)[:16]
+    for version, fingerprint in ((1, own), (2, own), (1, "another")):
+        sinks.put_version(rows.select("c_custkey", F.round(F.col("c_acctbal") * version, 2).alias("feature")), root, "customers", fingerprint, version)
+    held = spark.read.parquet(f"{root}/customers/fingerprint={own}")
+    newest = held.agg(F.max("version").alias("version"))
+    return held.join(F.broadcast(newest), "version").select("c_custkey", "feature", F.col("version").cast("int").alias("version"))

@@ -70,3 +70,15 @@ def global_importance(spark: SparkSession, d: str) -> DataFrame:
 def pass_uncertainty(spark: SparkSession, d: str) -> DataFrame:
     found = inference.uncertainty(table(spark, d, "lineitem"), ["l_suppkey"], "l_discount", scale=0.1)
     return found.select("l_suppkey", F.round("mean", 6).alias("mean"), F.round("std", 6).alias("std"), F.round("confidence", 6).alias("confidence"))
+
+
+@query("WITH b AS (SELECT avg(c_acctbal) AS a, avg(c_nationkey) AS n FROM customer) SELECT c_custkey, round(0.5 * (c_acctbal - a), 3) + 0.0 AS balance, round(2.0 * (c_nationkey - n), 3) + 0.0 AS nation, CAST(4 - c_custkey % 10 AS DOUBLE) AS digit FROM customer, b")
+def shapley_values(spark: SparkSession, d: str) -> DataFrame:
+    """Kernel SHAP of a linear model against the mean customer; for such a model the values are its terms."""
+    import numpy as np
+
+    rows = table(spark, d, "customer").select("c_custkey", F.array(F.col("c_acctbal"), F.col("c_nationkey").cast("double"), (F.col("c_custkey") % 10).cast("double")).alias("x"))
+    mean = table(spark, d, "customer").agg(F.avg("c_acctbal"), F.avg("c_nationkey")).first()
+    weights = np.array([0.5, 2.0, -1.0])
+    found = inference.shapley(rows, "c_custkey", "x", lambda x: x @ weights, np.array([mean[0] or 0.0, mean[1] or 0.0, 4.0]))
+    return found.select("c_custkey", *((F.round(F.col("values")[i], 3) + 0.0).alias(name) for i, name in enumerate(("balance", "nation", "digit"))))
