@@ -64,6 +64,20 @@ def smallest_boxes(spark: SparkSession, d: str) -> DataFrame:
     return spatial.smallest_boxes(_points(spark, d), _boxes(spark, d), "c_custkey", "level", "name", ["taluk", "district"])
 
 
+@query("SELECT n_name AS name, 'taluk' AS level, round(n_nationkey * 14.0 - 160, 6)::DOUBLE AS lon, round(n_nationkey * 6.0 - 80 + 40.0 / 3, 6)::DOUBLE AS lat FROM nation UNION ALL SELECT r_name, 'district', (r_regionkey * 60.0 - 130)::DOUBLE, -5.0::DOUBLE FROM region")
+def boundary_union(spark: SparkSession, d: str) -> DataFrame:
+    """Boundaries of two sources under one schema, with their centroids."""
+    from agrarium.sources import boundaries
+
+    corner = lambda x, y: F.struct(x.cast("double").alias("x"), y.cast("double").alias("y"))
+    n, r = F.col("n_nationkey"), F.col("r_regionkey")
+    x, y, a = n * 14.0 - 180, n * 6.0 - 80, r * 60.0 - 180
+    triangles = table(spark, d, "nation").select("n_name", F.array(corner(x, y), corner(x + 60, y), corner(x, y + 40), corner(x, y)).alias("ring"))
+    boxes = table(spark, d, "region").select("r_name", F.array(*(corner(a + dx, F.lit(dy)) for dx, dy in ((0, -70), (100, -70), (100, 60), (0, 60), (0, -70)))).alias("ring"))
+    found = boundaries.union(boundaries.normalised(triangles, "n_name", "taluk"), boundaries.normalised(boxes, "r_name", "district"))
+    return boundaries.centroids(found).select("name", "level", F.round("lon", 6).alias("lon"), F.round("lat", 6).alias("lat"))
+
+
 @query("WITH RECURSIVE n AS (SELECT s_suppkey + 1 AS k, CASE WHEN s_suppkey > 0 THEN (s_suppkey + 1) // 2 END AS p, s_name AS name FROM supplier), w AS (SELECT k, p, name AS path FROM n UNION ALL SELECT w.k, n.p, w.path || '>' || n.name FROM w JOIN n ON w.p = n.k) SELECT k AS node, path FROM w WHERE p IS NULL")
 def root_paths(spark: SparkSession, d: str) -> DataFrame:
     """Names from each supplier up to the root of a tree of any depth."""

@@ -34,5 +34,10 @@ def centroids(shapes: DataFrame) -> DataFrame:
     return shapes.select("name", "level", (total(lambda e: e["x"] * e["w"]) / (3 * area)).alias("lon"), (total(lambda e: e["y"] * e["w"]) / (3 * area)).alias("lat"))
 
 
+def normalised(shapes: DataFrame, name: str, level: str) -> DataFrame:
+    """(name, level, ring) of a source whose names are in the column ``name``."""
+    return shapes.select(F.trim(F.col(name)).alias("name"), F.lit(level).alias("level"), "ring")
+
+
 def union(*levels: DataFrame) -> DataFrame:
     return reduce(DataFrame.unionByName, levels)
