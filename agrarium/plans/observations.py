@@ -180,6 +180,30 @@ def pair_issues(spark: SparkSession, d: str) -> DataFrame:
     return found.select("user_id", "day", F.col("left_event_id").alias("ndvi"), F.col("right_event_id").alias("evi"), F.array_join(joins.pair_issues(["resolution", "crs", "bounds"]), ",").alias("issues"))
 
 
+@query(f"SELECT user_id, count(*) AS n_dates, count(*) FILTER (ndvi IS NOT NULL AND evi IS NOT NULL) AS n_pairs, count(*) FILTER (ndvi IS NULL) AS no_ndvi, count(*) FILTER (evi IS NULL) AS no_evi, min(day) AS first_day, max(day) AS last_day, datediff('day', min(day), max(day)) AS span, count(*) FILTER (ndvi IS NOT NULL AND evi IS NOT NULL) > 0 AS has_pairs FROM ({PAIR_SQL}) GROUP BY 1")
+def sequence_features(spark: SparkSession, d: str) -> DataFrame:
+    """Counts of dates, pairs and missing sides, and the span of each user's image sequence."""
+    ndvi, evi = F.col("ndvi").isNotNull(), F.col("evi").isNotNull()
+    rows = pair_issues(spark, d).groupBy("user_id").agg(F.count("*").alias("n_dates"), F.count_if(ndvi & evi).alias("n_pairs"), F.count_if(~ndvi).alias("no_ndvi"), F.count_if(~evi).alias("no_evi"), F.min("day").alias("first_day"), F.max("day").alias("last_day"))
+    return rows.withColumns({"span": F.datediff("last_day", "first_day").cast("long"), "has_pairs": F.col("n_pairs") > 0})
+
+
+@query(f"""WITH p AS (SELECT c_custkey, c_acctbal, {place_sql('c_custkey')} FROM customer), f AS (SELECT c_custkey, c_acctbal / 1000 AS a, lon / 100 AS b, lat / 100 AS c FROM p), s AS (SELECT c_custkey, list_transform(range(0, 5), lambda k: exp(a * cos(CAST(k AS DOUBLE)) + b * cos(k + 1.0::DOUBLE) + c * cos(k + 2.0::DOUBLE))) AS e FROM f),
+t AS (SELECT c_custkey, list_sort(list_transform(range(0, 5), lambda k: {{'p': -e[k + 1] / list_sum(e), 'k': k}}))[1:3] AS top FROM s), l AS ({LEVELS_SQL}) SELECT t.c_custkey, coalesce(taluk, district) AS boundary, array_to_string(list_transform(top, lambda x: x.k), ',') AS classes, round(-top[1].p, 6) AS confidence FROM t JOIN l USING (c_custkey)""")
+def point_predictions(spark: SparkSession, d: str) -> DataFrame:
+    """Places resolved, made into features, scored, and their three likeliest classes."""
+    from agrarium.functions import arrays
+    from agrarium.operators import inference
+
+    points = _points(spark, d)
+    features = F.array(F.col("c_acctbal") / 1000, F.col("lon") / 100, F.col("lat") / 100)
+    scores = F.array(*(inference.linear(features, F.array(*(F.cos(F.lit(float(k + j))) for j in range(3)))) for k in range(5)))
+    scored = points.join(table(spark, d, "customer").select("c_custkey", "c_acctbal"), "c_custkey").select("c_custkey", arrays.top_classes(arrays.softmax(scores), 3).alias("top"))
+    places = spatial.smallest_boxes(points, _boxes(spark, d), "c_custkey", "level", "name", ["taluk", "district"]).select("c_custkey", F.col("deepest").alias("boundary"))
+    shown = F.array_join(F.transform("top", lambda x: x["i"].cast("string")), ",")
+    return scored.join(places, "c_custkey").select("c_custkey", "boundary", shown.alias("classes"), F.round(F.col("top")[0]["p"], 6).alias("confidence"))
+
+
 @query("SELECT o_orderkey FROM orders WHERE year(o_orderdate) IN (1996, 1998, 2000) AND month(o_orderdate) IN (6, 7, 8, 9, 10)")
 def year_month_window(spark: SparkSession, d: str) -> DataFrame:
     """Records of some years within a season's months."""

@@ -331,3 +331,20 @@ def schema_checks(spark: SparkSession, d: str) -> DataFrame:
     """Columns that are almost without values."""
     rows = table(spark, d, "orders").withColumn("rare", F.when(F.col("o_orderkey") % 50 == 0, F.col("o_totalprice")))
     return profile.schema_issues(rows)
+
+
+@query("SELECT event_id, value, concat('because of ', event_type) AS explanation FROM events WHERE event_id % 2 = 0 UNION ALL SELECT event_id, value, NULL FROM events WHERE event_id % 2 <> 0")
+def explained_predictions(spark: SparkSession, d: str) -> DataFrame:
+    """Predictions with the one explanation that some have."""
+    rows = table(spark, d, "events")
+    told = rows.where("event_id % 2 = 0").select("event_id", F.concat(F.lit("because of "), "event_type").alias("explanation"))
+    return rows.select("event_id", "value").join(told, "event_id", "left")
+
+
+@query("SELECT o_orderkey AS sample_id, round(o_totalprice / 1000, 3) AS feature, c_mktsegment AS segment, CAST(year(o_orderdate) AS INT) AS year FROM orders JOIN customer ON o_custkey = c_custkey WHERE o_orderstatus <> 'P'")
+def sample_meta(spark: SparkSession, d: str) -> DataFrame:
+    """Meta data attached to accepted samples by their id, not by position."""
+    orders = table(spark, d, "orders").where("o_orderstatus <> 'P'")
+    frame = orders.select(F.col("o_orderkey").alias("sample_id"), F.round(F.col("o_totalprice") / 1000, 3).alias("feature"))
+    meta = orders.join(table(spark, d, "customer"), F.col("o_custkey") == F.col("c_custkey")).select(F.col("o_orderkey").alias("sample_id"), F.col("c_mktsegment").alias("segment"), F.year("o_orderdate").alias("year"))
+    return frame.join(meta, "sample_id")
