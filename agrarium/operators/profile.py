@@ -5,7 +5,7 @@ from __future__ import annotations
 import hashlib
 from itertools import combinations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -75,3 +75,9 @@ def drop_correlated(df: DataFrame, columns: list[str], most: float = 0.95) -> Da
         if any((a, b) in strong and a not in gone for a in columns[: columns.index(b)]):
             gone.add(b)
     return df.drop(*gone)
+
+
+def validated(df: DataFrame, rules: dict[str, Column]) -> DataFrame:
+    """(validator, failed, checked, passed) of named conditions that hold where something is wrong, in one aggregation."""
+    one = [F.struct(F.lit(name).alias("validator"), F.count_if(rule).alias("failed"), F.count("*").alias("checked"), (F.count_if(rule) == 0).alias("passed")) for name, rule in rules.items()]
+    return df.agg(F.array(*one).alias("x")).select(F.inline("x"))

@@ -179,3 +179,49 @@ def feature_store(spark: SparkSession, d: str) -> DataFrame:
     held = spark.read.parquet(f"{root}/customers/fingerprint={own}")
     newest = held.agg(F.max("version").alias("version"))
     return held.join(F.broadcast(newest), "version").select("c_custkey", "feature", F.col("version").cast("int").alias("version"))
+
+
+@query("SELECT e AS encoding, count(*) AS n, max('Zoné ' || n_name) AS last FROM nation, (SELECT unnest(['UTF-8', 'ISO-8859-1']) AS e) GROUP BY 1")
+def encoded_csv(spark: SparkSession, d: str) -> DataFrame:
+    """CSV tables in two encodings, each read in the one that its head tells."""
+    root = f"{shared_folder(spark)}/encoded-{uuid.uuid4().hex}"
+    rows = table(spark, d, "nation").select(F.concat(F.lit("Zoné "), "n_name").alias("name")).coalesce(1)
+    out = []
+    for kind in ("UTF-8", "ISO-8859-1"):
+        rows.write.option("header", "true").option("encoding", kind).csv(f"{root}/{kind}")
+        found = csvs.encoding_of(spark, csvs.discover(spark, f"{root}/{kind}", "*.csv").first()["path"])
+        out.append(csvs.scan(spark, f"{root}/{kind}", encoding=found).agg(F.lit(found).alias("encoding"), F.count("*").alias("n"), F.max("name").alias("last")))
+    return reduce(DataFrame.unionByName, out)
+
+
+@query("SELECT CAST(year(o_orderdate) AS INT) AS year, count(*) AS n, round(sum(o_totalprice), 2) AS total FROM orders WHERE year(o_orderdate) >= 1998 GROUP BY 1")
+def exported_metadata(spark: SparkSession, d: str) -> DataFrame:
+    """Metadata written as Parquet by year, and the later years read; an empty table isn't exported."""
+    root = f"{shared_folder(spark)}/metadata-{uuid.uuid4().hex}"
+    rows = table(spark, d, "orders").withColumn("year", F.year("o_orderdate"))
+    sinks.write(sinks.not_empty(rows), root, "parquet", partition=("year",))
+    back = spark.read.parquet(root).where("year >= 1998")
+    return back.groupBy("year").agg(F.count("*").alias("n"), F.round(F.sum("o_totalprice"), 2).alias("total"))
+
+
+@query("SELECT p_brand AS model, count(*) AS runs, round(sum(p_retailprice), 2) AS total FROM part GROUP BY 1")
+def run_log(spark: SparkSession, d: str) -> DataFrame:
+    """Runs appended to a log in two batches; each has an id and a time of its own."""
+    root = f"{shared_folder(spark)}/log-{uuid.uuid4().hex}"
+    runs = table(spark, d, "part").select(F.col("p_brand").alias("model"), F.col("p_retailprice").alias("metric"), "p_partkey")
+    for half in (0, 1):
+        sinks.append_log(runs.where(F.col("p_partkey") % 2 == half).drop("p_partkey"), root)
+    back = spark.read.schema("model string, metric double, run_id string, logged_at timestamp").json(root)
+    return back.where("logged_at IS NOT NULL").groupBy("model").agg(F.count_distinct("run_id").alias("runs"), F.round(F.sum("metric"), 2).alias("total"))
+
+
+RULES = {"price": "o_totalprice <= 0 OR o_totalprice > 400000", "priority": "o_orderpriority NOT LIKE '_-%'", "status": "o_orderstatus = 'P'", "day": "o_orderdate < TIMESTAMP '1995-03-01'"}
+
+
+@query(" UNION ALL ".join(f"SELECT '{name}' AS validator, count(*) FILTER ({rule}) AS failed, count(*) AS checked, count(*) FILTER ({rule}) = 0 AS passed FROM orders" for name, rule in RULES.items()))
+def validator_results(spark: SparkSession, d: str) -> DataFrame:
+    """A list of validators run in one pass."""
+    from agrarium.operators.profile import validated
+
+    rules = {name: F.expr(rule.replace("TIMESTAMP ", "TIMESTAMP_NTZ ")) for name, rule in RULES.items()}
+    return validated(table(spark, d, "orders"), rules)

@@ -78,6 +78,17 @@ def boundary_union(spark: SparkSession, d: str) -> DataFrame:
     return boundaries.centroids(found).select("name", "level", F.round("lon", 6).alias("lon"), F.round("lat", 6).alias("lat"))
 
 
+@query(f"WITH c AS (SELECT c_custkey, {place_sql('c_custkey')} FROM customer), h AS (SELECT c_custkey, CASE n_nationkey % 3 WHEN 0 THEN 'village' WHEN 1 THEN 'taluk' ELSE 'district' END AS level, n_name FROM c, nation WHERE lon >= n_nationkey * 14.0 - 180 AND lat >= n_nationkey * 6.0 - 80 AND (lon - (n_nationkey * 14.0 - 180)) / 60 + (lat - (n_nationkey * 6.0 - 80)) / 40 <= 1), w AS (SELECT c_custkey, max(n_name) FILTER (level = 'village') AS village, max(n_name) FILTER (level = 'taluk') AS taluk, max(n_name) FILTER (level = 'district') AS district FROM h GROUP BY 1) SELECT *, coalesce(village, taluk, district) AS deepest FROM w")
+def admin_levels(spark: SparkSession, d: str) -> DataFrame:
+    """The boundaries that hold a customer, one column for each level, and the deepest."""
+    from agrarium.plans.alignment import pip_join
+
+    hits = pip_join(spark, d).join(table(spark, d, "nation").select("n_nationkey", "n_name"), "n_nationkey")
+    k = F.col("n_nationkey")
+    hits = hits.withColumn("level", F.when(k % 3 == 0, "village").when(k % 3 == 1, "taluk").otherwise("district"))
+    return spatial.levels_of(hits, "c_custkey", "level", "n_name", ["village", "taluk", "district"])
+
+
 @query("WITH RECURSIVE n AS (SELECT s_suppkey + 1 AS k, CASE WHEN s_suppkey > 0 THEN (s_suppkey + 1) // 2 END AS p, s_name AS name FROM supplier), w AS (SELECT k, p, name AS path FROM n UNION ALL SELECT w.k, n.p, w.path || '>' || n.name FROM w JOIN n ON w.p = n.k) SELECT k AS node, path FROM w WHERE p IS NULL")
 def root_paths(spark: SparkSession, d: str) -> DataFrame:
     """Names from each supplier up to the root of a tree of any depth."""

@@ -30,6 +30,13 @@ def write(df: DataFrame, path: str, kind: str, mode: str = "errorifexists", part
     (writer.option("header", "true") if kind == "csv" else writer).format(FORMATS[kind]).save(path)
 
 
+def not_empty(df: DataFrame) -> DataFrame:
+    """``df``, or an error if it has no rows."""
+    if df.isEmpty():
+        raise ValueError("there are no rows to export")
+    return df
+
+
 def append_log(df: DataFrame, path: str) -> None:
     """Run records as JSON lines with an id and a time."""
     df.withColumn("run_id", F.expr("uuid()")).withColumn("logged_at", F.current_timestamp()).write.mode("append").json(path)
