@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from agrarium.llm.repeats import BASES, Rolling, blocks_of, covered, least_places, mix, spans, window_hashes
 from agrarium.llm.rows import KEY, flat_map, packed, unpacker, with_row_key
 
-GRAM = 8
+GRAM, PIECES = 8, 2  # words of a gram, and pieces of a crowded segment
 
 
 def words_of(text: str | None) -> list[bytes]:
@@ -151,7 +151,7 @@ def greedy_factors(window: int) -> Callable[[pa.Table], Iterator[tuple]]:
 
 def repeated_words(docs: DataFrame, window: int = 35, most: int = 1_024) -> DataFrame:
     """(row_key, row_key2, starts, ends): ranges of words that repeated windows cover, from ``with_row_key`` rows."""
-    return spans(docs, word_units, window, GRAM, segment_words(window), greedy_factors(window), word_parts, most)
+    return spans(docs, word_units, window, GRAM, segment_words(window), greedy_factors(window), word_parts, PIECES, most)
 
 
 def digests(docs: DataFrame, window: int = 35, most: int = 1_024) -> DataFrame:

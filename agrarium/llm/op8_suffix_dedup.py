@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from agrarium.llm.repeats import BASES, Rolling, blocks_of, covered, least_places, mix, spans
 from agrarium.llm.rows import KEY, flat_map, packed, unpacker, with_row_key
 
-GRAM = 32
+GRAM, PIECES = 32, 4  # bytes of a gram, and pieces of a crowded segment
 
 
 def byte_table() -> np.ndarray:
@@ -131,7 +131,7 @@ def byte_parts() -> tuple[Callable, Callable]:
 
 def repeated_bytes(docs: DataFrame, window: int = 200, most: int = 1_024) -> DataFrame:
     """(row_key, row_key2, starts, ends): ranges of UTF-8 bytes that repeated windows cover, from ``with_row_key`` rows."""
-    return spans(docs, byte_units, window, GRAM, segment_bytes(window), maximal_repeats(window), byte_parts, most)
+    return spans(docs, byte_units, window, GRAM, segment_bytes(window), maximal_repeats(window), byte_parts, PIECES, most)
 
 
 def digests(docs: DataFrame, window: int = 200, most: int = 1_024) -> DataFrame:

@@ -128,7 +128,7 @@ def segment_rows(docs: DataFrame, units: Callable[[], Callable[[str | None], np.
     return docs.select(*KEY, "text").mapInArrow(run, SEGMENTS)
 
 
-def spans(docs: DataFrame, units: Callable, window: int, gram: int, detail: Callable, compare: Callable[[pa.Table], Iterator[tuple]], parts: Callable[[], tuple[Callable, Callable]], most: int = 1_024) -> DataFrame:
+def spans(docs: DataFrame, units: Callable, window: int, gram: int, detail: Callable, compare: Callable[[pa.Table], Iterator[tuple]], parts: Callable[[], tuple[Callable, Callable]], pieces: int, most: int = 1_024) -> DataFrame:
     """(row_key, row_key2, starts, ends): unit ranges that repeated windows cover, for each document that has any.
 
     ``detail()`` returns a function from (text, [(start, count), ...]) to the
@@ -137,7 +137,8 @@ def spans(docs: DataFrame, units: Callable, window: int, gram: int, detail: Call
     row_key2, first, last): windows of single contexts that another context of
     the block holds too. ``parts()`` returns functions from a detail to its
     units, and from (detail, start, end) to the detail of a part. At most
-    ``most`` contexts meet in a block; an anchor with more is split by content.
+    ``most`` contexts meet in a block; an anchor with more is split by content,
+    each segment into up to ``pieces``.
     """
     rows = saved(segment_rows(docs, units, window, gram))
     again = saved(_repeated_anchors(rows))
@@ -150,7 +151,7 @@ def spans(docs: DataFrame, units: Callable, window: int, gram: int, detail: Call
     rest = marked.where("common IS NULL").join(twice, ["anchor", "context"])
     whole = again.where("NOT mixed").unionByName(marked.where("common").unionByName(rest).drop("common"))
     covered = whole.select(*KEY, F.col("start").alias("first"), (F.col("start") + F.col("count") - 1).alias("last"))
-    looked = covered.unionByName(_blocks(docs, contexts, detail, compare, parts, window, gram, most))
+    looked = covered.unionByName(_blocks(docs, contexts, detail, compare, parts, window, gram, pieces, most))
     return looked.groupBy(*KEY).agg(F.collect_list("first").alias("starts"), F.collect_list(F.col("last") + window).alias("ends"))
 
 
@@ -176,13 +177,13 @@ def _repeated_anchors(rows: DataFrame) -> DataFrame:
     return calm.unionByName(rest.join(anchors, "anchor").select(*calm.columns))
 
 
-def _blocks(docs: DataFrame, contexts: DataFrame, detail: Callable, compare: Callable, parts: Callable, window: int, gram: int, most: int) -> DataFrame:
+def _blocks(docs: DataFrame, contexts: DataFrame, detail: Callable, compare: Callable, parts: Callable, window: int, gram: int, pieces: int, most: int) -> DataFrame:
     """(row_key, row_key2, first, last) of windows that two contexts of an anchor share.
 
-    Contexts of an anchor with too many go to blocks of quarters instead: the
-    windows of a quarter have that share of places before the anchor, so that
-    all hold the units around it that are in every one of them, and those units
-    name the block. A block of one context is done; one with too many even so
+    Contexts of an anchor with too many go in pieces to other blocks: the
+    windows of a piece have a share of the possible places before the anchor,
+    so that all hold the units around it that are in every one of them, and
+    those units name the block. A block of one context is done; one with too many even so
     has its windows counted by hash, combined before the shuffle.
     """
     crowds = saved(contexts.groupBy("anchor").agg(F.count("*").alias("n")).where(F.col("n") > most).select("anchor", F.lit(1).alias("crowd")))
@@ -199,7 +200,7 @@ def _blocks(docs: DataFrame, contexts: DataFrame, detail: Callable, compare: Cal
                 if not w["deal"]:
                     out.append((w["anchor"], 0, w["context"], key, key2, w["start"], w["count"], place, w["times"], d))
                     continue
-                for name, lo, hi in quarters(units(d), w["anchor"], place, w["count"], window, gram, cache):
+                for name, lo, hi in split(units(d), w["anchor"], place, w["count"], window, gram, pieces, cache):
                     out.append((name, 1, w["context"], key, key2, w["start"] + lo, hi - lo, place - lo, w["times"], cut(d, lo, hi - 1 + window)))
             return out
 
@@ -209,19 +210,19 @@ def _blocks(docs: DataFrame, contexts: DataFrame, detail: Callable, compare: Cal
     if crowds.isEmpty():
         return _compared(details, compare)
     details = saved(details)
-    quartered = details.where("deal > 0")
-    sizes = saved(quartered.groupBy("anchor").agg(F.count("*").alias("n")).where("n > 1"))
-    sized = quartered.join(sizes, "anchor")
+    pieced = details.where("deal > 0")
+    sizes = saved(pieced.groupBy("anchor").agg(F.count("*").alias("n")).where("n > 1"))
+    sized = pieced.join(sizes, "anchor")
     met = _compared(details.where("deal = 0").unionByName(sized.where(F.col("n") <= most).drop("n")), compare)
     hashed = saved(_window_rows(sized.where(F.col("n") > most), parts, window))
     shared = saved(hashed.groupBy("anchor", "hash").agg(F.count("*").alias("n")).where("n > 1").select("anchor", "hash"))
     return met.unionByName(hashed.join(shared, ["anchor", "hash"]).select(*KEY, "first", F.col("first").alias("last")))
 
 
-def quarters(units: np.ndarray, anchor: int, place: int, count: int, window: int, gram: int, cache: dict) -> Iterator[tuple[int, int, int]]:
-    """(name, first, end) of the parts of a segment's windows: by quarters of the places before the anchor, named by the units that all windows of a quarter hold."""
+def split(units: np.ndarray, anchor: int, place: int, count: int, window: int, gram: int, pieces: int, cache: dict) -> Iterator[tuple[int, int, int]]:
+    """(name, first, end) of the pieces of a segment's windows: by shares of the places before the anchor, named by the units that all windows of a piece hold."""
     one, two = (Rolling(units, b, cache) for b in BASES)
-    bounds = [q * (window - gram + 1) // 4 for q in range(5)]
+    bounds = [q * (window - gram + 1) // pieces for q in range(pieces + 1)]
     for q, (least, end) in enumerate(pairwise(bounds)):
         lo, hi = max(0, place - end + 1), min(count, place - least + 1)
         if lo < hi:
