@@ -22,12 +22,12 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from agrarium.llm.rows import arrays_of
+from agrarium.llm.rows import arrays_of, held
 
 UNKNOWN = "und"
 SCHEMA = "doc_id long, lang_pred string, score double"
 STRETCH = 512  # bytes after which a text is parsed anew from the next word on
-AT_ONCE = 1 << 22  # bytes of text that are parsed together
+AT_ONCE = 1 << 21  # bytes of text that are parsed together
 SPACE = 32
 
 
@@ -101,7 +101,7 @@ def stretches(data: bytes) -> list[bytes]:
 
 
 class Parser:
-    """The automata of all languages as one table over the bytes they use."""
+    """The automata of all languages as tables over the bytes they use."""
 
     def __init__(self, texts: tuple[tuple[str, bytes], ...]) -> None:
         self.names = [name for name, _ in texts]
@@ -111,24 +111,27 @@ class Parser:
         classes = np.full(256, width - 1, np.uint8)
         classes[used] = np.arange(len(used))
         self.classes = classes.tobytes()
-        parts, roots, size = [], [], 0
-        for _, data in texts:
-            moves = SuffixAutomaton(data.translate(self.classes)).moves
-            table = np.zeros((len(moves), width), np.int64)
-            at = np.repeat(np.arange(len(moves)), [len(m) for m in moves])
-            table[at, [c for m in moves for c in m]] = [x for m in moves for x in m.values()]
-            # Where no move is, and at the root, a phrase begins: the root's move, or the root, marked by its complement.
-            begin = ~((table[0] + size) * width)
-            moved = np.where(table > 0, (table + size) * width, begin)
-            moved[0] = begin
-            parts.append(moved.ravel().astype(np.int32 if (size + len(moves)) * width < 1 << 31 else np.int64))
-            roots.append(size * width)
-            size += len(moves)
-        self.table = np.concatenate(parts) if parts else np.zeros(0, np.int32)
-        self.roots = np.array(roots, self.table.dtype)
+        kind = np.int32 if 2 * width * max((len(data) + 1 for _, data in texts), default=0) < 1 << 31 else np.int64
+        #: For each language a table, state by state, of where a byte leads.
+        self.tables = [self._table(data.translate(self.classes), width, kind) for _, data in texts]
         #: Bits of a phrase: those that name a place in the labelled text.
         self.bits = np.log2([len(data) for _, data in texts])
 
+    @staticmethod
+    def _table(text: bytes, width: int, kind: type) -> np.ndarray:
+        moves = SuffixAutomaton(text).moves
+        # Where no move is, and at the root, a phrase begins: the root's move, or the root, marked by its complement.
+        begin = np.full(width, ~0, kind)
+        for c, x in moves[0].items():
+            begin[c] = ~(x * width)
+        table = np.empty((len(moves), width), kind)
+        table[:] = begin
+        for state, after in enumerate(moves):
+            if state:
+                for c, x in after.items():
+                    table[state, c] = x * width
+        return table.ravel()
+
     def phrases(self, texts: list[bytes]) -> np.ndarray:
         """Phrases of each text (results of ``letters``) in each language."""
         owners, lanes = [], []
@@ -145,14 +148,16 @@ class Parser:
         most = int(sizes[order[0]])
         columns = np.frombuffer(b"".join(lanes[i].ljust(most) for i in order.tolist()).translate(self.classes), np.uint8).reshape(len(lanes), most).T.copy()
         live = np.searchsorted(-sizes[order], -np.arange(most), "left")
-        state = np.tile(self.roots, (len(lanes), 1))
-        count = np.zeros(state.shape, np.int32)
-        shift = self.table.dtype.itemsize * 8 - 1
-        for column, n in zip(columns, live.tolist(), strict=True):
-            now = self.table[state[:n] + column[:n, None]]
-            fresh = now >> shift
-            count[:n] -= fresh
-            state[:n] = now ^ fresh
+        count = np.zeros((len(lanes), len(self.names)), np.int32)
+        for k, table in enumerate(self.tables):
+            state, begun = np.zeros(len(lanes), table.dtype), np.zeros(len(lanes), np.int32)
+            shift = table.dtype.itemsize * 8 - 1
+            for column, n in zip(columns, live.tolist(), strict=True):
+                now = table[state[:n] + column[:n]]
+                fresh = now >> shift
+                begun[:n] -= fresh.astype(np.int32, copy=False)
+                state[:n] = now ^ fresh
+            count[:, k] = begun
         np.add.at(total, np.array(owners)[order], count)
         return total
 
@@ -162,12 +167,12 @@ class Parser:
         if not self.names:
             return [(UNKNOWN, 0.0)] * len(texts)
         cost = np.zeros((0, len(self.names)))
-        lo = held = 0
+        lo = size = 0
         for i, x in enumerate(data):
-            held += len(x)
-            if held >= AT_ONCE or i == len(data) - 1:
+            size += len(x)
+            if size >= AT_ONCE or i == len(data) - 1:
                 cost = np.concatenate((cost, self.phrases(data[lo : i + 1]) * self.bits))
-                lo, held = i + 1, 0
+                lo, size = i + 1, 0
         best = cost.argmin(axis=1)
         if len(self.names) > 1:
             two = np.partition(cost, 1, axis=1)[:, :2]
@@ -177,10 +182,9 @@ class Parser:
         return [(self.names[b], float(s)) if x else (UNKNOWN, 0.0) for x, b, s in zip(data, best.tolist(), score.tolist(), strict=True)]
 
 
-@lru_cache(maxsize=1)
 def parser(texts: tuple[tuple[str, bytes], ...]) -> Parser:
     """One parser for each Python worker."""
-    return Parser(texts)
+    return held(("parser", texts), lambda: Parser(texts))
 
 
 def samples(docs: DataFrame, most_docs: int, most_chars: int) -> tuple[tuple[str, bytes], ...]:

@@ -25,7 +25,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from agrarium.llm.rows import KEY, flat_map, keyed, with_row_key
+from agrarium.llm.rows import KEY, flat_map, held, keyed, with_row_key
 
 WORD = re.compile(r"\w+")
 SCHEMA = "row_key long, row_key2 long, doc_id long, item_id long, similarity double, start_word long, n_windows long"
@@ -166,17 +166,6 @@ class Items:
         return [(self.ids[k], *x) for k, x in sorted(found.items())]
 
 
-_indexes: dict[str, Items] = {}
-
-
-def _index(token: str, make: Callable[[], Items]) -> Items:
-    """One index for each Python worker and block; it outlives a task."""
-    if token not in _indexes:
-        _indexes.clear()
-        _indexes[token] = make()
-    return _indexes[token]
-
-
 def leaks(docs: DataFrame, benchmark: DataFrame, size: int = 5, similarity: float = 0.8, radius: int = 23, short: bool = False, block_chars: int = 20_000_000) -> DataFrame:
     """A row for each row of ``docs`` (doc_id, text) and each item of ``benchmark`` (item_id, text) found in it.
 
@@ -199,7 +188,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame, size: int = 5, similarity: floa
         shared = spark.sparkContext.broadcast([tuple(r) for r in part.toLocalIterator()])
 
         def make(shared=shared, token=uuid.uuid4().hex) -> Callable:  # noqa: ANN001
-            index = _index(token, lambda: Items(shared.value, size, similarity, radius, short))
+            index = held(("items", token), lambda: Items(shared.value, size, similarity, radius, short))
             return lambda row_key, row_key2, doc_id, text: [(row_key, row_key2, doc_id, *x) for x in index.find(text)]
 
         found.append(flat_map(rows, make, SCHEMA))

@@ -14,12 +14,11 @@ from __future__ import annotations
 import base64
 import hashlib
 from collections.abc import Callable, Iterable
-from functools import cache
 from itertools import chain, pairwise
 
 from pyspark.sql import DataFrame
 
-from agrarium.llm.rows import Memo, flat_map
+from agrarium.llm.rows import Memo, flat_map, held
 
 SCHEMA = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
 NO_PAIR = 1 << 60
@@ -132,10 +131,9 @@ class Codec:
         return b"".join(map(self.bytes.__getitem__, pieces))
 
 
-@cache
 def codec(path: str, pattern: str) -> Codec:
     """One codec for each Python worker, whose memo outlives a task."""
-    return Codec(path, pattern)
+    return held(("codec", path, pattern), lambda: Codec(path, pattern))
 
 
 def encoded(docs: DataFrame, path: str, pattern: str) -> DataFrame:

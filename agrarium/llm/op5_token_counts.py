@@ -9,14 +9,13 @@ only their lengths are remembered; a text's count is the sum over its words.
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
-from functools import cache
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql import types as T
 
-from agrarium.llm.rows import Memo, arrays_of
+from agrarium.llm.rows import Memo, arrays_of, held
 
 SCHEMA = "doc_id long, n_bytes long, n_tokens long, over_limit boolean"
 
@@ -72,7 +71,7 @@ def token_counts(docs: DataFrame, tokenizer: Callable[[], Callable[[list[str]],
         ids: list[int | None] = []
         sizes: list[int] = []
         texts: list[list[bytes]] = []
-        held = 0
+        size = 0
 
         def settled() -> pa.RecordBatch:
             totals = lengths.of(texts)
@@ -84,10 +83,10 @@ def token_counts(docs: DataFrame, tokenizer: Callable[[], Callable[[list[str]],
                 ids.append(doc_id)
                 sizes.append(len(data))
                 texts.append(data.split())
-                held += len(data) + 1_000
-                if held >= held_bytes:
+                size += len(data) + 1_000
+                if size >= held_bytes:
                     yield settled()
-                    ids, sizes, texts, held = [], [], [], 0
+                    ids, sizes, texts, size = [], [], [], 0
         if ids:
             yield settled()
 
@@ -97,10 +96,9 @@ def token_counts(docs: DataFrame, tokenizer: Callable[[], Callable[[list[str]],
 def json_tokenizer(path: str) -> Callable[[], Callable[[list[str]], list[int]]]:
     """Counter for a ``tokenizers`` file, without special tokens, truncation or padding."""
 
-    return lambda: _json_counter(path)
+    return lambda: held(("json", path), lambda: _json_counter(path))
 
 
-@cache
 def _json_counter(path: str) -> Callable[[list[str]], list[int]]:
     import os
 

@@ -37,6 +37,17 @@ def flat_map(df: DataFrame, make: Callable[[], Callable[..., Iterable[tuple]]],
     return df.mapInArrow(run, schema)
 
 
+_held: dict[Hashable, Any] = {}
+
+
+def held(key: Hashable, make: Callable[[], Any]) -> Any:
+    """What ``make()`` returned for ``key``, kept by a Python worker from task to task until another key is asked for: one thing at a time, as workers serve stage after stage."""
+    if key not in _held:
+        _held.clear()
+        _held[key] = make()
+    return _held[key]
+
+
 class Memo(dict):
     """``of(key)`` by key, remembered for up to ``most`` keys; the older half goes when they are full."""
 
