@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from agrarium.llm import op1_decontaminate, op2_secret_scan, op3_byte_bpe, op4_simhash_dedup, op5_token_counts, op6_line_dedup, op7_substring_dedup, op8_suffix_dedup, op9_nearest, op10_language_id
+from agrarium.llm import op1_decontaminate, op2_secret_scan, op3_byte_bpe, op4_simhash_dedup, op5_token_counts, op6_line_dedup, op7_substring_dedup, op8_suffix_dedup, op9_nearest, op10_language_id, op11_sharding
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -59,6 +59,10 @@ def op10_languages(spark: SparkSession, folder: str) -> DataFrame:
     return op10_language_id.languages(read(spark, folder), most_docs=40, most_chars=120_000)
 
 
+def op11_shards(spark: SparkSession, folder: str) -> DataFrame:
+    return op11_sharding.digests(read(spark, folder), shards=16)
+
+
 QUERIES["op1_decontaminate"] = op1_leaks
 QUERIES["op2_secret_scan"] = op2_secrets
 QUERIES["op3_byte_bpe"] = op3_byte_bpe_digests
@@ -69,6 +73,7 @@ QUERIES["op7_substring_dedup"] = op7_substrings
 QUERIES["op8_suffix_dedup"] = op8_suffixes
 QUERIES["op9_nearest"] = op9_neighbours
 QUERIES["op10_language_id"] = op10_languages
+QUERIES["op11_sharding"] = op11_shards
 
 ORACLES["op6_line_dedup"] = r"""
 WITH split AS (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS x FROM documents),

@@ -14,7 +14,7 @@ ROOT = Path(__file__).resolve().parent.parent.parent
 
 
 def test_each_operator_has_one_query():
-    assert sorted(int(re.match(r"op(\d+)_", n)[1]) for n in QUERIES) == list(range(1, 11))
+    assert sorted(int(re.match(r"op(\d+)_", n)[1]) for n in QUERIES) == list(range(1, len(QUERIES) + 1))
 
 
 @pytest.mark.parametrize("name", sorted(ORACLES))
