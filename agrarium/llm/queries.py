@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from agrarium.llm import op1_decontaminate, op2_secret_scan, op3_byte_bpe, op4_simhash_dedup, op5_token_counts, op6_line_dedup, op7_substring_dedup, op8_suffix_dedup, op9_nearest, op10_language_id, op11_sharding
+from agrarium.llm import op1_decontaminate, op2_secret_scan, op3_byte_bpe, op4_simhash_dedup, op5_token_counts, op6_line_dedup, op7_substring_dedup, op8_suffix_dedup, op9_nearest, op10_language_id, op11_sharding, op12_lexical_search
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -63,6 +63,10 @@ def op11_shards(spark: SparkSession, folder: str) -> DataFrame:
     return op11_sharding.digests(read(spark, folder), shards=16)
 
 
+def op12_search(spark: SparkSession, folder: str) -> DataFrame:
+    return op12_lexical_search.ranked(read(spark, folder), read(spark, folder, "benchmark"), k=20)
+
+
 QUERIES["op1_decontaminate"] = op1_leaks
 QUERIES["op2_secret_scan"] = op2_secrets
 QUERIES["op3_byte_bpe"] = op3_byte_bpe_digests
@@ -74,6 +78,7 @@ QUERIES["op8_suffix_dedup"] = op8_suffixes
 QUERIES["op9_nearest"] = op9_neighbours
 QUERIES["op10_language_id"] = op10_languages
 QUERIES["op11_sharding"] = op11_shards
+QUERIES["op12_lexical_search"] = op12_search
 
 ORACLES["op6_line_dedup"] = r"""
 WITH split AS (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS x FROM documents),
@@ -107,3 +112,16 @@ edges AS (SELECT *, gone AND NOT coalesce(lag(gone) OVER (PARTITION BY doc_id OR
 kept AS (SELECT doc_id, count(*) AS n_bytes, count(*) FILTER (gone) AS n_removed, count(*) FILTER (opens) AS n_spans, string_agg(byte, '' ORDER BY p) FILTER (NOT gone) AS rest FROM edges GROUP BY 1)
 SELECT doc_id, coalesce(n_bytes, 0) AS n_bytes, coalesce(n_removed, 0) AS n_removed, coalesce(n_spans, 0) AS n_spans, sha256(unhex(coalesce(rest, ''))) AS kept_sha256 FROM documents LEFT JOIN kept USING (doc_id)
 """
+ORACLES["op12_lexical_search"] = r"""
+WITH both_tables AS (SELECT 'd' AS side, doc_id AS id, text FROM documents UNION ALL SELECT 'q', item_id, text FROM benchmark),
+words AS (SELECT side, id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM both_tables),
+lengths AS (SELECT id AS doc_id, count(*) AS n FROM words WHERE side = 'd' GROUP BY 1),
+corpus AS (SELECT count(*) AS docs, sum(n)::BIGINT AS terms FROM lengths),
+asked AS (SELECT id AS item_id, term, count(*) AS times FROM words WHERE side = 'q' GROUP BY 1, 2),
+freq AS (SELECT id AS doc_id, term, count(*) AS tf FROM words WHERE side = 'd' AND term IN (SELECT term FROM asked) GROUP BY 1, 2),
+weights AS (SELECT term, floor(1000 * ln((2 * docs + 2) / (2 * count(*) + 1)::DOUBLE))::BIGINT AS w FROM freq, corpus GROUP BY term, docs),
+impacts AS (SELECT doc_id, term, (1000000000 * tf) // (1000 * tf + 12 * (100 - 25 + (25 * n * docs) // terms)) AS impact FROM freq JOIN lengths USING (doc_id), corpus),
+scores AS (SELECT item_id, doc_id, sum(times * w * impact)::BIGINT AS score FROM asked JOIN weights USING (term) JOIN impacts USING (term) GROUP BY 1, 2),
+placed AS (SELECT item_id, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS rank, doc_id, score FROM scores WHERE score > 0)
+SELECT item_id, rank::INTEGER AS rank, doc_id, score FROM placed WHERE rank <= 20
+"""
