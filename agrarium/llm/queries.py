@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from agrarium.llm import op1_decontaminate, op2_secret_scan, op3_byte_bpe, op4_simhash_dedup, op5_token_counts, op6_line_dedup, op7_substring_dedup, op8_suffix_dedup, op9_nearest, op10_language_id, op11_sharding, op12_lexical_search
+from agrarium.llm import op1_decontaminate, op2_secret_scan, op3_byte_bpe, op4_simhash_dedup, op5_token_counts, op6_line_dedup, op7_substring_dedup, op8_suffix_dedup, op9_nearest, op10_language_id, op11_sharding, op12_lexical_search, op13_hard_negatives
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -67,6 +67,11 @@ def op12_search(spark: SparkSession, folder: str) -> DataFrame:
     return op12_lexical_search.ranked(read(spark, folder), read(spark, folder, "benchmark"), k=20)
 
 
+def op13_negatives(spark: SparkSession, folder: str) -> DataFrame:
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return op13_hard_negatives.hard_negatives(read(spark, folder, "embeddings"), F.col("vec_id") % 100 == 0, label, positives=5, negatives=10, low=30, high=90)
+
+
 QUERIES["op1_decontaminate"] = op1_leaks
 QUERIES["op2_secret_scan"] = op2_secrets
 QUERIES["op3_byte_bpe"] = op3_byte_bpe_digests
@@ -79,6 +84,7 @@ QUERIES["op9_nearest"] = op9_neighbours
 QUERIES["op10_language_id"] = op10_languages
 QUERIES["op11_sharding"] = op11_shards
 QUERIES["op12_lexical_search"] = op12_search
+QUERIES["op13_hard_negatives"] = op13_negatives
 
 ORACLES["op6_line_dedup"] = r"""
 WITH split AS (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS x FROM documents),
@@ -125,3 +131,10 @@ scores AS (SELECT item_id, doc_id, sum(times * w * impact)::BIGINT AS score FROM
 placed AS (SELECT item_id, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS rank, doc_id, score FROM scores WHERE score > 0)
 SELECT item_id, rank::INTEGER AS rank, doc_id, score FROM placed WHERE rank <= 20
 """
+ORACLES["op13_hard_negatives"] = r"""
+WITH used AS (SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS v FROM embeddings WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+pairs AS (SELECT a.vec_id AS anchor_id, a.label = b.label AS same, b.vec_id, list_inner_product(a.v, b.v)::BIGINT AS score FROM used a JOIN used b ON a.vec_id % 100 = 0 AND a.vec_id <> b.vec_id AND len(a.v) = len(b.v)),
+near AS (SELECT anchor_id, vec_id AS positive_id, score AS positive_score, row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, vec_id) AS r FROM pairs WHERE same),
+far AS (SELECT anchor_id, positive_id, row_number() OVER (PARTITION BY anchor_id, positive_id ORDER BY score DESC, vec_id) AS rank, vec_id AS negative_id, positive_score, score AS negative_score FROM near JOIN pairs USING (anchor_id) WHERE r <= 5 AND NOT same AND 30 * positive_score <= 100 * score AND 100 * score <= 90 * positive_score)
+SELECT anchor_id, positive_id, rank::INTEGER AS rank, negative_id, positive_score, negative_score FROM far WHERE rank <= 10
+"""
