@@ -88,11 +88,12 @@ class _ShortItems:
         self.first = {w[0] for w in self.by_words}
 
     def find(self, words: list[str]) -> list[tuple[int, float, int, int]]:
+        """Items within ``words``; one that is all of them is a shingle of its own and found as such."""
         found: dict[tuple[str, ...], tuple[int, int]] = {}
         for at in [i for i, w in enumerate(words) if w in self.first] if self.first else []:
             for n in self.lengths:
                 run = tuple(words[at : at + n])
-                if len(run) == n and run in self.by_words:
+                if len(run) == n < len(words) and run in self.by_words:
                     first, times = found.get(run, (at, 0))
                     found[run] = first, times + 1
         return [(i, 1.0, *found[run]) for run in found for i in self.by_words[run]]
@@ -122,7 +123,7 @@ class Items:
         words = words_of(text)
         if not words or not self.ids:
             return []
-        return self.find_long(words) + (self.short.find(words) if len(words) >= self.size else [])
+        return self.find_long(words) + self.short.find(words)
 
     def find_long(self, words: list[str]) -> list[tuple[int, float, int, int]]:
         # Words that no item has are 0; runs without them may be shingles of an item.
