@@ -188,20 +188,21 @@ def parser(texts: tuple[tuple[str, bytes], ...]) -> Parser:
 
 
 def samples(docs: DataFrame, most_docs: int, most_chars: int) -> tuple[tuple[str, bytes], ...]:
-    """Labelled text by language, as it is parsed: whole documents in the order of a hash.
+    """Labelled text by language, as it is parsed: whole texts in the order of their hashes.
 
-    Taken are at most ``most_docs`` rows a language, and none after those that
-    fill ``most_chars`` characters; the first is always taken.
+    Taken are at most ``most_docs`` different texts a language, and none after
+    those that fill ``most_chars`` characters; the first is always taken. Ids
+    play no part but to hold rows out, and copies of a text count once.
     """
+    mark = F.xxhash64(F.lit(7), "text")
     labelled = docs.where(learned_from() & F.col("lang").isNotNull() & F.col("text").isNotNull())
-    counts = {r["lang"]: r["n"] for r in labelled.groupBy("lang").agg(F.count("*").alias("n")).collect()}
+    counts = {r["lang"]: r["n"] for r in labelled.groupBy("lang").agg(F.approx_count_distinct(mark).alias("n")).collect()}
     if not counts:
         return ()
     # A hash thins each language to about twice the bound, so that the ranking below is small.
     thin = F.create_map(*(F.lit(x) for lang, n in counts.items() for x in (lang, max(1, n // (2 * most_docs)))))
-    mark = F.xxhash64("doc_id", F.lit(7))
-    few = labelled.where(F.pmod(mark, thin[F.col("lang")]) == 0).withColumn("mark", mark)
-    order = Window.partitionBy("lang").orderBy("mark", "doc_id", "text")
+    few = labelled.where(F.pmod(mark, thin[F.col("lang")]) == 0).groupBy("lang", mark.alias("mark")).agg(F.min("text").alias("text"))
+    order = Window.partitionBy("lang").orderBy("mark")
     before = F.coalesce(F.sum(F.length("text")).over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     taken = few.withColumns({"at": F.row_number().over(order), "before": before}).where((F.col("at") <= most_docs) & (F.col("before") < most_chars))
     texts: dict[str, list[bytes]] = {}
