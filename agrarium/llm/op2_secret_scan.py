@@ -25,7 +25,9 @@ from __future__ import annotations
 import hashlib
 import math
 import re
+from bisect import bisect_right
 from collections.abc import Callable
+from itertools import accumulate
 
 import numpy as np
 from pyspark.sql import DataFrame
@@ -127,14 +129,17 @@ def runs(m: re.Match) -> list[tuple[int, int]]:
 def candidates(text: str, base: list[tuple[int, int, int]], alpha: float) -> list[tuple[int, int, int, int]]:
     """(start, end, stratum, tenths of -log10 p) of strings that look random and lie in no base span."""
     out = []
+    # Base spans are in order of their starts: one holds a string if it starts no later and the furthest end so far isn't before the string's.
+    starts, furthest = [s for s, _, _ in base], list(accumulate((e for _, _, e in base), max))
     for m in re.finditer(CANDIDATE, text):
         taken: list[tuple[int, int]] = []
         for start, end in runs(m):
-            if any(s <= start and end <= e for s, _, e in base) or any(s < end and start < e for s, e in taken):
+            held, at = bisect_right(starts, start), bisect_right(taken, (start, end))
+            if held and furthest[held - 1] >= end or at and taken[at - 1][1] > start or at < len(taken) and taken[at][0] < end:
                 continue
             tested = battery(text[start:end])
             if tested and tested[1] >= alpha:
-                taken.append((start, end))
+                taken.insert(at, (start, end))
                 stratum = tested[0] * len(LENGTHS) + sum(end - start >= x for x in LENGTHS) - 1
                 out.append((start, end, stratum, int(-10 * math.log10(max(tested[2], 1e-300)))))
     return out
