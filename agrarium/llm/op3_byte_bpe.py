@@ -103,7 +103,7 @@ def load_ranks(path: str) -> dict[bytes, int]:
 class Codec:
     """Encodes and decodes with a rank file and a splitting pattern, without special tokens."""
 
-    def __init__(self, path: str, pattern: str, memo: int = 400_000) -> None:
+    def __init__(self, path: str, pattern: str, memo: int = 400_000, longest: int = 64) -> None:
         import regex
 
         ranks = load_ranks(path)
@@ -113,9 +113,9 @@ class Codec:
         self.find = regex.compile(pattern).findall
         self.merged = lambda piece: merge(piece.encode(), ranks)
         #: Of pieces the ids, and the ids as decimals joined by commas; of the latter the bytes they decode to.
-        self.ids = Memo(self.merged, memo)
-        self.decimals = Memo(lambda piece: ",".join(map(str, self.merged(piece))), memo)
-        self.bytes = Memo(lambda joined: self.decode(map(int, joined.split(","))), memo)
+        self.ids = Memo(self.merged, memo, longest)
+        self.decimals = Memo(lambda piece: ",".join(map(str, self.merged(piece))), memo, longest)
+        self.bytes = Memo(lambda joined: self.decode(map(int, joined.split(","))), memo, 6 * longest)
 
     def encode(self, text: str) -> list[int]:
         return list(chain.from_iterable(map(self.ids.__getitem__, self.find(text))))

@@ -25,7 +25,7 @@ class Lengths:
 
     def __init__(self, count: Callable[[list[str]], list[int]], batch_bytes: int, piece_chars: int, memo: int) -> None:
         self.count, self.batch_bytes, self.longest = count, batch_bytes, piece_chars
-        self.known = Memo(lambda word: count([word.decode()])[0], memo)
+        self.known = Memo(lambda word: count([word.decode()])[0], memo, piece_chars)
 
     def encode(self, words: set[bytes]) -> dict[bytes, int]:
         """Counts of words, in batches of about ``batch_bytes``; a word longer than that is a batch of its own."""

@@ -49,16 +49,17 @@ def held(key: Hashable, make: Callable[[], Any]) -> Any:
 
 
 class Memo(dict):
-    """``of(key)`` by key, remembered for up to ``most`` keys; the older half goes when they are full."""
+    """``of(key)`` by key, remembered for up to ``most`` keys of up to ``longest`` characters or bytes; the older half goes when they are full."""
 
-    def __init__(self, of: Callable[[Any], Any], most: int) -> None:
+    def __init__(self, of: Callable[[Any], Any], most: int, longest: int) -> None:
         super().__init__()
-        self.of, self.most = of, most
+        self.of, self.most, self.longest = of, most, longest
 
     def __missing__(self, key: Hashable) -> Any:
         found = self.of(key)
-        self.trim()
-        self[key] = found
+        if len(key) <= self.longest:
+            self.trim()
+            self[key] = found
         return found
 
     def trim(self) -> None:
