@@ -20,6 +20,13 @@ def saved(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def scratch(spark: SparkSession, name: str) -> str:
+    """A folder of this name in the shared folder; what is written there goes with ``clear_saved``."""
+    path = f"{shared_folder(spark)}/{name}"
+    _written.append(path)
+    return path
+
+
 def shared_folder(spark: SparkSession) -> str:
     """That of spark.checkpoint.dir, else the context's checkpoint folder; a folder of this machine only where all of Spark runs on it."""
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
@@ -31,7 +38,7 @@ def shared_folder(spark: SparkSession) -> str:
 
 
 def clear_saved(spark: SparkSession) -> int:
-    """Deletes the tables that ``saved`` has written in this process, and returns how many; results that still read them are gone with them."""
+    """Deletes the tables and folders that ``saved`` and ``scratch`` have named in this process, and returns how many; results that still read them are gone with them."""
     files = spark._jvm.org.apache.hadoop.fs
     deleted = 0
     while _written:

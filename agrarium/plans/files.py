@@ -8,7 +8,7 @@ from functools import reduce
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from agrarium.operators.lineage import shared_folder
+from agrarium.operators.lineage import scratch
 from agrarium.plans.registry import query
 from agrarium.sources import csvs, inventory, sinks
 from agrarium.sources.tables import table
@@ -102,7 +102,7 @@ def structure_issues(spark: SparkSession, d: str) -> DataFrame:
 
 def _written(spark: SparkSession, d: str, *names: str) -> str:
     """A new shared folder with tables written as CSV."""
-    root = f"{shared_folder(spark)}/csv-{uuid.uuid4().hex}"
+    root = scratch(spark, f"csv-{uuid.uuid4().hex}")
     for name in names:
         sinks.write(table(spark, d, name), f"{root}/{name}.csv", "csv")
     return root
@@ -145,7 +145,7 @@ def adhoc_sql(spark: SparkSession, d: str) -> DataFrame:
 @query("WITH r AS (SELECT count(*) AS n, round(sum(o_totalprice), 2) AS total, count(CASE WHEN o_orderkey % 9 > 0 THEN o_totalprice END) AS numbers FROM orders) SELECT unnest(['parquet', 'json', 'csv', 'orc']) AS format, n, total, numbers FROM r")
 def format_roundtrips(spark: SparkSession, d: str) -> DataFrame:
     """Orders written in each format and read again; what isn't finite is null in text formats, and doesn't count."""
-    root = f"{shared_folder(spark)}/formats-{uuid.uuid4().hex}"
+    root = scratch(spark, f"formats-{uuid.uuid4().hex}")
     rows = table(spark, d, "orders").select("o_orderkey", "o_totalprice", F.when(F.col("o_orderkey") % 9 == 0, float("nan")).otherwise(F.col("o_totalprice")).alias("x"))
     schema, out = "o_orderkey long, o_totalprice double, x double", []
     for kind in ("parquet", "json", "csv", "orc"):
@@ -171,7 +171,7 @@ def feature_store(spark: SparkSession, d: str) -> DataFrame:
     """Features put at their fingerprint in two versions, and the newest read; those of another fingerprint don't match."""
     from agrarium.operators.profile import schema_fingerprint
 
-    root = f"{shared_folder(spark)}/features-{uuid.uuid4().hex}"
+    root = scratch(spark, f"features-{uuid.uuid4().hex}")
     rows = table(spark, d, "customer")
     own = schema_fingerprint(rows)[:16]
     for version, fingerprint in ((1, own), (2, own), (1, "another")):
@@ -184,7 +184,7 @@ def feature_store(spark: SparkSession, d: str) -> DataFrame:
 @query("SELECT e AS encoding, count(*) AS n, max('Zoné ' || n_name) AS last FROM nation, (SELECT unnest(['UTF-8', 'ISO-8859-1']) AS e) GROUP BY 1")
 def encoded_csv(spark: SparkSession, d: str) -> DataFrame:
     """CSV tables in two encodings, each read in the one that its head tells."""
-    root = f"{shared_folder(spark)}/encoded-{uuid.uuid4().hex}"
+    root = scratch(spark, f"encoded-{uuid.uuid4().hex}")
     rows = table(spark, d, "nation").select(F.concat(F.lit("Zoné "), "n_name").alias("name")).coalesce(1)
     out = []
     for kind in ("UTF-8", "ISO-8859-1"):
@@ -197,7 +197,7 @@ def encoded_csv(spark: SparkSession, d: str) -> DataFrame:
 @query("SELECT CAST(year(o_orderdate) AS INT) AS year, count(*) AS n, round(sum(o_totalprice), 2) AS total FROM orders WHERE year(o_orderdate) >= 1998 GROUP BY 1")
 def exported_metadata(spark: SparkSession, d: str) -> DataFrame:
     """Metadata written as Parquet by year, and the later years read; an empty table isn't exported."""
-    root = f"{shared_folder(spark)}/metadata-{uuid.uuid4().hex}"
+    root = scratch(spark, f"metadata-{uuid.uuid4().hex}")
     rows = table(spark, d, "orders").withColumn("year", F.year("o_orderdate"))
     sinks.write(sinks.not_empty(rows), root, "parquet", partition=("year",))
     back = spark.read.parquet(root).where("year >= 1998")
@@ -207,7 +207,7 @@ def exported_metadata(spark: SparkSession, d: str) -> DataFrame:
 @query("SELECT p_brand AS model, count(*) AS runs, round(sum(p_retailprice), 2) AS total FROM part GROUP BY 1")
 def run_log(spark: SparkSession, d: str) -> DataFrame:
     """Runs appended to a log in two batches; each has an id and a time of its own."""
-    root = f"{shared_folder(spark)}/log-{uuid.uuid4().hex}"
+    root = scratch(spark, f"log-{uuid.uuid4().hex}")
     runs = table(spark, d, "part").select(F.col("p_brand").alias("model"), F.col("p_retailprice").alias("metric"), "p_partkey")
     for half in (0, 1):
         sinks.append_log(runs.where(F.col("p_partkey") % 2 == half).drop("p_partkey"), root)

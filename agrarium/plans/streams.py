@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from agrarium.operators.lineage import shared_folder
+from agrarium.operators.lineage import scratch
 from agrarium.plans.registry import query
 from agrarium.sources.tables import table
 from agrarium.streaming import requests
@@ -23,7 +23,7 @@ def _stream(spark: SparkSession, d: str, root: str) -> DataFrame:
 @query("SELECT CAST(date_trunc('day', ts) AS DATE) AS day, event_type, count(*) AS requests, count(*) FILTER (value >= 400) AS errors, round(sum(value), 2) AS total FROM events GROUP BY ALL")
 def streamed_requests(spark: SparkSession, d: str) -> DataFrame:
     """Requests, errors and totals of each day and kind, kept up to date by a stream; the last state is returned."""
-    root = f"{shared_folder(spark)}/stream-{uuid.uuid4().hex}"
+    root = scratch(spark, f"stream-{uuid.uuid4().hex}")
     found = requests.metrics(_stream(spark, d, root), "ts", "event_type", "value", 400.0, window="1 day")
     written: list[str] = []
 
@@ -39,7 +39,7 @@ def streamed_requests(spark: SparkSession, d: str) -> DataFrame:
 @query("SELECT CAST(event_id % 4 AS INT) AS g, count(*) AS n, round(avg(value), 4) AS mean, round(count(*) FILTER (value >= 400) / count(*), 6) AS error_share, avg(value) > (SELECT avg(value) FROM events) AS above FROM events GROUP BY 1")
 def batch_checks(spark: SparkSession, d: str) -> DataFrame:
     """Each micro-batch held against the whole table, as it comes."""
-    root = f"{shared_folder(spark)}/stream-{uuid.uuid4().hex}"
+    root = scratch(spark, f"stream-{uuid.uuid4().hex}")
     usual = table(spark, d, "events").agg(F.avg("value")).first()[0]
 
     def check(batch: DataFrame) -> DataFrame:

@@ -8,12 +8,14 @@ from agrarium.plans.catalog import ORACLES, QUERIES
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 
 
-@pytest.fixture(scope="module")
-def duck(sf):
-    con = duckdb.connect()
+@pytest.fixture
+def duck(sf, tmp_path):
+    """A database of its own for each case, with bounds, so that a fatal error stays with the case that made it."""
+    con = duckdb.connect(config={"memory_limit": "3GB", "threads": "2", "temp_directory": str(tmp_path)})
     for t in TABLES:
         con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{sf}/{t}.parquet'")
-    return con
+    yield con
+    con.close()
 
 
 def rows(found):
