@@ -1,13 +1,11 @@
-"""Structured Streaming: request metrics, drift per window, rate limits; an addition to what the batch queries do."""
+"""Structured Streaming: request metrics and checks of micro-batches; an addition to what the batch queries do."""
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 
 def metrics(events: DataFrame, at: str, path: str, value: str, error: float, window: str = "1 hour", late: str = "10 minutes") -> DataFrame:
@@ -25,24 +23,3 @@ def for_each_batch(check: Callable[[DataFrame], DataFrame], write: Callable[[Dat
             write(check(batch).withColumn("batch", F.lit(number)), number)
 
     return run
-
-
-def limited(events: DataFrame, key: str, at: str, most: int, seconds: float) -> DataFrame:
-    """(key, at, allowed): a request is allowed if fewer than ``most`` allowed ones lie within the ``seconds`` before it."""
-    kind = dict(events.dtypes)[key]
-
-    def step(k: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        hits = list(state.get[0]) if state.exists else []
-        times = sorted(t for f in frames for t in f["_t"])
-        out = []
-        for t in times:
-            hits = [h for h in hits if h > t - seconds]
-            allowed = len(hits) < most
-            if allowed:
-                hits.append(t)
-            out.append((k[0], t, allowed))
-        state.update((hits,))
-        yield pd.DataFrame(out, columns=[key, "at", "allowed"])
-
-    timed = events.select(key, F.unix_micros(F.col(at).cast("timestamp")).cast("double").alias("_t")).withColumn("_t", F.col("_t") / 1e6)
-    return timed.groupBy(key).applyInPandasWithState(step, f"{key} {kind}, at double, allowed boolean", "hits array<double>", "append", GroupStateTimeout.NoTimeout)

@@ -267,14 +267,3 @@ def test_stream_metrics(spark, sf, tmp_path):
     q.awaitTermination(120)
     got = spark.table("metrics").agg(F.sum("requests"), F.sum("errors")).first()
     assert tuple(got) == tuple(rows.agg(F.count("*"), F.count_if(F.col("value") >= 50)).first())
-
-
-def test_rate_limit(spark, tmp_path):
-    start = dt.datetime(2024, 1, 1)
-    rows = spark.createDataFrame([("a", start + dt.timedelta(seconds=s)) for s in (0, 1, 2, 11, 12)] + [("b", start)], "k string, ts timestamp")
-    rows.coalesce(1).write.parquet(str(tmp_path / "in"))
-    stream = spark.readStream.schema(rows.schema).parquet(str(tmp_path / "in"))
-    q = requests.limited(stream, "k", "ts", 2, 10.0).writeStream.outputMode("append").format("memory").queryName("limited").trigger(availableNow=True).start()
-    q.awaitTermination(120)
-    got = [(r.k, r.allowed) for r in spark.table("limited").orderBy("k", "at").collect()]
-    assert got == [("a", True), ("a", True), ("a", False), ("a", True), ("a", True), ("b", True)]
