@@ -67,6 +67,9 @@ class _Files:
         where = self.path(folder)
         return sorted(s.getPath().getName() for s in self.fs.listStatus(where)) if self.fs.exists(where) else []
 
+    def status(self, name: str) -> Any:
+        return self.fs.getFileStatus(self.path(name))
+
     def delete(self, name: str) -> None:
         self.fs.delete(self.path(name), True)
 
