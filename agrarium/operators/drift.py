@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -89,6 +91,42 @@ def ks_p_value(d: float, n: int, m: int) -> float:
     return min(1.0, max(0.0, 2 * sum((-1) ** (k - 1) * math.exp(-2 * k * k * t * t) for k in range(1, 101))))
 
 
+def exact_ks_p(d: float, n: int, m: int) -> float:
+    """Exact p of a two-sample Kolmogorov-Smirnov distance of samples without ties.
+
+    Drawn in random order, the two samples are a path on a lattice; p is the
+    chance that it comes to a distance of at least ``d``. All points of a
+    diagonal are one step of a vector, so the cost is n + m vectors of n.
+    """
+    if not n or not m:
+        return 1.0
+    n, m = sorted((n, m))
+    least = round(d * n * m)  # distances are multiples of 1 / (n m)
+    if least <= 0:
+        return 1.0
+    i = np.arange(n + 1)
+    inside = np.zeros(n + 1)
+    inside[0] = 1.0
+    for step in range(n + m):
+        left = n + m - step
+        move = inside * np.clip(n - i, 0, None) / left
+        inside = inside - move
+        inside[1:] += move[:-1]
+        j = step + 1 - i
+        inside[(j < 0) | (j > m) | (np.abs(i * m - j * n) >= least)] = 0.0
+    return float(min(1.0, max(0.0, 1 - inside.sum())))
+
+
+def ks_test_p(d: Column, n: Column, m: Column, most: int = 10_000) -> Column:
+    """p of a distance: exact where neither sample has more than ``most`` values, else by the limiting distribution. For reports of few rows."""
+
+    @F.pandas_udf("double")
+    def p(d: pd.Series, n: pd.Series, m: pd.Series) -> pd.Series:
+        return pd.Series([None if pd.isna(a) else exact_ks_p(a, int(b), int(c)) if max(b, c) <= most else ks_p_value(a, int(b), int(c)) for a, b, c in zip(d, n, m, strict=True)], dtype="float64")
+
+    return p(d, n.cast("double"), m.cast("double"))
+
+
 def gamma_q(a: float, x: float) -> float:
     """Upper regularised incomplete gamma function, by its series or continued fraction."""
     if x <= 0:
@@ -124,17 +162,17 @@ def category_shares(reference: DataFrame, current: DataFrame, column: str) -> Da
     """(column, n_ref, n_cur, ref, cur, shift) of all categories of either side."""
     sides = reference.select(F.col(column), F.lit(1).alias("_r"), F.lit(0).alias("_c")).unionByName(current.select(F.col(column), F.lit(0).alias("_r"), F.lit(1).alias("_c")))
     counts = sides.groupBy(column).agg(F.sum("_r").alias("n_ref"), F.sum("_c").alias("n_cur"))
-    whole = Window.partitionBy()
-    share = lambda c: F.coalesce(F.col(c) / F.nullif(F.sum(c).over(whole), F.lit(0)), F.lit(0.0))
-    shares = counts.withColumn("ref", share("n_ref")).withColumn("cur", share("n_cur"))
+    totals = sides.agg(F.sum("_r").alias("_tr"), F.sum("_c").alias("_tc"))  # one row
+    share = lambda c, t: F.coalesce(F.col(c) / F.nullif(F.col(t), F.lit(0)), F.lit(0.0))
+    shares = counts.crossJoin(F.broadcast(totals)).withColumn("ref", share("n_ref", "_tr")).withColumn("cur", share("n_cur", "_tc")).drop("_tr", "_tc")
     return shares.withColumn("shift", F.col("cur") - F.col("ref"))
 
 
 def categorical_drift(shares: DataFrame) -> DataFrame:
     """(chi2, dof, js): chi-squared with Yates' correction at one degree of freedom, JS with shares clipped inside the logarithm only."""
-    whole = Window.partitionBy()
-    n, r, c = F.col("n_ref") + F.col("n_cur"), F.sum("n_ref").over(whole), F.sum("n_cur").over(whole)
-    rows = shares.withColumn("_er", n * r / (r + c)).withColumn("_ec", n * c / (r + c)).withColumn("_k", F.count("*").over(whole))
+    n, r, c = F.col("n_ref") + F.col("n_cur"), F.col("_tr"), F.col("_tc")
+    totals = shares.agg(F.sum("n_ref").alias("_tr"), F.sum("n_cur").alias("_tc"), F.count("*").alias("_k"))  # one row
+    rows = shares.crossJoin(F.broadcast(totals)).withColumn("_er", n * r / (r + c)).withColumn("_ec", n * c / (r + c))
     off = lambda o, e: F.greatest(F.abs(F.col(o) - F.col(e)) - F.when(F.col("_k") == 2, 0.5).otherwise(0.0), F.lit(0.0))
     chi = off("n_ref", "_er") ** 2 / F.col("_er") + off("n_cur", "_ec") ** 2 / F.col("_ec")
     clip = lambda x: F.greatest(x, F.lit(1e-12))
@@ -144,8 +182,10 @@ def categorical_drift(shares: DataFrame) -> DataFrame:
 
 
 def temporal_psi(df: DataFrame, period: Column, value: str, reference: DataFrame, bins: int = 10) -> DataFrame:
-    """(period, n, psi) of each period of ``df`` against the reference's quantile bins."""
-    found = sorted(set(ranks.quantiles(reference, {"x": F.col(value)}, [i / bins for i in range(bins + 1)])["x"]))
+    """(period, n, psi) of each period of ``df`` against the reference's quantile bins; no rows if the reference has fewer than two values."""
+    found = sorted(set(ranks.quantiles(reference, {"x": F.col(value)}, [i / bins for i in range(bins + 1)]).get("x", [])))
+    if len(found) < 2:
+        return df.select(period.alias("period"), F.lit(0).cast("long").alias("n"), F.lit(None).cast("double").alias("psi")).limit(0)
     edges = F.array(*map(F.lit, found))
     number = lambda x: F.greatest(F.least(F.size(F.filter(edges, lambda e: e <= x)), F.lit(len(found) - 1)), F.lit(1))
     whole = Window.partitionBy()

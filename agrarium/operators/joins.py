@@ -3,14 +3,19 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Callable, Iterator
 from functools import reduce
 
+import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
+from agrarium.functions import patterns
 from agrarium.operators.lineage import saved
 
+WHOLE_PARTS = 64  # of a table that expressions without any sure letter meet
+
 
 def chain(base: DataFrame, steps: list[tuple[DataFrame, list[str], str, str]]) -> DataFrame:
     """Joins (table, keys, how, suffix) one after the other; other shared columns of the table get its suffix. Null keys match each other."""
@@ -73,19 +78,13 @@ def staged_name_match(probes: DataFrame, table: DataFrame, probe: str, name: str
     case; 4 the probe as a regular expression in either case, on the column
     ``raw`` (the name if none is given). Stages 1 and 2 are equi-joins on the
     parts. Probes they leave unmatched meet the names that hold their first three
-    letters, by an equi-join as well. Only what is left then meets all rows, as
-    an expression can match anywhere; one that isn't valid matches nothing.
+    letters, by an equi-join as well, and what is left the texts that hold the
+    letters which the expression can't match without; one that isn't valid
+    matches nothing.
     """
     return _staged(probes, table, probe, name, position, raw, []).select(*probes.columns, F.col("_m.name").alias("matched"), F.col("_m.stage").alias("stage"))
 
 
-def _found(pattern: str, text: str) -> bool:
-    try:
-        return re.search(pattern, text, re.IGNORECASE) is not None
-    except re.error:
-        return False
-
-
 def _staged(probes: DataFrame, table: DataFrame, probe: str, name: str, position: str, raw: str | None, within: list[str]) -> DataFrame:
     """The columns of ``probes`` and _m, a struct of stage, pos and name, among rows that are equal in ``within``."""
     table = table.withColumnsRenamed({c: f"_w_{c}" for c in within})
@@ -105,11 +104,45 @@ def _staged(probes: DataFrame, table: DataFrame, probe: str, name: str, position
     if raw is None:
         # On the name itself, a probe without signs is a substring or nothing.
         last = last.where(F.col(probe).rlike(r"[\\^$.|?*+()\[\]{}]"))
-    signs = last.join(table, alike(F.col(probe).isNotNull() & F.col(raw or name).isNotNull())).where((F.col(probe) != "") & F.udf(_found, T.BooleanType())(F.col(probe), F.col(raw or name)))
-    signs = signs.select(*probes.columns, match(F.lit(4))).groupBy(*probes.columns).agg(F.min("_m").alias("_m"))
+    signs = _by_expression(last, table, probe, raw or name, alike).select(*probes.columns, match(F.lit(4))).groupBy(*probes.columns).agg(F.min("_m").alias("_m"))
     return first.unionByName(late).unionByName(signs)
 
 
+def _by_expression(asked: DataFrame, table: DataFrame, probe: str, text: str, alike: Callable[[Column], Column]) -> DataFrame:
+    """Pairs of rows whose ``text`` an expression of ``asked`` is found in, in either case.
+
+    Every match holds one of a few short strings that the expression tells, so
+    both sides meet on those by an equi-join, and only what met is searched.
+    Expressions that tell none, such as ".*", meet every row, in parts of the
+    table. Java searches for expressions that it reads as Python does, a
+    vectorised function for the others.
+    """
+
+    def plan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            own = [patterns.plan_of(p) for p in b.column(0).to_pylist()]
+            yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(c, t) for c, t in zip(zip(*own, strict=True), (pa.bool_(), pa.bool_(), pa.list_(pa.string())), strict=True))] if own else [b.column(0), pa.array([], pa.bool_()), pa.array([], pa.bool_()), pa.array([], pa.list_(pa.string()))], names=["_pattern", "_valid", "_shared", "_grams"])
+
+    plans = asked.select(F.col(probe).alias("_pattern")).distinct().mapInArrow(plan, "_pattern string, _valid boolean, _shared boolean, _grams array<string>").where("_valid")
+    part = F.sequence(F.lit(0), F.lit(WHOLE_PARTS - 1))
+    keys = plans.withColumn("_gram", F.explode("_grams")).withColumn("_part", F.explode(F.when(F.col("_gram") == "", part).otherwise(F.array(F.lit(0)))))
+    wanted = asked.join(keys, F.col(probe) == F.col("_pattern"))
+    low = patterns.folded(F.col(text))
+    grams = F.flatten(F.transform(F.sequence(F.lit(1), F.greatest(F.length(low), F.lit(1))), lambda i: F.array(*(F.substring(low, i, F.lit(n)) for n in range(1, patterns.GRAM + 1)))))
+    rows = table.where(F.col(text).isNotNull()).withColumn("_held", F.explode(F.array_distinct(F.concat(grams, F.array(F.lit(""))))))
+    rows = rows.join(keys.select(F.col("_gram").alias("_held")).distinct(), "_held", "left_semi")
+    rows = rows.withColumn("_of", F.when(F.col("_held") == "", F.pmod(F.xxhash64(text), F.lit(WHOLE_PARTS))).otherwise(0).cast("int"))
+    met = wanted.join(rows, alike((F.col("_gram") == F.col("_held")) & (F.col("_part") == F.col("_of"))))
+
+    @F.pandas_udf("boolean")
+    def searched(expression: pd.Series, text: pd.Series) -> pd.Series:
+        return pd.Series([re.search(p, t, re.IGNORECASE) is not None for p, t in zip(expression, text, strict=True)])
+
+    by_java = met.where(F.col("_shared")).where(F.rlike(F.col(text), F.concat(F.lit(patterns.JAVA), F.col(probe))))
+    others = met.where(~F.col("_shared")).where(searched(F.col(probe), F.col(text)))
+    return by_java.unionByName(others)
+
+
 def outer_pairs(left: DataFrame, right: DataFrame, keys: list[str], order: str, values: list[str]) -> DataFrame:
     """First row per key and side, paired by key; a missing side has nulls."""
     sides = []
@@ -135,25 +168,34 @@ def parent_chain(nodes: DataFrame, key: str, parent: str, name: str, depth: int)
     return walk.select(key, "path")
 
 
-def root_paths(nodes: DataFrame, key: str, parent: str, name: str, rounds: int = 32) -> DataFrame:
+def root_paths(nodes: DataFrame, key: str, parent: str, name: str, rounds: int = 40) -> DataFrame:
     """(key, path): names from a node up to its root, over any number of levels.
 
-    Each round joins every path with that of the node it stops at, so that
-    paths double in length; 32 rounds do for any depth. A path ends where the
-    parent is null or not a node; nodes on a loop are left out.
+    By pointer doubling over ids: in round r each node knows its ancestor 2**r
+    levels up. A round in which no further node reaches its end shows that all
+    others are on a loop or lead to one; these are left out before any path is
+    made, so that nothing grows with a loop. Then (node, ancestor, distance)
+    doubles likewise, and names are joined once, at the end. A path ends where
+    the parent is null or not a node. Of rows of one key the least counts.
     """
-    walk = saved(nodes.select(F.col(key).alias("_k"), F.col(parent).alias("_next"), F.array(F.col(name)).alias("path")))
-    for _ in range(rounds):
-        if walk.where("_next IS NOT NULL").isEmpty():
-            break
-        up = walk.select(F.col("_k").alias("_u"), F.col("_next").alias("_n"), F.col("path").alias("_p"))
-        joined = walk.join(up, F.col("_next") == F.col("_u"), "left")
-        longer = F.when(F.col("_u").isNotNull(), F.concat("path", "_p")).otherwise(F.col("path"))
-        following = saved(joined.select("_k", F.col("_n").alias("_next"), longer.alias("path")))
-        # On a loop paths would grow for ever: longer than there are nodes is a loop.
-        n = walk.count()
-        walk = following.where(F.size("path") <= n)
-    return walk.where("_next IS NULL").select(F.col("_k").alias(key), "path")
+    rows = saved(nodes.where(F.col(key).isNotNull()).groupBy(F.col(key).alias("_k")).agg(F.min(F.struct(F.col(parent).alias("_p"), F.col(name).alias("_n"))).alias("_r")).select("_k", "_r.*"))
+    known = rows.select(F.col("_k").alias("_p"))
+    jumps = [saved(rows.join(known, "_p", "left_semi").select("_k", F.col("_p").alias("_j")))]  # nodes at an end have no jump
+    reached, open_ = rows.count(), jumps[0].count()
+    while open_ and open_ < reached and len(jumps) < rounds:
+        last = jumps[-1]
+        jumps.append(saved(last.join(last.select(F.col("_k").alias("_j"), F.col("_j").alias("_to")), "_j").select("_k", F.col("_to").alias("_j"))))
+        reached, open_ = open_, jumps[-1].count()
+    # Whoever still has a jump never comes to an end.
+    endless = jumps[-1].select("_k") if open_ else None
+    finite = lambda df: df.join(endless, "_k", "left_anti") if endless is not None else df
+    above = finite(rows.select("_k", F.col("_k").alias("_a"), F.lit(0).cast("long").alias("_d")))
+    for r, jump in enumerate(jumps[:-1] if endless is None else jumps):
+        step = finite(jump).select(F.col("_k").alias("_from"), F.col("_j").alias("_k"))
+        above = saved(above.unionByName(step.join(above, "_k").select(F.col("_from").alias("_k"), "_a", (F.col("_d") + 2**r).alias("_d"))))
+    named = above.join(rows.select(F.col("_k").alias("_a"), "_n"), "_a")
+    path = F.transform(F.array_sort(F.collect_list(F.struct("_d", "_n"))), lambda x: x["_n"])
+    return named.groupBy("_k").agg(path.alias("path")).select(F.col("_k").alias(key), "path")
 
 
 def historical_lookup(probes: DataFrame, history: DataFrame, place: str, within: str, season: str, year: str, carry: list[str]) -> DataFrame:

@@ -8,7 +8,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from agrarium.operators import ranks
+from agrarium.operators.splits import global_rank
 
+RANGES = 1_024  # of positions, in which categories are numbered
 MISSING = "__missing__"
 
 
@@ -77,12 +79,17 @@ def clipped(column: Column, bounds: tuple[float, float]) -> Column:
 
 
 def categories(df: DataFrame, column: str, position: str) -> DataFrame:
-    """(category, code) in the order of first appearance by ``position``; null and blank are one category."""
+    """(category, code) in the order of first appearance by ``position``, a number; null and blank are one category.
+
+    Codes are ranks within ranges of first positions and the sums of the ranges
+    before, so that no task numbers all categories.
+    """
     named = df.select(category(F.col(column)).alias("category"), position)
     firsts = named.groupBy("category").agg(F.min(position).alias("first"))
-    from pyspark.sql import Window
-
-    return firsts.select("category", (F.row_number().over(Window.orderBy("first")) - 1).alias("code"))
+    last = firsts.agg(F.min("first").alias("lo"), F.max("first").alias("hi")).first()
+    width = max(1.0, (float(last["hi"]) - float(last["lo"])) / RANGES) if last["hi"] is not None else 1.0
+    ranked = global_rank(firsts, [F.col("first"), F.col("category")], F.floor((F.col("first") - F.lit(last["lo"])) / F.lit(width)))
+    return ranked.select("category", (F.col("_rank") - 1).cast("int").alias("code"))
 
 
 def category(column: Column) -> Column:
@@ -109,6 +116,7 @@ class TabularPipeline:
     position: str
     drop_constant: bool = True
     most_correlated: float = 0.95
+    most_categories: int = 10_000
     fitted: dict = field(default_factory=dict)
 
     def fit(self, df: DataFrame) -> TabularPipeline:
@@ -123,10 +131,17 @@ class TabularPipeline:
             numeric = [c for c in numeric if c in left]
         fill, bounds = fill_values(df, numeric), fence(df, numeric)
         ready = df.select(*(clipped(F.coalesce(c, F.lit(fill[c])), bounds.get(c, (-1e308, 1e308))).alias(c) for c in numeric))
-        names = {c: [r["category"] for r in categories(df, c, self.position).orderBy("code").collect()] for c in self.categorical}
+        names = {c: self._names(df, c) for c in self.categorical}
         self.fitted = {"numeric": numeric, "fill": fill, "bounds": bounds, "scale": standard(ready, numeric), "names": names}
         return self
 
+    def _names(self, df: DataFrame, column: str) -> list[str]:
+        """A vector has an entry for each category, so that there may be ``most_categories`` of them; more are an error, and a column for ``ordinal``."""
+        found = categories(df, column, self.position).where(F.col("code") <= self.most_categories).orderBy("code").collect()
+        if len(found) > self.most_categories:
+            raise ValueError(f"{column} has more than {self.most_categories} categories")
+        return [r["category"] for r in found]
+
     def feature_names(self) -> list[str]:
         return self.fitted["numeric"] + [f"{c}={n}" for c, names in self.fitted["names"].items() for n in names]
 

@@ -38,14 +38,6 @@ def join_chain_outer(spark: SparkSession, d: str) -> DataFrame:
     return joins.chain(left, [(right, ["k"], "full_outer", "_c")]).select("k", "s_name", "c_name")
 
 
-@query("SELECT k, s.s_name, c.c_name FROM (SELECT s_suppkey AS k, s_name FROM supplier) s FULL JOIN (SELECT c_custkey * 2 AS k, c_name FROM customer) c USING (k)")
-def join_chain_outer_whole(spark: SparkSession, d: str) -> DataFrame:
-    """join_chain_outer with all customers."""
-    left = table(spark, d, "supplier").select(F.col("s_suppkey").alias("k"), "s_name")
-    right = table(spark, d, "customer").select((F.col("c_custkey") * 2).alias("k"), "c_name")
-    return joins.chain(left, [(right, ["k"], "full_outer", "_c")]).select("k", "s_name", "c_name")
-
-
 @query("SELECT c_custkey FROM customer ANTI JOIN orders ON c_custkey = o_custkey")
 def orphans_left(spark: SparkSession, d: str) -> DataFrame:
     return joins.orphans(table(spark, d, "customer"), table(spark, d, "orders"), "c_custkey", "o_custkey").select("c_custkey")
@@ -128,6 +120,19 @@ def staged_name_match(spark: SparkSession, d: str) -> DataFrame:
     return joins.staged_name_match(nation.select(F.col("n_name").alias("probe")).distinct(), known, "probe", "name", "pos")
 
 
+@query("""WITH n AS (SELECT n_name, r_name FROM nation JOIN region ON n_regionkey = r_regionkey), p AS (SELECT '^' || lower(n_name[1]) || '.* of .*' || lower(n_name[-1]) || '$' AS probe FROM n UNION SELECT '(' || n_name || '|' || r_name || ')\\d*$' FROM n UNION SELECT '^.+#.*' || lower(n_name[1:2]) || '[a-z]+$' FROM n UNION SELECT '('),
+t AS (SELECT 100 + s_suppkey AS pos, s_name || ' of ' || n_name AS name FROM supplier JOIN nation ON s_nationkey = n_nationkey), m AS (SELECT probe, pos, name FROM p, t WHERE probe <> '(' AND regexp_matches(name, probe, 'i'))
+SELECT probe, arg_min(name, pos) AS matched, 4 AS stage FROM m GROUP BY 1""")
+def staged_expressions(spark: SparkSession, d: str) -> DataFrame:
+    """Probes that are regular expressions: the first supplier that each is found in."""
+    nation = table(spark, d, "nation").join(table(spark, d, "region"), F.col("n_regionkey") == F.col("r_regionkey"))
+    first, last = F.lower(F.substring("n_name", 1, 1)), F.lower(F.substring("n_name", -1, 1))
+    forms = F.array(F.concat(F.lit("^"), first, F.lit(".* of .*"), last, F.lit("$")), F.concat(F.lit("("), "n_name", F.lit("|"), "r_name", F.lit(")\\d*$")), F.concat(F.lit("^.+#.*"), F.lower(F.substring("n_name", 1, 2)), F.lit("[a-z]+$")), F.lit("("))
+    probes = nation.select(F.explode(forms).alias("probe")).distinct()
+    named = table(spark, d, "supplier").join(table(spark, d, "nation"), F.col("s_nationkey") == F.col("n_nationkey")).select((F.col("s_suppkey") + 100).alias("pos"), F.concat_ws(" of ", "s_name", "n_name").alias("name"))
+    return joins.staged_name_match(probes, named, "probe", "name", "pos", raw="name")
+
+
 @query("WITH e AS (SELECT event_id, CAST(ts AS DATE) AS day, user_id, event_type, value FROM events), a AS (SELECT day, user_id, arg_min(value, event_id) AS left_value FROM e WHERE event_type = (SELECT min(event_type) FROM events) GROUP BY ALL), b AS (SELECT day, user_id, arg_min(value, event_id) AS right_value FROM e WHERE event_type = (SELECT max(event_type) FROM events) GROUP BY ALL) SELECT day, user_id, left_value, right_value FROM a FULL JOIN b USING (day, user_id)")
 def outer_pairing(spark: SparkSession, d: str) -> DataFrame:
     rows = table(spark, d, "events").withColumn("day", F.to_date("ts"))
@@ -143,23 +148,9 @@ def boundary_chain(spark: SparkSession, d: str) -> DataFrame:
     return joins.parent_chain(nodes, "node", "parent", "name", 3).where(F.col("node") < far).select("node", F.array_join("path", ">").alias("path"))
 
 
-@query(f"WITH cell AS (SELECT c_custkey, {place_sql('c_custkey')}, y AS year, s AS season FROM customer, (SELECT CAST(unnest([1996, 1997]) AS INT) AS y), (SELECT unnest(['Kharif', 'Rabi']) AS s)), o AS (SELECT o_custkey, CASE WHEN month(o_orderdate) BETWEEN 6 AND 10 THEN 'Kharif' WHEN month(o_orderdate) BETWEEN 4 AND 5 THEN 'Summer' ELSE 'Rabi' END AS season, CAST(year(o_orderdate) - CASE WHEN month(o_orderdate) <= 3 THEN 1 ELSE 0 END AS INT) AS year, count(*) AS n_images, round(sum(o_totalprice), 2) AS total, min(CAST(o_orderdate AS DATE)) AS first_day FROM orders GROUP BY ALL), r AS (SELECT c_custkey, cell.year, cell.season, coalesce(n_images, 0) AS n_images, total, first_day, lon, lat, n_name FROM cell LEFT JOIN o ON c_custkey = o_custkey AND cell.year = o.year AND cell.season = o.season JOIN customer c USING (c_custkey) LEFT JOIN nation ON c.c_nationkey = n_nationkey) SELECT c_custkey, year, season, n_name, n_images, total, first_day, 100 - CASE WHEN n_images = 0 THEN 25 ELSE 0 END - CASE WHEN n_images = 1 THEN 10 ELSE 0 END - CASE WHEN abs(lat) > 60 THEN 2 ELSE 0 END AS quality, n_images > 0 AS accepted FROM r")
-def build_observations(spark: SparkSession, d: str) -> DataFrame:
-    """The alignment of places, years and seasons with records in the season, with a quality score for each cell."""
-    from agrarium.operators.splits import plan
-
-    places = table(spark, d, "customer").select("c_custkey", "c_nationkey", *(v.alias(k) for k, v in place("c_custkey").items()))
-    cells = plan(places, [1996, 1997], ["Kharif", "Rabi"])
-    dated = table(spark, d, "orders").select(F.col("o_custkey").alias("c_custkey"), seasons.season_of(F.to_date("o_orderdate")).alias("s"), "o_totalprice", F.to_date("o_orderdate").alias("day"))
-    found = dated.groupBy("c_custkey", F.col("s.season").alias("season"), F.col("s.year").alias("year")).agg(F.count("*").alias("n_images"), F.round(F.sum("o_totalprice"), 2).alias("total"), F.min("day").alias("first_day"))
-    rows = cells.join(found, ["c_custkey", "year", "season"], "left").na.fill(0, ["n_images"]).join(table(spark, d, "nation"), F.col("c_nationkey") == F.col("n_nationkey"), "left")
-    issues = F.array_compact(F.array(F.when(F.col("n_images") == 0, "error"), F.when(F.col("n_images") == 1, "warning"), F.when(F.abs("lat") > 60, "info")))
-    return rows.select("c_custkey", "year", "season", "n_name", "n_images", "total", "first_day", filters.quality_score(issues).alias("quality"), (F.col("n_images") > 0).alias("accepted"))
-
-
 @query(f"WITH o AS (SELECT o_custkey, CASE WHEN month(o_orderdate) BETWEEN 6 AND 10 THEN 'Kharif' WHEN month(o_orderdate) BETWEEN 4 AND 5 THEN 'Summer' ELSE 'Rabi' END AS season, CAST(year(o_orderdate) - CASE WHEN month(o_orderdate) <= 3 THEN 1 ELSE 0 END AS INT) AS year, count(*) AS n_images, round(sum(o_totalprice), 2) AS total, min(CAST(o_orderdate AS DATE)) AS first_day FROM orders GROUP BY ALL), cell AS (SELECT c_custkey, {place_sql('c_custkey')}, year, season FROM customer, (SELECT DISTINCT year FROM o), (SELECT DISTINCT season FROM o)), r AS (SELECT c_custkey, cell.year, cell.season, coalesce(n_images, 0) AS n_images, total, first_day, lon, lat, n_name FROM cell LEFT JOIN o ON c_custkey = o_custkey AND cell.year = o.year AND cell.season = o.season JOIN customer c USING (c_custkey) LEFT JOIN nation ON c.c_nationkey = n_nationkey) SELECT c_custkey, year, season, n_name, n_images, total, first_day, 100 - CASE WHEN n_images = 0 THEN 25 ELSE 0 END - CASE WHEN n_images = 1 THEN 10 ELSE 0 END - CASE WHEN abs(lat) > 60 THEN 2 ELSE 0 END AS quality, n_images > 0 AS accepted FROM r")
-def build_observations_whole(spark: SparkSession, d: str) -> DataFrame:
-    """build_observations with the plan's years and seasons taken from the orders."""
+def build_observations(spark: SparkSession, d: str) -> DataFrame:
+    """The alignment of places with records, with a quality score for each cell; years and seasons are those of the orders."""
     places = table(spark, d, "customer").select("c_custkey", "c_nationkey", *(v.alias(k) for k, v in place("c_custkey").items()))
     dated = table(spark, d, "orders").select(F.col("o_custkey").alias("c_custkey"), seasons.season_of(F.to_date("o_orderdate")).alias("s"), "o_totalprice", F.to_date("o_orderdate").alias("day"))
     found = dated.groupBy("c_custkey", F.col("s.season").alias("season"), F.col("s.year").alias("year")).agg(F.count("*").alias("n_images"), F.round(F.sum("o_totalprice"), 2).alias("total"), F.min("day").alias("first_day"))

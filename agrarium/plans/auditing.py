@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from agrarium.functions import arrays
-from agrarium.operators import drift, evaluation
+from agrarium.operators import drift, evaluation, ranks
 from agrarium.plans.alignment import place, place_sql
 from agrarium.plans.registry import query
 from agrarium.sources.tables import table
@@ -191,3 +191,27 @@ def group_errors(spark: SparkSession, d: str) -> DataFrame:
 def latency_percentiles(spark: SparkSession, d: str) -> DataFrame:
     found = evaluation.latency(table(spark, d, "events"), "value")
     return found.select(*(F.round(c, 4).alias(c) for c in ("mean", "p50", "p95", "p99", "min")))
+
+
+@query("""WITH RECURSIVE u AS (SELECT n_nationkey AS k, s_suppkey, s_acctbal AS x, s_nationkey = n_nationkey AS own FROM supplier, nation), t AS (SELECT k, count(*) FILTER (own) AS n, count(*) FILTER (NOT own) AS m FROM u GROUP BY 1 HAVING count(*) FILTER (own) > 0),
+v AS (SELECT k, x, count(*) FILTER (own) AS r, count(*) FILTER (NOT own) AS c FROM u GROUP BY ALL), w AS (SELECT k, sum(r) OVER o AS r, sum(c) OVER o AS c FROM v WINDOW o AS (PARTITION BY k ORDER BY x)),
+d AS (SELECT k, n, m, max(abs(r * m - c * n))::BIGINT AS d FROM w JOIN t USING (k) GROUP BY ALL),
+p AS (SELECT k, n, m, d, 0 AS step, 0 AS i, 1.0::DOUBLE AS w FROM d UNION ALL SELECT k, n, m, d, step, i, sum(w) FROM (SELECT k, n, m, d, step + 1 AS step, i + s AS i, w * CASE WHEN s = 1 THEN (n - i) / (n + m - step)::DOUBLE ELSE (m - step + i) / (n + m - step)::DOUBLE END AS w FROM p, (SELECT unnest([0, 1]) AS s) WHERE step < n + m) WHERE w > 0 AND abs(i * m - (step - i) * n) < d GROUP BY ALL)
+SELECT d.k AS nation, d.n, round(d.d / (d.n * d.m)::DOUBLE, 6) AS ks, round(1 - coalesce(w, 0), 6) AS p FROM d LEFT JOIN p ON p.k = d.k AND p.step = d.n + d.m""")
+def small_sample_drift(spark: SparkSession, d: str) -> DataFrame:
+    """Balances of each nation's few suppliers against those of all others: the distance, and its exact p."""
+    rows = table(spark, d, "supplier").select("s_nationkey", F.col("s_acctbal").alias("x"))
+    nations = table(spark, d, "nation").select(F.col("n_nationkey").alias("nation"))
+    every = rows.groupBy("x").agg(F.count("*").alias("c"))
+    own = rows.groupBy(F.col("s_nationkey").alias("nation"), "x").agg(F.count("*").alias("r"))
+    total = every.agg(F.sum("c").alias("total"))
+    sizes = own.groupBy("nation").agg(F.sum("r").alias("n")).join(nations, "nation").crossJoin(F.broadcast(total)).withColumn("m", F.col("total") - F.col("n"))
+    # The distance is largest at a value of the few, or just below one: only these need the others' shares.
+    ranked = ranks.running(every.withColumn("g", F.lit(0)), ["g"], "x", ["c"]).select("x", (F.col("_before_c") + F.col("c")).alias("upto"), F.col("_before_c").alias("below"))
+    steps = own.join(ranked, "x").join(sizes, "nation")
+    order = Window.partitionBy("nation").orderBy("x")
+    at = F.sum("r").over(order)
+    below = at - F.col("r")
+    gap = lambda mine, all_: F.abs(mine * F.col("m") - (all_ - mine) * F.col("n"))
+    found = steps.withColumn("d", F.greatest(gap(at, F.col("upto")), gap(below, F.col("below")))).groupBy("nation", "n", "m").agg((F.max("d") / (F.col("n") * F.col("m"))).alias("ks"))
+    return found.select("nation", "n", F.round("ks", 6).alias("ks"), F.round(drift.ks_test_p(F.col("ks"), F.col("n"), F.col("m")), 6).alias("p"))

@@ -42,5 +42,5 @@ def test_yearly(spark):
 
 
 def test_observations_hold_all_orders(spark, sf):
-    got = QUERIES["build_observations_whole"](spark, sf).agg(F.sum("n_images"), F.count_distinct("season"), F.min("year"), F.max("year")).first()
+    got = QUERIES["build_observations"](spark, sf).agg(F.sum("n_images"), F.count_distinct("season"), F.min("year"), F.max("year")).first()
     assert got[0] == spark.read.parquet(f"{sf}/orders.parquet").count() and got[1] == 3 and (got[2], got[3]) == (1994, 2001)
