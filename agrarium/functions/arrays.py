@@ -54,3 +54,29 @@ def day_gaps(dates: Column) -> Column:
     days = F.array_sort(F.array_distinct(F.filter(dates, lambda d: d.isNotNull())))
     n = F.size(days)
     return F.when(n < 2, F.array().cast("array<int>")).otherwise(F.zip_with(F.slice(days, 1, F.greatest(n - 1, F.lit(0))), F.slice(days, 2, F.greatest(n - 1, F.lit(0))), lambda a, b: F.datediff(b, a)))
+
+
+def resized(values: Column, size: tuple[int, int], new: tuple[int, int]) -> Column:
+    """A patch (rows one after the other) of ``size`` (rows, columns) as one of ``new``, bilinearly between the centres of its cells; values at the rim go on outwards.
+
+    Columns are weighted first, then rows. Null for arrays of another length; a null cell makes those null that need it.
+    """
+    if min(*size, *new) < 1:
+        raise ValueError("sizes must be at least 1")
+
+    def weights(n: int, m: int) -> Column:
+        out = []
+        for i in range(m):
+            at = min(max((i + 0.5) * n / m - 0.5, 0.0), n - 1.0)
+            lo = int(at)
+            out.append(F.struct(F.lit(lo).alias("lo"), F.lit(min(lo + 1, n - 1)).alias("hi"), F.lit(at - lo).alias("f")))
+        return F.array(*out)
+
+    # Without weight a neighbour doesn't count, not even as null.
+    between = lambda a, b, f: F.when(f == 0, a).otherwise(a * (1 - f) + b * f)
+    h, w = size
+    cell = lambda r, c: F.get(values, r * w + c).cast("double")
+    wide = F.transform(F.sequence(F.lit(0), F.lit(h - 1)), lambda r: F.transform(weights(w, new[1]), lambda c: between(cell(r, c["lo"]), cell(r, c["hi"]), c["f"])))
+    # Held in an array, the columns' step is taken once and not for each row.
+    tall = F.transform(F.array(wide), lambda m: F.flatten(F.transform(weights(h, new[0]), lambda q: F.zip_with(m[q["lo"]], m[q["hi"]], lambda a, b: between(a, b, q["f"])))))[0]
+    return F.when(F.size(values) == h * w, tall)

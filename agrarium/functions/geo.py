@@ -32,21 +32,31 @@ def cell(value: Column, size: float) -> Column:
     return F.floor(value / size)
 
 
-def in_ring(x: Column, y: Column, ring: Column) -> Column:
-    """Whether a closed ring array<struct<x,y>> holds the point; its edge counts as inside."""
-    after = F.slice(ring, 2, F.size(ring) - 1)
-    edges = F.zip_with(F.slice(ring, 1, F.size(ring) - 1), after, lambda a, b: F.struct(a.alias("a"), b.alias("b")))
+def _edges(ring: Column) -> Column:
+    n = F.greatest(F.size(ring) - 1, F.lit(0))
+    return F.zip_with(F.slice(ring, 1, n), F.slice(ring, 2, n), lambda a, b: F.struct(a.alias("a"), b.alias("b")))
+
+
+def on_ring(x: Column, y: Column, ring: Column) -> Column:
+    """Whether the point lies on an edge of a closed ring."""
 
     def on(e: Column) -> Column:
         a, b = e["a"], e["b"]
         cross = (b["x"] - a["x"]) * (y - a["y"]) - (b["y"] - a["y"]) * (x - a["x"])
         return (F.abs(cross) < 1e-12) & x.between(F.least(a["x"], b["x"]), F.greatest(a["x"], b["x"])) & y.between(F.least(a["y"], b["y"]), F.greatest(a["y"], b["y"]))
 
+    return F.exists(_edges(ring), on)
+
+
+def in_ring(x: Column, y: Column, ring: Column) -> Column:
+    """Whether a closed ring array<struct<x,y>> holds the point; its edge counts as inside."""
+    edges = _edges(ring)
+
     def crossed(e: Column) -> Column:
         a, b = e["a"], e["b"]
         return ((a["y"] > y) != (b["y"] > y)) & (x < (b["x"] - a["x"]) * (y - a["y"]) / F.nullif(b["y"] - a["y"], F.lit(0.0)) + a["x"])
 
-    return F.exists(edges, on) | (F.size(F.filter(edges, lambda e: F.coalesce(crossed(e), F.lit(False)))) % 2 == 1)
+    return on_ring(x, y, ring) | (F.size(F.filter(edges, lambda e: F.coalesce(crossed(e), F.lit(False)))) % 2 == 1)
 
 
 def pixel_of(lon: Column, lat: Column, left: Column, top: Column, width: Column, height: Column) -> dict[str, Column]:
@@ -71,3 +81,10 @@ def clamped_window(row: Column, col: Column, size: int, rows: Column, cols: Colu
 def normal_crs(crs: Column) -> Column:
     """Upper case, without blanks."""
     return F.regexp_replace(F.upper(crs), r"\s+", "")
+
+
+def in_rings(x: Column, y: Column, rings: Column) -> Column:
+    """Whether the point lies in an odd number of closed rings: in a part and not in its hole, whatever their order. Edges count as inside."""
+    held = F.transform(rings, lambda ring: F.struct(in_ring(x, y, ring).alias("inside"), on_ring(x, y, ring).alias("edge")))
+    odd = F.size(F.filter(held, lambda r: r["inside"] & ~r["edge"])) % 2 == 1
+    return odd | F.exists(held, lambda r: r["edge"])

@@ -123,13 +123,13 @@ class TabularPipeline:
         from agrarium.operators.profile import constant_columns, drop_correlated
 
         numeric = list(self.numeric)
-        if self.drop_constant:
+        if self.drop_constant and numeric:
             constant = {r["column"] for r in constant_columns(df, numeric).where("is_constant").collect()}
             numeric = [c for c in numeric if c not in constant]
         if len(numeric) > 1:
             left = drop_correlated(df.select(*numeric), numeric, self.most_correlated).columns
             numeric = [c for c in numeric if c in left]
-        fill, bounds = fill_values(df, numeric), fence(df, numeric)
+        fill, bounds = (fill_values(df, numeric), fence(df, numeric)) if numeric else ({}, {})
         ready = df.select(*(clipped(F.coalesce(c, F.lit(fill[c])), bounds.get(c, (-1e308, 1e308))).alias(c) for c in numeric))
         names = {c: self._names(df, c) for c in self.categorical}
         self.fitted = {"numeric": numeric, "fill": fill, "bounds": bounds, "scale": standard(ready, numeric), "names": names}

@@ -8,7 +8,7 @@ from functools import reduce
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from agrarium.functions.geo import EARTH_KM, cell, haversine, in_ring
+from agrarium.functions.geo import EARTH_KM, cell, haversine, in_ring, in_rings
 from agrarium.operators.lineage import saved
 
 
@@ -85,13 +85,14 @@ def smallest_boxes(points: DataFrame, boxes: DataFrame, key: str, level: str, na
     return wide.withColumn("deepest", F.coalesce(*(F.col(x) for x in levels)))
 
 
-def containing(points: DataFrame, shapes: DataFrame, lon: str = "lon", lat: str = "lat", ring: str = "ring", size: float = 1.0) -> DataFrame:
-    """All (point, shape) with the point in the shape's ring; boxes are spread over grid cells, then rings decide."""
+def containing(points: DataFrame, shapes: DataFrame, lon: str = "lon", lat: str = "lat", ring: str = "ring", size: float = 1.0, rings: str | None = None) -> DataFrame:
+    """All (point, shape) with the point in the shape's ring, or of those of the column ``rings`` in an odd number, so that holes are left out; boxes are spread over grid cells, then rings decide."""
     cells = lambda lo, hi: F.sequence(cell(F.col(lo), size), cell(F.col(hi), size))
     spread = shapes.withColumn("_x", F.explode(cells("min_lon", "max_lon"))).withColumn("_y", F.explode(cells("min_lat", "max_lat")))
     asked = points.withColumn("_x", cell(F.col(lon), size)).withColumn("_y", cell(F.col(lat), size))
     inside = F.col(lon).between(F.col("min_lon"), F.col("max_lon")) & F.col(lat).between(F.col("min_lat"), F.col("max_lat"))
-    return asked.join(spread, ["_x", "_y"]).where(inside & in_ring(F.col(lon), F.col(lat), F.col(ring))).drop("_x", "_y")
+    held = in_rings(F.col(lon), F.col(lat), F.col(rings)) if rings else in_ring(F.col(lon), F.col(lat), F.col(ring))
+    return asked.join(spread, ["_x", "_y"]).where(inside & held).drop("_x", "_y")
 
 
 def levels_of(hits: DataFrame, key: str, level: str, name: str, levels: list[str]) -> DataFrame:

@@ -1,12 +1,14 @@
-"""Boundaries from GeoJSON, as rings with their boxes."""
+"""Boundaries from GeoJSON, as rings with their boxes: outer rings alone, or shapes with all of their parts and holes."""
 
 from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from agrarium.functions.projection import to_4326
+
 FEATURES = "features array<struct<properties:map<string,string>,geometry:struct<type:string,coordinates:string>>>"
 
 
@@ -41,3 +43,31 @@ def normalised(shapes: DataFrame, name: str, level: str) -> DataFrame:
 
 def union(*levels: DataFrame) -> DataFrame:
     return reduce(DataFrame.unionByName, levels)
+
+
+def features(spark: SparkSession, path: str, level: str, name: str = "name", epsg: int = 4326, lines: bool = False) -> DataFrame:
+    """(name, level, rings, box) for each feature: all rings of its polygons, holes too, in degrees.
+
+    ``epsg`` is the code of the file's coordinates (4326, 3857, 326xx, 327xx).
+    With ``lines`` a file has a feature on each line, so that large ones are
+    read in parts; else it is one collection. Features without polygons, and
+    rings of fewer than four points, are left out; a ring that isn't closed is.
+    """
+    if lines:
+        one = "properties map<string,string>, geometry struct<type:string,coordinates:string>"
+        f = spark.read.schema(one).json(path)
+    else:
+        f = spark.read.schema(FEATURES).json(path, multiLine=True).select(F.explode("features").alias("f")).select("f.*")
+    polygon = F.from_json("geometry.coordinates", "array<array<array<double>>>")
+    many = F.from_json("geometry.coordinates", "array<array<array<array<double>>>>")
+    rings = F.when(F.col("geometry.type") == "Polygon", polygon).when(F.col("geometry.type") == "MultiPolygon", F.flatten(many))
+    read = f.select(F.col("properties")[name].alias("name"), F.lit(level).alias("level"), rings.alias("r")).where("r IS NOT NULL")
+
+    def degrees(ring: Column) -> Column:
+        points = F.transform(ring, lambda p: to_4326(p[0], p[1], F.lit(epsg)))
+        points = F.transform(points, lambda p: F.struct(p["lon"].alias("x"), p["lat"].alias("y")))
+        return F.when(points[0] == F.element_at(points, -1), points).otherwise(F.concat(points, F.slice(points, 1, 1)))
+
+    shapes = read.withColumn("rings", F.transform(F.filter("r", lambda r: F.size(r) >= 4), degrees)).drop("r").where(F.size("rings") > 0)
+    side = lambda f, axis: f(F.transform(F.flatten("rings"), lambda p: p[axis]))
+    return shapes.withColumns({"min_lon": side(F.array_min, "x"), "min_lat": side(F.array_min, "y"), "max_lon": side(F.array_max, "x"), "max_lat": side(F.array_max, "y")})
