@@ -100,13 +100,13 @@ def predictions(reference: DataFrame, current: DataFrame, probabilities: str) ->
 
 def places(reference: DataFrame, current: DataFrame, lon: str, lat: str, size: float) -> DataFrame:
     """(cells, novel, share, mean_km, severity, drifted): cells that only the current side occupies, and how far its places are from the nearest reference on average."""
-    from agrarium.operators.resolve import nearest_any
+    from agrarium.operators.spatial import nearest
 
     cells = drift.novel_cells(reference, current, lon, lat, size)
-    asked = current.select(lon, lat).distinct().select(F.xxhash64(lon, lat).alias("_a"), F.col(lon).alias("lon"), F.col(lat).alias("lat"))
-    held = reference.select(lon, lat).distinct().select(F.xxhash64(lon, lat).alias("_b"), F.col(lon).alias("place_lon"), F.col(lat).alias("place_lat"))
-    near = nearest_any(asked, held, "_a", "_b", 1, km=200.0).select("_a", "distance_km")
-    weighted = current.select(F.xxhash64(lon, lat).alias("_a")).groupBy("_a").agg(F.count("*").alias("_n")).join(near, "_a")
+    asked = current.select(lon, lat).distinct().select(F.struct(lon, lat).alias("_a"), F.col(lon).alias("lon"), F.col(lat).alias("lat"))
+    held = reference.select(lon, lat).distinct().select(F.struct(lon, lat).alias("_b"), F.col(lon).alias("place_lon"), F.col(lat).alias("place_lat"))
+    near = nearest(asked, held, "_a", "_b", 1).select("_a", "distance_km")
+    weighted = current.select(F.struct(lon, lat).alias("_a")).groupBy("_a").agg(F.count("*").alias("_n")).join(near, "_a")
     mean = weighted.agg((F.sum(F.col("_n") * F.col("distance_km")) / F.sum("_n")).alias("mean_km"))
     severity = drift.severity(F.col("share"), drift.PSI_LEVELS)
     return cells.crossJoin(mean).withColumn("severity", severity).withColumn("drifted", F.col("severity") == "high")

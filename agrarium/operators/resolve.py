@@ -11,8 +11,6 @@ from pyspark.sql import functions as F
 from agrarium.operators import joins, spatial
 from agrarium.operators.lineage import saved
 
-#: Half of the earth's circumference and some more: no place is farther.
-FARTHEST_KM = 20_100.0
 STRATEGIES = ("name", "prefix", "radius", "box", "nearest")
 
 
@@ -30,22 +28,6 @@ def by_name(probes: DataFrame, places: DataFrame, name: str, place_name: str) ->
     return exact.unionByName(late).drop("_key", "_name")
 
 
-def nearest_any(points: DataFrame, places: DataFrame, key: str, place_key: str, k: int, km: float = 50.0) -> DataFrame:
-    """The ``k`` nearest places of each point however far they are: the radius grows fourfold for points that still lack some."""
-    left, out = points, []
-    while True:
-        km = min(km, FARTHEST_KM)
-        found = spatial.nearest(left, places, key, place_key, k=k, km=km)
-        if km < FARTHEST_KM:
-            found = found.withColumn("_n", F.count("*").over(Window.partitionBy(key))).where(F.col("_n") >= k).drop("_n")
-        found = saved(found)
-        out.append(found)
-        left = saved(left.join(found.select(key).distinct(), key, "left_anti"))
-        if km >= FARTHEST_KM or not left.limit(1).count():
-            return reduce(DataFrame.unionByName, out)
-        km *= 4
-
-
 def located(probes: DataFrame, places: DataFrame, key: str, place_key: str, km: float | None = None, tolerance: float = 0.01, k: int = 1) -> DataFrame:
     """(key, place_key, strategy, rank, distance_km): the places of the first strategy that finds any, best first.
 
@@ -70,7 +52,7 @@ def located(probes: DataFrame, places: DataFrame, key: str, place_key: str, km:
     if km is not None:
         take(spatial.within_radius(left, spots, km), 3)
     take(_in_box(left, spots, tolerance), 4)
-    take(nearest_any(left, spots, key, place_key, k), 5)
+    take(spatial.nearest(left, spots, key, place_key, k), 5)
     order = Window.partitionBy(key).orderBy("_other", F.col("distance_km").asc_nulls_first(), place_key)
     ranked = reduce(DataFrame.unionByName, found).withColumn("rank", F.row_number().over(order)).drop("_other")
     names = F.element_at(F.array(*map(F.lit, STRATEGIES)), F.col("strategy"))

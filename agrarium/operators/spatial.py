@@ -3,13 +3,14 @@
 from __future__ import annotations
 
 import math
-from functools import reduce
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from agrarium.functions.geo import EARTH_KM, cell, haversine, in_ring, in_rings
 from agrarium.operators.lineage import saved
+from agrarium.operators.nearest import nearest as by_cells
+from agrarium.operators.nearest import on_plane, on_sphere
 
 
 def within_radius(points: DataFrame, places: DataFrame, km: float, point: tuple[str, str] = ("lon", "lat"), place: tuple[str, str] = ("place_lon", "place_lat")) -> DataFrame:
@@ -35,37 +36,18 @@ def within_radius(points: DataFrame, places: DataFrame, km: float, point: tuple[
     return asked.join(offered, ["_row", "_col"]).withColumn("distance_km", d).where(F.col("distance_km") <= km).drop("_row", "_col")
 
 
-def nearest(points: DataFrame, places: DataFrame, key: str, place_key: str, k: int, km: float, **columns: tuple[str, str]) -> DataFrame:
-    """The ``k`` nearest places of each point within ``km``, with rank and distance_km; ties to the smaller place key."""
-    rank = F.row_number().over(Window.partitionBy(key).orderBy("distance_km", place_key))
-    return within_radius(points, places, km, **columns).withColumn("rank", rank).where(F.col("rank") <= k)
+def nearest(points: DataFrame, places: DataFrame, key: str, place_key: str, k: int, km: float | None = None, point: tuple[str, str] = ("lon", "lat"), place: tuple[str, str] = ("place_lon", "place_lat")) -> DataFrame:
+    """The ``k`` nearest places of each point, within ``km`` if given, with rank and distance_km; ties to the smaller place key."""
+    d = haversine(*(F.col(c) for c in (*point, *place)))
+    found = by_cells(points, places, key, place_key, k, on_sphere(*point), on_sphere(*place), 3, d, "distance_km")
+    return found if km is None else found.where(F.col("distance_km") <= km)
 
 
-def nearest_degrees(points: DataFrame, places: DataFrame, key: str, place_key: str, k: int, size: float = 4.0) -> DataFrame:
-    """The ``k`` nearest places of each point by plain distance in degrees, however far, with rank and degrees; ties to the smaller place key.
-
-    Points (key, lon, lat) meet places (place_key, place_lon, place_lat) of
-    their grid cell and the eight around it; a point that has ``k`` within a
-    cell's width is done, the others go on with cells four times as wide.
-    """
+def nearest_degrees(points: DataFrame, places: DataFrame, key: str, place_key: str, k: int) -> DataFrame:
+    """(key, place_key, degrees, rank): the ``k`` nearest places of each point by plain distance in degrees, however far; ties to the smaller place key."""
     d = F.sqrt(F.pow(F.col("lon") - F.col("place_lon"), 2) + F.pow(F.col("lat") - F.col("place_lat"), 2))
-    by = Window.partitionBy(key).orderBy("degrees", place_key)
-    left, out = points.select(key, "lon", "lat").where("lon IS NOT NULL AND lat IS NOT NULL"), []
-    while True:
-        everywhere = size >= 360
-        near = lambda c: F.explode(F.transform(F.array(*map(F.lit, (-1, 0, 1))), lambda i: cell(F.col(c), size) + i))  # noqa: E731, B023
-        asked = left.withColumn("_x", near("lon")).withColumn("_y", near("lat"))
-        offered = places.withColumn("_x", cell(F.col("place_lon"), size)).withColumn("_y", cell(F.col("place_lat"), size))
-        found = asked.join(offered, ["_x", "_y"]).withColumn("degrees", d).where(F.lit(everywhere) | (F.col("degrees") <= size))
-        found = found.select(key, place_key, "degrees", F.row_number().over(by).alias("rank")).where(F.col("rank") <= k)
-        if not everywhere:
-            found = found.withColumn("_n", F.max("rank").over(Window.partitionBy(key))).where(F.col("_n") >= k).drop("_n")
-        found = saved(found)
-        out.append(found)
-        left = saved(left.join(found.select(key).distinct(), key, "left_anti"))
-        if everywhere or left.isEmpty():
-            return reduce(DataFrame.unionByName, out)
-        size *= 4
+    found = by_cells(points, places, key, place_key, k, on_plane("lon", "lat"), on_plane("place_lon", "place_lat"), 2, d, "degrees")
+    return found.select(key, place_key, "degrees", "rank")
 
 
 def smallest_boxes(points: DataFrame, boxes: DataFrame, key: str, level: str, name: str, levels: list[str], size: float = 10.0) -> DataFrame:

@@ -26,7 +26,7 @@ BOTH = f"c AS (SELECT c_custkey, {place_sql('c_custkey')} FROM customer), s AS (
 @query(f"WITH {BOTH}, p AS (SELECT c_custkey, s_suppkey, {KM.format(a='c', b='s')} AS km FROM c, s) SELECT c_custkey, s_suppkey, CAST(r AS INT) AS rank, round(km, 6) AS distance_km FROM (SELECT *, row_number() OVER (PARTITION BY c_custkey ORDER BY km, s_suppkey) AS r FROM p) WHERE r <= 2")
 def knn_any(spark: SparkSession, d: str) -> DataFrame:
     """The two nearest suppliers of each customer, however far."""
-    found = resolve.nearest_any(_points(spark, d), _spots(spark, d), "c_custkey", "s_suppkey", 2, km=500.0)
+    found = spatial.nearest(_points(spark, d), _spots(spark, d), "c_custkey", "s_suppkey", 2)
     return found.select("c_custkey", "s_suppkey", "rank", F.round("distance_km", 6).alias("distance_km"))
 
 
