@@ -92,7 +92,7 @@ def _staged(probes: DataFrame, table: DataFrame, probe: str, name: str, position
     match = lambda stage: F.struct(stage.alias("stage"), F.col(position).alias("pos"), F.col(name).alias("name")).alias("_m")
     parts = table.withColumn("_part", F.explode(F.array_distinct(F.concat(F.array(F.trim(name)), F.transform(F.split(name, r"[/|]"), lambda p: F.trim(p))))))
     found = probes.join(parts, alike(F.col(probe) == F.col("_part"))).select(*probes.columns, match(F.when(F.trim(name) == F.col(probe), 1).otherwise(2)))
-    first = found.groupBy(*probes.columns).agg(F.min("_m").alias("_m"))
+    first = saved(found.groupBy(*probes.columns).agg(F.min("_m").alias("_m")))
     without = lambda rest, known: rest.join(known.select(F.col(probe).alias("_p"), *(F.col(c).alias(f"_w_{c}") for c in within)), alike(F.col(probe) == F.col("_p")), "left_anti")
     rest = without(probes, first)
     low = F.lower(F.col(name))
@@ -100,10 +100,13 @@ def _staged(probes: DataFrame, table: DataFrame, probe: str, name: str, position
     held = table.withColumn("_h", F.explode(F.array_distinct(grams)))
     asked = rest.withColumn("_g", F.substring(F.lower(probe), 1, 3))
     late = asked.join(held, alike(F.col("_g") == F.col("_h"))).where(low.contains(F.lower(F.col(probe)))).select(*probes.columns, match(F.lit(3))).groupBy(*probes.columns).agg(F.min("_m").alias("_m"))
+    late = saved(late)
     last = without(rest, late)
     if raw is None:
         # On the name itself, a probe without signs is a substring or nothing.
-        last = last.where(F.col(probe).rlike(r"[\\^$.|?*+()\[\]{}]"))
+        last = saved(last.where(F.col(probe).rlike(r"[\\^$.|?*+()\[\]{}]")))
+        if last.isEmpty():
+            return first.unionByName(late)
     signs = _by_expression(last, table, probe, raw or name, alike).select(*probes.columns, match(F.lit(4))).groupBy(*probes.columns).agg(F.min("_m").alias("_m"))
     return first.unionByName(late).unionByName(signs)
 

@@ -48,7 +48,9 @@ def numeric(sides: DataFrame, bins: int = 10) -> DataFrame:
     """
     counts = saved(sides.groupBy("feature", "x").agg(F.count_if(F.col("side") == "ref").alias("r"), F.count_if(F.col("side") == "cur").alias("c")))
     totals = counts.groupBy("feature").agg(F.sum("r").alias("n_ref"), F.sum("c").alias("n_cur"))
-    edges = ranks.quantiles_by(sides, ["feature"], F.col("x"), [i / bins for i in range(bins + 1)]).select("feature", F.array_sort(F.array_distinct("q")).alias("e"))
+    # Quantiles and distances are both read off the same running sums.
+    runs = saved(ranks.running(counts.withColumn("n", F.col("r") + F.col("c")), ["feature"], "x", ["n", "r", "c"]))
+    edges = ranks.quantiles_of(runs.withColumn("x", F.col("x").cast("double")), ["feature"], "x", [i / bins for i in range(bins + 1)]).select("feature", F.array_sort(F.array_distinct("q")).alias("e"))
     edges = saved(edges.where(F.size("e") > 1))
     place = F.greatest(F.least(F.size(F.filter("e", lambda e: e <= F.col("x"))), F.size("e") - 1), F.lit(1))
     held = counts.join(edges, "feature").groupBy("feature", place.alias("bin")).agg(F.sum("r").alias("r"), F.sum("c").alias("c"))
@@ -58,7 +60,7 @@ def numeric(sides: DataFrame, bins: int = 10) -> DataFrame:
     r, c = F.col("ref"), F.col("cur")
     m = (r + c) / 2
     found = shares.groupBy("feature").agg(F.sum((c - r) * F.log(c / r)).alias("psi"), F.sum(c * F.log(c / r)).alias("kl"), F.sum((r * F.log(r / m) + c * F.log(c / m)) / 2).alias("js"))
-    runs = ranks.running(counts, ["feature"], "x", ["r", "c"]).join(totals, "feature")
+    runs = runs.join(totals, "feature")
     gap = F.abs((F.col("_before_r") + F.col("r")) / F.nullif(F.col("n_ref"), F.lit(0)) - (F.col("_before_c") + F.col("c")) / F.nullif(F.col("n_cur"), F.lit(0)))
     rows = totals.join(found, "feature", "left").join(runs.groupBy("feature").agg(F.max(gap).alias("ks")), "feature", "left")
     rows = rows.withColumn("p", ks_p(F.col("ks"), F.col("n_ref").cast("double"), F.col("n_cur").cast("double")))

@@ -17,17 +17,33 @@ from agrarium.operators.lineage import saved
 
 #: Ranges of a key's values, and how many distinct values a key has at most in one range of its own.
 RANGES, SMALL = 256, 1_000
+STEP = 16  # edges that are looked through together
+
+
+def _stepped(edges: Column) -> Column:
+    """Sorted edges in steps of STEP, as struct(first of each step, the steps)."""
+    at = F.sequence(F.lit(0), F.floor((F.size(edges) - 1) / STEP).cast("int"))
+    return F.struct(F.transform(at, lambda i: F.get(edges, i * STEP)).alias("first"), F.transform(at, lambda i: F.slice(edges, i * STEP + 1, STEP)).alias("steps"))
+
+
+def _placed(rows: DataFrame, stepped: Column, value: str) -> DataFrame:
+    """``rows`` with ``_p``, how many edges the value has reached: the step is looked up first, then the place in it; 0 without edges."""
+    rows = rows.withColumn("_step", F.size(F.filter(stepped["first"], lambda e: e <= F.col(value))))
+    inside = F.size(F.filter(F.get(stepped["steps"], F.col("_step") - 1), lambda e: e <= F.col(value)))
+    return rows.withColumn("_p", F.when(F.col("_step") > 0, (F.col("_step") - 1) * STEP + inside).otherwise(0)).drop("_step")
 
 
 def ranged(counts: DataFrame, keys: list[str], value: str) -> DataFrame:
     """``counts`` with ``_p``, the range that a value is in; keys of few values have one."""
-    cuts = F.percentile_approx(value, [i / RANGES for i in range(1, RANGES)], 4 * RANGES)
+    cuts = F.array_distinct(F.percentile_approx(value, [i / RANGES for i in range(1, RANGES)], 4 * RANGES))
     if not keys:
-        found = counts.agg(F.array_distinct(cuts).alias("_e")).first()["_e"]
-        return counts.withColumn("_p", F.size(F.filter(F.array(*map(F.lit, found)), lambda e: e <= F.col(value))) if found else F.lit(0))
-    edges = counts.groupBy(*keys).agg(F.count("*").alias("_m"), F.array_distinct(cuts).alias("_e")).where(F.col("_m") > SMALL).drop("_m")
-    part = F.coalesce(F.size(F.filter("_e", lambda e: e <= F.col(value))), F.lit(0))
-    return counts.join(edges, keys, "left").withColumn("_p", F.when(F.col("_e").isNull(), 0).otherwise(part)).drop("_e")
+        found = counts.agg(F.count(value).alias("_m"), cuts.alias("_e")).first()
+        if not found["_e"] or found["_m"] <= SMALL:
+            return counts.withColumn("_p", F.lit(0))
+        steps = [found["_e"][i : i + STEP] for i in range(0, len(found["_e"]), STEP)]
+        return _placed(counts, F.struct(F.lit([s[0] for s in steps]).alias("first"), F.array(*map(F.lit, steps)).alias("steps")), value)
+    edges = counts.groupBy(*keys).agg(F.count("*").alias("_m"), cuts.alias("_e")).where(F.col("_m") > SMALL).select(*keys, _stepped(F.col("_e")).alias("_e"))
+    return _placed(counts.join(edges, keys, "left"), F.col("_e"), value).drop("_e")
 
 
 def running(counts: DataFrame, keys: list[str], value: str, sums: Sequence[str]) -> DataFrame:
@@ -48,11 +64,16 @@ def _with(rows: DataFrame, totals: DataFrame, keys: list[str]) -> DataFrame:
 def quantiles_by(df: DataFrame, keys: list[str], value: Column, shares: Sequence[float]) -> DataFrame:
     """(keys, n, q): the exact quantiles of each key's values, interpolated between ranks; nulls don't count."""
     counts = saved(df.select(*keys, value.cast("double").alias("_v")).where("_v IS NOT NULL").groupBy(*keys, "_v").agg(F.count("*").alias("n")))
-    totals = counts.groupBy(*keys).agg(F.sum("n").alias("_n"))
-    ranks = _with(running(counts, keys, "_v", ["n"]), totals, keys)
+    return quantiles_of(running(counts, keys, "_v", ["n"]), keys, "_v", shares)
+
+
+def quantiles_of(runs: DataFrame, keys: list[str], value: str, shares: Sequence[float]) -> DataFrame:
+    """The same from values that are counted and summed already (keys, value, n, _before_n)."""
+    totals = runs.groupBy(*keys).agg(F.sum("n").alias("_n"))
+    ranks = _with(runs, totals, keys)
     holds = lambda r: (F.col("_before_n") <= r) & (r < F.col("_before_n") + F.col("n"))
     at = [(F.col("_n") - 1) * F.lit(float(s)) for s in shares]
-    ends = [F.max(F.when(holds(f(p)), F.col("_v"))).alias(f"_{name}{i}") for i, p in enumerate(at) for name, f in (("lo", F.floor), ("hi", F.ceil))]
+    ends = [F.max(F.when(holds(f(p)), F.col(value))).alias(f"_{name}{i}") for i, p in enumerate(at) for name, f in (("lo", F.floor), ("hi", F.ceil))]
     found = ranks.groupBy(*keys, "_n").agg(*ends)
     # Equal ends give that very value.
     mixed = [F.col(f"_lo{i}") + (F.col(f"_hi{i}") - F.col(f"_lo{i}")) * (p - F.floor(p)) for i, p in enumerate(at)]

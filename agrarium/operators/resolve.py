@@ -80,20 +80,20 @@ def tabular_match(probes: DataFrame, tables: list[DataFrame], key: str, levels:
     in ``within``, at level "none"; without any such row it has nulls.
     """
     equal = lambda pairs: reduce(Column.__and__, (F.col(a).eqNullSafe(F.col(b)) for a, b in pairs))
-    rank = lambda last, table, level, pos: F.struct(F.lit(last).alias("last"), F.lit(table).alias("source"), F.lit(level).alias("level"), F.col(pos).cast("long").alias("pos")).alias("_r")
-    tried = []
-    for i, t in enumerate(tables):
-        for j, level in enumerate(levels):
-            asked = probes.where(F.trim(level) != "")
-            if j == 1:
-                asked = asked.where(~F.col(level).eqNullSafe(F.col(levels[0])))
-            names = asked.select(F.trim(level).alias("_probe"), *within).distinct()
-            hits = joins._staged(names, t.select(position, level, *within), "_probe", level, position, None, within)
-            hits = hits.select("_probe", *(F.col(c).alias(f"_h_{c}") for c in within), F.col("_m.pos").alias("_pos"))
-            tried.append(asked.join(hits, (F.trim(level) == F.col("_probe")) & equal([(c, f"_h_{c}") for c in within])).select(key, rank(0, i, j, "_pos")))
-        start = t.groupBy(*(F.col(c).alias(f"_h_{c}") for c in within)).agg(F.min(position).alias("_pos"))
-        tried.append(probes.join(start, equal([(c, f"_h_{c}") for c in within])).select(key, rank(1, i, -1, "_pos")))
-    best = reduce(DataFrame.unionByName, tried).groupBy(key).agg(F.min("_r").alias("_r"))
+    rank = lambda last, level, pos: F.struct(F.lit(last).alias("last"), F.col("_src").alias("source"), level.alias("level"), F.col(pos).cast("long").alias("pos")).alias("_r")
+    # One table of all names and one of all probes: tables and levels are keys like those of ``within``, and each stage runs once.
+    long = reduce(DataFrame.unionByName, (t.select(F.lit(i).alias("_src"), F.lit(j).alias("_lvl"), F.col(position).cast("long").alias("_pos"), F.col(level).alias("_name"), *within) for i, t in enumerate(tables) for j, level in enumerate(levels)))
+    other = lambda j, level: (F.trim(level) != "") & (F.lit(True) if j != 1 else ~F.col(level).eqNullSafe(F.col(levels[0])))
+    pairs = F.array_compact(F.array(*(F.when(other(j, level), F.struct(F.lit(j).alias("_lvl"), F.trim(level).alias("_probe"))) for j, level in enumerate(levels))))
+    asked = probes.select(key, *within, F.explode(pairs).alias("_p")).select(key, *within, "_p.*")
+    names = saved(asked.select("_probe", "_lvl", *within).distinct().withColumn("_src", F.explode(F.array(*(F.lit(i) for i in range(len(tables)))))))
+    own = [*within, "_src", "_lvl"]
+    hits = joins._staged(names, saved(long), "_probe", "_name", "_pos", None, own)
+    hits = hits.select(F.col("_probe").alias("_h_probe"), F.col("_lvl").alias("_h_lvl"), *(F.col(c).alias(f"_h_{c}") for c in within), "_src", F.col("_m.pos").alias("_pos"))
+    tried = asked.join(hits, (F.col("_probe") == F.col("_h_probe")) & (F.col("_lvl") == F.col("_h_lvl")) & equal([(c, f"_h_{c}") for c in within])).select(key, rank(0, F.col("_lvl"), "_pos"))
+    start = reduce(DataFrame.unionByName, (t.groupBy(*(F.col(c).alias(f"_h_{c}") for c in within)).agg(F.min(F.col(position).cast("long")).alias("_pos")).withColumn("_src", F.lit(i)) for i, t in enumerate(tables)))
+    begun = probes.join(start, equal([(c, f"_h_{c}") for c in within])).select(key, rank(1, F.lit(-1), "_pos"))
+    best = tried.unionByName(begun).groupBy(key).agg(F.min("_r").alias("_r"))
     rows = reduce(DataFrame.unionByName, (t.select(F.lit(i).alias("_t"), F.col(position).cast("long").alias("_pos"), *carry) for i, t in enumerate(tables)))
     title = F.when(F.col("_r.level") < 0, "none").otherwise(F.element_at(F.array(*map(F.lit, levels)), F.greatest(F.col("_r.level"), F.lit(0)) + 1))
     found = best.join(rows, (F.col("_r.source") == F.col("_t")) & (F.col("_r.pos") == F.col("_pos"))).select(key, title.alias("level"), F.col("_r.source").alias("source"), *carry)
