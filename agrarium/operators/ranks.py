@@ -37,10 +37,10 @@ def ranged(counts: DataFrame, keys: list[str], value: str) -> DataFrame:
     """``counts`` with ``_p``, the range that a value is in; keys of few values have one."""
     cuts = F.array_distinct(F.percentile_approx(value, [i / RANGES for i in range(1, RANGES)], 4 * RANGES))
     if not keys:
-        found = counts.agg(F.count(value).alias("_m"), cuts.alias("_e")).first()
-        if not found["_e"] or found["_m"] <= SMALL:
+        found = counts.agg(cuts.alias("_e")).first()["_e"]
+        if not found:
             return counts.withColumn("_p", F.lit(0))
-        steps = [found["_e"][i : i + STEP] for i in range(0, len(found["_e"]), STEP)]
+        steps = [found[i : i + STEP] for i in range(0, len(found), STEP)]
         return _placed(counts, F.struct(F.lit([s[0] for s in steps]).alias("first"), F.array(*map(F.lit, steps)).alias("steps")), value)
     edges = counts.groupBy(*keys).agg(F.count("*").alias("_m"), cuts.alias("_e")).where(F.col("_m") > SMALL).select(*keys, _stepped(F.col("_e")).alias("_e"))
     return _placed(counts.join(edges, keys, "left"), F.col("_e"), value).drop("_e")
