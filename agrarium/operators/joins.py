@@ -85,19 +85,28 @@ def staged_name_match(probes: DataFrame, table: DataFrame, probe: str, name: str
     return _staged(probes, table, probe, name, position, raw, []).select(*probes.columns, F.col("_m.name").alias("matched"), F.col("_m.stage").alias("stage"))
 
 
-def _staged(probes: DataFrame, table: DataFrame, probe: str, name: str, position: str, raw: str | None, within: list[str]) -> DataFrame:
-    """The columns of ``probes`` and _m, a struct of stage, pos and name, among rows that are equal in ``within``."""
+def letters(low: Column) -> Column:
+    """All strings of one to three letters that a text holds."""
+    return F.array_distinct(F.flatten(F.transform(F.sequence(F.lit(1), F.greatest(F.length(low), F.lit(1))), lambda i: F.array(*(F.substring(low, i, F.lit(n)) for n in (1, 2, 3))))))
+
+
+def _staged(probes: DataFrame, table: DataFrame, probe: str, name: str, position: str, raw: str | None, within: list[str], plain: Callable[[Column], Column] = F.trim, expression: str | None = None) -> DataFrame:
+    """The columns of ``probes`` and _m, a struct of stage, pos and name, among rows that are equal in ``within``.
+
+    ``plain`` is what is done to each part of a name; stage 4 looks for the
+    column ``expression`` of the probes (the probe if none is given). A null
+    probe has that stage only.
+    """
     table = table.withColumnsRenamed({c: f"_w_{c}" for c in within})
     alike = lambda on: reduce(Column.__and__, (F.col(c).eqNullSafe(F.col(f"_w_{c}")) for c in within), on)
     match = lambda stage: F.struct(stage.alias("stage"), F.col(position).alias("pos"), F.col(name).alias("name")).alias("_m")
-    parts = table.withColumn("_part", F.explode(F.array_distinct(F.concat(F.array(F.trim(name)), F.transform(F.split(name, r"[/|]"), lambda p: F.trim(p))))))
+    parts = table.withColumn("_part", F.explode(F.array_distinct(F.concat(F.array(F.trim(name)), F.transform(F.split(name, r"[/|]"), lambda p: plain(F.trim(p)))))))
     found = probes.join(parts, alike(F.col(probe) == F.col("_part"))).select(*probes.columns, match(F.when(F.trim(name) == F.col(probe), 1).otherwise(2)))
     first = saved(found.groupBy(*probes.columns).agg(F.min("_m").alias("_m")))
     without = lambda rest, known: rest.join(known.select(F.col(probe).alias("_p"), *(F.col(c).alias(f"_w_{c}") for c in within)), alike(F.col(probe) == F.col("_p")), "left_anti")
     rest = without(probes, first)
     low = F.lower(F.col(name))
-    grams = F.flatten(F.transform(F.sequence(F.lit(1), F.greatest(F.length(low), F.lit(1))), lambda i: F.array(*(F.substring(low, i, F.lit(n)) for n in (1, 2, 3)))))
-    held = table.withColumn("_h", F.explode(F.array_distinct(grams)))
+    held = table.withColumn("_h", F.explode(letters(low)))
     asked = rest.withColumn("_g", F.substring(F.lower(probe), 1, 3))
     late = asked.join(held, alike(F.col("_g") == F.col("_h"))).where(low.contains(F.lower(F.col(probe)))).select(*probes.columns, match(F.lit(3))).groupBy(*probes.columns).agg(F.min("_m").alias("_m"))
     late = saved(late)
@@ -107,7 +116,7 @@ def _staged(probes: DataFrame, table: DataFrame, probe: str, name: str, position
         last = saved(last.where(F.col(probe).rlike(r"[\\^$.|?*+()\[\]{}]")))
         if last.isEmpty():
             return first.unionByName(late)
-    signs = _by_expression(last, table, probe, raw or name, alike).select(*probes.columns, match(F.lit(4))).groupBy(*probes.columns).agg(F.min("_m").alias("_m"))
+    signs = _by_expression(last, table, expression or probe, raw or name, alike).select(*probes.columns, match(F.lit(4))).groupBy(*probes.columns).agg(F.min("_m").alias("_m"))
     return first.unionByName(late).unionByName(signs)
 
 

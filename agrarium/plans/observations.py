@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from agrarium.functions import seasons
+from agrarium.functions.names import normal_name
 from agrarium.operators import joins, resolve, spatial
 from agrarium.plans.alignment import KM, place, place_sql
 from agrarium.plans.registry import query
@@ -163,6 +164,77 @@ def tabular_match(spark: SparkSession, d: str) -> DataFrame:
     return found.select("c_custkey", "level", "source", "price")
 
 
+def _plain_sql(x: str) -> str:
+    plain = rf"trim(regexp_replace(regexp_replace(trim({x}), '\s+', ' ', 'g'), '\s*\(.*$', ''))"
+    return f"CASE lower({plain}) WHEN 'spindle' THEN 'hot ring' WHEN 'brand#99' THEN 'Brand#12' ELSE {plain} END"
+
+
+#: Names that stand for others in the query below.
+ALIASES = {"spindle": "hot ring", "brand#99": "Brand#12"}
+FEATURES_SQL = f"""WITH t0 AS (SELECT p_partkey AS pos, CASE WHEN p_partkey % 3 = 0 THEN p_name || '  (North)' WHEN p_partkey % 3 = 1 THEN p_name || ' / x' || p_partkey % 40 ELSE p_name END AS village, p_brand AS taluk, p_type AS district, CAST(1995 + p_partkey % 3 AS INT) AS year, CASE WHEN p_partkey % 2 = 0 THEN 'KHARIF 2' WHEN p_partkey % 5 = 0 THEN 'Rabi/Summer' ELSE 'Rabi' END AS season, p_retailprice AS price, p_size AS size, p_partkey % 4 AS i, CAST(p_size - 25 AS DOUBLE) AS ra, CAST(p_partkey % 29 - 8 AS DOUBLE) AS ma, CAST(p_partkey % 100 AS DOUBLE) AS ry, CAST(p_retailprice AS DOUBLE) AS my FROM part),
+t AS (SELECT * REPLACE (CASE WHEN i = 0 THEN 1 ELSE 0 END AS i), {_plain_sql('village')} AS n0, {_plain_sql('taluk')} AS n1, {_plain_sql('district')} AS n2 FROM t0),
+p AS (SELECT c_custkey, CASE c_custkey % 6 WHEN 0 THEN 'cold widget (South)' WHEN 1 THEN 'WIDGET' WHEN 2 THEN 'Spindle' WHEN 3 THEN 'x' || c_custkey % 40 WHEN 4 THEN 'w.dget /' ELSE '(none)' END AS village, CASE WHEN c_custkey % 3 = 0 THEN 'Brand#13' ELSE 'brand#99' END AS taluk, CASE WHEN c_custkey % 5 = 0 THEN 'ECONOMY' ELSE 'nothing' END AS district, CAST(1995 + c_custkey % 4 AS INT) AS year, CASE c_custkey % 4 WHEN 0 THEN 'kharif' WHEN 1 THEN 'Rabi' WHEN 2 THEN 'summer ' ELSE ' ' END AS season FROM customer),
+l AS (SELECT c_custkey, year, season, 0 AS j, village AS name FROM p UNION ALL SELECT c_custkey, year, season, 1, taluk FROM p UNION ALL SELECT c_custkey, year, season, 2, district FROM p),
+q AS (SELECT *, nullif({_plain_sql('name')}, '') AS n FROM l),
+m AS (SELECT c_custkey, i, j, pos, CASE WHEN v = n THEN 1 WHEN list_contains(list_transform(string_split_regex(v, '[/|]'), lambda x: trim(x)), n) THEN 2 WHEN contains(lower(v), lower(n)) THEN 3 WHEN regexp_matches(raw, name, 'i') THEN 4 END AS stage FROM (SELECT q.*, t.pos, t.i, CASE j WHEN 0 THEN t.n0 WHEN 1 THEN t.n1 ELSE t.n2 END AS v, CASE j WHEN 0 THEN t.village WHEN 1 THEN t.taluk ELSE t.district END AS raw FROM q JOIN t ON q.year = t.year AND contains(lower(t.season), lower(trim(q.season))))),
+k AS (SELECT c_custkey, 0 AS last, i, j, arg_min(pos, (stage, pos)) AS pos FROM m WHERE stage IS NOT NULL GROUP BY ALL UNION ALL SELECT c_custkey, 1, i, -1, min(pos) FROM p JOIN t ON p.year = t.year AND contains(lower(t.season), lower(trim(p.season))) GROUP BY ALL),
+b AS (SELECT c_custkey, arg_min(j, (last, i, j, pos)) AS j, arg_min(i, (last, i, j, pos)) AS i, arg_min(pos, (last, i, j, pos)) AS pos FROM k GROUP BY 1),
+w AS (SELECT *, CASE WHEN ra > 0 AND ra >= ma THEN 'Rice' WHEN ma > 0 THEN 'Maize' WHEN ry >= my AND ry > 0 THEN 'Rice' ELSE 'Maize' END AS wide FROM t)
+SELECT c_custkey, CASE j WHEN 0 THEN 'village' WHEN 1 THEN 'taluk' WHEN 2 THEN 'district' WHEN -1 THEN 'none' END AS level, CAST(b.i AS INT) AS source, CASE WHEN b.i = 0 THEN taluk ELSE wide END AS crop, round(CASE WHEN b.i = 0 THEN price WHEN wide = 'Rice' THEN ry ELSE my END, 4) AS yield_value, CAST(CASE WHEN b.i = 0 THEN CAST(size AS DOUBLE) WHEN greatest(ra, ma) > 0 THEN greatest(ra, ma) END AS DOUBLE) AS feature
+FROM (SELECT c_custkey FROM p) LEFT JOIN b USING (c_custkey) LEFT JOIN w USING (pos)"""
+
+
+@query(FEATURES_SQL)
+def tabular_features(spark: SparkSession, d: str) -> DataFrame:
+    """Crop, yield and a feature of the tabular row by village, taluk, district: a table with a crop column, then a wide one; seasons by what their text holds, names by aliases."""
+    k, c = F.col("p_partkey"), F.col("c_custkey")
+    village = F.when(k % 3 == 0, F.concat("p_name", F.lit("  (North)"))).when(k % 3 == 1, F.concat("p_name", F.lit(" / x"), k % 40)).otherwise(F.col("p_name"))
+    season = F.when(k % 2 == 0, "KHARIF 2").when(k % 5 == 0, "Rabi/Summer").otherwise("Rabi")
+    names = [k.alias("pos"), village.alias("village"), F.col("p_brand").alias("taluk"), F.col("p_type").alias("district"), (1995 + k % 3).cast("int").alias("year"), season.alias("season")]
+    part = table(spark, d, "part")
+    long = part.where(k % 4 != 0).select(*names, F.col("p_retailprice").alias("price"), F.col("p_size").alias("size"))
+    wide = part.where(k % 4 == 0).select(*names, (F.col("p_size") - 25).alias("RICE AREA (1000 ha)"), (k % 29 - 8).alias("MAIZE AREA (1000 ha)"), (k % 100).alias("RICE YIELD (Kg per ha)"), F.col("p_retailprice").alias("MAIZE YIELD (Kg per ha)"))
+    village = F.when(c % 6 == 0, "cold widget (South)").when(c % 6 == 1, "WIDGET").when(c % 6 == 2, "Spindle").when(c % 6 == 3, F.concat(F.lit("x"), c % 40)).when(c % 6 == 4, "w.dget /").otherwise("(none)")
+    season = F.when(c % 4 == 0, "kharif").when(c % 4 == 1, "Rabi").when(c % 4 == 2, "summer ").otherwise(" ")
+    asked = table(spark, d, "customer").select(c, village.alias("village"), F.when(c % 3 == 0, "Brand#13").otherwise("brand#99").alias("taluk"), F.when(c % 5 == 0, "ECONOMY").otherwise("nothing").alias("district"), (1995 + c % 4).cast("int").alias("year"), season.alias("season"))
+    sources = [resolve.Tabular(long, "taluk", "price", ("size", "no such column")), resolve.Tabular(wide)]
+    found = resolve.tabular_features(asked, sources, "c_custkey", ["village", "taluk", "district"], "year", "season", "pos", plain=lambda x: normal_name(x, ALIASES))
+    feature = F.coalesce(F.col("fields")["size"], F.col("fields")["area"]).cast("double")
+    return found.select("c_custkey", "level", "source", "crop", F.round("yield_value", 4).alias("yield_value"), feature.alias("feature"))
+
+
+@query("""WITH o AS (SELECT *, CAST(year(o_orderdate) AS INT) AS y FROM orders), r AS (SELECT 0 AS source, 'c' || o_custkey % 50 AS place, y AS year, o_orderkey AS k FROM o WHERE o_orderkey % 3 = 0 AND o_custkey % 50 >= 10 UNION ALL SELECT 1, 'c' || o_custkey % 70, y, o_orderkey FROM o UNION ALL SELECT 2, 'c' || c_custkey % 100, 0, c_custkey FROM customer),
+p AS (SELECT s_suppkey, 'c' || s_suppkey % 120 AS place FROM supplier), f AS (SELECT place, min(source) AS source FROM r GROUP BY 1)
+SELECT s_suppkey, CAST(source AS INT) AS source, CAST(year AS INT) AS year, min(k) AS k FROM p JOIN f USING (place) JOIN r USING (place, source) GROUP BY ALL""")
+def first_table_years(spark: SparkSession, d: str) -> DataFrame:
+    """Each label's years with their first row, from the first of three tables that knows the place: one with unreadable years, one of all orders, one without years."""
+    orders, s = table(spark, d, "orders"), F.col("s_suppkey")
+    place = lambda key, n: F.concat(F.lit(" C"), F.col(key) % n).alias("place")
+    year = F.year("o_orderdate").cast("string")
+    some = orders.where("o_orderkey % 3 = 0").select(place("o_custkey", 50), F.when(F.col("o_custkey") % 50 < 10, "n/a").otherwise(F.concat(year, F.lit(".0"))).alias("when"), F.col("o_orderkey").alias("k"))
+    every = orders.select(place("o_custkey", 70), year.alias("when"), F.col("o_orderkey").alias("k"))
+    rest = table(spark, d, "customer").select(place("c_custkey", 100), F.col("c_custkey").alias("k"))
+    labels = table(spark, d, "supplier").select(s, F.concat(F.when(s % 2 == 0, "c").otherwise("C"), s % 120, F.lit(" ")).alias("label"))
+    found = resolve.first_table_years(labels, [resolve.Years(some, "place", "when", "k"), resolve.Years(every, "place", "when", "k"), resolve.Years(rest, "place", None, "k")], "label", ["k"])
+    return labels.join(found, "label").select("s_suppkey", "source", "year", "k")
+
+
+@query(f"""WITH t AS (SELECT CASE n_nationkey % 2 WHEN 0 THEN 'village' ELSE 'district' END AS kind, n_name AS name, {place_sql('n_nationkey')} FROM nation), p AS (SELECT c_custkey, CASE c_custkey % 5 WHEN 0 THEN lower(n_name) || ' ' WHEN 1 THEN ' ' WHEN 2 THEN substr(n_name, 1, 2) WHEN 3 THEN 'nowhere' END AS village, CASE c_custkey % 3 WHEN 0 THEN n_name WHEN 1 THEN 'none' END AS district, CASE WHEN c_custkey % 7 > 2 THEN c_custkey % 90 / 2 END AS lon, CASE WHEN c_custkey % 7 > 1 THEN c_custkey % 40 / 2 END AS lat FROM customer JOIN nation ON c_nationkey = n_nationkey),
+q AS (SELECT *, coalesce(nullif(trim(village), ''), nullif(trim(district), '')) AS l, CASE WHEN nullif(trim(village), '') IS NULL THEN 'district' ELSE 'village' END AS want FROM p),
+m AS (SELECT q.c_custkey, arg_min({{'name': t.name, 'lon': t.lon, 'lat': t.lat}}, (CASE WHEN lower(t.name) = lower(q.l) THEN 1 ELSE 2 END, (t.kind <> q.want)::INT, t.name)) AS x FROM q JOIN t ON starts_with(lower(t.name), lower(q.l)) GROUP BY 1),
+r AS (SELECT q.*, x, CASE WHEN x IS NOT NULL THEN 'place' WHEN l IS NOT NULL AND lon IS NOT NULL AND lat IS NOT NULL THEN 'given' WHEN l IS NOT NULL AND nullif(trim(district), '') IS NOT NULL THEN 'name' WHEN l IS NULL AND lon IS NOT NULL AND lat IS NOT NULL THEN 'coordinates' END AS way FROM q LEFT JOIN m USING (c_custkey))
+SELECT c_custkey, CASE way WHEN 'place' THEN x.name WHEN 'coordinates' THEN lat || ', ' || lon WHEN 'given' THEN l WHEN 'name' THEN l END AS label, round(CASE way WHEN 'place' THEN x.lon WHEN 'given' THEN lon WHEN 'coordinates' THEN lon END, 6) AS lon, round(CASE way WHEN 'place' THEN x.lat WHEN 'given' THEN lat WHEN 'coordinates' THEN lat END, 6) AS lat, way FROM r""")
+def settled_places(spark: SparkSession, d: str) -> DataFrame:
+    """Where each customer is: a known place of the village's or the district's name, else the customer's own coordinates or name."""
+    nation, c = table(spark, d, "nation"), F.col("c_custkey")
+    n = F.col("n_nationkey")
+    places = nation.select(F.when(n % 2 == 0, "village").otherwise("district").alias("place_kind"), F.col("n_name").alias("place_name"), *(v.alias(f"place_{k}") for k, v in place("n_nationkey").items()))
+    village = F.when(c % 5 == 0, F.concat(F.lower("n_name"), F.lit(" "))).when(c % 5 == 1, " ").when(c % 5 == 2, F.substring("n_name", 1, 2)).when(c % 5 == 3, "nowhere")
+    asked = table(spark, d, "customer").join(nation, F.col("c_nationkey") == n).select(c, village.alias("village"), F.when(c % 3 == 0, F.col("n_name")).when(c % 3 == 1, "none").alias("district"), F.when(c % 7 > 2, c % 90 / 2).alias("lon"), F.when(c % 7 > 1, c % 40 / 2).alias("lat"))
+    found = resolve.settled(asked, places, "c_custkey")
+    return found.select("c_custkey", "label", F.round("lon", 6).alias("lon"), F.round("lat", 6).alias("lat"), "way")
+
+
 @query("""WITH o AS (SELECT o_custkey, CAST(year(o_orderdate) AS INT) AS year, o_orderkey, o_orderkey % 2 = 0 AS ndvi, o_totalprice FROM orders), a AS (SELECT o_custkey, year, arg_min(o_totalprice, o_orderkey) AS first_total FROM o WHERE o_orderkey % 3 = 0 GROUP BY ALL), b AS (SELECT o_custkey, year, count(*) FILTER (ndvi) AS n_ndvi, count(*) FILTER (NOT ndvi) AS n_evi, array_to_string(list_sort(list(o_orderkey)), ',') AS records FROM o GROUP BY ALL),
 y AS (SELECT o_custkey, unnest(range(min(year), max(year) + 1)) AS year FROM o GROUP BY 1) SELECT o_custkey, CAST(year AS INT) AS year, first_total, coalesce(n_ndvi, 0) AS n_ndvi, coalesce(n_evi, 0) AS n_evi, coalesce(records, '') AS records, first_total IS NULL AND records IS NULL AS missing FROM y LEFT JOIN a USING (o_custkey, year) LEFT JOIN b USING (o_custkey, year)""")
 def yearly_history(spark: SparkSession, d: str) -> DataFrame:

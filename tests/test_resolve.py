@@ -2,6 +2,7 @@
 
 from pyspark.sql import functions as F
 
+from agrarium.functions.names import normal_name
 from agrarium.operators import joins, resolve
 from agrarium.plans.catalog import QUERIES
 
@@ -44,3 +45,39 @@ def test_yearly(spark):
 def test_observations_hold_all_orders(spark, sf):
     got = QUERIES["build_observations"](spark, sf).agg(F.sum("n_images"), F.count_distinct("season"), F.min("year"), F.max("year")).first()
     assert got[0] == spark.read.parquet(f"{sf}/orders.parquet").count() and got[1] == 3 and (got[2], got[3]) == (1994, 2001)
+
+
+def test_seasons_held_and_plain_names(spark):
+    schema = "pos long, village string, district string, year int, season string, crop string"
+    rows = [(0, "Alur (East)", "Mangalore", 2001, "Rabi/Summer", "a"), (1, "alur", "Mangalore", 2001, "KHARIF 1", "b"), (2, "Kodi", "x", 2001, None, "c")]
+    asked = [(1, "Alur", None, "rabi"), (2, "q", "Dakshina  Kannada (coast)", "Kharif"), (3, "Kodi", None, " "), (4, "Kodi", None, "Rabi"), (5, "al.r \\(", None, "summer"), (6, "(none)", None, "summer"), (7, "Alur", None, "Zaid")]
+    probes = spark.createDataFrame([(i, v, d, 2001, s) for i, v, d, s in asked], "id long, village string, district string, year int, season string")
+    found = resolve.tabular_match(probes, [spark.createDataFrame(rows, schema)], "id", ["village", "district"], ["year", "season"], "pos", ["crop"], holds="season", plain=lambda c: normal_name(c, {"dakshina kannada": "Mangalore"}))
+    assert {r.id: (r.crop, r.level) for r in found.collect()} == {1: ("a", "village"), 2: ("b", "district"), 3: ("c", "village"), 4: ("a", "none"), 5: ("a", "village"), 6: ("a", "none"), 7: (None, None)}
+
+
+def test_wide_records(spark):
+    columns = ["pos", "v", "d", "y", "s", "RICE AREA (1000 ha)", "RICE YIELD (Kg per ha)", "FINGER MILLET AREA (1000 ha)", "Maize Yield (Kg per ha)", "note"]
+    rows = [(0, "a", "D", 2001, "Rabi", 5.0, -1.0, 5.0, 9.0, "n"), (1, "b", "D", 2001, "Rabi", -1.0, 3.0, 0.0, 4.0, None), (2, "c", "D", 2001, "Rabi", -1.0, 0.0, 0.0, None, None), (3, "e", "D", 2001, "Rabi", 1.0, 7.0, 2.0, 9.0, "n")]
+    frame = spark.createDataFrame(rows, ", ".join(f"`{c}` {t}" for c, t in zip(columns, ["long", "string", "string", "int", "string", "double", "double", "double", "double", "string"])))
+    assert list(resolve.wide_crops(columns)) == ["RICE", "FINGER MILLET", "Maize"]
+    got = [tuple(r.r) for r in frame.select(resolve.tabular_record(resolve.Tabular(frame), "d", "y").alias("r")).collect()]
+    assert [g[:2] for g in got] == [("Rice", -1.0), ("Maize", 4.0), (None, None), ("Finger Millet", None)]
+    assert got[1][2] == {"crop": "Maize", "yield": "4.0", "area": None, "district": "D", "year": "2001"} and got[0][2]["area"] == "5.0"
+    named = frame.select(resolve.tabular_record(resolve.Tabular(frame, "note", "RICE YIELD (Kg per ha)".join("``"), ("s",)), "d", "y").alias("r")).first().r
+    assert tuple(named) == ("n", -1.0, {"s": "Rabi"})
+
+
+def test_first_table_and_settled(spark):
+    one = spark.createDataFrame([("Alur ", "n/a", 1), (None, "2001", 2), ("Belur", "2002.0", 4), ("belur", "2002", 3), ("Belur", "soon", 0)], "place string, at string, k long")
+    two = spark.createDataFrame([("alur", "1999", 7), ("ALUR", "1999", 6), ("Belur", "1990", 5)], "place string, at string, k long")
+    three = spark.createDataFrame([("Coorg", 9), ("coorg", 8)], "place string, k long")
+    tables = [resolve.Years(one, "place", "at", "k"), resolve.Years(two, "place", "at", "k"), resolve.Years(three, "place", None, "k")]
+    labels = spark.createDataFrame([(" ALUR",), ("belur",), ("Coorg",), ("zz",), (None,)], "label string")
+    got = sorted(tuple(r) for r in resolve.first_table_years(labels, tables, "label", ["k"]).collect())
+    assert got == [(" ALUR", 1, 1999, 6), ("Coorg", 2, 0, 8), ("belur", 0, 2002, 3)]
+    places = spark.createDataFrame([("Alur", "district", 1.0, 2.0), ("alur", "village", 3.0, 4.0), ("Belur North", "village", 5.0, 6.0)], "place_name string, place_kind string, place_lon double, place_lat double")
+    asked = [(1, " ALUR", "x", 9.0, 9.0), (2, None, "alur", None, None), (3, "bel", None, None, None), (4, "zz", None, 7.0, 8.0), (5, "zz", "dd", None, 8.0), (6, "zz", None, None, None), (7, None, " ", 7.0, 8.0), (8, None, None, None, None)]
+    probes = spark.createDataFrame(asked, "id long, village string, district string, lon double, lat double")
+    got = {r.id: tuple(r)[1:] for r in resolve.settled(probes, places, "id").collect()}
+    assert got == {1: ("alur", 3.0, 4.0, "place"), 2: ("Alur", 1.0, 2.0, "place"), 3: ("Belur North", 5.0, 6.0, "place"), 4: ("zz", 7.0, 8.0, "given"), 5: ("zz", None, None, "name"), 6: (None, None, None, None), 7: ("8.0, 7.0", 7.0, 8.0, "coordinates"), 8: (None, None, None, None)}
