@@ -12,6 +12,8 @@ from agrarium.operators.lineage import saved
 from agrarium.operators.nearest import nearest as by_cells
 from agrarium.operators.nearest import on_plane, on_sphere
 
+WIDEST, SALTS = 12, 64  # doublings of a cell's width, and parts of a wide cell
+
 
 def within_radius(points: DataFrame, places: DataFrame, km: float, point: tuple[str, str] = ("lon", "lat"), place: tuple[str, str] = ("place_lon", "place_lat")) -> DataFrame:
     """All pairs at most ``km`` apart, with distance_km.
@@ -53,28 +55,43 @@ def nearest_degrees(points: DataFrame, places: DataFrame, key: str, place_key: s
 def smallest_boxes(points: DataFrame, boxes: DataFrame, key: str, level: str, name: str, levels: list[str], size: float = 10.0) -> DataFrame:
     """(key, one column per level, deepest): the name of the smallest box of each level that holds the point, ties to the smaller name.
 
-    ``boxes`` (level, name, min_lon, max_lon, min_lat, max_lat) are spread over
-    grid cells; ``levels`` go from the deepest up, and the deepest one found
-    stands in ``deepest``.
+    ``boxes`` are (level, name, min_lon, max_lon, min_lat, max_lat); ``levels``
+    go from the deepest up, and the deepest one found stands in ``deepest``.
     """
-    spread = boxes.withColumn("_x", F.explode(F.sequence(cell(F.col("min_lon"), size), cell(F.col("max_lon"), size)))).withColumn("_y", F.explode(F.sequence(cell(F.col("min_lat"), size), cell(F.col("max_lat"), size))))
-    asked = points.withColumn("_x", cell(F.col("lon"), size)).withColumn("_y", cell(F.col("lat"), size))
-    inside = F.col("lon").between(F.col("min_lon"), F.col("max_lon")) & F.col("lat").between(F.col("min_lat"), F.col("max_lat"))
     area = (F.col("max_lon") - F.col("min_lon")) * (F.col("max_lat") - F.col("min_lat"))
-    hits = asked.join(spread, ["_x", "_y"]).where(inside)
+    hits = _in_boxes(points, boxes, "lon", "lat", size)
     best = [F.min(F.when(F.col(level) == x, F.struct(area.alias("area"), F.col(name).alias("name"))))["name"].alias(x) for x in levels]
     wide = points.select(key).join(hits.groupBy(key).agg(*best), key, "left")
     return wide.withColumn("deepest", F.coalesce(*(F.col(x) for x in levels)))
 
 
 def containing(points: DataFrame, shapes: DataFrame, lon: str = "lon", lat: str = "lat", ring: str = "ring", size: float = 1.0, rings: str | None = None) -> DataFrame:
-    """All (point, shape) with the point in the shape's ring, or of those of the column ``rings`` in an odd number, so that holes are left out; boxes are spread over grid cells, then rings decide."""
-    cells = lambda lo, hi: F.sequence(cell(F.col(lo), size), cell(F.col(hi), size))
-    spread = shapes.withColumn("_x", F.explode(cells("min_lon", "max_lon"))).withColumn("_y", F.explode(cells("min_lat", "max_lat")))
-    asked = points.withColumn("_x", cell(F.col(lon), size)).withColumn("_y", cell(F.col(lat), size))
-    inside = F.col(lon).between(F.col("min_lon"), F.col("max_lon")) & F.col(lat).between(F.col("min_lat"), F.col("max_lat"))
+    """All (point, shape) with the point in the shape's ring, or of those of the column ``rings`` in an odd number, so that holes are left out; boxes are dealt by cells, then rings decide."""
     held = in_rings(F.col(lon), F.col(lat), F.col(rings)) if rings else in_ring(F.col(lon), F.col(lat), F.col(ring))
-    return asked.join(spread, ["_x", "_y"]).where(inside & held).drop("_x", "_y")
+    return _in_boxes(points, shapes, lon, lat, size).where(held)
+
+
+def _in_boxes(points: DataFrame, boxes: DataFrame, lon: str, lat: str, size: float) -> DataFrame:
+    """All (point, box) with the point in the box, edges included.
+
+    A box is dealt to cells as wide as itself, of ``size`` times a power of two,
+    so it has four of them at most however wide it is, and a point has one
+    cell for each of the widths that occur. Cells of wide boxes, which hold many points,
+    are dealt out further by a hash of the point's row, in up to SALTS parts.
+    """
+    extent = F.greatest(F.col("max_lon") - F.col("min_lon"), F.col("max_lat") - F.col("min_lat"))
+    width = F.least(F.greatest(F.coalesce(F.ceil(F.log2(extent / size)), F.lit(0)), F.lit(0)), F.lit(WIDEST)).cast("int")
+    side = F.lit(size) * F.pow(F.lit(2.0), F.col("_w"))
+    parts = F.least(F.pow(F.lit(4.0), F.col("_w")), F.lit(SALTS)).cast("int")
+    cells = lambda kind: F.explode(F.sequence(F.floor(F.col(f"min_{kind}") / side), F.floor(F.col(f"max_{kind}") / side)))
+    whole = boxes.where("min_lon <= max_lon AND min_lat <= max_lat").withColumn("_w", width)
+    spread = whole.withColumn("_x", cells("lon")).withColumn("_y", cells("lat")).withColumn("_part", F.explode(F.sequence(F.lit(0), parts - 1)))
+    widths = [r[0] for r in whole.select("_w").distinct().collect()]  # WIDEST + 1 numbers at most
+    told = [c for c, t in points.dtypes if not t.startswith(("map", "array", "struct", "variant"))]
+    asked = points.withColumn("_w", F.explode(F.array(*map(F.lit, widths or [0]))))
+    asked = asked.withColumns({"_x": F.floor(F.col(lon) / side), "_y": F.floor(F.col(lat) / side), "_part": F.pmod(F.xxhash64(*told), parts.cast("long")).cast("int")})
+    inside = F.col(lon).between(F.col("min_lon"), F.col("max_lon")) & F.col(lat).between(F.col("min_lat"), F.col("max_lat"))
+    return asked.join(spread, ["_w", "_x", "_y", "_part"]).where(inside).drop("_w", "_x", "_y", "_part")
 
 
 def levels_of(hits: DataFrame, key: str, level: str, name: str, levels: list[str]) -> DataFrame:

@@ -87,3 +87,15 @@ def test_calendars(spark, tmp_path):
     for text in bad:
         with pytest.raises(seasons.CalendarError):
             seasons.parsed(text)
+
+
+def test_wide_boxes_have_few_cells(spark):
+    boxes = [(n, x, x + w, y, y + h) for n, x, w, y, h in [("world", -180.0, 360.0, -90.0, 180.0), ("dot", 3.0, 0.0, 4.0, 0.0), ("strip", -170.0, 340.0, 3.5, 1.0), ("cell", 3.0, 1.0, 4.0, 1.0), ("turned", 5.0, -1.0, 4.0, 1.0)]]
+    shapes = spark.createDataFrame([(*b, [[b[1], b[3]], [b[2], b[3]], [b[2], b[4]], [b[1], b[4]]]) for b in boxes], "name string, min_lon double, max_lon double, min_lat double, max_lat double, ring array<array<double>>")
+    points = [(i, float(i % 37 * 10 - 180), float(i % 19 * 10 - 90)) for i in range(300)] + [(300, 3.0, 4.0), (301, None, 4.0), (302, 3.5, 4.5), (303, 4.0, 5.0)]
+    asked = spark.createDataFrame(points, "i long, lon double, lat double")
+    found = spatial._in_boxes(asked, shapes, "lon", "lat", 1.0)
+    want = {(i, n) for i, lon, lat in points for n, a, b, c, d in boxes if lon is not None and a <= lon <= b and c <= lat <= d}
+    got = [(r.i, r.name) for r in found.select("i", "name").collect()]
+    assert len(got) == len(want) and set(got) == want
+    assert spatial._in_boxes(asked, shapes.limit(0), "lon", "lat", 1.0).count() == 0
