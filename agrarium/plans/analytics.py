@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -41,7 +43,27 @@ def numeric_inference(spark: SparkSession, d: str) -> DataFrame:
 @query("SELECT o_orderkey, o_totalprice, total FROM (SELECT o_orderkey, o_totalprice, count(*) OVER () AS total, row_number() OVER (ORDER BY o_totalprice DESC, o_orderkey) AS r FROM orders WHERE o_orderstatus = 'F' AND o_totalprice >= 100000) WHERE r BETWEEN 21 AND 40")
 def history_search(spark: SparkSession, d: str) -> DataFrame:
     found = filters.search(table(spark, d, "orders"), equal={"o_orderstatus": "F", "o_orderpriority": ""}, least={"o_totalprice": 100000})
-    return sequences.page(found.select("o_orderkey", "o_totalprice"), [F.desc("o_totalprice"), "o_orderkey"], number=2, size=20)
+    return sequences.page(found.select("o_orderkey", "o_totalprice"), ["-o_totalprice", "o_orderkey"], number=2, size=20)
+
+
+@query("SELECT o_orderkey, o_orderpriority, total FROM (SELECT o_orderkey, o_orderpriority, count(*) OVER () AS total, row_number() OVER (ORDER BY o_orderpriority DESC, o_orderkey) AS r FROM orders) WHERE r > 20 * (total // 40) AND r <= 20 * (total // 40) + 20")
+def history_middle(spark: SparkSession, d: str) -> DataFrame:
+    """The page in the middle of all orders, by a column of which each value has a large share of the rows; found by counts."""
+    rows = table(spark, d, "orders").select("o_orderkey", "o_orderpriority")
+    return sequences.page(rows, ["-o_orderpriority", "o_orderkey"], number=rows.count() // 40 + 1, size=20, near=0)
+
+
+@query("SELECT o_orderkey, o_orderpriority, page FROM (SELECT o_orderkey, o_orderpriority, CAST((row_number() OVER (ORDER BY o_orderpriority, o_orderkey DESC) - 1) // 25 AS INT) AS page FROM orders) WHERE page < 4")
+def history_pages(spark: SparkSession, d: str) -> DataFrame:
+    """Four pages, each from the last row of the one before."""
+    rows, last, out = table(spark, d, "orders").select("o_orderkey", "o_orderpriority"), None, []
+    for number in range(4):
+        found = sequences.next_page(rows, ["o_orderpriority", "-o_orderkey"], last, 25)
+        out.append(found.withColumn("page", F.lit(number)))
+        if not (shown := found.collect()):  # 25 rows at most
+            break
+        last = (shown[-1]["o_orderpriority"], shown[-1]["o_orderkey"])
+    return reduce(DataFrame.unionByName, out)
 
 
 @query("SELECT n_name, count(*) AS n, round(avg(o_totalprice), 4) AS mean_price FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey GROUP BY n_name")
