@@ -52,6 +52,13 @@ def nearest_degrees(points: DataFrame, places: DataFrame, key: str, place_key: s
     return found.select(key, place_key, "degrees", "rank")
 
 
+def nearest_manhattan(points: DataFrame, places: DataFrame, key: str, place_key: str, k: int) -> DataFrame:
+    """(key, place_key, manhattan, rank): as ``nearest_degrees`` by the sum of both differences in degrees."""
+    d = F.abs(F.col("lon") - F.col("place_lon")) + F.abs(F.col("lat") - F.col("place_lat"))
+    found = by_cells(points, places, key, place_key, k, on_plane("lon", "lat"), on_plane("place_lon", "place_lat"), 2, d, "manhattan", power=1)
+    return found.select(key, place_key, "manhattan", "rank")
+
+
 def smallest_boxes(points: DataFrame, boxes: DataFrame, key: str, level: str, name: str, levels: list[str], size: float = 10.0) -> DataFrame:
     """(key, one column per level, deepest): the name of the smallest box of each level that holds the point, ties to the smaller name.
 

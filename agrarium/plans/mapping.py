@@ -10,11 +10,11 @@ from pyspark.sql import functions as F
 
 from agrarium.functions import arrays, projection, seasons
 from agrarium.operators import spatial
-from agrarium.operators.lineage import scratch
+from agrarium.operators.lineage import saved, scratch
 from agrarium.operators.store import _Files
 from agrarium.plans.alignment import place, place_sql
 from agrarium.plans.registry import query
-from agrarium.sources import boundaries
+from agrarium.sources import boundaries, shapefiles
 from agrarium.sources.tables import table
 
 _E, _K = projection.ECCENTRICITY, projection.SCALE * projection.RADIUS
@@ -62,6 +62,30 @@ def holed_boundaries(spark: SparkSession, d: str) -> DataFrame:
     return spatial.containing(points, shapes, rings="rings", size=10.0).select("c_custkey", "name")
 
 
+@query(f"""WITH c AS (SELECT c_custkey, {place_sql('c_custkey')} FROM customer), s AS (SELECT s_suppkey, trim(s_name) AS name, (s_suppkey * 37 % 320) - 159.995 AS x, (s_suppkey * 23 % 140) - 79.995 AS y FROM supplier)
+SELECT c_custkey, name FROM c, s WHERE lon BETWEEN x AND x + 8 AND lat BETWEEN y AND y + 8 AND NOT (lon BETWEEN x + 2 AND x + 4 AND lat BETWEEN y + 2 AND y + 4)""")
+def shapefile_boundaries(spark: SparkSession, d: str) -> DataFrame:
+    """Places in boundaries with a hole for each supplier, written as shapefiles in web Mercator by the tasks and read in parts."""
+    root = scratch(spark, f"shapefiles-{uuid.uuid4().hex}")
+    shapefiles.register(spark)
+    k = F.col("s_suppkey")
+    x, y = k * 37 % 320 - 159.995, k * 23 % 140 - 79.995
+    rings = F.array(_box(x, y, x + 8, y + 8), _box(x + 2, y + 2, x + 4, y + 4))
+    table(spark, d, "supplier").select(rings.alias("rings"), F.create_map(F.lit("name"), F.trim("s_name")).alias("properties")).write.format("shapefile").mode("append").save(root)
+    shapes = saved(boundaries.shapefile(spark, root, "supplier", epsg=3857))
+    points = table(spark, d, "customer").select("c_custkey", *(v.alias(n) for n, v in place("c_custkey").items()))
+    return spatial.containing(points, shapes, rings="rings", size=10.0).select("c_custkey", "name")
+
+
+@query(f"""WITH c AS (SELECT c_custkey, {place_sql('c_custkey')} FROM customer), s AS (SELECT s_suppkey, lon AS x, lat AS y FROM (SELECT s_suppkey, {place_sql('s_suppkey')} FROM supplier)), p AS (SELECT c_custkey, s_suppkey, abs(lon - x) + abs(lat - y) AS m FROM c, s)
+SELECT c_custkey, s_suppkey, round(m, 6) AS manhattan FROM (SELECT *, row_number() OVER (PARTITION BY c_custkey ORDER BY m, s_suppkey) AS r FROM p) WHERE r = 1""")
+def nearest_centres(spark: SparkSession, d: str) -> DataFrame:
+    """The raster whose centre is nearest to each place by the sum of both differences."""
+    points = table(spark, d, "customer").select("c_custkey", *(v.alias(n) for n, v in place("c_custkey").items()))
+    centres = table(spark, d, "supplier").select("s_suppkey", *(v.alias(f"place_{n}") for n, v in place("s_suppkey").items()))
+    return spatial.nearest_manhattan(points, centres, "c_custkey", "s_suppkey", 1).select("c_custkey", "s_suppkey", F.round("manhattan", 6).alias("manhattan"))
+
+
 def _weights_sql(n: int, m: int) -> str:
     rows = []
     for i in range(m):

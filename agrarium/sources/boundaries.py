@@ -1,4 +1,4 @@
-"""Boundaries from GeoJSON, as rings with their boxes: outer rings alone, or shapes with all of their parts and holes."""
+"""Boundaries from GeoJSON and shapefiles, as rings with their boxes: outer rings alone, or shapes with all of their parts and holes."""
 
 from __future__ import annotations
 
@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from agrarium.functions.projection import to_4326
+from agrarium.sources import shapefiles
 
 FEATURES = "features array<struct<properties:map<string,string>,geometry:struct<type:string,coordinates:string>>>"
 
@@ -45,6 +46,19 @@ def union(*levels: DataFrame) -> DataFrame:
     return reduce(DataFrame.unionByName, levels)
 
 
+def _in_degrees(read: DataFrame, epsg: int) -> DataFrame:
+    """(name, level, rings, box) of (name, level, r) in a file's coordinates."""
+
+    def degrees(ring: Column) -> Column:
+        points = F.transform(ring, lambda p: to_4326(p[0], p[1], F.lit(epsg)))
+        points = F.transform(points, lambda p: F.struct(p["lon"].alias("x"), p["lat"].alias("y")))
+        return F.when(points[0] == F.element_at(points, -1), points).otherwise(F.concat(points, F.slice(points, 1, 1)))
+
+    shapes = read.withColumn("rings", F.transform(F.filter("r", lambda r: F.size(r) >= 4), degrees)).drop("r").where(F.size("rings") > 0)
+    side = lambda f, axis: f(F.transform(F.flatten("rings"), lambda p: p[axis]))
+    return shapes.withColumns({"min_lon": side(F.array_min, "x"), "min_lat": side(F.array_min, "y"), "max_lon": side(F.array_max, "x"), "max_lat": side(F.array_max, "y")})
+
+
 def features(spark: SparkSession, path: str, level: str, name: str = "name", epsg: int = 4326, lines: bool = False) -> DataFrame:
     """(name, level, rings, box) for each feature: all rings of its polygons, holes too, in degrees.
 
@@ -62,12 +76,11 @@ def features(spark: SparkSession, path: str, level: str, name: str = "name", eps
     many = F.from_json("geometry.coordinates", "array<array<array<array<double>>>>")
     rings = F.when(F.col("geometry.type") == "Polygon", polygon).when(F.col("geometry.type") == "MultiPolygon", F.flatten(many))
     read = f.select(F.col("properties")[name].alias("name"), F.lit(level).alias("level"), rings.alias("r")).where("r IS NOT NULL")
+    return _in_degrees(read, epsg)
 
-    def degrees(ring: Column) -> Column:
-        points = F.transform(ring, lambda p: to_4326(p[0], p[1], F.lit(epsg)))
-        points = F.transform(points, lambda p: F.struct(p["lon"].alias("x"), p["lat"].alias("y")))
-        return F.when(points[0] == F.element_at(points, -1), points).otherwise(F.concat(points, F.slice(points, 1, 1)))
 
-    shapes = read.withColumn("rings", F.transform(F.filter("r", lambda r: F.size(r) >= 4), degrees)).drop("r").where(F.size("rings") > 0)
-    side = lambda f, axis: f(F.transform(F.flatten("rings"), lambda p: p[axis]))
-    return shapes.withColumns({"min_lon": side(F.array_min, "x"), "min_lat": side(F.array_min, "y"), "max_lon": side(F.array_max, "x"), "max_lat": side(F.array_max, "y")})
+def shapefile(spark: SparkSession, path: str, level: str, name: str = "name", epsg: int = 4326) -> DataFrame:
+    """As ``features``, of a shapefile or a folder of such, read in parts by record offsets; ``epsg`` is the code of its coordinates."""
+    shapefiles.register(spark)
+    f = spark.read.format("shapefile").load(path).where("rings IS NOT NULL")
+    return _in_degrees(f.select(F.element_at("properties", name).alias("name"), F.lit(level).alias("level"), F.col("rings").alias("r")), epsg)
