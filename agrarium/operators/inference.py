@@ -53,35 +53,42 @@ def uncertainty(df: DataFrame, keys: list[str], prediction: str, scale: float) -
 
 
 def shapley(df: DataFrame, key: str, vector: str, model: Callable[[np.ndarray], np.ndarray], background: np.ndarray, samples: int = 256, seed: int = 42) -> DataFrame:
-    """(key, values): Kernel SHAP of each row, by weighted least squares over coalitions.
+    """(key, values): Kernel SHAP of each row, by weighted least squares over coalitions; rows without a vector are left out.
 
     All coalitions of up to 8 features, else a seeded sample; the values add up
-    to the prediction less that of the background.
+    to the prediction less that of the background. The coalitions are the same
+    for all rows, so that the normal equations are solved once a task and rows
+    are a product with that; ``model`` gets some 65,536 vectors at a time.
     """
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         k = len(background)
-        if k <= 8:
-            masks = ((np.arange(1, 2**k - 1)[:, None] >> np.arange(k)) & 1).astype(float)
-        else:
-            rng = np.random.default_rng(seed)
-            sizes = rng.integers(1, k, samples)
-            masks = np.array([np.isin(np.arange(k), rng.choice(k, s, replace=False)) for s in sizes], float)
-        size = masks.sum(axis=1).astype(int)
-        weight = np.array([(k - 1) / (comb(k, s) * s * (k - s)) for s in size])
-        base = float(model(background[None])[0])
+        masks, solver = _coalitions(k, samples, seed)
+        base, step = float(model(background[None])[0]), max(1, 65_536 // max(1, len(masks)))
         for frame in frames:
             values = []
-            for x in frame[vector]:
-                x = np.asarray(x, float)
-                full = float(model(x[None])[0]) - base
-                y = model(np.where(masks > 0, x, background)) - base
+            for i in range(0, len(frame), step):
+                x = np.stack(frame[vector].iloc[i : i + step].to_numpy()).astype(float)
+                full = model(x) - base
+                y = model(np.where(masks > 0, x[:, None], background).reshape(-1, k)).reshape(len(x), len(masks)) - base
                 # The last value follows from the sum.
-                a = masks[:, :-1] - masks[:, -1:]
-                b = y - masks[:, -1] * full
-                aw = a * weight[:, None]
-                head = np.linalg.lstsq(aw.T @ a + 1e-10 * np.eye(k - 1), aw.T @ b, rcond=None)[0] if k > 1 else np.zeros(0)
-                values.append(np.append(head, full - head.sum()))
+                head = (y - masks[:, -1] * full[:, None]) @ solver.T
+                values += np.column_stack([head, full - head.sum(axis=1)]).tolist()
             yield pd.DataFrame({key: frame[key], "values": values})
 
-    return df.select(key, vector).mapInPandas(run, f"{key} {dict(df.dtypes)[key]}, values array<double>")
+    return df.select(key, vector).where(F.col(vector).isNotNull()).mapInPandas(run, f"{key} {dict(df.dtypes)[key]}, values array<double>")
+
+
+def _coalitions(k: int, samples: int, seed: int) -> tuple[np.ndarray, np.ndarray]:
+    """Coalitions as rows of 0 and 1, and the matrix that takes their values to those of all features but the last."""
+    if k <= 8:
+        masks = ((np.arange(1, 2**k - 1)[:, None] >> np.arange(k)) & 1).astype(float)
+    else:
+        rng = np.random.default_rng(seed)
+        sizes = rng.integers(1, k, samples)
+        masks = np.array([np.isin(np.arange(k), rng.choice(k, s, replace=False)) for s in sizes], float)
+    size = masks.sum(axis=1).astype(int)
+    weight = np.array([(k - 1) / (comb(k, s) * s * (k - s)) for s in size])
+    a = masks[:, :-1] - masks[:, -1:]
+    aw = a * weight[:, None]
+    return masks, np.linalg.pinv(aw.T @ a) @ aw.T

@@ -82,3 +82,24 @@ def shapley_values(spark: SparkSession, d: str) -> DataFrame:
     weights = np.array([0.5, 2.0, -1.0])
     found = inference.shapley(rows, "c_custkey", "x", lambda x: x @ weights, np.array([mean[0] or 0.0, mean[1] or 0.0, 4.0]))
     return found.select("c_custkey", *((F.round(F.col("values")[i], 3) + 0.0).alias(name) for i, name in enumerate(("balance", "nation", "digit"))))
+
+
+@query("WITH e AS (SELECT vec_id, list_transform(embedding[1:12], lambda x: CAST(x AS DOUBLE)) AS v FROM embeddings WHERE len(embedding) >= 12) SELECT vec_id, CAST(i AS INT) AS feature, round(v[i + 1] * (i - 5.5), 5) + 0.0 AS value FROM e, (SELECT unnest(range(12)) AS i)")
+def shapley_sampled(spark: SparkSession, d: str) -> DataFrame:
+    """Kernel SHAP of twelve features from a sample of coalitions; those of a linear model are its terms all the same."""
+    import numpy as np
+
+    rows = table(spark, d, "embeddings").where(F.size("embedding") >= 12).select("vec_id", F.slice("embedding", 1, 12).alias("x"))
+    weights = np.arange(12) - 5.5
+    found = inference.shapley(rows, "vec_id", "x", lambda x: x @ weights, np.zeros(12))
+    return found.select("vec_id", F.posexplode("values").alias("feature", "value")).withColumn("value", F.round("value", 5) + 0.0)
+
+
+@query("WITH c AS (SELECT c_custkey, c_acctbal / 997 AS a, c_nationkey / 11 AS b, CAST(c_custkey % 10 AS DOUBLE) AS g FROM customer) SELECT c_custkey, round((a - 4) * (b + 1) / 2, 5) + 0.0 AS balance, round((b - 1) * (a + 4) / 2, 5) + 0.0 AS nation, round(g * g - 16, 5) + 0.0 AS digit FROM c")
+def shapley_interaction(spark: SparkSession, d: str) -> DataFrame:
+    """Kernel SHAP of a model with a product and a square: the product's effect is shared by both of its features."""
+    import numpy as np
+
+    rows = table(spark, d, "customer").select("c_custkey", F.array(F.col("c_acctbal") / 997, F.col("c_nationkey") / 11, (F.col("c_custkey") % 10).cast("double")).alias("x"))
+    found = inference.shapley(rows, "c_custkey", "x", lambda x: x[:, 0] * x[:, 1] + x[:, 2] ** 2, np.array([4.0, 1.0, 4.0]))
+    return found.select("c_custkey", *((F.round(F.col("values")[i], 5) + 0.0).alias(name) for i, name in enumerate(("balance", "nation", "digit"))))
