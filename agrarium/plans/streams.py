@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from agrarium.operators import drift
 from agrarium.operators.lineage import scratch
 from agrarium.operators.sketches import Reference
+from agrarium.operators.store import KeyedStore
 from agrarium.plans.registry import query
 from agrarium.sources.tables import table
 from agrarium.streaming import keyed, requests
@@ -25,18 +26,24 @@ def _stream(spark: SparkSession, d: str, root: str) -> DataFrame:
 
 @query("SELECT CAST(date_trunc('day', ts) AS DATE) AS day, event_type, count(*) AS requests, count(*) FILTER (value >= 400) AS errors, round(sum(value), 2) AS total FROM events GROUP BY ALL")
 def streamed_requests(spark: SparkSession, d: str) -> DataFrame:
-    """Requests, errors and totals of each day and kind, kept up to date by a stream; the last state is returned."""
-    root = scratch(spark, f"stream-{uuid.uuid4().hex}")
-    found = requests.metrics(_stream(spark, d, root), "ts", "event_type", "value", 400.0, window="1 day")
-    written: list[str] = []
+    """Requests, errors and totals of each day and kind from a stream in order of time, which is stopped and started again.
 
-    def write(batch: DataFrame, number: int) -> None:
-        batch.write.mode("overwrite").parquet(f"{root}/out/{number}")
-        written.append(f"{root}/out/{number}")
+    Each micro-batch gives the counts that it changed, and these go into a keyed
+    store; days that the watermark has passed leave the state.
+    """
+    root, rows = scratch(spark, f"stream-{uuid.uuid4().hex}"), table(spark, d, "events")
+    store = None
 
-    found.writeStream.outputMode("complete").option("checkpointLocation", f"{root}/state").foreachBatch(write).trigger(availableNow=True).start().awaitTermination()
-    last = spark.read.schema(found.schema).parquet(*written[-1:]) if written else spark.createDataFrame([], found.schema)
-    return last.select(F.to_date("start").alias("day"), "event_type", "requests", "errors", F.round(F.col("mean") * F.col("requests"), 2).alias("total"))
+    def write(batch: DataFrame, number: int) -> None:
+        if not batch.isEmpty():
+            store.upsert(batch)
+
+    for part in keyed.steps(rows, "ts", ["2024-01-09", "2024-01-21"]):
+        part.write.mode("append").parquet(f"{root}/in")
+        found = requests.metrics(spark.readStream.schema(rows.schema).parquet(f"{root}/in"), "ts", "event_type", "value", 400.0, window="1 day")
+        store = store or KeyedStore.create(spark, f"{root}/store", found.schema, ["start", "event_type"], buckets=8)
+        found.writeStream.outputMode("update").option("checkpointLocation", f"{root}/state").foreachBatch(write).trigger(availableNow=True).start().awaitTermination()
+    return store.read().select(F.to_date("start").alias("day"), "event_type", "requests", "errors", F.round(F.col("mean") * F.col("requests"), 2).alias("total"))
 
 
 @query("SELECT CAST(event_id % 4 AS INT) AS g, count(*) AS n, round(avg(value), 4) AS mean, round(count(*) FILTER (value >= 400) / count(*), 6) AS error_share, avg(value) > (SELECT avg(value) FROM events) AS above FROM events GROUP BY 1")

@@ -171,16 +171,20 @@ def cached(operations: DataFrame, space: str, late: str = "10 minutes") -> DataF
     return timed.groupBy(space).transformWithStateInPandas(_Cache(space), f"{space} {kinds[space]}, id {kinds['id']}, key string, value string", "append", "EventTime")
 
 
+def steps(rows: DataFrame, at: str, ends: list[str]) -> list[DataFrame]:
+    """The table in steps of time, each up to one of ``ends`` and the last without one."""
+    kind, out = dict(rows.dtypes)[at], []
+    for lo, hi in zip([None, *ends], [*ends, None], strict=True):
+        part = rows if lo is None else rows.where(F.col(at) >= F.lit(lo).cast(kind))
+        out.append(part if hi is None else part.where(F.col(at) < F.lit(hi).cast(kind)))
+    return out
+
+
 def run_in_steps(spark: SparkSession, rows: DataFrame, at: str, ends: list[str], build: Any, root: str) -> DataFrame:
     """What a stream makes of a table that arrives in steps of time, the query being stopped and started again between them."""
-    bounds, out = [None, *ends, None], f"{root}/out"
+    out = f"{root}/out"
     with rocksdb(spark):
-        for lo, hi in zip(bounds[:-1], bounds[1:], strict=True):
-            part = rows
-            if lo is not None:
-                part = part.where(F.col(at) >= F.lit(lo).cast(dict(rows.dtypes)[at]))
-            if hi is not None:
-                part = part.where(F.col(at) < F.lit(hi).cast(dict(rows.dtypes)[at]))
+        for part in steps(rows, at, ends):
             part.write.mode("append").parquet(f"{root}/in")
             found = build(spark.readStream.schema(rows.schema).parquet(f"{root}/in"))
             found.writeStream.option("checkpointLocation", f"{root}/state").format("parquet").option("path", out).trigger(availableNow=True).start().awaitTermination()
