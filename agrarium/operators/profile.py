@@ -37,6 +37,18 @@ def schema_changes(old: DataFrame, new: DataFrame) -> dict[str, list[str]]:
     return {"added": sorted(b.keys() - a.keys()), "removed": sorted(a.keys() - b.keys()), "retyped": sorted(c for c in a.keys() & b.keys() if a[c] != b[c])}
 
 
+def schema_report(old: DataFrame, new: DataFrame) -> DataFrame:
+    """(column, change, kind_old, kind_new, n_old, n_new): every column of either side as same, added, removed or retyped, with its values that aren't null."""
+    kinds = {"old": dict(old.dtypes), "new": dict(new.dtypes)}
+    counted = []
+    for side, df in (("old", old), ("new", new)):
+        one = [F.struct(F.lit(c).alias("column"), F.lit(kind).alias(f"kind_{side}"), F.count(F.col(f"`{c}`")).alias(f"n_{side}")) for c, kind in kinds[side].items()]
+        counted.append(df.agg(F.array(*one).alias("x")).select(F.inline("x")))
+    a, b = F.col("kind_old"), F.col("kind_new")
+    change = F.when(a.isNull(), "added").when(b.isNull(), "removed").when(a != b, "retyped").otherwise("same")
+    return counted[0].join(counted[1], "column", "full").select("column", change.alias("change"), "kind_old", "kind_new", "n_old", "n_new")
+
+
 def schema_issues(df: DataFrame, most_missing: float = 0.95) -> DataFrame:
     """(severity, code, column): repeated names are errors, columns almost without values warnings."""
     spark = df.sparkSession
