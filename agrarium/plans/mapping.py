@@ -71,7 +71,7 @@ def shapefile_boundaries(spark: SparkSession, d: str) -> DataFrame:
     k = F.col("s_suppkey")
     x, y = k * 37 % 320 - 159.995, k * 23 % 140 - 79.995
     rings = F.array(_box(x, y, x + 8, y + 8), _box(x + 2, y + 2, x + 4, y + 4))
-    table(spark, d, "supplier").select(rings.alias("rings"), F.create_map(F.lit("name"), F.trim("s_name")).alias("properties")).write.format("shapefile").mode("append").save(root)
+    table(spark, d, "supplier").select(rings.alias("rings"), F.create_map(F.lit("name"), F.trim("s_name")).alias("properties")).repartition(16).write.format("shapefile").mode("append").save(root)
     shapes = saved(boundaries.shapefile(spark, root, "supplier", epsg=3857))
     points = table(spark, d, "customer").select("c_custkey", *(v.alias(n) for n, v in place("c_custkey").items()))
     return spatial.containing(points, shapes, rings="rings", size=10.0).select("c_custkey", "name")

@@ -99,3 +99,16 @@ def test_wide_boxes_have_few_cells(spark):
     got = [(r.i, r.name) for r in found.select("i", "name").collect()]
     assert len(got) == len(want) and set(got) == want
     assert spatial._in_boxes(asked, shapes.limit(0), "lon", "lat", 1.0).count() == 0
+
+
+def test_rings_decide_once_for_alike_spots_and_shapes(spark, monkeypatch):
+    """Copies of points and shapes are all in the result, but rings are asked once for each distinct spot and shape."""
+    points = spark.range(600).select("id", (F.col("id") % 3).cast("double").alias("lon"), F.lit(0.5).alias("lat"))
+    ring = F.array(*(F.struct(F.lit(x).alias("x"), F.lit(y).alias("y")) for x, y in ((-0.5, 0.0), (1.5, 0.0), (1.5, 1.0), (-0.5, 1.0), (-0.5, 0.0))))
+    box = {"min_lon": F.lit(-0.5), "max_lon": F.lit(1.5), "min_lat": F.lit(0.0), "max_lat": F.lit(1.0)}
+    shapes = spark.range(50).select(F.col("id").alias("name"), ring.alias("ring"), *(v.alias(k) for k, v in box.items()))
+    seen, dealt = [], spatial._in_boxes
+    monkeypatch.setattr(spatial, "_in_boxes", lambda p, s, *more: seen.append((p.count(), s.count())) or dealt(p, s, *more))
+    found = spatial.containing(points, shapes)
+    assert seen == [(3, 1)]
+    assert found.count() == found.select("id", "name").distinct().count() == 400 * 50 and found.where("id % 3 = 2").isEmpty()
