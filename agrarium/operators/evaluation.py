@@ -137,7 +137,7 @@ def class_curves(scores: DataFrame, points: int = 100) -> DataFrame:
     tp, got, at = F.col("_before_p") + F.col("p"), F.col("_before_n") + F.col("n"), F.col("_before_d")
     step = F.greatest(F.floor(F.col("_m") / points), F.lit(1))
     kept = rows.where((F.pmod(at, step) == 0) | (at == F.col("_m") - 1))
-    return kept.select("label", (-F.col("_s")).alias("threshold"), ratio(tp, got).alias("precision"), ratio(tp, F.col("_all")).alias("recall"))
+    return kept.select("label", (F.lit(0.0) - F.col("_s")).alias("threshold"), ratio(tp, got).alias("precision"), ratio(tp, F.col("_all")).alias("recall"))
 
 
 def regression_metrics(df: DataFrame, truth: str, predicted: str, tolerance: float = 0.1) -> DataFrame:
