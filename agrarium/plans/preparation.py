@@ -78,12 +78,16 @@ def onehot(spark: SparkSession, d: str) -> DataFrame:
     return rows.select("o_orderkey", *(c.alias(n) for c, n in zip(prepare.one_hot("o_orderstatus", ["F", "O", "P"]), ("f", "o", "p"), strict=True)))
 
 
-@query("""WITH q AS (SELECT quantile_cont(o_totalprice, 0.25) AS a, quantile_cont(o_totalprice, 0.75) AS b, quantile_cont(o_custkey, 0.25) AS c, quantile_cont(o_custkey, 0.75) AS e FROM orders),
+#: A single-precision number with three decimals, halves away from zero.
+THOUSANDTHS = "printf('%.3f', sign({x}) * floor(abs(CAST(CAST({x} AS FLOAT) AS DOUBLE)) * 1000 + 0.5) / 1000)"
+
+
+@query(f"""WITH q AS (SELECT quantile_cont(o_totalprice, 0.25) AS a, quantile_cont(o_totalprice, 0.75) AS b, quantile_cont(o_custkey, 0.25) AS c, quantile_cont(o_custkey, 0.75) AS e FROM orders),
 r AS (SELECT o_orderkey, o_orderstatus, greatest(least(o_totalprice, b + 1.5 * (b - a)), a - 1.5 * (b - a)) AS p, greatest(least(o_custkey, e + 1.5 * (e - c)), c - 1.5 * (e - c)) AS k FROM orders, q), s AS (SELECT avg(p) AS mp, stddev_pop(p) AS sp, avg(k) AS mk, stddev_pop(k) AS sk FROM r),
 n AS (SELECT list(name ORDER BY first) AS names FROM (SELECT o_orderstatus AS name, min(o_orderkey) AS first FROM orders GROUP BY 1))
-SELECT o_orderkey, array_to_string(list_concat([printf('%.3f', CAST(CAST((p - mp) / sp AS FLOAT) AS DOUBLE)), printf('%.3f', CAST(CAST((k - mk) / sk AS FLOAT) AS DOUBLE))], list_transform(names, lambda x: CASE WHEN x = o_orderstatus THEN '1.000' ELSE '0.000' END)), ' ') AS features FROM r, s, n""")
+SELECT o_orderkey, array_to_string(list_concat([{THOUSANDTHS.format(x='(p - mp) / sp')}, {THOUSANDTHS.format(x='(k - mk) / sk')}], list_transform(names, lambda x: CASE WHEN x = o_orderstatus THEN '1.000' ELSE '0.000' END)), ' ') AS features FROM r, s, n""")
 def tabular_pipeline(spark: SparkSession, d: str) -> DataFrame:
-    """Feature vectors of orders, fitted on all of them, as text; the column that doubles another and the constant one go."""
+    """Feature vectors of orders, fitted on all of them, as text of three decimals, halves away from zero; the column that doubles another and the constant one go."""
     rows = table(spark, d, "orders").withColumn("double_price", F.col("o_totalprice") * 2).withColumn("one", F.lit(1.0))
     fitted = prepare.TabularPipeline(["o_totalprice", "double_price", "one", "o_custkey"], ["o_orderstatus"], "o_orderkey").fit(rows)
     return fitted.transform(rows).select("o_orderkey", F.array_join(F.transform("features", lambda x: F.format_string("%.3f", x.cast("double"))), " ").alias("features"))
