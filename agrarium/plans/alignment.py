@@ -85,7 +85,7 @@ def knn_join(spark: SparkSession, d: str) -> DataFrame:
 def radius_counts(spark: SparkSession, d: str) -> DataFrame:
     asked = table(spark, d, "customer").select("c_custkey", *(v.alias(k) for k, v in place("c_custkey").items()))
     offered = table(spark, d, "supplier").select("s_suppkey", *(v.alias(f"place_{k}") for k, v in place("s_suppkey").items()))
-    return spatial.within_radius(asked, offered, 800).groupBy("s_suppkey").agg(F.count("*").alias("n"))
+    return spatial.counts_within(asked, offered, "s_suppkey", 800)
 
 
 @query(f"WITH c AS (SELECT c_custkey, {place_sql('c_custkey')} FROM customer), t AS (SELECT n_nationkey, (n_nationkey * 14.0 - 180) AS x, (n_nationkey * 6.0 - 80) AS y FROM nation) SELECT c_custkey, n_nationkey FROM c, t WHERE lon >= x AND lat >= y AND (lon - x) / 60 + (lat - y) / 40 <= 1")
