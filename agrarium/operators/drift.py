@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -28,6 +29,12 @@ def both(reference: DataFrame, current: DataFrame, value: str) -> DataFrame:
     return take(reference, "ref").unionByName(take(current, "cur"))
 
 
+def _bin(x: Column, edges: list[float]) -> Column:
+    """The bin of a value from 1, by plain comparisons with the edges."""
+    reached = reduce(Column.__add__, ((x >= F.lit(e)).cast("int") for e in edges))
+    return F.greatest(F.least(reached, F.lit(len(edges) - 1)), F.lit(1))
+
+
 def binned_shares(sides: DataFrame, bins: int = 10, approximate: int | None = None) -> DataFrame:
     """(bin, ref, cur): shares of both sides in bins of pooled quantiles, at least ``FLOOR`` each.
 
@@ -36,15 +43,16 @@ def binned_shares(sides: DataFrame, bins: int = 10, approximate: int | None = No
     of ``bins`` + 1 numbers.
     """
     at = [i / bins for i in range(bins + 1)]
+    rows = sides.select("x", F.lit(1).alias("n"), (F.col("side") == "ref").cast("int").alias("r"), (F.col("side") == "cur").cast("int").alias("c"))
     if approximate is None:
-        found = sorted(set(ranks.quantiles(sides, {"x": F.col("x")}, at).get("x", [])))
+        # Counts of ranges that no edge lies in stand for their values.
+        rows = ranks.condensed(rows.withColumn("x", F.col("x").cast("double")), [], "x", ["n", "r", "c"], ranks.holds_quantiles(at))
+        found = sorted({q for row in ranks.quantiles_of(rows, [], "x", at).collect() for q in row["q"] or () if q is not None})
     else:
         found = sides.agg(F.array_distinct(F.percentile_approx("x", at, approximate)).alias("e")).first()["e"] or []
     if len(found) < 2:
         return sides.sparkSession.createDataFrame([], "bin int, ref double, cur double")
-    edges = F.array(*map(F.lit, found))
-    bin_ = F.greatest(F.least(F.size(F.filter(edges, lambda e: e <= F.col("x"))), F.lit(len(found) - 1)), F.lit(1))
-    counts = sides.groupBy(bin_.alias("bin")).agg(F.count_if(F.col("side") == "ref").alias("r"), F.count_if(F.col("side") == "cur").alias("c"))
+    counts = rows.groupBy(_bin(F.col("x"), found).alias("bin")).agg(F.sum("r").alias("r"), F.sum("c").alias("c"))
     every = sides.sparkSession.range(1, len(found)).select(F.col("id").cast("int").alias("bin")).join(counts, "bin", "left").na.fill(0)
     whole = Window.partitionBy()
     share = lambda c: F.greatest(F.col(c) / F.sum(c).over(whole), F.lit(FLOOR))
@@ -186,8 +194,7 @@ def temporal_psi(df: DataFrame, period: Column, value: str, reference: DataFrame
     found = sorted(set(ranks.quantiles(reference, {"x": F.col(value)}, [i / bins for i in range(bins + 1)]).get("x", [])))
     if len(found) < 2:
         return df.select(period.alias("period"), F.lit(0).cast("long").alias("n"), F.lit(None).cast("double").alias("psi")).limit(0)
-    edges = F.array(*map(F.lit, found))
-    number = lambda x: F.greatest(F.least(F.size(F.filter(edges, lambda e: e <= x)), F.lit(len(found) - 1)), F.lit(1))
+    number = lambda x: _bin(x, found)
     whole = Window.partitionBy()
     ref = reference.where(F.col(value).isNotNull()).groupBy(number(F.col(value)).alias("bin")).agg(F.count("*").alias("n")).select("bin", (F.col("n") / F.sum("n").over(whole)).alias("ref"))
     cur = df.where(F.col(value).isNotNull()).groupBy(period.alias("period"), number(F.col(value)).alias("bin")).agg(F.count("*").alias("k"))

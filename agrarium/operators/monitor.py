@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from agrarium.operators import drift, ranks
@@ -46,21 +46,26 @@ def numeric(sides: DataFrame, bins: int = 10) -> DataFrame:
     Bins are pooled quantiles of each feature. A side of fewer than LEAST_ROWS
     rows gives neither severity nor drift.
     """
-    counts = saved(sides.groupBy("feature", "x").agg(F.count_if(F.col("side") == "ref").alias("r"), F.count_if(F.col("side") == "cur").alias("c")))
-    totals = counts.groupBy("feature").agg(F.sum("r").alias("n_ref"), F.sum("c").alias("n_cur"))
-    # Quantiles and distances are both read off the same running sums.
-    runs = saved(ranks.running(counts.withColumn("n", F.col("r") + F.col("c")), ["feature"], "x", ["n", "r", "c"]))
-    edges = ranks.quantiles_of(runs.withColumn("x", F.col("x").cast("double")), ["feature"], "x", [i / bins for i in range(bins + 1)]).select("feature", F.array_sort(F.array_distinct("q")).alias("e"))
+    at, n_ref, n_cur = [i / bins for i in range(bins + 1)], F.nullif(F.col("_total_r"), F.lit(0)), F.nullif(F.col("_total_c"), F.lit(0))
+    ref, cur = ((F.col(f"_before_{k}") / n, (F.col(f"_before_{k}") + F.col(k)) / n) for k, n in (("r", n_ref), ("c", n_cur)))
+    # Inside a range the distance is at most ``most``; where the end of some range has as much, its values can't change the largest.
+    most = F.greatest(ref[1] - cur[0], cur[1] - ref[0])
+    wanted = ranks.holds_quantiles(at) | F.coalesce(most > F.max(F.abs(ref[1] - cur[1])).over(Window.partitionBy("feature")), F.lit(False))
+    rows = sides.select("feature", "x", F.lit(1).alias("n"), (F.col("side") == "ref").cast("int").alias("r"), (F.col("side") == "cur").cast("int").alias("c"))
+    # Quantiles, bins and distances are read off the same running sums; no edge of a bin lies inside a range that is one row.
+    runs = ranks.condensed(rows, ["feature"], "x", ["n", "r", "c"], wanted)
+    totals = saved(runs.groupBy("feature").agg(F.sum("r").alias("n_ref"), F.sum("c").alias("n_cur")))
+    edges = ranks.quantiles_of(runs.withColumn("x", F.col("x").cast("double")), ["feature"], "x", at).select("feature", F.array_sort(F.array_distinct("q")).alias("e"))
     edges = saved(edges.where(F.size("e") > 1))
     place = F.greatest(F.least(F.size(F.filter("e", lambda e: e <= F.col("x"))), F.size("e") - 1), F.lit(1))
-    held = counts.join(edges, "feature").groupBy("feature", place.alias("bin")).agg(F.sum("r").alias("r"), F.sum("c").alias("c"))
+    held = runs.join(F.broadcast(edges), "feature").groupBy("feature", place.alias("bin")).agg(F.sum("r").alias("r"), F.sum("c").alias("c"))
     every = edges.select("feature", F.explode(F.sequence(F.lit(1), F.size("e") - 1)).alias("bin")).join(held, ["feature", "bin"], "left").na.fill(0).join(totals, "feature")
     ref, cur = (F.greatest(F.col(k) / F.nullif(F.col(n), F.lit(0)), F.lit(drift.FLOOR)) for k, n in (("r", "n_ref"), ("c", "n_cur")))
     shares = every.select("feature", ref.alias("ref"), cur.alias("cur"))
     r, c = F.col("ref"), F.col("cur")
     m = (r + c) / 2
     found = shares.groupBy("feature").agg(F.sum((c - r) * F.log(c / r)).alias("psi"), F.sum(c * F.log(c / r)).alias("kl"), F.sum((r * F.log(r / m) + c * F.log(c / m)) / 2).alias("js"))
-    runs = runs.join(totals, "feature")
+    runs = runs.join(F.broadcast(totals), "feature")
     gap = F.abs((F.col("_before_r") + F.col("r")) / F.nullif(F.col("n_ref"), F.lit(0)) - (F.col("_before_c") + F.col("c")) / F.nullif(F.col("n_cur"), F.lit(0)))
     rows = totals.join(found, "feature", "left").join(runs.groupBy("feature").agg(F.max(gap).alias("ks")), "feature", "left")
     rows = rows.withColumn("p", ks_p(F.col("ks"), F.col("n_ref").cast("double"), F.col("n_cur").cast("double")))
