@@ -51,7 +51,8 @@ def numeric(sides: DataFrame, bins: int = 10) -> DataFrame:
     # Inside a range the distance is at most ``most``; where the end of some range has as much, its values can't change the largest.
     most = F.greatest(ref[1] - cur[0], cur[1] - ref[0])
     wanted = ranks.holds_quantiles(at) | F.coalesce(most > F.max(F.abs(ref[1] - cur[1])).over(Window.partitionBy("feature")), F.lit(False))
-    rows = sides.select("feature", "x", F.lit(1).alias("n"), (F.col("side") == "ref").cast("int").alias("r"), (F.col("side") == "cur").cast("int").alias("c"))
+    # Where sides are alike nearly every value counts for the distance; equal ones are one row from here on, so that rows are read once.
+    rows = saved(sides.groupBy("feature", "x").agg(F.count("*").alias("n"), F.count_if(F.col("side") == "ref").alias("r"), F.count_if(F.col("side") == "cur").alias("c")))
     # Quantiles, bins and distances are read off the same running sums; no edge of a bin lies inside a range that is one row.
     runs = ranks.condensed(rows, ["feature"], "x", ["n", "r", "c"], wanted)
     totals = saved(runs.groupBy("feature").agg(F.sum("r").alias("n_ref"), F.sum("c").alias("n_cur")))
@@ -127,7 +128,7 @@ def tidy(rows: DataFrame, section: str, key: str | None, metrics: list[str]) ->
 
 def monitor(*sections: DataFrame) -> DataFrame:
     """Tidy sections with an overall row: the worst severity, and whether anything has drifted."""
-    every = reduce(DataFrame.unionByName, sections)
+    every = saved(reduce(DataFrame.unionByName, sections))  # sections are taken once for their rows and the overall one
     rank = F.array_position(F.array(*map(F.lit, LEVELS)), F.col("severity"))
     overall = every.agg(F.max(rank).alias("r"), F.bool_or("drifted").alias("drifted"))
     top = F.coalesce(F.try_element_at(F.array(*map(F.lit, LEVELS)), F.col("r").cast("int")), F.lit("low"))

@@ -1,4 +1,4 @@
-"""Ranges are found inside the JVM."""
+"""Ranges are found inside the JVM and rows of a drift are read once."""
 
 import random
 
@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from agrarium.operators import ranks
+from agrarium.operators import monitor, ranks
 
 
 @pytest.fixture
@@ -29,3 +29,30 @@ def test_ranges_need_no_python(spark, narrow, keys):
             # Ranges follow one another, and equal values, zeros of both signs too, share one.
             assert a.hi is None or a.hi < b.lo or np.isnan(b.lo) and not np.isnan(a.hi)
     assert max(r.m for r in found) < 300
+
+
+def counted(spark, df):
+    """``df`` and how many of its rows have been made so far."""
+    made = spark.sparkContext.accumulator(0)
+
+    @F.udf("boolean")
+    def one():
+        made.add(1)
+        return True
+
+    return df.where(one.asNondeterministic()()), made
+
+
+def test_drift_reads_rows_once(spark, narrow):
+    rng = random.Random(6)
+    rows = spark.createDataFrame([("f", rng.choice(("ref", "cur")), round(rng.gauss(0, 1), 3)) for _ in range(2_000)], "feature string, side string, x double")
+    sides, made = counted(spark, rows)
+    assert monitor.numeric(sides).first().n_ref > 900
+    assert made.value == 2_000
+
+
+def test_report_takes_sections_once(spark):
+    rows = spark.createDataFrame([("s", "k", "high", True, "m", 1.0)] * 10, ", ".join(f"{c} {t}" for c, t in zip(monitor.TIDY, ("string", "string", "string", "boolean", "string", "double"))))
+    section, made = counted(spark, rows)
+    assert monitor.monitor(section).count() == 11
+    assert made.value == 10
