@@ -96,6 +96,8 @@ def tabular_match(probes: DataFrame, tables: list[DataFrame], key: str, levels:
         held = _answering(given, tables, holds)
     # One table of all names and one of all probes: tables and levels are keys like those of ``within``, and each stage runs once.
     long = reduce(DataFrame.unionByName, (t.select(F.lit(i).alias("_src"), F.lit(j).alias("_lvl"), F.col(position).cast("long").alias("_pos"), F.col(level).alias("_text"), said(F.col(level)).alias("_name"), *within) for i, t in enumerate(held) for j, level in enumerate(levels)))
+    # Of rows of one name the first is the one that is found, so a name is looked at once, however many rows bear it.
+    long = long.groupBy("_src", "_lvl", "_text", "_name", *within).agg(F.min("_pos").alias("_pos"))
     other = lambda j, level: (F.trim(level) != "") & (F.lit(True) if j != 1 else ~F.col(level).eqNullSafe(F.col(levels[0])))
     pairs = F.array_compact(F.array(*(F.when(other(j, level), F.struct(F.lit(j).alias("_lvl"), F.trim(level).alias("_raw"))) for j, level in enumerate(levels))))
     asked = given.select(key, *within, F.explode(pairs).alias("_p")).select(key, *within, "_p.*")

@@ -81,3 +81,20 @@ def test_first_table_and_settled(spark):
     probes = spark.createDataFrame(asked, "id long, village string, district string, lon double, lat double")
     got = {r.id: tuple(r)[1:] for r in resolve.settled(probes, places, "id").collect()}
     assert got == {1: ("alur", 3.0, 4.0, "place"), 2: ("Alur", 1.0, 2.0, "place"), 3: ("Belur North", 5.0, 6.0, "place"), 4: ("zz", 7.0, 8.0, "given"), 5: ("zz", None, None, "name"), 6: (None, None, None, None), 7: ("8.0, 7.0", 7.0, 8.0, "coordinates"), 8: (None, None, None, None)}
+
+
+def test_names_are_looked_at_once(spark, monkeypatch):
+    seen, staged = [], joins._staged
+
+    def watched(probes, table, *rest):
+        seen.append(table.count())
+        return staged(probes, table, *rest)
+
+    monkeypatch.setattr(joins, "_staged", watched)
+    rows = [(500 - i, ("Alur", "Belur / x", "Hassan (Rural)")[i % 3], "T1", 2001) for i in range(300)]
+    table = spark.createDataFrame(rows, "pos long, village string, taluk string, year int")
+    probes = spark.createDataFrame([(1, "alur", "-", 2001), (2, "x", "-", 2001), (3, "has+an", "-", 2001), (4, "-", "T1", 2001), (5, "Alur", "-", 2001)], "id long, village string, taluk string, year int")
+    found = resolve.tabular_match(probes, [table], "id", ["village", "taluk"], ["year"], "pos", ["pos"])
+    first = [min(p for p, v, *_ in rows if v.startswith(n)) for n in ("Alur", "Belur", "Hassan")]
+    assert {r.id: (r.pos, r.level) for r in found.collect()} == {1: (first[0], "village"), 2: (first[1], "village"), 3: (first[2], "village"), 4: (201, "taluk"), 5: (first[0], "village")}
+    assert seen == [4]
