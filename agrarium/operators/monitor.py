@@ -111,11 +111,10 @@ def places(reference: DataFrame, current: DataFrame, lon: str, lat: str, size: f
     from agrarium.operators.spatial import nearest
 
     cells = drift.novel_cells(reference, current, lon, lat, size)
-    asked = current.select(lon, lat).distinct().select(F.struct(lon, lat).alias("_a"), F.col(lon).alias("lon"), F.col(lat).alias("lat"))
-    held = reference.select(lon, lat).distinct().select(F.struct(lon, lat).alias("_b"), F.col(lon).alias("place_lon"), F.col(lat).alias("place_lat"))
-    near = nearest(asked, held, "_a", "_b", 1).select("_a", "distance_km")
-    weighted = current.select(F.struct(lon, lat).alias("_a")).groupBy("_a").agg(F.count("*").alias("_n")).join(near, "_a")
-    mean = weighted.agg((F.sum(F.col("_n") * F.col("distance_km")) / F.sum("_n")).alias("mean_km"))
+    # Each spot is asked once and has its rows' number beside it; keys are numbers, which rows are ordered by far faster than by coordinates.
+    asked = saved(current.groupBy(F.col(lon).alias("lon"), F.col(lat).alias("lat")).agg(F.count("*").alias("_n")).withColumn("_a", F.monotonically_increasing_id()))
+    held = saved(reference.select(F.col(lon).alias("place_lon"), F.col(lat).alias("place_lat")).distinct().withColumn("_b", F.monotonically_increasing_id()))
+    mean = nearest(asked, held, "_a", "_b", 1).agg((F.sum(F.col("_n") * F.col("distance_km")) / F.sum("_n")).alias("mean_km"))
     severity = drift.severity(F.col("share"), drift.PSI_LEVELS)
     return cells.crossJoin(mean).withColumn("severity", severity).withColumn("drifted", F.col("severity") == "high")
 
