@@ -13,7 +13,7 @@ number of rows be expected, and are lowered for the anchors whose windows
 aren't full, at last to the windows' lower ends. Whatever the first guess was,
 results are those of all pairs.
 
-Anchors meet rows in a grid of block groups, joined on the grid's cell.
+Anchors meet rows in a grid of block groups, grouped together by the grid's cell.
 """
 
 from __future__ import annotations
@@ -172,27 +172,48 @@ def first_of(group: np.ndarray, score: np.ndarray, vec_id: np.ndarray, known: np
 
 
 def threshold_join(anchors: DataFrame, rows: DataFrame, same: bool, k: int, cells: tuple[int, int]) -> DataFrame:
-    """(anchor, window, row, vec_id, score): for each window [low, high] of each anchor the ``k`` first rows of each block that lie in it."""
+    """(anchor, window, row, vec_id, score): for each window [low, high] of each anchor the ``k`` first rows of each cell of the grid that lie in it.
+
+    Both sides are grouped by the cell and shuffled: a join could send the
+    anchors, small in their file but repeated for each column of the grid,
+    through the driver, and would repeat each block for each of the other side.
+    """
     across, down = cells
-    left = anchors.select(F.explode(F.sequence(F.lit(0), F.lit(across - 1))).alias("x"), F.pmod(F.xxhash64("block"), F.lit(down)).cast("int").alias("y"), F.col("size"), *(F.col(c).alias(f"a_{c}") for c in ("row", "vec_id", "known", "label", "vector", "order", "low", "high")))
-    right = rows.select(F.pmod(F.xxhash64("block"), F.lit(across)).cast("int").alias("x"), F.explode(F.sequence(F.lit(0), F.lit(down - 1))).alias("y"), F.col("size"), *(F.col(c).alias(f"r_{c}") for c in ("row", "vec_id", "known", "label", "vector")))
+    left = anchors.select(F.explode(F.sequence(F.lit(0), F.lit(across - 1))).alias("x"), F.pmod(F.xxhash64("block"), F.lit(down)).cast("int").alias("y"), *("size", "row", "vec_id", "known", "label", "vector", "order", "low", "high"))
+    right = rows.select(F.pmod(F.xxhash64("block"), F.lit(across)).cast("int").alias("x"), F.explode(F.sequence(F.lit(0), F.lit(down - 1))).alias("y"), *("size", "row", "vec_id", "known", "label", "vector"))
     arrow = to_arrow_schema(T._parse_datatype_string(HITS))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for size, *parts in zip(*(b.column(i).to_pylist() for i in range(2, b.num_columns)), strict=True):
-                order = np.frombuffer(parts[5], "<i8")
-                a, r = Rows(size, *parts[:5], order), Rows(size, *parts[8:], order)
-                low, high = (np.frombuffer(x, "<f8").reshape(len(a.row), -1) for x in parts[6:8])
-                own, other, score, _ = reaching(a, r, low.min(1), same)
-                for w in range(low.shape[1]):
-                    inside = np.flatnonzero((score >= low[own, w]) & (score <= high[own, w]))
-                    inside = inside[first_of(own[inside], score[inside], r.vec_id[other[inside]], r.known[other[inside]], k)]
-                    if len(inside):
-                        o = other[inside]
-                        yield arrays_of([a.row[own[inside]], np.full(len(o), w, np.int32), r.row[o], pa.array(r.vec_id[o], mask=~r.known[o]), score[inside]], arrow)
-
-    return left.join(right, ["x", "y", "size"]).mapInArrow(run, HITS)
+    def parts(t: pa.Table) -> Iterator[list]:
+        for b in t.to_batches():
+            for i in range(b.num_rows):
+                yield [b.column(c)[i].as_py() for c in range(2, b.num_columns)]
+
+    def run(left: pa.Table, right: pa.Table) -> pa.Table:
+        # By anchors' blocks: the first k of the blocks of rows seen so far, as (anchor's place, window, row, vec_id, known, score).
+        kept: list[list[np.ndarray]] = []
+        asked = []
+        for size, *own in parts(left):
+            order = np.frombuffer(own[5], "<i8")
+            low, high = (np.frombuffer(x, "<f8").reshape(len(own[0]) // 8, -1) for x in own[6:8])
+            asked.append((Rows(size, *own[:5], order), order, low, high))
+            kept.append([np.zeros(0, kind) for kind in ("<i8", "<i8", "<i8", "<i8", bool, "<i8")])
+        for size, *other in parts(right) if asked else ():
+            r, of = None, None
+            for i, (a, order, low, high) in enumerate(asked):
+                if r is None or not np.array_equal(of, order):
+                    r, of = Rows(size, *other, order), order
+                own, at, score, _ = reaching(a, r, low.min(1), same)
+                # Pair by pair all windows that hold it.
+                p, w = np.nonzero((score[:, None] >= low[own]) & (score[:, None] <= high[own]))
+                now = own[p], w, r.row[at[p]], r.vec_id[at[p]], r.known[at[p]], score[p]
+                anchor, window, row, vec_id, known, score = (np.concatenate(x) for x in zip(kept[i], now, strict=True))
+                first = first_of(anchor * low.shape[1] + window, score, vec_id, known, k)
+                kept[i] = [x[first] for x in (anchor, window, row, vec_id, known, score)]
+        found = [arrays_of([a.row[anchor], window.astype(np.int32), row, pa.array(vec_id, mask=~known), score], arrow) for (a, *_), (anchor, window, row, vec_id, known, score) in zip(asked, kept, strict=True)]
+        return pa.Table.from_batches(found, schema=arrow)
+
+    keys = ["x", "y", "size"]
+    return left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInArrow(run, HITS)
 
 
 def with_thresholds(asked: DataFrame, stats: DataFrame, k: int, deviations: float | None) -> DataFrame:

@@ -72,3 +72,19 @@ def test_few_rows_and_none(spark):
     assert found(spark, [(0, [1.0, 0.0], 1), (1, [0.9, 0.1], 1)]) == []
     rows = [(0, [1.0, 0.0], 1), (1, [1.0, 0.0], 1), (2, [0.9, 0.0], 2), (3, [0.91, 0.0], 2), (10, [-1.0, 0.0], 1)]
     assert found(spark, rows) == brute(rows)
+
+
+def test_grid_does_not_pass_through_the_driver(spark):
+    """Anchors are few bytes in their file, but stand in each column of the grid: they must not be broadcast."""
+    rows = op.numbered(op.usable(spark.createDataFrame([(*r, 1, 2, "x") for r in table(5, 200, 8)], SCHEMA), F.col("label")))
+    blocks = op.packed_blocks(rows, 8 * 16)
+    asked = rows.where("vec_id % 10 = 0").withColumns({"order": F.lit(np.arange(8).astype("<i8").tobytes()), "low": F.lit(np.array([-np.inf]).tobytes()), "high": F.lit(np.array([np.inf]).tobytes())})
+    hits = op.threshold_join(op.packed_blocks(asked, 8 * 4), blocks, False, 10_000, (5, 2))
+    assert "Broadcast" not in hits._jdf.queryExecution().toString()
+    labels = [n for _, _, n in table(5, 200, 8)]
+    assert sorted((r.vec_id, r.score) for r in hits.where("window = 0").collect()) == sorted((b, int(x)) for a in range(0, 200, 10) for b, x in _others(a, labels))
+
+
+def _others(a, labels):
+    v = [[math.floor(256 * float(np.float32(x))) for x in e] for _, e, _ in table(5, 200, 8)]
+    return [(b, sum(x * y for x, y in zip(v[a], v[b]))) for b in range(200) if labels[b] != labels[a]]
